@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import fingerprints, mixing, warc
 from .common import table
 
 
@@ -29,9 +29,40 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM j
 """
 
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    read = warc.read_archives(listed, keep_payload=False)
+    read = read.withColumn("_checked", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.lit(True)))
+    ident = F.when(F.col("record_id") != "null", F.col("record_id").cast("long"))
+    return read.filter("_checked").select(ident.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+SQL_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+b AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS f,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(s, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS d FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM b
+"""
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, e, n = F.col("_sketch"), F.col("_edited_sketch"), F.col("_next_sketch")
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents")).select(
+        F.col("_id").alias("doc_id"), "n_chars", "edited_sha256",
+        fingerprints.to_text(s).alias("fingerprint"), fingerprints.to_text(e).alias("edited_fingerprint"),
+        fingerprints.resemblance(s, e).alias("near_edited"), fingerprints.resemblance(s, n).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_warc": op4_warc,
+    "op10_fingerprints": op10_fingerprints,
 }
 SQL = {
     "op1_mixing": SQL_OP1,
+    "op4_warc": SQL_OP4,
 }
