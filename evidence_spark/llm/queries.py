@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, warc
+from . import fingerprints, mixing, packing, tokens, warc
 from .common import table
 
 
@@ -30,6 +31,11 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 """
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumnRenamed("_id", "doc_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
     read = warc.read_archives(listed, keep_payload=False)
@@ -48,6 +54,11 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, d AS payload_digest,
 """
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, e, n = F.col("_sketch"), F.col("_edited_sketch"), F.col("_next_sketch")
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents")).select(
@@ -59,7 +70,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_packing": op2_packing,
     "op4_warc": op4_warc,
+    "op6_token_counts": op6_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
 SQL = {
