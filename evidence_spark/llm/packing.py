@@ -84,13 +84,19 @@ def solve(lengths: np.ndarray, demand: np.ndarray, room: int, tolerance: float =
     Patterns priced before are tried again before the knapsack is solved for a new one.
     """
     m = len(lengths)
+    demand = demand + 1e-5 * np.random.default_rng(0).random(m)  # unequal, so that pivots don't go in circles
     columns = np.diag((room // lengths).astype(float))
     cost = np.ones(m)
     inverse = np.diag(1 / np.diag(columns))
     x = inverse @ demand
     pool = columns.T.copy()
     values = np.zeros(room + 1)
+    last = np.inf
     for k in range(rounds):
+        if k % 400 == 399:
+            if cost @ x > last * (1 - tolerance / 10):
+                break  # what is left to gain is below the tolerance's worth
+            last = cost @ x
         if k % 200 == 199:  # against rounding errors
             inverse = np.linalg.inv(columns)
             x = np.maximum(inverse @ demand, 0)

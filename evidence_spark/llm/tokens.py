@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
 #: Entries after which a worker drops its cached segments or states and compiles anew.
-CACHE, STATES = 300_000, 300_000
+CACHE, STATES = 300_000, 600_000
 #: Segments for caching: a run of ASCII white space with what follows it. Each begins at
 #: a sure boundary unless other white space stands before it.
 SEGMENT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -81,7 +81,9 @@ class Transducer:
     def reset(self) -> None:
         self.states = [(b"", ((None, 0),))]
         self.ids = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        #: state and byte -> next state, shifted by 9 bits, and tokens added, plus 256
+        self.moves: dict[int, int] = {}
+        self.places: dict[tuple, tuple] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
         """The pieces by the merge list itself; for short data."""
@@ -116,7 +118,7 @@ class Transducer:
             ok = self.whole[t] = t in self.tokens and self.merge(t) == [t]
         return ok
 
-    def compile(self, state: int, byte: int) -> tuple[int, int]:
+    def compile(self, state: int, byte: int) -> int:
         suffix, window = self.states[state]
         grown = suffix + bytes((byte,))
         size = len(grown)
@@ -128,13 +130,14 @@ class Transducer:
             raise ValueError("no token ends here")
         added = place[1] + 1
         k = next(k for k in range(size + 1) if grown[k:] in self.stems)
-        kept = tuple((p[0], p[1] - added) if (p := window[i]) is not None and grown[i:] in self.stems else None for i in range(k, size))
-        new = (grown[k:], (*kept, (token, 0)))
+        shared = self.places.setdefault
+        kept = [shared(q := (p[0], p[1] - added), q) if (p := window[i]) is not None and grown[i:] in self.stems else None for i in range(k, size)]
+        new = (grown[k:], (*kept, shared(q := (token, 0), q)))
         if (to := self.ids.get(new)) is None:
             to = self.ids[new] = len(self.states)
             self.states.append(new)
-        self.moves[state << 8 | byte] = (to, added)
-        return to, added
+        move = self.moves[state << 8 | byte] = to << 9 | added + 256
+        return move
 
     def count(self, data: bytes) -> int:
         if len(self.moves) > STATES:
@@ -142,8 +145,10 @@ class Transducer:
         moves, state, n = self.moves, 0, 0
         for b in data:
             move = moves.get(state << 8 | b)
-            state, added = move if move is not None else self.compile(state, b)
-            n += added
+            if move is None:
+                move = self.compile(state, b)
+            state = move >> 9
+            n += (move & 511) - 256
         return n
 
 
