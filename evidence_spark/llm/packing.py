@@ -78,6 +78,19 @@ def best_pattern(values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    m = len(a)
+    both = np.hstack([a, np.eye(m)])
+    for i in range(m):
+        j = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, j]] = both[[j, i]]
+        both[i] /= both[i, i]
+        others = both[:, i].copy()
+        others[i] = 0
+        both -= np.outer(others, both[i])
+    return both[:, m:]
+
+
 def solve(lengths: np.ndarray, demand: np.ndarray, room: int, tolerance: float = TOLERANCE, rounds: int = 20_000) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used, for fractional use; demand is covered.
 
@@ -88,26 +101,26 @@ def solve(lengths: np.ndarray, demand: np.ndarray, room: int, tolerance: float =
     columns = np.diag((room // lengths).astype(float))
     cost = np.ones(m)
     inverse = np.diag(1 / np.diag(columns))
-    x = inverse @ demand
+    x = (inverse * demand).sum(1)
     pool = columns.T.copy()
     values = np.zeros(room + 1)
     last = np.inf
     for k in range(rounds):
         if k % 400 == 399:
-            if cost @ x > last * (1 - tolerance / 10):
+            if (cost * x).sum() > last * (1 - tolerance / 10):
                 break  # what is left to gain is below the tolerance's worth
-            last = cost @ x
+            last = (cost * x).sum()
         if k % 200 == 199:  # against rounding errors
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ demand, 0)
-        duals = cost @ inverse
+            inverse = inverted(columns)
+            x = np.maximum((inverse * demand).sum(1), 0)
+        duals = (cost[:, None] * inverse).sum(0)  # sums, not matrix products: no BLAS threads in the driver
         low = int(duals.argmin())
         price = 1.0
         if duals[low] < -1e-9:  # to serve more of this class than is asked is cheaper
             entering, price = np.zeros(m), 0.0
             entering[low] = -1
         else:
-            worth = pool @ duals
+            worth = (pool * duals).sum(1)
             if worth[i := int(worth.argmax())] > 1 + tolerance:
                 entering = pool[i]
             else:
@@ -117,7 +130,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, room: int, tolerance: float =
                     break
                 entering = pattern[lengths]
                 pool = np.vstack([pool[-4 * m :], entering])
-        step = inverse @ entering
+        step = (inverse * entering).sum(1)
         up = step > 1e-9
         if not up.any():
             break
