@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, tokens, warc
+from . import fingerprints, jaccard, mixing, packing, tokens, warc
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.link_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return out.withColumnRenamed("_id", "doc_id")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, e, n = F.col("_sketch"), F.col("_edited_sketch"), F.col("_next_sketch")
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents")).select(
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_warc": op4_warc,
     "op6_token_counts": op6_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
 }
 SQL = {
