@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, mixing, packing, tokens, warc
+from . import fingerprints, jaccard, mixing, packing, tokens, topk, warc
 from .common import table
 
 
@@ -54,6 +54,22 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, d AS payload_digest,
 """
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    out = topk.exact_topk(rows, rows.filter("vec_id % 50 = 0"))
+    return out.withColumnRenamed("id", "vec_id")
+
+
+SQL_OP5 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -77,6 +93,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op4_warc": op4_warc,
+    "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
@@ -84,4 +101,5 @@ QUERIES = {
 SQL = {
     "op1_mixing": SQL_OP1,
     "op4_warc": SQL_OP4,
+    "op5_topk": SQL_OP5,
 }
