@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, mixing, packing, tokens, topk, warc
+from . import fingerprints, jaccard, lm, mixing, packing, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -75,6 +75,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.OrdinalModel:
+    grades = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.col("toxic").alias("grade"))
+    return toxicity.fit(docs, grades)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity_model(spark, docs, sf_dir)).withColumnRenamed("_id", "doc_id")
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    target = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("_id"))
+    return lm.score(docs, lm.fit(docs, target)).withColumnRenamed("_id", "doc_id")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.link_components(table(spark, sf_dir, "documents"), width=3, percent=90)
     return out.withColumnRenamed("_id", "doc_id")
@@ -95,6 +111,8 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
+    "op8_lm_scores": op8_lm_scores,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
 }
