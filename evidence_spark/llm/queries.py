@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, lm, mixing, packing, tokens, topk, toxicity, warc
+from . import fingerprints, jaccard, language, lm, mixing, packing, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -36,6 +36,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("_id", "doc_id")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    chain = language.fit(docs.filter(~held_out))
+    out = language.predict(docs, chain).withColumnRenamed("_id", "doc_id")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
     read = warc.read_archives(listed, keep_payload=False)
@@ -108,6 +116,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_language": op3_language,
     "op4_warc": op4_warc,
     "op5_topk": op5_topk,
     "op6_token_counts": op6_token_counts,
