@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 #: A source's priority when metadata are merged.
 PRIORITIES = {"user": 100, "manifest": 95, "official_url": 90, "document_body": 60, "parser": 50, "filename": 20, "legacy": 10}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 

@@ -39,7 +39,7 @@ def aggregate_events_windowed(events: DataFrame, gap_seconds: int = 600) -> Data
     """J1 with resolved rows: a resolved event closes its session, the next one opens another."""
     w = W.partitionBy(*KEYS).orderBy("ts", "event_id")
     before, resolved = F.lag("ts").over(w), F.coalesce(F.lag("resolved").over(w), F.lit(False))
-    apart = before.isNull() | resolved | (F.col("ts").cast("double") - before.cast("double") > gap_seconds)
+    apart = before.isNull() | resolved | (F.col("ts").cast("timestamp").cast("double") - before.cast("timestamp").cast("double") > gap_seconds)
     marked = events.withColumn("_s", apart.cast("int")).withColumn("_s", F.sum("_s").over(w))
     detail = F.when(F.trim(F.coalesce("detail", F.lit(""))) != "", F.col("detail"))
     return marked.groupBy(*KEYS, "_s").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("occurrences"), F.max_by(detail, F.when(detail.isNotNull(), F.struct("ts", "event_id"))).alias("detail")).drop("_s")
@@ -78,7 +78,7 @@ def stage_spans(events: DataFrame, key: str, ts: str, tie: str, starts: Column,
     marked = marked.withColumn("_span", F.coalesce(F.sum("_end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     spans = marked.groupBy(key, "_span").agg(F.min(F.when(F.col("_end") == 0, F.col(ts))).alias("started"), F.max(F.when(F.col("_end") == 1, F.col(ts))).alias("ended"))
     done = spans.filter("started is not null and ended is not null")
-    return done.select(key, "started", "ended", F.round(F.col("ended").cast("double") - F.col("started").cast("double"), 6).alias("seconds"))
+    return done.select(key, "started", "ended", F.round(F.col("ended").cast("timestamp").cast("double") - F.col("started").cast("timestamp").cast("double"), 6).alias("seconds"))
 
 
 def stage_spans_stream(events: DataFrame, key: str, key_type: str, ts: str, kind: str, start: str, end: str) -> DataFrame:
