@@ -23,6 +23,7 @@ get equal results; extra columns are kept by keep_known and never read.
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -39,19 +40,34 @@ from .common import uniform
 DOCS, SNIPPETS, LENGTH, LEXICON, SLOTS = 500, 6, 12, 400, 1 << 16
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words per piece of the chain; words per lot.
-PIECE, LOT = 64, 200_000
+PIECE, LOT = 128, 400_000
 #: Letters of a word that its n-grams are taken from; the middle of longer runs is skipped.
 LONGEST = 40
 
 
+class Slots(dict):
+    """Feature text to weight row, by hash."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        slot = self[feature] = xxhash.xxh32_intdigest(feature) % SLOTS
+        return slot
+
+
+SLOT = Slots()
+
+
 def word_features(word: str) -> list[int]:
-    """Hashed affixes and n-grams."""
+    """Weight rows of affixes (with the marked n-grams, up to four letters) and n-grams."""
     if len(word) > LONGEST:
         word = word[: LONGEST // 2] + word[-LONGEST // 2 :]
-    marked = f"^{word}$"
-    found = {f"p{word[:k]}" for k in range(1, 5)} | {f"s{word[-k:]}" for k in range(1, 5)}
-    found |= {marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)}
-    return sorted({xxhash.xxh32_intdigest(f) % SLOTS for f in found})
+    m = f"^{word}$"
+    n = len(m)
+    found = [*m[1:-1], *[m[i : i + 2] for i in range(n - 1)], *[m[i : i + 3] for i in range(n - 2)], m[:4], m[-4:]]
+    if n > 5:
+        found += [m[:5], m[-5:]]
+    return [SLOT[f] for f in found]
 
 
 class Chain:
@@ -71,12 +87,15 @@ class Chain:
             self.cache, self.table = {}, self.table[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.cache]
         if new:
-            per = [self.features(w) for w in new]
-            at = np.concatenate([np.array(x) for x in per])
-            ends = np.cumsum([0, *map(len, per)])[:-1]
-            base = len(self.table)
-            self.table = np.vstack([self.table, np.add.reduceat(self.weights[at], ends)])
-            self.cache.update((w, base + i) for i, w in enumerate(new))
+            base = len(self.cache)
+            if base + len(new) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros((base + 2 * len(new), len(self.labels)))])
+            for i in range(0, len(new), 20_000):
+                per = [self.features(w) for w in new[i : i + 20_000]]
+                sizes = np.fromiter(map(len, per), np.int64, len(per))
+                at = np.fromiter(itertools.chain.from_iterable(per), np.int64, int(sizes.sum()))
+                self.table[base + i : base + i + len(per)] = np.add.reduceat(self.weights[at], np.cumsum(sizes) - sizes)
+            self.cache.update(zip(new, range(base, base + len(new)), strict=True))
         return self.table[np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))]
 
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -98,14 +117,15 @@ class Chain:
         move = np.exp(self.moves - self.moves.max())
         start = np.exp(self.start - self.start.max())
 
-        def step(t: int) -> np.ndarray:  # [piece, from, to]
-            m = np.where(reset[:, t, None, None], start[None, None, :], move[None])
-            return m * e[:, t, None, :]
-
         product = np.broadcast_to(np.eye(k), (pieces, k, k)).copy()
         for t in range(PIECE):
-            product = np.einsum("pij,pjk->pik", product, step(t))
-            product /= product.max((1, 2), keepdims=True)
+            r = reset[:, t]
+            moved = np.matmul(product.reshape(-1, k), move).reshape(pieces, k, k)
+            if r.any():
+                moved[r] = product[r].sum(2, keepdims=True) * start
+            product = moved * e[:, t, None, :]
+            if t % 4 == 3:
+                product /= product.max((1, 2), keepdims=True)
         entering, leaving = np.ones((pieces, k)), np.ones((pieces, k))
         for p in range(1, pieces):
             v = entering[p - 1] @ product[p - 1]
@@ -116,14 +136,13 @@ class Chain:
         forward, backward = np.empty_like(e), np.empty_like(e)
         v = entering
         for t in range(PIECE):
-            v = np.where(reset[:, t, None], start, np.einsum("pi,ij->pj", v, move)) * e[:, t]
+            v = np.where(reset[:, t, None], start, np.matmul(v, move)) * e[:, t]
             v = v / v.sum(1, keepdims=True)
             forward[:, t] = v
         v = leaving
         for t in range(PIECE - 1, -1, -1):
             backward[:, t] = v
-            w = v * e[:, t]
-            v = np.where(reset[:, t, None], (w * start).sum(1, keepdims=True), np.einsum("pj,ij->pi", w, move))
+            v = np.where(reset[:, t, None], 1.0, np.matmul(v * e[:, t], move.T))
             v = v / v.sum(1, keepdims=True)
         return forward.reshape(-1, k)[:n], backward.reshape(-1, k)[:n]
 
@@ -170,7 +189,7 @@ def fit_chain(snippets: list[tuple[str, list[str]]], rounds: int = 40, rate: flo
     types = {w: i for i, w in enumerate(dict.fromkeys(words))}
     which = np.fromiter(map(types.__getitem__, words), np.int64, len(words))
     per = [chain.features(w) for w in types]
-    at = np.concatenate([np.array(x) for x in per])
+    at = np.fromiter(itertools.chain.from_iterable(per), np.int64)
     of = np.repeat(np.arange(len(per)), list(map(len, per)))
     ends = np.cumsum([0, *map(len, per)])[:-1]
     onehot = np.eye(k)[gold]
