@@ -174,3 +174,20 @@ def test_spans_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("spans").collect())) == sorted(map(tuple, batch.collect())) and batch.count() == 2
+
+
+def test_options_and_triage(spark):
+    from evidence_spark.operators import evidence
+
+    q = spark.createDataFrame([(1, "哪项正确？ A. 甲方 B. 乙方 C. 丙方"), (2, "没有选项")], "id int, question string")
+    got = evidence.extract_options(q).orderBy("pos").collect()
+    assert [(r["label"], r["option"]) for r in got] == [("A", "甲方"), ("B", "乙方"), ("C", "丙方")] and got[0]["stem"] == "哪项正确？"
+    assert one(spark, evidence.triage(F.col("a")), a="请预测明年保费") == "prediction" and one(spark, evidence.triage(F.col("a")), a="《预测办法》第三条") == "none"
+
+
+def test_percent_counts_as_ratio(spark):
+    from evidence_spark.operators import evidence
+
+    claims = spark.createDataFrame([(1, "占比 12.5% ，共 40 家")], "id int, claim string")
+    cited = spark.createDataFrame([(1, "比例 0.125"), (1, "41 家")], "id int, text string")
+    assert [r["number"] for r in evidence.unsupported_numbers(claims, cited, ["id"]).collect()] == ["40"]

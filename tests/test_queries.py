@@ -8,11 +8,11 @@ import os
 import duckdb
 import pytest
 
-from evidence_spark.plans import relational, retrieval
+from evidence_spark.plans import evidence, relational, retrieval
 
 SF = "/root/testdata/sf0.001"
-QUERIES = retrieval.QUERIES | relational.QUERIES
-SQL = retrieval.SQL | relational.SQL
+QUERIES = retrieval.QUERIES | relational.QUERIES | evidence.QUERIES
+SQL = retrieval.SQL | relational.SQL | evidence.SQL
 
 
 @pytest.fixture(scope="module")
