@@ -9,17 +9,19 @@ class asks for k-token combinations count n - k + 1 and all their k-combinations
 indexed. So similar sets share an index entry, and everyday passages are indexed by
 combinations only.
 
-How often a token occurs is estimated over all documents by a table of COUNTERS counters
-(never too low). It steers the order and the classes, so a poor estimate costs time, not
+How often a token occurs is estimated over all documents by a table of counters that
+grows with the input up to MOST_COUNTERS (never too low). It steers the order and the classes, so a poor estimate costs time, not
 links. The number of groups follows the size of the smaller set of a pair; a set near
 the bound of a size class is indexed for both classes.
 
-Documents of equal sets form a class, and classes are joined. Within an entry only one
+Documents of equal sets form a class, and classes are joined. Entries are split by size
+bands (similar sizes always meet in one band), and within an entry and band only one
 pivot is paired with the rest; links found make components, and further rounds take
 entries that still hold several components, until few enough pairs of different
 components are left to verify each one. So every pair of classes that could link is
 either verified or already connected, and a large group of near copies costs a few pairs
-per member. Each pair is verified on the whole sets.
+per member. A pair is first held against token counts in CELLS cells (the sum of the
+smaller counts bounds what two sets share), then verified on the whole sets.
 
 Defined cases: null, empty and blank texts have no tokens and link with nothing; a text
 of fewer words than a shingle is one token; rows without id link with nothing; rows of
@@ -30,6 +32,7 @@ read. Sets and classes are held by 64-bit hashes.
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,13 +44,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, stored
 
-COUNTERS, CHUNKS = 1 << 20, 16
+#: Token counters: as many as keep tokens per counter near 16, within these bounds.
+LEAST_COUNTERS, MOST_COUNTERS, CHUNKS, CELLS = 1 << 20, 1 << 26, 16, 256
 #: Below so many tokens every token is indexed alone.
 SMALL = 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 300_000
+#: A side of single numbers is broadcast up to so many rows.
+LONGS = 1_000_000
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -82,6 +88,11 @@ def set_class(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def cells(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each cell, 255 standing for that many or more."""
+    return np.minimum(np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def required(n: int, percent: int) -> int:
     """How many of n tokens a similar set shares at least."""
     return -(-n * percent // 100)
@@ -91,7 +102,7 @@ def entries(tokens: np.ndarray, counts: np.ndarray, bounds: tuple[int, ...], per
     """The index entries of a set: single tokens and combinations of its prefix."""
     n = len(tokens)
     need = n - required(n, percent) + 1
-    seen = counts[(tokens >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)]
+    seen = counts[(tokens >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)]
     first = np.lexsort((tokens, seen))
     tokens, seen = tokens[first], seen[first]
     level = np.searchsorted(bounds, seen, side="right")
@@ -123,30 +134,34 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def read_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(_id, n, c) of every document, and the counters over all of them."""
+    """(_id, n, c, cells) of every document, and the counters over all of them."""
+
+    size = (docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0) // 6  # words of some six bytes
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, size // 16 - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "n", "c", "chunk", "data"]
-        words, counts, lot, held = Words(), np.zeros(COUNTERS, np.uint32), [], 0
-        shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+        names = ["_id", "n", "c", "cells", "chunk", "data"]
+        words, counts, lot, held = Words(), np.zeros(counters, np.uint32), [], 0
+        shift = np.uint64(65 - counters.bit_length())
         for batch in batches:
-            ns, cs = [], []
+            ns, cs, hs = [], [], []
             for text in batch.column(1):
                 s = token_set(text.as_py(), width, words)
                 ns.append(len(s))
                 cs.append(set_class(s) if len(s) else None)
+                hs.append(cells(s) if len(s) else None)
                 lot.append(s)
                 held += len(s)
                 if held > 500_000:
-                    counts += np.bincount((np.concatenate(lot) >> shift).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                    counts += np.bincount((np.concatenate(lot) >> shift).astype(np.int64), minlength=counters).astype(np.uint32)
                     lot, held = [], 0
             k = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(hs, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if lot:
-            counts += np.bincount((np.concatenate(lot) >> shift).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            counts += np.bincount((np.concatenate(lot) >> shift).astype(np.int64), minlength=counters).astype(np.uint32)
         if counts.any():
             data = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(data, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, kind), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(data, pa.binary())], names)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(d), np.uint32).astype(np.uint64) for d in pdf["data"])
@@ -155,14 +170,14 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = pa.int64()
-    both = cut(rows.mapInArrow(run, "_id long, n long, c long, chunk int, data binary"))
+    both = stored(rows.mapInArrow(run, "_id long, n long, c long, cells binary, chunk int, data binary"))
     shape = "chunk int, data binary"
     parts = both.filter("chunk is not null").select("chunk", "data", F.pmod(F.xxhash64("data"), F.lit(64)).alias("lot"))
     parts = parts.groupBy("chunk", "lot").applyInPandas(add, shape).groupBy("chunk").applyInPandas(add, shape)
-    counts = np.zeros(COUNTERS, np.uint32)
-    for r in parts.collect():  # COUNTERS numbers, whatever the data's size
+    counts = np.zeros(counters, np.uint32)
+    for r in parts.collect():  # at most MOST_COUNTERS numbers
         counts.reshape(CHUNKS, -1)[r["chunk"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint32)
-    return both.filter("chunk is null").select("_id", "n", "c"), counts
+    return both.filter("chunk is null").select("_id", "n", "c", "cells"), counts
 
 
 def index_rows(docs: DataFrame, text_col: str, width: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -192,9 +207,19 @@ def index_rows(docs: DataFrame, text_col: str, width: int, percent: int, counts:
     return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "entry long, c long, n long")
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint where it has few rows; it is computed already."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint where it has few rows; it is a written table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def lots_of(df: DataFrame) -> int:
+    """Partitions of some 50,000 rows for a written table of a few numbers a row."""
+    return 1 + df.count() // 50_000
+
+
+def several(rows: DataFrame, key: str, of: str) -> DataFrame:
+    """The keys that hold more than one value."""
+    return rows.groupBy(key).agg(F.min(of).alias("lo"), F.max(of).alias("hi")).filter("lo < hi").select(key)
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -215,27 +240,57 @@ def class_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, wid
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     chosen = texts.join(bounded(reps), "_id").select("c", "_text")
-    return chosen.mapInArrow(run, "c long, tokens array<long>").dropDuplicates(["c"])
+    return chosen.mapInArrow(run, "c long, tokens array<long>")
+
+
+def joined(pairs: DataFrame, sides: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with a column of each side. Pairs are two numbers each and go to the
+    sides (up to LONGS of them); only the members' columns then travel, to their pivots."""
+    small = pairs.count() <= LONGS
+    members = sides.select(F.col("c").alias("b"), F.col(column).alias("of_b")).join(F.broadcast(pairs) if small else pairs, "b")
+    pivots = sides.select(F.col("c").alias("a"), F.col(column).alias("of_a")).join(F.broadcast(pairs.select("a").distinct()) if small else pairs.select("a").distinct(), "a")
+    return members.join(pivots, "a").select("a", "b", "of_a", "of_b")
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their cell counts don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
+            both = np.minimum(x, y).sum(1)
+            fits = (both * 100 >= (x.sum(1) + y.sum(1) - both) * percent) | (x == 255).any(1) | (y == 255).any(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits))
+
+    return joined(pairs, classes, "cells").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    left = sets.select(F.col("c").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("c").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_both", F.size(F.array_intersect("ta", "tb")))
-    union = F.size("ta") + F.size("tb") - F.col("_both")
+    """The pairs of classes that link."""
+    both = joined(pairs, sets, "tokens").withColumn("_both", F.size(F.array_intersect("of_a", "of_b")))
+    union = F.size("of_a") + F.size("of_b") - F.col("_both")
     return both.filter(F.col("_both") * 100 >= union * percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(c, comp): the smallest member of every member's component; by label spreading and pointer jumping."""
-    both = cut(edges.union(edges.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("c")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
+    """(c, comp): the smallest member of every member's component.
+
+    Every round takes the smallest label among a member and its neighbours, then the
+    label of that label. Labels are two numbers each and go to the edges (up to LONGS).
+    """
+    edges = stored(edges.distinct())
+    lots = lots_of(edges)
+    both = edges.union(edges.select("b", "a")).union(edges.select("a", F.col("a").alias("b"))).union(edges.select(F.col("b").alias("a"), "b"))
+    both = stored(both.distinct().coalesce(lots))
+    labels = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("comp"))
+    labels = stored(labels.coalesce(lots))
     while True:
-        near = both.join(labels.select(F.col("c").alias("b"), "comp"), "b").groupBy(F.col("a").alias("c")).agg(F.min("comp").alias("near"))
-        spread = labels.join(near, "c").select("c", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("c").alias("comp"), F.col("comp").alias("further"))
-        new = cut(spread.join(jump, "comp").select("c", F.least("comp", "further").alias("comp"), (F.least("comp", "further") != F.col("old")).alias("moved")))
+        known = bounded(labels, LONGS)
+        near = both.join(known.select(F.col("c").alias("b"), "comp"), "b").groupBy(F.col("a").alias("c"))
+        spread = near.agg(F.min("comp").alias("near"), F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old"))
+        jump = known.select(F.col("c").alias("near"), F.col("comp").alias("further"))
+        new = spread.join(jump, "near").select("c", F.least("near", "further").alias("comp"), (F.least("near", "further") != F.col("old")).alias("moved"))
+        new = stored(new.coalesce(lots))
         labels = new.select("c", "comp")
         if not new.filter("moved").limit(1).count():
             return labels
@@ -249,22 +304,22 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """_id, n_shingles and component_id (smallest id connected by links) of every document."""
     rows, counts = read_sets(docs, id_col, text_col, width)
     index = index_rows(docs, text_col, width, percent, counts)
-    index = cut(index)
-    shared = cut(index.groupBy("entry").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("entry"))
-    held = cut(index.join(bounded(shared), "entry").distinct())
-    classes = rows.filter("c is not null and _id is not null").groupBy("c").agg(F.min("_id").alias("_id"), F.count("*").alias("copies"))
-    reps = cut(classes)
-    wanted = cut(reps.join(held.select("c").distinct(), "c").select("c", "_id"))
-    sets = cut(class_sets(docs, wanted, id_col, text_col, width))
+    index = stored(index)
+    held = index.join(bounded(stored(several(index, "entry", "c")), LONGS), "entry")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) + 1e-12)) if percent < 100 else F.col("n")
+    held = held.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("entry", "band").alias("entry"), "c", "n")
+    held = stored(held.distinct())
+    held = stored(held.join(bounded(stored(several(held, "entry", "c")), LONGS), "entry"))
+    classes = rows.filter("c is not null and _id is not null").groupBy("c").agg(F.min("_id").alias("_id"), F.count("*").alias("copies"), F.min("cells").alias("cells"))
+    reps = stored(classes)
 
     links = comp = None
     members = held.withColumn("comp", F.col("c"))
-    size = held.count()
+    size, lots = held.count(), lots_of(held)
     for k in range(rounds + 1):
         if k:
-            members = held.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-            open_ = members.groupBy("entry").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("entry")
-            members = cut(members.join(open_, "entry"))
+            members = held.join(bounded(comp, LONGS), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+            members = stored(members.join(bounded(stored(several(members, "entry", "comp").coalesce(lots)), LONGS), "entry").coalesce(lots))
             per = members.groupBy("entry", "comp").agg(F.count("*").alias("m")).groupBy("entry").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
             left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
             if not left:
@@ -277,17 +332,21 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             pivots = members.groupBy("entry").agg(F.min_by(F.struct("c", "n", "comp"), F.xxhash64("c", F.lit(k))).alias("p"))
             pairs = members.join(pivots, "entry").filter((F.col("comp") != F.col("p.comp")) & similar_size("n", "p.n", percent))
-            pairs = pairs.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
+            pairs = pairs.select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
             last = False
+        pairs = stored(plausible(stored(pairs.coalesce(lots)), reps, percent).coalesce(lots))
+        asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().coalesce(lots))
+        wanted = stored(reps.select("c", "_id").join(bounded(asked, LONGS), "c").coalesce(lots))
+        sets = stored(class_sets(docs, wanted, id_col, text_col, width))
         found = verify(pairs, sets, percent)
-        links = cut(found if links is None else links.union(found))
+        links = stored((found if links is None else links.union(found)).coalesce(lots))
         comp = components(links)
         if last:
             break
     firsts = comp.join(reps, "c").groupBy("comp").agg(F.min("_id").alias("component_id"))
     linked = comp.join(firsts, "comp").select("c", "component_id")
     copies = reps.filter("copies > 1").join(comp, "c", "left_anti").select("c", F.col("_id").alias("component_id"))
-    known = bounded(cut(linked.union(copies)))
+    known = bounded(stored(linked.union(copies)))
     own = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return rows.join(known, "c", "left").select("_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -295,9 +354,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group: the one of the smallest id; rows without id stay."""
     out = link_components(docs, id_col, text_col, width, percent)
-    drop = bounded(cut(out.filter("component_id <> _id").select("_id").distinct()))
+    drop = bounded(stored(out.filter("component_id <> _id").select("_id").distinct()))
     kept = docs.join(drop, docs[id_col].cast("long") == drop["_id"], "left_anti")
-    again = cut(out.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"))
+    again = stored(out.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"))
     if not again.limit(1).count():
         return kept
     again = bounded(again)
