@@ -300,7 +300,7 @@ def similar_size(a: str, b: str, percent: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 6) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """_id, n_shingles and component_id (smallest id connected by links) of every document."""
     rows, counts = read_sets(docs, id_col, text_col, width)
     index = index_rows(docs, text_col, width, percent, counts)
@@ -332,7 +332,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             pivots = members.groupBy("entry").agg(F.min_by(F.struct("c", "n", "comp"), F.xxhash64("c", F.lit(k))).alias("p"))
             pairs = members.join(pivots, "entry").filter((F.col("comp") != F.col("p.comp")) & similar_size("n", "p.n", percent))
-            pairs = pairs.select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
+            # One pivot for each member: entries of a family mostly agree on it, and where they don't, a later round asks again.
+            pairs = pairs.groupBy(F.col("c").alias("b")).agg(F.min_by("p.c", F.xxhash64("p.c", F.lit(k))).alias("a")).select("a", "b")
             last = False
         pairs = stored(plausible(stored(pairs.coalesce(lots)), reps, percent).coalesce(lots))
         asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().coalesce(lots))
