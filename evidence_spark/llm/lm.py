@@ -1,13 +1,19 @@
 """Cross-entropy difference under two matched bigram models.
 
-Both models, target and background, have the same vocabulary (the VOCABULARY most
-frequent words of all documents, everything else one unknown word), the same table of
-BUCKETS bigram counts addressed by hash, and the same smoothing: a bigram's share of its
+Both models, target and background, hold every word and every bigram with its exact
+count, whatever the input's size, and have the same smoothing: a bigram's share of its
 first word, weighed against the word's own share by how often the first word was seen.
-The background is every document, the target those chosen. A document's score is the
-mean over its words of target loss less background loss, in nats: the lower, the more
-it resembles the target. Counts are taken over all documents and added up in Spark; the
-models' size is fixed.
+A word's own share has ADDED put to every count, for as many words as the background
+has, VOCABULARY at least. The background is every document, the target those chosen. A
+document's score is the mean over its words of target loss less background loss, in
+nats: the lower, the more it resembles the target.
+
+Documents are dealt into lots by a hash of the row. A lot's distinct words and bigrams,
+counted, go to the bucket of their hash, where all lots' counts are added up; each
+bucket sends every lot the totals of the lot's own keys, in the keys' order, and there
+the texts are scored. So a key travels once per lot, however common it is, and no
+vocabulary or table of counts meets in one place. Words and bigrams are held by 63-bit
+hashes; losses are added in steps of 2^-32, so equal texts score equally in any lot.
 
 Defined cases: a null or wordless text has no words and a null score; with an empty
 target all counts of the target are 0 and its loss is that of equal shares; equal rows
@@ -18,158 +24,161 @@ and text are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, partitions
+from .jaccard import ODD, Words, scramble
 
-VOCABULARY, BUCKETS, CHUNKS = 32_768, 1 << 20, 16
+#: Words that smoothing provides for at least.
+VOCABULARY = 32_768
 #: Weight of the word's own share in the mix with the bigram's; added count of every word.
 BACK_OFF, ADDED = 20.0, 0.5
-LOT = 400_000
+#: About so many words in a lot and a bucket at most; buckets at least.
+LOT, BUCKET, BUCKETS = 400_000, 4_000_000, 64
+STEPS = 2.0**32
+#: What stands before a text's first word; words have odd keys, bigrams even ones.
+START = np.uint64(1)
 
 
-def split(text: str | None) -> list[bytes]:
+def split(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def vocabulary(docs: DataFrame, text_col: str, size: int) -> list[bytes]:
-    """The most frequent words, ties by the word."""
+class Keys:
+    """Every word of the texts, the one before it and their bigram by key, and the distinct keys in order."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def __init__(self, texts: list, words: Words):
+        lists = [split(t) for t in texts]
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        n = int(self.sizes.sum())
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        word = scramble(np.fromiter((words[w] for x in lists for w in x), np.uint64, n)) | np.uint64(1)
+        before = np.roll(word, 1)
+        before[self.starts] = START
+        pair = scramble(before * ODD + word) & ~np.uint64(1)
+        self.distinct, at = np.unique(np.concatenate([word, pair, np.full(len(self.starts), START)]), return_inverse=True)
+        self.word, self.pair, self.start = at[:n], at[n : 2 * n], at[2 * n :]
+        self.before = np.roll(self.word, 1)
+        self.before[self.starts] = self.start
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each distinct key occurs in the chosen texts."""
+        of, some = np.repeat(chosen, self.sizes), chosen[self.sizes > 0]
+        return np.bincount(np.concatenate([self.word[of], self.pair[of], self.start[some]]), minlength=len(self.distinct))
 
-        for b in batches:
-            for t in b.column(0):
-                seen.update(split(t.as_py()))
-                if len(seen) > 300_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
 
-    words = docs.select(F.col(text_col).cast("binary")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(size - 1).collect()]
+def packed(keys: np.ndarray, base: int) -> bytes:
+    """Ascending keys from base on, as differences of as many bytes as the greatest needs."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys, prepend=np.uint64(base))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-class Ids(dict):
-    """Word to number; 0 stands for every unknown word."""
+def unpacked(data: bytes, base: int) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    steps = np.zeros((len(raw), 8), np.uint8)
+    steps[:, : data[0]] = raw
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(base)
 
-    def __missing__(self, word: bytes) -> int:
-        return 0
 
+def table_of(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(counts, np.int64).tobytes(), 1)
 
-def numbers(texts: list, ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    """All words' numbers, and how many each text has."""
-    lists = [split(t) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((ids[w] for x in lists for w in x), np.int64, int(sizes.sum())), sizes
 
+def counts_of(data: bytes) -> np.ndarray:
+    """[background or target, key]"""
+    return np.frombuffer(zlib.decompress(data), np.int64).reshape(2, -1)
 
-def buckets(w: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word: the one before (VOCABULARY at a text's start), itself, the bigram's bucket."""
-    before = np.r_[VOCABULARY, w[:-1]] if len(w) else w
-    starts = np.cumsum(np.r_[0, sizes])[:-1]
-    before = before.copy()
-    before[starts[sizes > 0]] = VOCABULARY
-    h = (before.astype(np.uint64) * np.uint64(VOCABULARY) + w.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return before, w, (h >> np.uint64(44)).astype(np.int64)
 
+class Models(NamedTuple):
+    """The documents both models count: _id, _text and whether each is in the target."""
 
-def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of batches of about LOT words."""
-    for b in batches:
-        n = max(1, b.num_rows * LOT * 6 // max(1, b.nbytes))
-        for i in range(0, b.num_rows, n):
-            yield b.slice(i, n)
-
-
-class Models:
-    """Counts of both models: [model, ...] with 0 the target and 1 the background."""
-
-    def __init__(self, ids: Ids, single: np.ndarray, pair: np.ndarray):
-        self.ids, self.single, self.pair = ids, single, pair
-
-    def losses(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Mean loss per word of each text under both models [2, texts], and the number of words."""
-        w, sizes = numbers(texts, self.ids)
-        before, w, at = buckets(w, sizes)
-        ends = np.cumsum(sizes)
-        out = np.full((2, len(sizes)), np.nan)
-        for k in (0, 1):
-            c = self.single[k]
-            own = (c[:VOCABULARY] + ADDED) / (c[:VOCABULARY].sum() + ADDED * VOCABULARY)
-            first = c[before]
-            share = np.minimum(self.pair[k][at], first)
-            loss = np.r_[0, np.cumsum(-np.log((share + BACK_OFF * own[w]) / (first + BACK_OFF)))]
-            out[k] = np.divide(loss[ends] - loss[ends - sizes], sizes, out=out[k], where=sizes > 0)
-        return out, sizes
+    rows: DataFrame
+    source: DataFrame
+    columns: tuple[str, str]
 
 
 def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """target: the ids (_id) of the target documents."""
-    ids = Ids((w, i + 1) for i, w in enumerate(vocabulary(docs, text_col, VOCABULARY)))
-    shared = docs.sparkSession.sparkContext.broadcast(dict(ids))
-    chosen = cut(target.select(F.col("_id").cast("long")).filter("_id is not null").distinct().withColumn("_target", F.lit(True)))
+    """target: the ids (_id) of the target documents. The counting itself is done with the scoring."""
+    chosen = cut(target.select(F.col("_id").cast("long").alias("_key")).filter("_key is not null").distinct().withColumn("_target", F.lit(True)))
     if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(chosen, "_id", "left")
-    width = (VOCABULARY + 1 + BUCKETS) * 2
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Ids(shared.value)
-        total = np.zeros(width, np.uint32)
-        one, two = total[: width // 2], total[width // 2 :]
-        for b in lots(batches):
-            w, sizes = numbers(b.column(0).to_pylist(), table)
-            before, w, at = buckets(w, sizes)
-            mine = np.repeat(np.array([bool(x) for x in b.column(1).to_pylist()], bool), sizes)
-            for part, of in ((one, mine), (two, slice(None))):
-                part[:VOCABULARY] += np.bincount(w[of], minlength=VOCABULARY).astype(np.uint32)
-                part[VOCABULARY] += int((before[of] == VOCABULARY).sum())
-                part[VOCABULARY + 1 :] += np.bincount(at[of], minlength=BUCKETS).astype(np.uint32)
-        if total.any():
-            data = [zlib.compress(x.tobytes(), 1) for x in np.array_split(total, CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(data, pa.binary())], ["chunk", "data"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for d in pdf["data"]:
-            x = zlib.decompress(d)
-            x = np.frombuffer(x, np.uint64) if len(x) > 5 * (width // CHUNKS) else np.frombuffer(x, np.uint32).astype(np.uint64)
-            total = x if total is None else total + x
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "data": [zlib.compress(total.tobytes(), 1)]})
-
-    shape = "chunk int, data binary"
-    parts = rows.select("_text", "_target").mapInArrow(count, shape).withColumn("lot", F.pmod(F.xxhash64("data"), F.lit(64)))
-    parts = parts.groupBy("chunk", "lot").applyInPandas(add, shape).groupBy("chunk").applyInPandas(add, shape)
-    got = {r["chunk"]: np.frombuffer(zlib.decompress(r["data"]), np.uint64) for r in parts.collect()}  # a fixed size
-    total = np.concatenate([got[i] for i in range(CHUNKS)]) if got else np.zeros(width, np.uint64)
-    both = total.astype(np.float64).reshape(2, -1)
-    return Models(ids, both[:, : VOCABULARY + 1], both[:, VOCABULARY + 1 :])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    rows = rows.join(chosen, rows["_id"].cast("long") == chosen["_key"], "left")
+    return Models(rows.select("_id", "_text", F.coalesce("_target", F.lit(False)).alias("_target")), docs, (id_col, text_col))
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, n_words, target_loss, background_loss and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((dict(models.ids), models.single.astype(np.float32), models.pair.astype(np.float32)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, single, pair = shared.value
-        m = Models(Ids(words), single.astype(np.float64), pair)
-        for b in lots(batches):
-            (target, background), sizes = m.losses(b.column(1).to_pylist())
-            some = sizes == 0
-            cols = [pa.array(x, pa.float64(), mask=some) for x in (target, background, target - background)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), *cols], ["_id", "n_words", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return rows.mapInArrow(run, f"_id {dict(rows.dtypes)['_id']}, n_words long, target_loss double, background_loss double, score double")
+    yes, no = F.lit(True), F.lit(False)
+    kind = dict(docs.select(F.col(id_col).alias("_id")).dtypes)["_id"]
+    rows = models.rows.withColumn("_counts", yes).withColumn("_scored", yes)
+    if docs is not models.source or (id_col, text_col) != models.columns:
+        others = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), no.alias("_target"), no.alias("_counts"), yes.alias("_scored"))
+        rows = rows.withColumn("_scored", no).withColumn("_id", F.lit(None).cast(kind)).unionByName(others)
+    words = (rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // 6  # words of some six bytes
+    lots = max(words // LOT + 1, 2 * partitions(docs.sparkSession))
+    bits = max(BUCKETS.bit_length() - 1, (words // BUCKET).bit_length())
+    shift, buckets = 64 - bits, 1 << bits
+    rows = rows.withColumn("_lot", F.pmod(F.xxhash64("_id", "_text"), F.lit(lots)))
+
+    def count(lot: pa.Table) -> pa.Table:
+        keys = Keys(lot["_text"].to_pylist(), Words())
+        counted, target = (np.array(lot[c].to_pylist(), bool) for c in ("_counts", "_target"))
+        both = np.stack([keys.counts(counted), keys.counts(target)])
+        edges = np.r_[np.searchsorted(keys.distinct, np.arange(buckets, dtype=np.uint64) << np.uint64(shift)), len(keys.distinct)]
+        asks = any(lot["_scored"].to_pylist())
+        data = [(packed(keys.distinct[i:j], b << shift), table_of(both[:, i:j])) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False))]
+        cols = [pa.array([lot["_lot"][0].as_py()] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), pa.array([asks] * buckets)]
+        return pa.Table.from_arrays([*cols, *[pa.array([d[i] for d in data], pa.binary()) for i in (0, 1)]], ["_lot", "bucket", "asks", "keys", "data"])
+
+    def add(bucket: pa.Table) -> pa.Table:
+        base = bucket["bucket"][0].as_py() << shift
+        keys = [unpacked(k, base) for k in bucket["keys"].to_pylist()]
+        ends = np.cumsum([0, *map(len, keys)])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        both = np.concatenate([counts_of(d) for d in bucket["data"].to_pylist()], 1)
+        total = np.zeros((2, len(distinct)), np.int64)
+        for k in (0, 1):
+            np.add.at(total[k], at, both[k])
+        word = (distinct & np.uint64(1)).astype(bool) & (distinct != START)
+        facts = [int((total[0, word] > 0).sum()), int(total[0, word].sum()), int(total[1, word].sum())]
+        asks = [i for i, x in enumerate(bucket["asks"].to_pylist()) if x]
+        cols = [bucket["_lot"].take(pa.array(asks, pa.int64())), pa.array([bucket["bucket"][0].as_py()] * len(asks), pa.int32())]
+        answers = pa.array([table_of(total[:, at[ends[i] : ends[i + 1]]]) for i in asks], pa.binary())
+        return pa.Table.from_arrays([*cols, answers, *[pa.array([x] * len(asks), pa.int64()) for x in facts]], ["_lot", "bucket", "data", "vocabulary", "background", "target"])
+
+    def losses(lot: pa.Table, answers: pa.Table) -> pa.Table:
+        scored = np.array(lot["_scored"].to_pylist(), bool)
+        if len(answers) != (buckets if scored.any() else 0):
+            raise ValueError(f"{len(answers)} of {buckets} buckets answered")
+        keys = Keys(lot["_text"].to_pylist(), Words())
+        answers = answers.sort_by("bucket")
+        counts = np.concatenate([counts_of(d) for d in answers["data"].to_pylist()] or [np.zeros((2, 0), np.int64)], 1)
+        vocabulary = max(VOCABULARY, sum(answers["vocabulary"].to_pylist()))
+        mean = np.zeros((2, len(keys.sizes)))
+        for k, name in enumerate(("background", "target")):
+            if len(answers):
+                own = (counts[k][keys.word] + ADDED) / (sum(answers[name].to_pylist()) + ADDED * vocabulary)
+                loss = -np.log((counts[k][keys.pair] + BACK_OFF * own) / (counts[k][keys.before] + BACK_OFF))
+                total = np.r_[0, np.cumsum(np.rint(loss * STEPS).astype(np.int64))]
+                ends = np.cumsum(keys.sizes)
+                mean[k] = (total[ends] - total[ends - keys.sizes]) / STEPS / np.maximum(keys.sizes, 1)
+        none = keys.sizes == 0
+        cols = [pa.array(x, pa.float64(), mask=none) for x in (mean[1], mean[0], mean[1] - mean[0])]
+        out = pa.Table.from_arrays([lot["_id"], pa.array(keys.sizes), *cols], ["_id", "n_words", "target_loss", "background_loss", "score"])
+        return out.filter(pa.array(scored))
+
+    asked = rows.groupBy("_lot").applyInArrow(count, "_lot long, bucket int, asks boolean, keys binary, data binary")
+    answered = asked.groupBy("bucket").applyInArrow(add, "_lot long, bucket int, data binary, vocabulary long, background long, target long")
+    shape = f"_id {kind}, n_words long, target_loss double, background_loss double, score double"
+    return rows.groupBy("_lot").cogroup(answered.groupBy("_lot")).applyInArrow(losses, shape)

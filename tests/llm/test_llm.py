@@ -252,6 +252,46 @@ def test_lm_against_plain_counts(spark, odd):
     assert abs(got[7]["background_loss"] - loss(2)) < 1e-6 and abs(got[7]["target_loss"] - loss(1)) < 1e-6
 
 
+def test_lm_counts_are_exact_beyond_any_fixed_table(spark):
+    """More words than VOCABULARY, each in bigrams of its own, against counts in plain Python; models applied to other documents, too."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(9_000)) + " a b" * (i + 1)) for i in range(6)] + [(None, "a b a"), (None, "a b a"), (9, " ")]
+    rows += [(20 + i, " ".join(rng.choice("abcde") for _ in range(50))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(0,), (3,), (25,)], "_id long")
+    one, two, sizes = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)], [0, 0]
+    for i, t in rows:
+        for k in (0, 1) if i in (0, 3, 25) else (1,):
+            w = t.split()
+            sizes[k] += len(w)
+            one[k][None] += bool(w)
+            for a, b in zip([None, *w], w, strict=False):
+                one[k][b] += 1
+                two[k][a, b] += 1
+    vocabulary = len(one[1]) - 1
+    assert vocabulary > lm.VOCABULARY
+
+    def losses(t):
+        w, out = t.split(), []
+        for k in (0, 1):
+            own = [(one[k][b] + lm.ADDED) / (sizes[k] + lm.ADDED * vocabulary) for b in w]
+            out.append(np.mean([-np.log((two[k][a, b] + lm.BACK_OFF * p) / (one[k][a] + lm.BACK_OFF)) for a, b, p in zip([None, *w], w, own, strict=False)]))
+        return out
+
+    models = lm.fit(df, target)
+    others = spark.createDataFrame([(100, "a b new words a"), (101, None)], "doc_id long, text string")
+    got, apart = lm.score(df, models).collect(), {r["_id"]: r for r in lm.score(others, models).collect()}
+    texts = dict(rows)
+    assert len(got) == len(rows) and sorted(str(r["_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    for r in got:
+        if r["_id"] == 9:
+            assert r["score"] is None and r["n_words"] == 0
+        else:
+            want = losses(texts[r["_id"]])
+            assert np.allclose([r["target_loss"], r["background_loss"], r["score"]], [*want, want[0] - want[1]], atol=1e-7)
+    assert set(apart) == {100, 101} and apart[101]["score"] is None and np.allclose([apart[100]["target_loss"], apart[100]["background_loss"]], losses("a b new words a"), atol=1e-7)
+
+
 # ---- 9 n-gram join ----
 
 
