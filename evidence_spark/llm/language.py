@@ -1,7 +1,8 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Words are runs of letters, lower case. A word's score for each language is the sum of
-weights of its features: prefixes and suffixes up to four letters, letter n-grams up to
+Words are runs of letters, lower case; a run of more than LONGEST letters (as in scripts
+without spaces) is several words, one after another, so every letter is read in fitting
+and prediction. A word's score for each language is the sum of weights of its features: prefixes and suffixes up to four letters, letter n-grams up to
 three, and membership in each language's lexicon (its most frequent words in the
 sample). Transition weights between neighbouring words are learned with them, on
 sequences that change language from snippet to snippet, so switches inside a text are
@@ -38,11 +39,11 @@ from pyspark.sql import functions as F
 from .common import uniform
 
 DOCS, SNIPPETS, LENGTH, LEXICON, SLOTS = 500, 6, 12, 400, 1 << 16
-LETTERS = re.compile(r"[^\W\d_]+")
 #: Words per piece of the chain; words per lot.
 PIECE, LOT = 128, 400_000
-#: Letters of a word that its n-grams are taken from; the middle of longer runs is skipped.
+#: Letters of a word at most; longer runs are cut into consecutive words.
 LONGEST = 40
+LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 class Slots(dict):
@@ -60,8 +61,6 @@ SLOT = Slots()
 
 def word_features(word: str) -> list[int]:
     """Weight rows of affixes (with the marked n-grams, up to four letters) and n-grams."""
-    if len(word) > LONGEST:
-        word = word[: LONGEST // 2] + word[-LONGEST // 2 :]
     m = f"^{word}$"
     n = len(m)
     found = [*m[1:-1], *[m[i : i + 2] for i in range(n - 1)], *[m[i : i + 3] for i in range(n - 2)], m[:4], m[-4:]]
@@ -238,7 +237,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 places = max(1, len(words) - LENGTH + 1)
                 for i in sorted({xxhash.xxh32_intdigest(f"{ident}:{j}") % places for j in range(SNIPPETS)}):
                     if piece := words[i : i + LENGTH]:
-                        out.append((lang, " ".join(w[:LONGEST] for w in piece)))
+                        out.append((lang, " ".join(piece)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["lang", "words"])
 
     got = chosen.mapInArrow(cut, "lang string, words string").collect()  # DOCS * SNIPPETS * LENGTH words a language

@@ -175,6 +175,22 @@ def test_language_follows_switches_and_odd_rows(spark, docs, odd):
     assert language.predict(odd, language.fit(odd.filter("lang = 'xx'"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_reads_every_letter_of_long_runs(spark, docs):
+    """Runs whose middle is of another language than both ends, and runs that switch, in fitting and prediction."""
+    rows = docs.select("text", "lang").filter("text is not null and lang is not null").collect()
+    words = defaultdict(list)
+    for r in rows:
+        words[r["lang"]] += [w for w in language.LETTERS.findall(r["text"].lower()) if len(w) > 2]
+    a, b = sorted(words, key=lambda x: -len(words[x]))[:2]
+    glued = lambda lang, n: "".join(words[lang][:400])[:n]
+    chain = language.fit_chain([(r["lang"], language.LETTERS.findall(r["text"].lower())[:40]) for r in rows])
+    (lang, share), (_, mixed) = chain.documents([glued(a, 20) + glued(b, 800) + glued(a, 20), glued(a, 400) + glued(b, 400)])
+    assert lang == b and share > 0.7 and mixed < 0.8
+    # Fitting: the languages differ only beyond the 40th letter of each run.
+    df = spark.createDataFrame([(i, "x" * 40 + ("abab" if i % 2 else "cdcd") * 20, str(i % 2)) for i in range(40)], "doc_id long, text string, lang string")
+    assert language.predict(df, language.fit(df)).filter("lang_pred <> cast(_id % 2 as string)").count() == 0
+
+
 # ---- 4 WARC ----
 
 
