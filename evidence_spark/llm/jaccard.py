@@ -353,13 +353,17 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: the one of the smallest id; rows without id stay."""
-    out = link_components(docs, id_col, text_col, width, percent)
-    drop = bounded(stored(out.filter("component_id <> _id").select("_id").distinct()))
-    kept = docs.join(drop, docs[id_col].cast("long") == drop["_id"], "left_anti")
-    again = stored(out.filter("_id is not null").groupBy("_id").count().filter("count > 1").select("_id"))
-    if not again.limit(1).count():
-        return kept
-    again = bounded(again)
-    once = kept.join(again, kept[id_col].cast("long") == again["_id"], "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col].cast("long") == again["_id"], "left_anti").unionByName(once)
+    """docs with one row of each group: the one of the smallest id, of those without id only where no other has one.
+
+    Every row has a key of its own, so rows of equal id stand or fall by their texts, and
+    rows without id belong to the group of their text. Rows without words all stay.
+    """
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    out = link_components(keyed, key, text_col, width, percent).select(F.col("_id").alias(key), "component_id")
+    out = stored(out.join(keyed.select(key, F.struct(F.col(id_col).isNull(), id_col, key).alias("_order")), key))
+    firsts = out.groupBy("component_id").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    drop = out.join(bounded(stored(firsts)), "component_id").filter(F.col(key) != F.col("_first")[key]).select(key)
+    return keyed.join(bounded(stored(drop)), key, "left_anti").select(*docs.columns)

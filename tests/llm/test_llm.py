@@ -367,6 +367,19 @@ def test_join_odd_rows(spark, odd):
     assert jaccard.link_components(odd.limit(0)).count() == 0
 
 
+def test_keep_first_decides_by_row(spark):
+    """Equal ids with different texts, one of them a copy; copies without ids; wordless rows."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("c") + " tail"), (None, text("e")), (None, text("e")), (None, text("d")), (4, text("e") + " tail"), (None, text("f")), (None, text("f")), (5, None), (5, ""), (None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _row string").repartition(3)
+    kept = jaccard.keep_first(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    either = [(3, text("c") + " tail") if (3, text("c") + " tail") in got else (3, text("c"))]
+    want = [(1, text("a")), (2, text("b")), *either, (3, text("d")), (4, text("e") + " tail"), (None, text("f")), (5, None), (5, ""), (None, None)]
+    assert got == sorted(want, key=repr)
+
+
 # ---- 10 fingerprints ----
 
 
