@@ -266,7 +266,11 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, chain: Chain, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """docs without those of no language or of none that reaches the least score; same columns."""
+    """docs without those of no language or of none that reaches the least score; same columns.
+
+    Where no language was learned, all texts with letters stay. A text of four or more
+    languages of which none has the least share of its letters is rejected, too.
+    """
     names = docs.columns
     at = names.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast((chain.labels, chain.weights, chain.lexicon, chain.moves, chain.start))
@@ -275,6 +279,11 @@ def keep_known(docs: DataFrame, chain: Chain, text_col: str = "text", least: flo
         model = Chain(*shared.value)
         for batch in batches:
             for b in lots(batch):
-                yield b.filter(pa.array([lang != "und" and score >= least for lang, score in model.documents(b.column(at).to_pylist())], pa.bool_()))
+                texts = b.column(at).to_pylist()
+                if model.labels:
+                    keep = [lang != "und" and score >= least for lang, score in model.documents(texts)]
+                else:
+                    keep = [bool(LETTERS.search(t or "")) for t in texts]
+                yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

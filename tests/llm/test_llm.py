@@ -191,6 +191,11 @@ def test_language_reads_every_letter_of_long_runs(spark, docs):
     assert language.predict(df, language.fit(df)).filter("lang_pred <> cast(_id % 2 as string)").count() == 0
 
 
+def test_unlabelled_corpus_keeps_texts_with_letters(spark):
+    df = spark.createDataFrame([(1, "clean words", None), (2, None, None), (3, "12 - 7", None), (4, "日本", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.reject_unknown_language(spark, df, SF).collect()) == [1, 4]
+
+
 # ---- 4 WARC ----
 
 
