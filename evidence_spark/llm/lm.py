@@ -8,8 +8,8 @@ has, VOCABULARY at least. The background is every document, the target those cho
 document's score is the mean over its words of target loss less background loss, in
 nats: the lower, the more it resembles the target.
 
-Documents are dealt into lots by a hash of the row. A lot's distinct words and bigrams,
-counted, go to the bucket of their hash, where all lots' counts are added up; each
+Documents are dealt into lots by a hash of the row, and travel compressed with the others
+that their task holds of a lot. A lot's distinct words and bigrams, counted, go to the bucket of their hash, where all lots' counts are added up; each
 bucket sends every lot the totals of the lot's own keys, in the keys' order, and there
 the texts are scored. So a key travels once per lot, however common it is, and no
 vocabulary or table of counts meets in one place. Words and bigrams are held by 63-bit
@@ -24,6 +24,7 @@ and text are not read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, partitions
-from .jaccard import ODD, Words, scramble
+from .common import cut, partitions
+from .jaccard import LONGS, ODD, Words, scramble
 
 #: Words that smoothing provides for at least.
 VOCABULARY = 32_768
@@ -40,6 +41,8 @@ VOCABULARY = 32_768
 BACK_OFF, ADDED = 20.0, 0.5
 #: About so many words in a lot and a bucket at most; buckets at least.
 LOT, BUCKET, BUCKETS = 400_000, 4_000_000, 64
+#: Bytes of documents that a task holds before it hands their lots on.
+HELD = 32 << 20
 STEPS = 2.0**32
 #: What stands before a text's first word; words have odd keys, bigrams even ones.
 START = np.uint64(1)
@@ -91,12 +94,48 @@ def unpacked(data: bytes, base: int) -> np.ndarray:
 
 
 def table_of(counts: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(counts, np.int64).tobytes(), 1)
+    """Counts in numbers as narrow as the greatest needs."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return kind.char.encode() + zlib.compress(np.ascontiguousarray(counts, kind).tobytes(), 1)
 
 
 def counts_of(data: bytes) -> np.ndarray:
     """[background or target, key]"""
-    return np.frombuffer(zlib.decompress(data), np.int64).reshape(2, -1)
+    return np.frombuffer(zlib.decompress(data[1:]), data[:1].decode()).astype(np.int64).reshape(2, -1)
+
+
+def by_lot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_lot, rows): the rows of every lot that a task holds, compressed."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).sort_by("_lot").combine_chunks()
+        lots = t["_lot"].to_numpy()
+        starts = np.flatnonzero(np.diff(lots, prepend=-1))
+        blobs = []
+        for i, j in zip(starts, np.r_[starts[1:], len(lots)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(t.slice(i, j - i))
+            blobs.append(sink.getvalue().to_pybytes())
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(lots[starts]), pa.array(blobs, pa.binary())], ["_lot", "rows"])
+
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size > HELD:
+            size = 0
+            yield flush()
+    if held:
+        yield flush()
+
+
+def rows_of(lot: pa.Table) -> pa.Table:
+    """The documents of a lot."""
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for x in lot["rows"].chunks for b in x])
 
 
 class Models(NamedTuple):
@@ -110,11 +149,12 @@ class Models(NamedTuple):
 def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
     """target: the ids (_id) of the target documents. The counting itself is done with the scoring."""
     chosen = cut(target.select(F.col("_id").cast("long").alias("_key")).filter("_key is not null").distinct().withColumn("_target", F.lit(True)))
-    if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if chosen.limit(LONGS + 1).count() <= LONGS:
         chosen = F.broadcast(chosen)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    rows = rows.join(chosen, rows["_id"].cast("long") == chosen["_key"], "left")
-    return Models(rows.select("_id", "_text", F.coalesce("_target", F.lit(False)).alias("_target")), docs, (id_col, text_col))
+    key = rows["_id"].cast("long")
+    named = rows.filter(key.isNotNull()).join(chosen, key == chosen["_key"], "left").select("_id", "_text", F.coalesce("_target", F.lit(False)).alias("_target"))
+    return Models(named.unionByName(rows.filter(key.isNull()).withColumn("_target", F.lit(False))), docs, (id_col, text_col))
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,9 +169,10 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     lots = max(words // LOT + 1, 2 * partitions(docs.sparkSession))
     bits = max(BUCKETS.bit_length() - 1, (words // BUCKET).bit_length())
     shift, buckets = 64 - bits, 1 << bits
-    rows = rows.withColumn("_lot", F.pmod(F.xxhash64("_id", "_text"), F.lit(lots)))
+    rows = rows.withColumn("_lot", F.pmod(F.xxhash64("_id", "_text"), F.lit(lots))).mapInArrow(by_lot, "_lot long, rows binary")
 
     def count(lot: pa.Table) -> pa.Table:
+        lot = rows_of(lot)
         keys = Keys(lot["_text"].to_pylist(), Words())
         counted, target = (np.array(lot[c].to_pylist(), bool) for c in ("_counts", "_target"))
         both = np.stack([keys.counts(counted), keys.counts(target)])
@@ -158,6 +199,7 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         return pa.Table.from_arrays([*cols, answers, *[pa.array([x] * len(asks), pa.int64()) for x in facts]], ["_lot", "bucket", "data", "vocabulary", "background", "target"])
 
     def losses(lot: pa.Table, answers: pa.Table) -> pa.Table:
+        lot = rows_of(lot)
         scored = np.array(lot["_scored"].to_pylist(), bool)
         if len(answers) != (buckets if scored.any() else 0):
             raise ValueError(f"{len(answers)} of {buckets} buckets answered")
