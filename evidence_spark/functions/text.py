@@ -13,9 +13,16 @@ NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?"
 #: What is dropped before answers are compared.
 DROPPED_IN_ANSWERS = r"[\s·•、，,。.;；:：()（）\"'“”‘’\-_/《》]+"
 DROPPED_IN_SUPPORT = r"[\s\"'“”‘’=：:；;，,。()（）]+"
-#: Chinese digits and units.
-CN_DIGITS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-CN_UNITS = {"十": 10, "百": 100}
+#: Chinese digits and units, what a numeral is written in, and an article's label.
+CN_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+CN_UNITS = {"十": 10, "百": 100, "千": 1000}
+NUMERAL = r"[零〇一二三四五六七八九十百千\d]+"
+ARTICLE = r"第[零〇一二三四五六七八九十百千万两\d]+条(?:之[零〇一二三四五六七八九十百千万两\d]+)?"
+#: What a question's terms are not made of.
+QUESTION_WORDS = "是如何定义的|如何定义|怎样定义|定义|是什么|是指什么|如何|怎样|怎么|哪些|什么|是否|应该|应当|计算|统计|请|根据|依据|说明|解释|分别|以及|并且|的|与|和|及|在|对|中"
+#: Figures and obligations that a phrase stands or falls with.
+CRITICAL_FIGURE = r"\d+(?:\.\d+)?%|\d+(?:\.\d+)?(?:年|个月|日|万元|亿元|倍)"
+CRITICAL_DUTY = r"[一-鿿]{2,12}(?:不得|应当|必须|可以|属于|包括|不低于|不高于|不超过|至少)"
 
 
 def let(col: Column, f: Callable[[Column], Column]) -> Column:
@@ -27,6 +34,13 @@ def token_units(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
 
 
+def join_units(units: Column) -> Column:
+    """Token units as text again: a blank only between two ASCII words."""
+    word = lambda x: x.rlike("^[a-zA-Z0-9_]+$")
+    spaced = lambda x, i: F.when((i > 0) & word(x) & word(F.get(units, i - 1)), F.concat(F.lit(" "), x)).otherwise(x)
+    return F.array_join(F.transform(units, spaced), "")
+
+
 def token_count(text: Column) -> Column:
     """C4: number of token units; null counts 0."""
     return F.size(token_units(text))
@@ -58,7 +72,8 @@ def squeeze(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Every two neighbouring characters, repeats kept."""
-    return let(text, lambda t: F.when(F.char_length(t) >= 2, F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
+    pairs = lambda c: F.when(F.size(c) >= 2, F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
+    return let(F.split(text, ""), pairs)
 
 
 def bigram_set(text: Column) -> Column:
@@ -123,7 +138,7 @@ def numeral(label: Column) -> Column:
         return F.struct(total.alias("total"), current.alias("current"))
 
     chinese = F.aggregate(F.split(text, ""), zero, step, lambda a: a["total"] + a["current"])
-    return F.when(text.rlike(r"^\d+$"), F.expr("1") * text.try_cast("int")).when(text.rlike("^[一二三四五六七八九十百零]+$"), chinese)
+    return F.when(text.rlike(r"^\d+$"), F.expr("1") * text.try_cast("int")).when(text.rlike("^[零〇一二三四五六七八九十百千]+$"), chinese)
 
 
 def normalize_value(text: Column) -> Column:
@@ -147,14 +162,19 @@ def cosine(a: Column, b: Column) -> Column:
 
 def question_terms(text: Column, limit: int = 32) -> Column:
     """Quoted entities, phrases of at most 18 characters, longer ones as 4-character shingles."""
-    fixed_words = "是如何定义的|如何定义|怎样定义|定义|是什么|是指什么|如何|怎样|怎么|哪些|什么|是否|应该|应当|计算|统计|请|根据|依据|说明|解释|分别|以及|并且|的|与|和|及|在|对|中"
     quoted = F.regexp_extract_all(text, F.lit("[“\"‘']([^”\"’']{2,40})[”\"’']"), F.lit(1))
-    plain = F.regexp_replace(F.regexp_replace(text, "《[^》]*》", " "), fixed_words, " ")
+    plain = F.regexp_replace(F.regexp_replace(text, "《[^》]*》", " "), QUESTION_WORDS, " ")
     phrases = F.regexp_extract_all(plain, F.lit(r"[一-鿿A-Za-z0-9_]{2,}"), F.lit(0))
     shingles = F.flatten(F.transform(phrases, lambda p: F.when(F.char_length(p) <= 18, F.array(p)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(p) - 3), lambda i: F.substr(p, i, F.lit(4))))))
     return F.slice(F.array_distinct(F.concat(quoted, shingles)), 1, limit)
 
 
+def critical_terms(text: Column) -> Column:
+    """Figures with a unit and phrases of duty in a text, distinct."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (CRITICAL_FIGURE, CRITICAL_DUTY)])
+    return F.array_distinct(F.filter(found, lambda t: F.char_length(normalize_support(t)) >= 2))
+
+
 def term_coverage(terms: Column, text: Column) -> Column:
     """Share of terms found in a text; no terms give 0."""
     return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(text, t))) / F.size(terms)).otherwise(0.0)

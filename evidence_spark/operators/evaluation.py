@@ -22,11 +22,10 @@ def hit_ranks(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5
 
 def retrieval_metrics(hits: DataFrame, ks: tuple[int, ...] = (1, 3, 5), mrr_at: int = 10) -> DataFrame:
     """Case recall@k (all aspects hit), aspect recall at the last k, reciprocal rank of the best aspect."""
-    cases = hits.groupBy("case_id").agg(*[F.bool_and(f"hit{k}").alias(f"hit{k}") for k in ks], F.min("first_rank").alias("best"))
+    last = F.col(f"hit{ks[-1]}")
+    cases = hits.groupBy("case_id").agg(*[F.bool_and(f"hit{k}").alias(f"hit{k}") for k in ks], F.min("first_rank").alias("best"), F.count_if(last).alias("_hits"), F.count(last).alias("_aspects"))
     rr = F.when(F.col("best") <= mrr_at, 1.0 / F.col("best")).otherwise(0.0)
-    by_case = cases.agg(F.count("*").alias("cases"), *[F.round(F.avg(F.col(f"hit{k}").cast("double")), 6).alias(f"recall_at_{k}") for k in ks], F.round(F.avg(rr), 6).alias(f"mrr_at_{mrr_at}"))
-    by_aspect = hits.agg(F.round(F.avg(F.col(f"hit{ks[-1]}").cast("double")), 6).alias(f"aspect_recall_at_{ks[-1]}"))
-    return by_case.withColumn("_k", F.lit(1)).join(by_aspect.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return cases.agg(F.count("*").alias("cases"), *[F.round(F.avg(F.col(f"hit{k}").cast("double")), 6).alias(f"recall_at_{k}") for k in ks], F.round(F.avg(rr), 6).alias(f"mrr_at_{mrr_at}"), F.round(F.try_divide(F.sum("_hits"), F.sum("_aspects")), 6).alias(f"aspect_recall_at_{ks[-1]}"))
 
 
 def rate_by(df: DataFrame, flag: str, dims: list[str]) -> DataFrame:
@@ -41,10 +40,13 @@ def latency_stats(df: DataFrame, ms: str, keys: list[str], rule: str = "ceil") -
     base = [F.count("*").alias("n"), F.round(F.avg(ms), 6).alias("mean"), mid.alias("p50"), F.max(ms).alias("max")]
     if rule == "ceil":
         return df.groupBy(*keys).agg(*base, F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {ms})").alias("p95"))
-    w = W.partitionBy(*keys)
-    at = df.withColumn("_r", F.row_number().over(w.orderBy(ms)) - 1).withColumn("_n", F.count("*").over(w))
-    p95 = F.max(F.when(F.col("_r") == F.bround(0.95 * (F.col("_n") - 1)), F.col(ms))).alias("p95")
-    return at.groupBy(*keys).agg(*base, p95)
+    # Equal values are counted before they meet, so a key brings its distinct values together only.
+    values = df.filter(F.col(ms).isNotNull()).groupBy(*keys, ms).agg(F.count("*").alias("_c"))
+    w = W.partitionBy(*keys).orderBy(ms)
+    upto = values.withColumn("_to", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(W.partitionBy(*keys)))
+    p95 = upto.filter(F.col("_to") > F.bround(0.95 * (F.col("_n") - 1))).groupBy(*keys).agg(F.min(ms).alias("p95"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return df.groupBy(*keys).agg(*base).alias("a").join(p95.alias("b"), same, "left").select("a.*", "b.p95")
 
 
 def score_answers(rows: DataFrame, gold: str = "gold", answer: str = "answer", numeric: Column | None = None) -> DataFrame:
@@ -95,16 +97,16 @@ def set_recall(df: DataFrame, expected: str, got: str) -> DataFrame:
 def split_holdout(cases: DataFrame, strata: list[str], total: int, share: float = 0.2, seed: str = "42", case: str = "case_id") -> DataFrame:
     """A stratified hold-out of exactly total rows, in hash order.
 
-    Each stratum gives ceil(share of it), at least one; then rows are added or taken in
-    hash order until the total is met.
+    Each stratum gives its share, rounded half to even, at least one; then rows are taken
+    away or added in hash order until the total is met.
     """
     key = F.sha2(F.concat(F.lit(seed + ":"), F.col(case).cast("string")), 256)
     rows = cases.withColumn("_h", key)
     w = W.partitionBy(*strata)
-    rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("_h", case)))
-    chosen = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+    rows = rows.join(rows.groupBy(*strata).agg(F.count("*").alias("_n")), strata).withColumn("_r", F.row_number().over(w.orderBy("_h", case)))
+    chosen = F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share))
     rows = rows.withColumn("_late", ~chosen)
-    places = rows.select(case, "_late", "_h").orderBy("_late", "_h", case).limit(total).select(case, F.lit(True).alias("holdout"))
+    places = rows.select(case, "_late", "_h").orderBy("_late", F.when(~F.col("_late"), F.col("_h")).desc_nulls_last(), "_h", case).limit(total).select(case, F.lit(True).alias("holdout"))
     return rows.join(F.broadcast(places), case, "left").withColumn("holdout", F.coalesce("holdout", F.lit(False))).drop("_h", "_n", "_r", "_late")
 
 
@@ -131,8 +133,14 @@ def diff_runs(a: DataFrame, b: DataFrame, case: str = "case_id", passed: str = "
     return one.join(two, case, "full_outer").select(case, change.alias("change"))
 
 
-def compare_runs(a: DataFrame, b: DataFrame, fields: list[str], case: str = "case_id") -> DataFrame:
-    """Per field how many cases differ (nulls equal), over the cases both runs have."""
-    both = a.select(case, *[F.col(f).alias(f"_a_{f}") for f in fields]).join(b.select(case, *[F.col(f).alias(f"_b_{f}") for f in fields]), case)
-    counts = both.agg(F.count("*").alias("cases"), *[F.count_if(~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}"))).alias(f) for f in fields])
-    return counts.unpivot("cases", fields, "field", "differing")
+def compare_runs(a: DataFrame, b: DataFrame, fields: list[str], case: str = "case_id", ms: str | None = None) -> DataFrame:
+    """Per field how many cases differ (nulls equal), of how many both runs have, with the cases each lacks and both mean times."""
+    time = lambda side: F.col(ms).cast("double").alias(f"_{side}_ms") if ms else F.lit(None).cast("double").alias(f"_{side}_ms")
+    one, two = (df.select(case, F.lit(True).alias(f"_{s}"), time(s), *[F.col(f).alias(f"_{s}_{f}") for f in fields]) for df, s in ((a, "a"), (b, "b")))
+    both = one.join(two, case, "full_outer").withColumn("_both", F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    counts = both.agg(
+        F.count_if("_both").alias("cases"), F.count_if(F.col("_a").isNull()).alias("missing_left"), F.count_if(F.col("_b").isNull()).alias("missing_right"),
+        F.round(F.avg("_a_ms"), 6).alias("mean_ms_left"), F.round(F.avg("_b_ms"), 6).alias("mean_ms_right"),
+        *[F.count_if(F.col("_both") & ~F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}"))).alias(f) for f in fields],
+    )
+    return counts.unpivot(["cases", "missing_left", "missing_right", "mean_ms_left", "mean_ms_right"], fields, "field", "differing")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .joins import contained
+
 #: A source's priority when metadata are merged.
 PRIORITIES = {"user": 100, "manifest": 95, "official_url": 90, "document_body": 60, "parser": 50, "filename": 20, "legacy": 10}
 
@@ -92,8 +94,8 @@ def normalize_keys(kv: DataFrame, aliases: dict[str, str], key: str = "key", val
 
 
 def infer_topic(docs: DataFrame, rules: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The topic of the first rule (rule_order, keyword, topic) whose keyword the text holds; rules are few and broadcast."""
-    hits = docs.join(F.broadcast(rules), F.contains(F.col(text), F.col("keyword")))
+    """The topic of the first rule (rule_order, keyword, topic) whose keyword the text holds."""
+    hits = contained(rules, "keyword", docs.select(doc, text), text)
     return hits.groupBy(doc).agg(F.min_by("topic", F.struct("rule_order", "topic")).alias("topic"))
 
 
@@ -143,7 +145,9 @@ def lookup_identity(q: DataFrame, docs: DataFrame, q_id: str = "query_id", doc:
     """Documents whose title matches a quoted one best: equal 100, inside 80 + length, containing 60 + length (to 19); ties all kept."""
     a, b = F.lower(F.trim("wanted")), F.lower(F.trim("title"))
     score = F.when(a == b, 100).when(F.contains(b, a), 80 + F.least(F.lit(19), F.char_length(a))).when(F.contains(a, b), 60 + F.least(F.lit(19), F.char_length(b)))
-    found = docs.join(F.broadcast(q), (a == b) | F.contains(b, a) | F.contains(a, b)).withColumn("score", score)
+    named, asked = docs.select(doc, "title", b.alias("_b")), q.select(q_id, "wanted", a.alias("_a"))
+    pairs = contained(asked, "_a", named, "_b").unionByName(contained(named, "_b", asked, "_a").select(*named.columns, *asked.columns)).distinct()
+    found = pairs.withColumn("score", score)
     return found.withColumn("_r", F.rank().over(W.partitionBy(q_id).orderBy(F.desc("score")))).filter("_r = 1").select(q_id, doc, "score")
 
 

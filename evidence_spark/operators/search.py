@@ -169,7 +169,8 @@ def recognize_references(chunks: DataFrame, c: str = "chunk_id", text: str = "te
     masked = F.regexp_replace(F.col(text), "《[^》]*》(?:第[一二三四五六七八九十百零\\d]+条)?", " ")
     number = "[一二三四五六七八九十百零\\d]{1,4}"
     kinds = {"article": f"第({number})条", "page": f"第({number})页", "table": f"表({number})", "annex": f"附件({number})", "figure": f"图({number})"}
-    found = F.concat(*[F.transform(F.regexp_extract_all(masked, F.lit(p), F.lit(1)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("label"))) for k, p in kinds.items()])
+    names = lambda kind, labels: F.transform(labels, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
+    found = F.concat(*[names(k, F.regexp_extract_all(masked, F.lit(p), F.lit(1))) for k, p in kinds.items()])
     rows = chunks.select(c, F.posexplode(F.slice(F.array_distinct(found), 1, limit)).alias("pos", "r"))
     return rows.select(c, "pos", F.col("r.kind").alias("kind"), numeral(F.col("r.label")).alias("number"))
 

@@ -6,28 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import numeral
+from ..functions.text import NUMERAL, numeral
+from .joins import contained
 
 #: Levels of a locator from coarse to fine, with what marks them.
 LEVELS = {"part": "编", "chapter": "章", "section": "节", "article": "条", "paragraph": "款", "item": "项"}
-DIGITS = "[一二三四五六七八九十百零\\d]{1,6}"
 
 
 def locate(chunks: DataFrame, path: str = "section_path", title: str = "section_title", text: str = "text") -> DataFrame:
     """The latest number of each level from path, title, then the text's start; key and status.
 
-    resolved with an article, partial with a part, chapter or section, else unresolved.
+    A level is 第N编, 章, 节, 条 (also 条之N, kept as article_suffix) or 款, an item （N） at a
+    start. resolved with an article, partial with a part, chapter or section, else unresolved.
     """
-    start = F.regexp_extract(F.coalesce(F.col(text), F.lit("")), f"^\\s*((?:第{DIGITS}[编章节条款项]\\s*)+)", 1)
-    place = F.concat_ws(" ", F.array_join(F.coalesce(F.col(path), F.array().cast("array<string>")), " "), F.coalesce(F.col(title), F.lit("")), start)
-    out = chunks.withColumn("_place", place)
+    marked = rf"第\s*{NUMERAL}\s*[编章节条款项](?:\s*之\s*{NUMERAL})?"
+    item = rf"^\s*[（(]\s*({NUMERAL})\s*[）)]"
+    body = F.coalesce(F.col(text), F.lit(""))
+    start = F.regexp_extract(body, rf"^\s*((?:{marked}\s*)+)", 1)
+    rest = F.substr(body, F.char_length(start) + 1)
+    steps = F.array_compact(F.concat(F.coalesce(F.col(path), F.array().cast("array<string>")), F.array(F.col(title), F.when(start != "", start), F.when(rest.rlike(item), F.regexp_extract(rest, item, 0)))))
+    out = chunks.withColumn("_place", F.array_join(steps, " ")).withColumn("_items", F.filter(F.transform(steps, lambda s: F.regexp_extract(s, item, 1)), lambda s: s != ""))
     for level, mark in LEVELS.items():
-        found = F.regexp_extract_all("_place", F.lit(f"第({DIGITS}){mark}"), F.lit(1))
-        out = out.withColumn(level, numeral(F.try_element_at(found, F.lit(-1))))
-    key = F.concat_ws("|", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + ":"), F.col(k).cast("string"))) for k in LEVELS])
+        found = F.regexp_extract_all("_place", F.lit(rf"第\s*({NUMERAL})\s*{mark}"), F.lit(1))
+        last = F.try_element_at(found, F.lit(-1))
+        out = out.withColumn(level, numeral(F.coalesce(last, F.try_element_at("_items", F.lit(-1))) if level == "item" else last))
+    suffix = F.try_element_at(F.regexp_extract_all("_place", F.lit(rf"第\s*{NUMERAL}\s*条((?:\s*之\s*{NUMERAL})?)"), F.lit(1)), F.lit(-1))
+    out = out.withColumn("article_suffix", numeral(F.nullif(F.regexp_replace(suffix, r"[\s之]", ""), F.lit(""))))
+    shown = lambda k: F.concat(F.lit(k + ":"), F.col(k).cast("string"), F.coalesce(F.concat(F.lit("-"), F.col("article_suffix").cast("string")), F.lit("")) if k == "article" else F.lit(""))
+    key = F.concat_ws("|", *[F.when(F.col(k).isNotNull(), shown(k)) for k in LEVELS])
     coarse = F.coalesce("part", "chapter", "section").isNotNull()
     status = F.when(F.col("article").isNotNull(), "resolved").when(coarse, "partial").otherwise("unresolved")
-    return out.drop("_place").withColumn("locator_key", key).withColumn("locator_status", status)
+    return out.drop("_place", "_items").withColumn("locator_key", key).withColumn("locator_status", status)
 
 
 def match_structure(pairs: DataFrame, depth: str, mode: str = "ancestor", gold: str = "gold_", got: str = "got_") -> DataFrame:
@@ -93,7 +102,8 @@ def resolve_titles(titles: DataFrame, docs: DataFrame, key: str = "title_id") ->
     d = docs.select("doc_id", F.lower("filename").alias("_f"), F.lower("title").alias("_t"))
     exact = wanted.join(d, F.col("_w") == F.col("_f")).select(key, "doc_id", F.lit(0).alias("_l"), F.lit(0).alias("_n"))
     equal = wanted.join(d, F.col("_w") == F.col("_t")).select(key, "doc_id", F.lit(1).alias("_l"), F.lit(0).alias("_n"))
-    held = d.join(F.broadcast(wanted), F.contains("_f", "_w") | F.contains("_t", "_w")).select(key, "doc_id", F.lit(2).alias("_l"), F.char_length("_f").alias("_n"))
+    names = d.select("doc_id", F.char_length("_f").alias("_n"), F.explode(F.array("_f", "_t")).alias("_name"))
+    held = contained(wanted, "_w", names, "_name").select(key, "doc_id", F.lit(2).alias("_l"), "_n")
     return exact.unionByName(equal).unionByName(held).groupBy(key).agg(F.min_by("doc_id", F.struct("_l", "_n", "doc_id")).alias("doc_id"))
 
 
@@ -101,7 +111,9 @@ def resolve_scope(filters: DataFrame, docs: DataFrame, q: str = "query_id") -> D
     """Per query whether it names documents, and which; named but not found is an empty list, not everything."""
     asked = filters.filter(F.char_length(F.trim("wanted")) > 0)
     a, b = F.lower(F.trim("wanted")), F.lower(F.trim("title"))
-    hits = docs.select("doc_id", "title").join(F.broadcast(asked), F.contains(b, a) | ((F.char_length(b) >= 4) & F.contains(a, b))).groupBy(q).agg(F.array_sort(F.collect_set("doc_id")).alias("_ids"))
+    named, wanted = docs.select("doc_id", b.alias("_b")), asked.select(q, a.alias("_a"))
+    pairs = contained(wanted, "_a", named, "_b").unionByName(contained(named.filter(F.char_length("_b") >= 4), "_b", wanted, "_a"))
+    hits = pairs.groupBy(q).agg(F.array_sort(F.collect_set("doc_id")).alias("_ids"))
     scoped = asked.select(q).distinct().withColumn("scoped", F.lit(True))
     out = filters.select(q).distinct().join(scoped, q, "left").join(hits, q, "left")
     empty = F.array().cast(dict(docs.select(F.array("doc_id").alias("a")).dtypes)["a"])

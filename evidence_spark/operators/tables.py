@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import anchor_coverage, bigram_set, squeeze
+from .joins import contained
+
 #: Fixed value: scores this close count as a tie.
 TIE = 0.0001
 MONEY = "decimal(38,10)"
@@ -24,9 +27,9 @@ def cell_candidates(questions: DataFrame, cells: DataFrame) -> DataFrame:
 
     Titles are matched on the distinct titles, then joined to the cells by equality.
     """
-    titles = cells.select("source_title").distinct()
-    wanted = questions.select("question_id", "asked_source").withColumnRenamed("asked_source", "_asked")
-    held = titles.join(F.broadcast(wanted), F.contains(F.lower("source_title"), F.lower("_asked"))).select("question_id", "source_title")
+    titles = cells.select("source_title", F.lower("source_title").alias("_t")).distinct()
+    wanted = questions.select("question_id", F.lower("asked_source").alias("_asked"))
+    held = contained(wanted, "_asked", titles, "_t").select("question_id", "source_title")
     out = cells.join(held, "source_title").join(questions, "question_id")
     fits = lambda want, have: F.col(want).isNull() | F.col(have).eqNullSafe(F.col(want))
     return out.filter(fits("asked_year", "year") & fits("asked_quarter", "quarter"))
@@ -51,21 +54,82 @@ def unique_numeric(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.filter("numeric_value is not null").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def table_lookup(scored: DataFrame, least: float = 5.0) -> DataFrame:
-    """one row per question: valid_cell with the value, ambiguous where tied cells differ, else no_candidates."""
-    best = F.max("score").over(W.partitionBy("question_id"))
-    tied = scored.withColumn("_best", best).filter((F.col("_best") - F.col("score") <= TIE) & (F.col("score") >= least))
-    got = tied.groupBy("question_id").agg(F.count_distinct(F.round("numeric_value", 6)).alias("values"), F.min_by("value", F.struct("source_title", "coordinate")).alias("value"), F.min("coordinate").alias("coordinate"), F.count("*").alias("cells"))
-    status = F.when(F.col("values") == 1, "valid_cell").when(F.col("values") > 1, "ambiguous").otherwise("empty")
-    return got.select("question_id", status.alias("status"), F.when(F.col("values") == 1, F.col("value")).alias("value"), F.when(F.col("values") == 1, F.col("coordinate")).alias("coordinate"))
+#: Why a lookup has no single answer.
+REASONS = {
+    "period_not_found": "no cell has the asked year, month or quarter",
+    "sheet_not_found": "the asked sheet is not among the candidates",
+    "source_not_found": "the asked source is not among the tables",
+    "no_candidates": "no candidate cell",
+    "indicator_not_found": "no candidate holds the asked row or column",
+    "empty_value": "the best candidates hold no number",
+    "ambiguous_candidates": "several candidates of one score differ in value",
+}
+
+
+def table_lookup(scored: DataFrame, questions: DataFrame | None = None, least: float = 5.0) -> DataFrame:
+    """exactly one row per question: status, value, coordinate, assumption and reason.
+
+    Without questions, those that have candidates are answered.
+
+    The best numeric cell answers; of cells within TIE of it, equal values (to six digits)
+    answer together, others by resolve_ties, else ambiguous_candidates. A question without
+    candidates says which of its filters found nothing: period, sheet, source, in this order.
+    """
+    questions = scored.select("question_id").distinct() if questions is None else questions
+    for c in ("asked_year", "asked_month", "asked_quarter", "asked_sheet", "asked_source"):
+        questions = questions if c in questions.columns else questions.withColumn(c, F.lit(None).cast("string"))
+    any_ = scored.groupBy("question_id").agg(F.count("*").alias("_cells"), F.max(F.col("score") - F.when(F.col("numeric_value").isNotNull(), 0.25).otherwise(0.0)).alias("_label"))
+    numeric = scored.filter(F.col("numeric_value").isNotNull())
+    best = numeric.groupBy("question_id").agg(F.max("score").alias("_best"))
+    tied = numeric.join(best, "question_id").filter((F.col("_best") - F.col("score") < TIE) & (F.col("score") >= least)).drop("_best")
+    order = F.struct("source_title", "coordinate")
+    values = F.count_distinct(F.round("numeric_value", 6))
+    got = tied.groupBy("question_id").agg(values.alias("_values"), F.count("*").alias("_tied"), F.min_by(F.struct("value", "coordinate"), order).alias("_first"))
+    split = tied.join(got.filter("_values > 1").select("question_id"), "question_id", "left_semi")
+    chosen = resolve_ties(split).select("question_id", F.struct("value", "coordinate").alias("_chosen"), F.col("tie_rule").alias("_rule"))
+    out = questions.join(any_, "question_id", "left").join(best, "question_id", "left").join(got, "question_id", "left").join(chosen, "question_id", "left")
+    asked = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()
+    missing = F.when(asked("asked_year", "asked_month", "asked_quarter"), "period_not_found").when(asked("asked_sheet"), "sheet_not_found").when(asked("asked_source"), "source_not_found").otherwise("no_candidates")
+    status = (
+        F.when(F.col("_cells").isNull(), missing).when(F.col("_label") < least, "indicator_not_found").when(F.col("_best").isNull() | F.col("_values").isNull(), "empty_value")
+        .when((F.col("_values") == 1) | F.col("_chosen").isNotNull(), "valid_cell").otherwise("ambiguous_candidates")
+    )
+    out = out.withColumn("status", status).withColumn("_cell", F.when(F.col("status") == "valid_cell", F.when(F.col("_values") == 1, F.col("_first")).otherwise(F.col("_chosen"))))
+    assumption = F.when(F.col("status") == "valid_cell", F.when(F.col("_values") > 1, F.col("_rule")).when(F.col("_tied") > 1, "equal_values"))
+    reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("status")]
+    return out.select("question_id", "status", F.col("_cell.value").alias("value"), F.col("_cell.coordinate").alias("coordinate"), assumption.alias("assumption"), reason.alias("reason"))
 
 
 def resolve_ties(tied: DataFrame) -> DataFrame:
-    """of tied cells the latest period wins if it is one cell, else the first of one block in coordinate order."""
-    period = F.coalesce("year", F.lit(0)) * 10 + F.coalesce("quarter", F.lit(0))
+    """one of each question's tied cells, by the first rule that names exactly one, with tie_rule; none gives no row.
+
+    first_block: all in one table and under one row label, the smallest row (of those with a
+    column sheet_row; others by coordinate). latest_period: all periods differ and are of one
+    kind (year, month or quarter), the latest. question_wording: twice the question's bigrams
+    in the row label and once those in the column label, if one cell leads.
+    """
+    for c, kind in (("month", "int"), ("sheet_row", "int"), ("question", "string")):
+        tied = tied if c in tied.columns else tied.withColumn(c, F.lit(None).cast(kind))
     w = W.partitionBy("question_id")
-    ranked = tied.withColumn("_p", period).withColumn("_top", F.max("_p").over(w)).filter("_p = _top")
-    return ranked.withColumn("_n", F.row_number().over(w.orderBy("coordinate", "source_title"))).filter("_n = 1").drop("_p", "_top", "_n")
+    year, month, quarter = (F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("year", "month", "quarter"))
+    kind = F.when(month > 0, "month").when(quarter > 0, "quarter").when(year > 0, "year").otherwise("none")
+    period = year * 10_000 + month * 100 + quarter
+    asked = F.coalesce("question", F.lit(""))
+    wording = 2 * anchor_coverage(F.col("row_label"), asked) * F.size(bigram_set(squeeze(F.col("row_label")))) + anchor_coverage(F.col("column_label"), asked) * F.size(bigram_set(squeeze(F.col("column_label"))))
+    rows = tied.withColumn("_kind", kind).withColumn("_period", period).withColumn("_words", F.round(wording, 6))
+    facts = rows.groupBy("question_id").agg(
+        F.count("*").alias("_n"), F.count_distinct("source_title").alias("_sources"), F.count_distinct("row_label").alias("_labels"), F.min("sheet_row").alias("_top"), F.count_distinct("sheet_row").alias("_rows"),
+        F.count_distinct("_period").alias("_periods"), F.count_distinct("_kind").alias("_kinds"), F.max("_kind").alias("_one"), F.max("_period").alias("_latest"), F.max("_words").alias("_lead"),
+    )
+    rows = rows.join(facts, "question_id")
+    leads = F.sum((F.col("_words") == F.col("_lead")).cast("int")).over(w)
+    first = (F.col("_sources") == 1) & (F.col("_labels") == 1) & (F.col("_rows") == F.col("_n")) & (F.col("sheet_row") == F.col("_top"))
+    latest = (F.col("_periods") == F.col("_n")) & (F.col("_kinds") == 1) & (F.col("_one") != "none") & (F.col("_period") == F.col("_latest"))
+    words = (F.col("_lead") > 0) & (F.col("_words") == F.col("_lead")) & (leads == 1)
+    rule = F.when(first, F.lit(0)).when(latest, 1).when(words, 2)
+    picked = rows.withColumn("_rule", rule).filter("_rule is not null").withColumn("_r", F.row_number().over(w.orderBy("_rule", "source_title", "coordinate"))).filter("_r = 1")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("first_block", "latest_period", "question_wording")]), F.col("_rule") + 1)
+    return picked.select(*tied.columns, name.alias("tie_rule"))
 
 
 def operands(questions: DataFrame, scored: DataFrame) -> DataFrame:
@@ -118,7 +182,8 @@ def reconcile_total(cells: DataFrame, keys: list[str], total_label: str) -> Data
 
 def match_indicators(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """vocabulary terms inside a question, without those inside a longer hit, by position."""
-    hits = questions.join(F.broadcast(vocabulary), F.contains(F.lower("question"), F.lower("term"))).select("question_id", "question", "term")
+    terms, asked = vocabulary.select("term", F.lower("term").alias("_t")), questions.select("question_id", "question", F.lower("question").alias("_q"))
+    hits = contained(terms, "_t", asked, "_q").select("question_id", "question", "term")
     lists = hits.groupBy("question_id", "question").agg(F.collect_set("term").alias("_terms"))
     kept = F.filter("_terms", lambda t: ~F.exists("_terms", lambda o: (F.char_length(o) > F.char_length(t)) & F.contains(F.lower(o), F.lower(t))))
     rows = lists.select("question_id", "question", F.explode(kept).alias("term"))

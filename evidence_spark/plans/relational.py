@@ -95,7 +95,8 @@ def set_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query("holdout_split", """WITH h AS (SELECT c_custkey, c_mktsegment, sha256('42:' || c_custkey) AS k FROM customer),
 r AS (SELECT *, count(*) OVER (PARTITION BY c_mktsegment) AS n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY k, c_custkey) AS r FROM h),
-o AS (SELECT *, row_number() OVER (ORDER BY NOT r <= greatest(1, floor(n * 0.2)), k, c_custkey) AS p FROM r) SELECT c_custkey, p <= 60 AS holdout FROM o""")
+l AS (SELECT *, NOT r <= greatest(1, round_even(n * 0.2, 0)) AS late FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY late, CASE WHEN NOT late THEN k END DESC NULLS LAST, k, c_custkey) AS p FROM l) SELECT c_custkey, p <= 60 AS holdout FROM o""")
 def holdout_split(spark: SparkSession, d: str) -> DataFrame:
     return ev.split_holdout(table(spark, d, "customer"), ["c_mktsegment"], 60, case="c_custkey").select("c_custkey", "holdout")
 
@@ -112,13 +113,13 @@ def failure_crosstab(spark: SparkSession, d: str) -> DataFrame:
     return ev.failure_crosstab(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
 
 
-RUNS_SQL = "a AS (SELECT o_orderkey AS case_id, o_totalprice > 200000 AS passed, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS case_id, o_totalprice > 250000 OR o_orderkey % 5 = 0 AS passed, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 11 <> 0)"
+RUNS_SQL = "a AS (SELECT o_orderkey AS case_id, o_totalprice > 200000 AS passed, o_orderstatus AS s, o_orderpriority AS p, o_custkey::DOUBLE AS ms FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS case_id, o_totalprice > 250000 OR o_orderkey % 5 = 0 AS passed, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS s, o_orderpriority AS p, (o_custkey * 2)::DOUBLE AS ms FROM orders WHERE o_orderkey % 11 <> 0)"
 
 
 def runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    a = o.filter(k % 7 != 0).select(k.alias("case_id"), (F.col("o_totalprice") > 200000).alias("passed"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    b = o.filter(k % 11 != 0).select(k.alias("case_id"), ((F.col("o_totalprice") > 250000) | (k % 5 == 0)).alias("passed"), F.when(k % 3 != 0, F.col("o_orderstatus")).alias("s"), F.col("o_orderpriority").alias("p"))
+    a = o.filter(k % 7 != 0).select(k.alias("case_id"), (F.col("o_totalprice") > 200000).alias("passed"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), F.col("o_custkey").cast("double").alias("ms"))
+    b = o.filter(k % 11 != 0).select(k.alias("case_id"), ((F.col("o_totalprice") > 250000) | (k % 5 == 0)).alias("passed"), F.when(k % 3 != 0, F.col("o_orderstatus")).alias("s"), F.col("o_orderpriority").alias("p"), (F.col("o_custkey") * 2).cast("double").alias("ms"))
     return a, b
 
 
@@ -127,10 +128,11 @@ def diff_runs(spark: SparkSession, d: str) -> DataFrame:
     return ev.diff_runs(*runs(spark, d))
 
 
-@query("compare_runs", f"""WITH {RUNS_SQL}, j AS (SELECT count(*) AS cases, count_if(a.passed IS DISTINCT FROM b.passed)::BIGINT AS x, count_if(a.s IS DISTINCT FROM b.s)::BIGINT AS y, count_if(a.p IS DISTINCT FROM b.p)::BIGINT AS z FROM a JOIN b USING (case_id))
-SELECT cases, 'passed' AS field, x AS differing FROM j UNION ALL SELECT cases, 's', y FROM j UNION ALL SELECT cases, 'p', z FROM j""")
+@query("compare_runs", f"""WITH {RUNS_SQL}, j AS (SELECT a.case_id IS NOT NULL AND b.case_id IS NOT NULL AS both_, a.case_id IS NULL AS ml, b.case_id IS NULL AS mr, a.ms AS ams, b.ms AS bms, a.passed IS DISTINCT FROM b.passed AS x, a.s IS DISTINCT FROM b.s AS y, a.p IS DISTINCT FROM b.p AS z FROM a FULL JOIN b ON a.case_id = b.case_id),
+g AS (SELECT count_if(both_)::BIGINT AS cases, count_if(ml)::BIGINT AS missing_left, count_if(mr)::BIGINT AS missing_right, round(avg(ams), 6) AS mean_ms_left, round(avg(bms), 6) AS mean_ms_right, [count_if(both_ AND x), count_if(both_ AND y), count_if(both_ AND z)] AS n FROM j)
+SELECT cases, missing_left, missing_right, mean_ms_left, mean_ms_right, ['passed', 's', 'p'][i] AS field, n[i]::BIGINT AS differing FROM g, unnest([1, 2, 3]) AS u(i)""")
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
-    return ev.compare_runs(*runs(spark, d), ["passed", "s", "p"])
+    return ev.compare_runs(*runs(spark, d), ["passed", "s", "p"], ms="ms")
 
 
 # ---- integrity: documents as chunks of their source, orders and line items as ledger and rows ----
@@ -277,13 +279,15 @@ def identity_warnings(spark: SparkSession, d: str) -> DataFrame:
     return identity.identity_warnings(g).groupBy("warning").agg(F.count("*").alias("n"))
 
 
-@query("identity_lookup", """WITH s AS (SELECT DISTINCT p_name AS title FROM part), q AS (SELECT n_nationkey AS query_id, ['small ring', 'RED', 'a blue widget of steel', 'zzz'][n_nationkey % 4 + 1] AS w FROM nation),
+@query("identity_lookup", """WITH s AS (SELECT DISTINCT p_name AS title FROM part), q AS (SELECT p_partkey AS query_id, CASE p_partkey % 4 WHEN 0 THEN upper(split_part(p_name, ' ', 1)) WHEN 1 THEN 'the ' || p_name || ' of steel' WHEN 2 THEN p_name ELSE p_name || '#' || p_partkey END AS w FROM part),
 m AS (SELECT query_id, title AS doc_id, CASE WHEN lower(w) = lower(title) THEN 100 WHEN contains(lower(title), lower(w)) THEN 80 + least(19, length(w)) WHEN contains(lower(w), lower(title)) THEN 60 + least(19, length(title)) END::INTEGER AS score FROM q, s)
 SELECT query_id, doc_id, score FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS r FROM m WHERE score IS NOT NULL) WHERE r = 1""")
 def identity_lookup(spark: SparkSession, d: str) -> DataFrame:
-    titles = table(spark, d, "part").select(F.col("p_name").alias("title")).distinct().withColumn("doc_id", F.col("title"))
-    w = F.element_at(F.array(*[F.lit(x) for x in ("small ring", "RED", "a blue widget of steel", "zzz")]), F.col("n_nationkey") % 4 + 1)
-    return identity.lookup_identity(table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), w.alias("wanted")), titles)
+    part, k = table(spark, d, "part"), F.col("p_partkey") % 4
+    titles = part.select(F.col("p_name").alias("title")).distinct().withColumn("doc_id", F.col("title"))
+    n = F.col("p_name")
+    w = F.when(k == 0, F.upper(F.substring_index(n, " ", 1))).when(k == 1, F.concat(F.lit("the "), n, F.lit(" of steel"))).when(k == 2, n).otherwise(F.concat_ws("#", n, "p_partkey"))
+    return identity.lookup_identity(part.select(F.col("p_partkey").alias("query_id"), w.alias("wanted")), titles)
 
 
 @query("ingest_summary", """SELECT event_type, count(*) AS processed, count_if(event_id % 3 = 0)::BIGINT AS success, count_if(event_id % 3 = 1)::BIGINT AS degraded, count_if(event_id % 3 = 2)::BIGINT AS failed, sum(user_id) ::BIGINT AS chunks, round(avg(value), 6) AS avg_ms, quantile_cont(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms FROM events GROUP BY ALL""")
@@ -336,30 +340,37 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
-    n = table(spark, d, "nation").withColumn("y", F.explode(F.array(F.lit(1996), F.lit(1997))))
+    n = table(spark, d, "nation").withColumn("y", F.explode(F.array(F.lit(1996), F.lit(1997), F.lit(1890))))
     return n.select((k * 10 + F.col("y") % 10).cast("long").alias("question_id"), F.lower("n_name").alias("asked_source"), F.col("y").alias("asked_year"), F.when(k % 2 == 0, 1).alias("asked_quarter"), F.lit("1-URGENT").alias("asked_row"), F.lit("orders").alias("asked_column"))
 
 
-QUESTIONS_SQL = "qs AS (SELECT (n_nationkey * 10 + y % 10)::BIGINT AS question_id, lower(n_name) AS asked_source, y AS asked_year, CASE WHEN n_nationkey % 2 = 0 THEN 1 END AS asked_quarter, '1-URGENT' AS asked_row, 'orders' AS asked_column FROM nation, (VALUES (1996), (1997)) v(y))"
+QUESTIONS_SQL = "qs AS (SELECT (n_nationkey * 10 + y % 10)::BIGINT AS question_id, lower(n_name) AS asked_source, y AS asked_year, CASE WHEN n_nationkey % 2 = 0 THEN 1 END AS asked_quarter, '1-URGENT' AS asked_row, 'orders' AS asked_column FROM nation, (VALUES (1996), (1997), (1890)) v(y))"
 CAND_SQL = f"""{CELLS_SQL}, {QUESTIONS_SQL}, k AS (SELECT qs.*, c.*, row_label || '!' || column_label AS coordinate,
  0.25 + CASE WHEN lower(asked_row) = lower(row_label) THEN 7 WHEN contains(lower(row_label), lower(asked_row)) THEN 5 ELSE 0 END + CASE WHEN lower(asked_column) = lower(column_label) THEN 7 WHEN contains(lower(column_label), lower(asked_column)) THEN 5 ELSE 0 END AS score
  FROM qs JOIN c ON contains(lower(source_title), asked_source) AND asked_year = year AND (asked_quarter IS NULL OR asked_quarter = quarter))"""
 
 
-@query("table_lookup", f"""WITH {CAND_SQL}, t AS (SELECT *, max(score) OVER (PARTITION BY question_id) AS best FROM k), g AS (SELECT question_id, count(DISTINCT v) AS n, arg_min(v, (source_title, coordinate)) AS v, min(coordinate) AS co FROM t WHERE best - score <= 0.0001 AND score >= 5 GROUP BY ALL)
-SELECT question_id, CASE WHEN n = 1 THEN 'valid_cell' WHEN n > 1 THEN 'ambiguous' ELSE 'empty' END AS status, CASE WHEN n = 1 THEN v::VARCHAR END AS value, CASE WHEN n = 1 THEN co END AS coordinate FROM g""")
+TIED_SQL = f"""{CAND_SQL}, t AS (SELECT *, year * 10000 + quarter AS period, max(score) OVER (PARTITION BY question_id) AS best FROM k),
+g AS (SELECT question_id, count(DISTINCT v) AS n, count(*) AS c, count(DISTINCT period) AS p, arg_min(v, (source_title, coordinate)) AS v0, arg_min(coordinate, (source_title, coordinate)) AS c0, arg_max(v, period) AS v1, arg_max(coordinate, period) AS c1,
+  arg_max(source_title, period) AS s1, arg_max(quarter, period) AS q1 FROM t WHERE best - score < 0.0001 AND score >= 5 GROUP BY ALL)"""
+
+
+@query("table_lookup", f"""WITH {TIED_SQL}, r AS (SELECT qs.question_id, g.*, CASE WHEN n IS NULL THEN 'period_not_found' WHEN n = 1 OR p = c THEN 'valid_cell' ELSE 'ambiguous_candidates' END AS status FROM qs LEFT JOIN g ON qs.question_id = g.question_id)
+SELECT question_id, status, CASE WHEN status = 'valid_cell' THEN CASE WHEN n = 1 THEN v0 ELSE v1 END::VARCHAR END AS value, CASE WHEN status = 'valid_cell' THEN CASE WHEN n = 1 THEN c0 ELSE c1 END END AS coordinate,
+  CASE WHEN status = 'valid_cell' THEN CASE WHEN n > 1 THEN 'latest_period' WHEN c > 1 THEN 'equal_values' END END AS assumption,
+  CASE status WHEN 'period_not_found' THEN 'no cell has the asked year, month or quarter' WHEN 'ambiguous_candidates' THEN 'several candidates of one score differ in value' END AS reason FROM r""")
 def table_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return tb.table_lookup(tb.score_cells(tb.cell_candidates(questions(spark, d), cells(spark, d))))
+    q = questions(spark, d)
+    return tb.table_lookup(tb.score_cells(tb.cell_candidates(q, cells(spark, d))), q)
 
 
-@query("tied_cells_latest", f"""WITH {CAND_SQL}, t AS (SELECT *, max(score) OVER (PARTITION BY question_id) AS best FROM k), u AS (SELECT *, max(year * 10 + quarter) OVER (PARTITION BY question_id) AS top FROM t WHERE best - score <= 0.0001),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY coordinate, source_title) AS n FROM u WHERE year * 10 + quarter = top) SELECT question_id, source_title, quarter, v::VARCHAR AS value FROM r WHERE n = 1""")
+@query("tied_cells_latest", f"WITH {TIED_SQL} SELECT question_id, s1 AS source_title, q1 AS quarter, v1::VARCHAR AS value, 'latest_period' AS tie_rule FROM g WHERE p = c")
 def tied_cells_latest(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window as W
 
     s = tb.score_cells(tb.cell_candidates(questions(spark, d), cells(spark, d)))
-    tied = s.withColumn("_b", F.max("score").over(W.partitionBy("question_id"))).filter(F.col("_b") - F.col("score") <= tb.TIE).drop("_b")
-    return tb.resolve_ties(tied).select("question_id", "source_title", "quarter", "value")
+    tied = s.withColumn("_b", F.max("score").over(W.partitionBy("question_id"))).filter((F.col("_b") - F.col("score") < tb.TIE) & (F.col("score") >= 5)).drop("_b")
+    return tb.resolve_ties(tied).select("question_id", "source_title", "quarter", "value", "tie_rule")
 
 
 @query("table_calculations", f"""WITH {CELLS_SQL}, o AS (SELECT source_title, year, quarter, max(v) FILTER (row_label = '1-URGENT') AS a, max(v) FILTER (row_label = '5-LOW') AS b FROM c WHERE column_label = 'cents' GROUP BY ALL)
@@ -391,12 +402,12 @@ def label_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return tb.label_vocabulary(cells(spark, d))
 
 
-@query("indicator_match", """WITH q AS (SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations), v AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(['the', 'there', 'tion', 'er', 'ment', 'elle', 'und', 'ung']) AS w)),
+@query("indicator_match", """WITH q AS (SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS term FROM benchmark),
 h AS (SELECT question_id, question, term FROM q JOIN v ON contains(lower(question), term)) SELECT question_id, term, instr(lower(question), term)::INTEGER AS position FROM h
 WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.question_id = h.question_id AND length(o.term) > length(h.term) AND contains(o.term, h.term))""")
 def indicator_match(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
-    v = spark.createDataFrame([(t,) for t in ("the", "there", "tion", "er", "ment", "elle", "und", "ung")], "term string")
+    v = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("term")).distinct()
     return tb.match_indicators(q, v)
 
 

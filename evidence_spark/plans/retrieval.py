@@ -29,7 +29,7 @@ CHUNKS_SQL = f"""
 t AS (SELECT doc_id, {UNIT_SQL} AS u FROM documents),
 p AS (SELECT doc_id, (s // 720)::INTEGER AS pos, u[s + 1 : s + CASE WHEN s = 0 THEN 800 ELSE 794 END] AS w FROM t, unnest(range(0, len(u), 720)) AS r(s)),
 ch AS (SELECT doc_id, pos, format('{{}}-{{:06d}}', doc_id, pos + 1) AS chunk_id, len(w)::INTEGER AS units,
-       CASE WHEN pos > 0 THEN '（承接上文）' ELSE '' END || array_to_string(w, ' ') AS piece FROM p)
+       CASE WHEN pos > 0 THEN '（承接上文）' ELSE '' END || array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND regexp_full_match(x, '[a-zA-Z0-9_]+') AND regexp_full_match(w[i - 1], '[a-zA-Z0-9_]+') THEN ' ' || x ELSE x END), '') AS piece FROM p)
 """
 
 

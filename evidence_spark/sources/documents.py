@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import normalize_value, numeral
+
 MANIFEST_WRAPPERS = ("files", "documents", "records")
 
 
@@ -114,29 +118,58 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     return src.mapInPandas(run, f"{key} {dict(src.dtypes)['_k']}, order_index int, block_type string, text string, level int, section_title string, title string")
 
 
+def column_letters(n: Column) -> Column:
+    """A, B, ... Z, AA, ... for 1, 2, ... up to three letters."""
+    letter = lambda x: F.char(F.lit(65) + x % 26)
+    one, two, three = n - 1, F.floor((n - 27) / 26), F.floor((n - 703) / 676)
+    return F.concat(F.when(n > 702, letter(three)).otherwise(F.lit("")), F.when(n > 26, letter(two)).otherwise(F.lit("")), letter(one))
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(source_title, row, cells): the non-blank records of CSV files, numbered from 1 in each; quoted commas and line breaks are text."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_f"), F.col("value"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, text in zip(pdf["_f"], pdf["value"], strict=True):
+                rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text.removeprefix("\ufeff")))]
+                rows = [r for r in rows if any(r)]
+                yield pd.DataFrame({"source_title": name, "row": range(1, len(rows) + 1), "cells": rows})
+
+    rows = files.mapInPandas(parse, "source_title string, row int, cells array<string>")
+    return rows.withColumn("source_title", F.regexp_replace("source_title", r"\.[A-Za-z]+$", ""))
+
+
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """A3 over files: the first non-blank row is the header, a blank header becomes 列n, the row label is the first non-empty cell."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_title"), F.col("value"))
-    lines = files.select("source_title", F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).filter(F.trim("line") != "")
-    cells = F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
-    rows = lines.withColumn("cells", cells).withColumn("_n", F.row_number().over(W.partitionBy("source_title").orderBy("row")))
-    head = rows.filter("_n = 1").select("source_title", F.transform("cells", lambda c, i: F.when(c == "", F.concat(F.lit("列"), (i + 1).cast("string"))).otherwise(c)).alias("headers"))
-    body = rows.filter("_n > 1").join(head, "source_title")
-    label = F.try_element_at(F.filter("cells", lambda c: c != ""), F.lit(1))
-    long = body.select("source_title", "row", label.alias("row_label"), "headers", F.posexplode("cells").alias("col", "value")).filter("value <> ''")
-    from ..functions.text import normalize_value
+    """A3 over files: the first non-blank row is the header, a blank header becomes 列n, the row label is the first non-empty cell.
 
-    coordinate = F.concat(F.char(F.lit(65) + F.col("col") % 26), (F.col("row") + 1).cast("string"))
-    return long.select("source_title", "row_label", F.try_element_at("headers", F.col("col") + 1).alias("column_label"), coordinate.alias("coordinate"), "value", normalize_value(F.col("value")).alias("numeric_value"))
+    Coordinates count non-blank rows; the unit is the row's value under a header with 单位;
+    year, month and quarter are read from the title and the headers.
+    """
+    rows = csv_rows(spark, path)
+    head = rows.filter("row = 1").select("source_title", F.col("cells").alias("_h"))
+    body = rows.filter("row > 1").join(head, "source_title")
+    headers = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_h"), F.size("cells")) - 1), lambda i: F.coalesce(F.nullif(F.get("_h", i), F.lit("")), F.concat(F.lit("列"), (i + 1).cast("string"))))
+    body = body.withColumn("_h", headers)
+    label = F.try_element_at(F.filter("cells", lambda c: c != ""), F.lit(1))
+    unit = F.try_element_at(F.filter(F.zip_with("_h", "cells", lambda h, c: F.when(F.contains(h, F.lit("单位")) & (c != ""), c)), lambda x: x.isNotNull()), F.lit(1))
+    named = F.concat_ws(" ", "source_title", F.array_join("_h", " "))
+    number = lambda p: F.nullif(F.regexp_extract(named, p, 1), F.lit(""))
+    body = body.select(
+        "source_title", "row", label.alias("row_label"), unit.alias("unit"), number(r"(20\d{2})年").cast("int").alias("year"), number(r"(\d{1,2})月").cast("int").alias("month"),
+        numeral(number(r"([一二三四1-4])季")).alias("quarter"), "_h", F.posexplode("cells").alias("_c", "value"),
+    ).filter("value <> ''")
+    coordinate = F.concat(column_letters(F.col("_c") + 1), F.col("row").cast("string"))
+    return body.select("source_title", "row_label", F.get("_h", F.col("_c")).alias("column_label"), coordinate.alias("coordinate"), "value", normalize_value(F.col("value")).alias("numeric_value"), "unit", "year", "month", "quarter")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A4: (documents, rejected lines): body is the first non-empty of text, content, body; other fields stay as text."""
+    """A4: (documents, rejected lines): body is the first non-empty of text, content, body; other scalar fields stay as text."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
-    parsed = lines.withColumn("m", F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}))
+    parsed = lines.withColumn("m", F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})).withColumn("_v", F.from_json("value", "map<string,variant>", {"mode": "PERMISSIVE"}))
     body = F.coalesce(*[F.nullif(F.trim(F.col("m")[k]), F.lit("")) for k in ("text", "content", "body")])
     rows = parsed.withColumn("body", body)
-    fields = F.map_filter("m", lambda k, v: ~k.isin("text", "content", "body", "title") & v.isNotNull())
+    fields = F.map_filter("m", lambda k, v: ~k.isin("text", "content", "body", "title") & v.isNotNull() & ~F.schema_of_variant(F.col("_v")[k]).rlike("^(OBJECT|ARRAY)"))
     good = rows.filter("body is not null").select("file", "body", F.col("m")["title"].alias("section_title"), fields.alias("metadata"))
     reason = F.when(F.col("m").isNull() | (F.size("m") == 0), "not_an_object").otherwise("no_body")
     return good, rows.filter("body is null").select("file", "value", reason.alias("reason"))

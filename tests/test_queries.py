@@ -8,11 +8,11 @@ import os
 import duckdb
 import pytest
 
-from evidence_spark.plans import evidence, relational, retrieval
+from evidence_spark.plans import evidence, relational, retrieval, rules, support
 
 SF = "/root/testdata/sf0.001"
-QUERIES = retrieval.QUERIES | relational.QUERIES | evidence.QUERIES
-SQL = retrieval.SQL | relational.SQL | evidence.SQL
+QUERIES = retrieval.QUERIES | relational.QUERIES | evidence.QUERIES | rules.QUERIES | support.QUERIES
+SQL = retrieval.SQL | relational.SQL | evidence.SQL | rules.SQL | support.SQL
 
 
 @pytest.fixture(scope="module")
