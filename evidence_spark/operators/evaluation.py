@@ -9,12 +9,13 @@ from pyspark.sql.window import Window as W
 from ..functions.text import number_match, numbers, text_score
 
 
-def hit_ranks(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def hit_ranks(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5), wanted: DataFrame | None = None) -> DataFrame:
     """G1: first rank of an acceptable chunk per (case_id, aspect_id), hit@k flags; no hit gives null and false.
 
-    ranked: case_id, aspect_id, chunk_id, rank; gold: case_id, aspect_id, acceptable (array).
+    ranked: case_id, aspect_id, chunk_id, rank; gold: case_id, aspect_id, acceptable (array),
+    or without it, with the acceptable chunks as rows in wanted (case_id, aspect_id, chunk_id).
     """
-    wanted = gold.select("case_id", "aspect_id", F.explode("acceptable").alias("chunk_id")).distinct()
+    wanted = (gold.select("case_id", "aspect_id", F.explode("acceptable").alias("chunk_id")) if wanted is None else wanted).distinct()
     first = ranked.join(wanted, ["case_id", "aspect_id", "chunk_id"]).groupBy("case_id", "aspect_id").agg(F.min("rank").alias("first_rank"))
     out = gold.select("case_id", "aspect_id").join(first, ["case_id", "aspect_id"], "left")
     return out.select("*", *[F.coalesce(F.col("first_rank") <= k, F.lit(False)).alias(f"hit{k}") for k in ks])

@@ -6,21 +6,21 @@ join before it made for that query; row_number <= k lets Spark prune before the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import bigram_support, token_count
+from ..functions.text import bigram_support, let, token_count
 
 #: Weight of each kind of query variant, and of each evidence role.
 VARIANT_WEIGHTS = {"semantic": 1.0, "statement": 1.15, "table": 1.2, "keyword": 0.75, "legacy": 0.9, "fallback": 0.85}
 ROLE_WEIGHTS = {"direct": 3, "table_evidence": 3, "table_context": 2, "related": 1}
-#: Query matrices are sent to the tasks in blocks of so many rows.
-QUERY_BLOCK = 4096
+#: Vectors in a block, queries in a lot, and products that a task holds at a time.
+VECTOR_BLOCK, QUERY_LOT, PRODUCTS = 16_384, 4_096, 1 << 22
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -29,35 +29,80 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str =
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, q: str = "query_id", c: str = "chunk_id", vector: str = "vector") -> DataFrame:
-    """The k vectors of greatest inner product for every query.
+    """The k vectors of greatest inner product for every query; ties (to nine places) go to the smaller id.
 
-    Queries are packed into blocks of QUERY_BLOCK rows; each task multiplies its vectors
-    by a block and keeps k per query, a window merges what the tasks kept.
+    Vectors are dealt into blocks, queries into lots; each block meets each lot once and
+    keeps k per query, a window merges what the blocks kept. Null vectors take no part;
+    all others are of one length.
     """
-    lots = -(-queries.count() // QUERY_BLOCK)
-    lot = F.pmod(F.xxhash64("_q"), F.lit(max(1, lots)))
-    parts = queries.select(F.col(q).alias("_q"), F.col(vector).alias("_v")).withColumn("_block", lot)
-    packed = parts.groupBy("_block").agg(F.collect_list(F.struct("_q", "_v")).alias("_rows"))  # about QUERY_BLOCK rows
+    blocks, lots = (max(1, -(-df.count() // n)) for df, n in ((vectors, VECTOR_BLOCK), (queries, QUERY_LOT)))
+    deal = lambda df, ident, n, name: df.select(F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).filter("_v is not null").withColumn(name, F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int"))
+    each = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     kind_q, kind_c = dict(queries.dtypes)[q], dict(vectors.dtypes)[c]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in pdf.groupby("_block"):
-                rows = part["_rows"].iloc[0]
-                ids = [r["_q"] for r in rows]
-                m = np.array([r["_v"] for r in rows], np.float64)
-                scores = np.array(part["_vec"].tolist(), np.float64) @ m.T
-                names = part["_c"].to_numpy()
-                for i, ident in enumerate(ids):
-                    best = np.lexsort((names, -scores[:, i].round(9)))[:k]
-                    yield pd.DataFrame({q: ident, c: names[best], "score": scores[best, i]})
-
-    mine = vectors.select(F.col(c).alias("_c"), F.col(vector).alias("_vec"))
-    paired = mine.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, lots - 1)).cast("long")))).join(packed, "_block")
-    found = paired.mapInPandas(search, f"{q} {kind_q}, {c} {kind_c}, score double")
+    matrix = lambda t: t["_v"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+
+    def search(block: pa.Table, lot: pa.Table) -> pa.Table:
+        at, of, scores = [], [], []
+        if len(block) and len(lot):
+            block = block.sort_by("_id")
+            m, v = matrix(lot), matrix(block)
+            step = max(1, PRODUCTS // len(v))
+            for i in range(0, len(m), step):
+                s = m[i : i + step] @ v.T
+                shown = s.round(9)
+                least = np.partition(shown, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k)]
+                for j, row in enumerate(shown):
+                    some = np.flatnonzero(row >= least[j])
+                    best = some[np.argsort(-row[some], kind="stable")[:k]]  # rows are in the order of ids
+                    at.append(np.full(len(best), i + j))
+                    of.append(best)
+                    scores.append(s[j, best])
+        take = lambda t, x: t["_id"].take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
+        return pa.table({q: take(lot, at), c: take(block, of), "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
+
+    left, right = each(deal(vectors, c, blocks, "_block"), lots, "_lot"), each(deal(queries, q, lots, "_lot"), blocks, "_block")
+    found = left.groupBy("_block", "_lot").cogroup(right.groupBy("_block", "_lot")).applyInArrow(search, f"{q} {kind_q}, {c} {kind_c}, score double")
     return top(found, [q], [F.desc(F.round("score", 9)), F.col(c)], k)
 
 
+def hashed_vector(text: Column, dim: int = 64) -> Column:
+    """A text's word counts dealt to `dim` places by MD5, of unit length: an encoder without a model."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    places = F.transform(tokens, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
+    counts = let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(p, lambda x: x == i)).cast("double")))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return let(counts, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
+
+
+def embed(df: DataFrame, key: str = "chunk_id", text: str = "text", encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, dim: int = 64, lot: int = 256) -> DataFrame:
+    """(key, vector) of every row; a null or blank text is an error of the job.
+
+    encoder is called once per task and gives a function from texts to a matrix, a row each;
+    without one, hashed_vector encodes in the JVM.
+    """
+    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    checked = F.when(blank, F.raise_error(F.concat(F.lit("blank text: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.col(text))
+    if encoder is None:
+        return df.select(key, hashed_vector(checked, dim).alias("vector"))
+    rows = df.select(key, checked.alias("_x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder()
+        for b in batches:
+            for i in range(0, b.num_rows, lot):
+                part = b.slice(i, lot)
+                v = np.asarray(encode(part.column(1).to_pylist()), np.float64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(v), pa.list_(pa.float64()))], [key, "vector"])
+
+    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, vector array<double>")
+
+
+def to_postings(df: DataFrame, key: str, weights: str = "weights") -> DataFrame:
+    """(key, token, weight) of a map from tokens to weights; zero, null and non-numeric weights are left out."""
+    rows = df.select(key, F.explode(F.col(weights)).alias("token", "_w")).withColumn("weight", F.col("_w").cast("string").try_cast("double"))
+    return rows.filter(F.col("weight").isNotNull() & (F.col("weight") != 0) & ~F.isnan("weight")).select(key, "token", "weight")
+
+
 def sparse_topk(q_postings: DataFrame, postings: DataFrame, k: int, q: str = "query_id", c: str = "chunk_id") -> DataFrame:
     """The k chunks of greatest dot product on shared tokens for every query."""
     joined = postings.join(q_postings.select(q, "token", F.col("weight").alias("_w")), "token")

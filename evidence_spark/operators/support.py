@@ -34,6 +34,14 @@ ITEM_WORDS = "应当|不得|包括|范围|条件|要求|期限|时限"
 ITEM_MARK = r"(?:^|[\s。；;])(?:\d{1,2}|[一二三四五六七八九十]+)[.．、]|（[一二三四五六七八九十]+）"
 OPEN_LEAD = r"(?:以下|下列|包括|分为|列明)[^。；]{0,30}[：:]?\s*$|[:：]\s*$"
 ITEM_START = r"^\s*(?:\d+[.、]|[（(][一二三四五六七八九十百\d]+[）)]|[一二三四五六七八九十百]+、)"
+#: A duty or permission that governs a list, an item that it may govern, and how a statement's list and scope are worded.
+GOVERNING = r"(?:不得|禁止|严禁|应当|可以|可).{0,40}(?:以下|下列).{0,12}(?:行为|情形|事项|活动|要求|规定)?[:：]"
+GOVERNED = r"(?:^|[；;。])（[一二三四五六七八九十百0-9]+）"
+ENUMERATION, SCOPE = r"(?:包括|包含|分为)([^。；;]+)", r"^(.{4,80}?)(?:包括|包含|分为)"
+SECTION_START = r"^(?:[一二三四五六七八九十百]+[、.]|第[一二三四五六七八九十百\d]+章)"
+#: How a named part is asked for, what asks for its contents, and how a heading begins.
+NAMED_PART, CONTENTS_WORDS = r"([一-鿿]{2,12})部分", "哪些方面|哪些内容|包括哪些|涵盖哪些|说明哪些"
+HEADING = r"(?:^|\n)\s*((?:[（(][一二三四五六七八九十百\d]+[）)]|\d+[.、])[^\n]{1,50})"
 
 
 def _length(text: Column) -> Column:
@@ -267,3 +275,62 @@ def resolve_references(refs: DataFrame, objects: DataFrame, most: int = 2, c: st
     once = hits.groupBy(c, "target_id").agg(F.min(F.struct("ref_no", "_at", "kind")).alias("f"))
     ranked = once.withColumn("rank", F.row_number().over(W.partitionBy(c).orderBy("f.ref_no", "f._at", "target_id"))).filter(F.col("rank") <= most)
     return ranked.select(c, "target_id", F.col("f.kind").alias("kind"), "rank")
+
+
+def statements_of(texts: Column) -> Column:
+    """Statements, then their clauses, then the items of their lists, distinct."""
+    plain = F.filter(F.transform(texts, lambda t: F.trim(F.coalesce(t, F.lit("")))), lambda t: t != "")
+    clauses = F.flatten(F.transform(plain, lambda t: F.concat(F.array(t), F.filter(F.transform(F.split(t, "[；;，,]"), lambda p: F.trim(p)), lambda p: _length(p) >= 4))))
+    lists = lambda t: F.regexp_extract(t, ENUMERATION, 1)
+    parts = lambda x: F.filter(F.transform(F.split(x, "、"), lambda p: F.regexp_replace(p, "^[ ，,。]+|[ ，,。]+$", "")), lambda p: F.char_length(p) >= 3)
+    items = F.flatten(F.transform(clauses, lambda t: F.when(F.contains(lists(t), F.lit("、")), parts(lists(t))).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(clauses, F.array_sort(F.array_distinct(items))))
+
+
+def statement_support(statements: DataFrame, chunks: DataFrame, scope: DataFrame, limit: int = 10, leads: int = 4, q: str = "question_id") -> DataFrame:
+    """Per question the chunks of its documents that best carry its statements, the lead-ins that govern them, and sections it names.
+
+    statements: q, statement; scope: q, doc_id. Per document and statement the chunk of the
+    greatest bigram recall, at least 0.45, that holds all quoted terms; per chunk its best
+    statement; the best `limit`. For an enumerated item the nearest governing lead-in of the
+    eight chunks before; at most `leads`. A chunk whose first line is a heading that holds the
+    scope of a listing statement comes as section. role: support, lead or section.
+    """
+    s = statements.select(q, "statement").distinct().withColumn("_p", normalize_support(F.col("statement")))
+    quoted = F.regexp_extract_all("statement", F.lit("[“\"‘']([^”\"’']{2,40})[”\"’']"), F.lit(1))
+    text = F.coalesce("text", F.lit(""))
+    c = chunks.select("doc_id", "chunk_id", "pos", text.alias("_x"), normalize_support(text).alias("_t"), F.regexp_replace(text, r"\s+", "").alias("_flat"))
+    mine = scope.select(q, "doc_id").distinct()
+    pairs = s.join(mine, q).join(c, "doc_id").filter(F.forall(quoted, lambda t: F.contains("_t", normalize_support(t))))
+    pairs = pairs.withColumn("score", F.round(bigram_support(F.col("statement"), F.col("_x")), 6)).filter("score >= 0.45")
+    best = pairs.groupBy(q, "doc_id", "statement").agg(F.min(F.struct((-F.col("score")).alias("o"), "pos", "chunk_id")).alias("b"))
+    one = best.groupBy(q, "doc_id", F.col("b.chunk_id").alias("chunk_id"), F.col("b.pos").alias("pos")).agg(F.min(F.struct(F.col("b.o").alias("o"), (-F.char_length("statement")).alias("l"), "statement")).alias("f"))
+    ranked = one.withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy("f.o", "f.l", "f.statement", "chunk_id"))).filter(F.col("rank") <= limit)
+    support = ranked.select(q, F.lit("support").alias("role"), "rank", "chunk_id", F.col("f.statement").alias("statement"), (-F.col("f.o")).alias("score"))
+    w = W.partitionBy("doc_id").orderBy("pos").rowsBetween(-8, -1)
+    modal = F.col("_flat").rlike(GOVERNING)
+    ruled = c.withColumn("_lead", F.last(F.when(modal, F.col("chunk_id")), ignorenulls=True).over(w)).filter(F.col("_flat").rlike(GOVERNED) & ~modal & F.col("_lead").isNotNull()).select("chunk_id", "_lead")
+    led = ranked.join(ruled, "chunk_id").groupBy(q, "_lead").agg(F.min("rank").alias("_first"))
+    lead = led.withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy("_first", "_lead"))).filter(F.col("rank") <= leads)
+    lead = lead.select(q, F.lit("lead").alias("role"), "rank", F.col("_lead").alias("chunk_id"), F.lit(None).cast("string").alias("statement"), F.lit(None).cast("double").alias("score"))
+    scopes = s.select(q, normalize_support(F.regexp_extract("statement", SCOPE, 1)).alias("_s")).filter("_s <> ''").distinct()
+    heads = c.withColumn("_first", F.substring_index(F.regexp_replace("_x", r"^\s+", ""), "\n", 1)).filter(F.col("_first").rlike(SECTION_START))
+    named = scopes.join(mine, q).join(heads, "doc_id").filter(F.contains(normalize_support(F.col("_first")), F.col("_s"))).select(q, "chunk_id").distinct()
+    section = named.select(q, F.lit("section").alias("role"), F.lit(0).alias("rank"), "chunk_id", F.lit(None).cast("string").alias("statement"), F.lit(1.0).alias("score"))
+    return support.unionByName(lead).unionByName(section)
+
+
+def section_outline(questions: DataFrame, chunks: DataFrame, scope: DataFrame, most: int = 12, q: str = "question_id") -> DataFrame:
+    """For a question after the contents of a named part the first chunk in scope whose last path element holds its name, and up to `most` headings under the same top heading.
+
+    chunks: doc_id, chunk_id, pos, section_path (array), text. Fewer than two headings give an empty outline.
+    """
+    asked = questions.filter(F.col("question").rlike(CONTENTS_WORDS)).select(q, F.regexp_extract("question", NAMED_PART, 1).alias("_label")).filter("_label <> ''")
+    c = chunks.filter(F.size("section_path") > 0).select("doc_id", "chunk_id", "pos", F.element_at("section_path", 1).alias("_top"), F.element_at("section_path", -1).alias("_end"), F.substring(F.coalesce("text", F.lit("")), 1, 500).alias("_x"))
+    hit = asked.join(scope.select(q, "doc_id").distinct(), q).join(c, "doc_id").filter(F.contains("_end", F.col("_label")))
+    first = hit.groupBy(q).agg(F.min(F.struct("doc_id", "pos", "chunk_id", "_top")).alias("f")).select(q, "f.doc_id", "f.chunk_id", "f._top")
+    found = c.select("doc_id", "_top", "pos", F.posexplode(F.regexp_extract_all("_x", F.lit(HEADING), F.lit(1))).alias("_i", "_h")).withColumn("_h", F.trim(F.regexp_replace("_h", r"\s+", " ")))
+    kin = first.join(found, ["doc_id", "_top"]).groupBy(q, "_h").agg(F.min(F.struct("pos", "_i")).alias("_at"))
+    kept = kin.withColumn("_r", F.row_number().over(W.partitionBy(q).orderBy("_at"))).withColumn("_n", F.count("*").over(W.partitionBy(q))).filter((F.col("_r") <= most) & (F.col("_n") >= 2))
+    lists = kept.groupBy(q).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_h"))), lambda x: x["_h"]).alias("outline"))
+    return first.join(lists, q, "left").select(q, "chunk_id", F.coalesce("outline", F.array().cast("array<string>")).alias("outline"))

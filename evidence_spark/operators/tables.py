@@ -190,6 +190,28 @@ def match_indicators(questions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.select("question_id", "term", F.expr("locate(lower(term), lower(question))").alias("position"))
 
 
+#: What a table's title is compared without.
+TITLE_NOISE, TITLE_FILLER = r"^\d+_|20\d{2}年|\d{1,2}月|[一二三四1-4]季度|\.(?:xlsx?|csv)$", r"情况|公司经营|[《》\s]"
+
+
+def match_source(questions: DataFrame, titles: DataFrame) -> DataFrame:
+    """the one table whose title fits a question's period and is contained in it without serial number, period and filler; others give no row.
+
+    questions: question_id, question, year, month, quarter (null: any; with all null, a single
+    year and month named in the question); titles: source_title.
+    """
+    plain = lambda t: F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), TITLE_NOISE, ""), TITLE_FILLER, "")
+    said = F.regexp_extract_all("question", F.lit(r"(20\d{2})年\d{1,2}月"), F.lit(1)), F.regexp_extract_all("question", F.lit(r"(\d{1,2})月"), F.lit(1))
+    unset = F.coalesce("year", "month", "quarter").isNull() & (F.size(F.array_distinct(said[0])) == 1) & (F.size(F.array_distinct(said[1])) == 1)
+    q = questions.select("question_id", plain(F.col("question")).alias("_q"), F.when(unset, said[0][0].cast("int")).otherwise(F.col("year")).alias("_y"), F.when(unset, said[1][0].cast("int")).otherwise(F.col("month")).alias("_m"), F.col("quarter").alias("_k"))
+    t = titles.select("source_title", plain(F.col("source_title")).alias("_t")).distinct()
+    held = contained(t, "_t", q, "_q")
+    has = lambda n, before, after: n.isNull() | (F.regexp_count("source_title", F.concat(F.lit(before), n.cast("string"), F.lit(after))) > 0)
+    fits = held.filter(has(F.col("_y"), "", "年") & has(F.col("_m"), r"(?<!\d)", "月") & has(F.col("_k"), "", "季度"))
+    one = fits.groupBy("question_id").agg(F.count_distinct("source_title").alias("_n"), F.min("source_title").alias("_s")).filter("_n = 1")
+    return one.select("question_id", F.regexp_replace("_s", r"^\d+_|\.(?:xlsx?|csv)$", "").alias("source_title"))
+
+
 def label_vocabulary(cells: DataFrame) -> DataFrame:
     """Distinct parts of row and column labels, numbering stripped, 2 to 80 characters."""
     parts = F.explode(F.concat(F.split("row_label", r"\s*/\s*"), F.split("column_label", r"\s*/\s*")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, evaluation, search
+from ..operators.joins import checked_broadcast, contained
 from ..sources import documents as readers
 from .tables import table
 
@@ -116,23 +117,40 @@ SELECT count(*) AS cases, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0.0 END),
   round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0.0 END), 6) AS aspect_recall_at_5 FROM hr""")
 def retrieval_recall(spark: SparkSession, d: str) -> DataFrame:
     """Passages as questions over chunk windows: sparse top-k, document coverage, recall against gold found in the corpus."""
-    hits, ch = sparse_hits(spark, d, 10)
-    ranked = search.limit_with_coverage(hits.join(ch.select("chunk_id", F.col("doc_id").alias("document_id")), "chunk_id"), 5)
-    ranked = ranked.select(F.col("query_id").alias("case_id"), F.lit(0).alias("aspect_id"), "chunk_id", F.col("selected_rank").alias("rank"))
-    found = gold_documents(table(spark, d, "benchmark"), table(spark, d, "documents"))
-    wanted = ch.join(found, "doc_id").groupBy(F.col("item_id").alias("case_id")).agg(F.collect_set("chunk_id").alias("acceptable"))
-    gold = wanted.select("case_id", F.lit(0).alias("aspect_id"), "acceptable")
-    return evaluation.retrieval_metrics(evaluation.hit_ranks(ranked, gold))
+    hits, _ = sparse_hits(spark, d, 10)
+    document = F.substring_index("chunk_id", "-", 1).cast("long").alias("document_id")  # as link_chunks names chunks
+    ranked = search.limit_with_coverage(hits.select("*", document), 5)
+    ranked = ranked.select(F.col("query_id").alias("case_id"), F.lit(0).alias("aspect_id"), "chunk_id", F.col("selected_rank").alias("rank"), "document_id")
+    found = gold_documents(table(spark, d, "benchmark"), table(spark, d, "documents")).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("document_id"))
+    wanted = ranked.join(found, ["case_id", "document_id"]).select("case_id", "aspect_id", "chunk_id")
+    gold = found.select("case_id", F.lit(0).alias("aspect_id")).distinct()
+    return evaluation.retrieval_metrics(evaluation.hit_ranks(ranked.drop("document_id"), gold, wanted=wanted))
+
+
+def shingle_keys(text: F.Column, width: int, skip: int = 0) -> F.Column:
+    """Distinct hashes of every `width` neighbouring words; a shorter text has none."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    runs = lambda w: F.transform(F.sequence(F.lit(skip), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(width)]))
+    return F.array_distinct(T.let(words, lambda w: F.when(F.size(w) >= width + skip, runs(w)).otherwise(F.array().cast("array<bigint>"))))
 
 
 def gold_documents(items: DataFrame, docs: DataFrame, probe: int = 5) -> DataFrame:
-    """(item_id, doc_id) where a document holds the passage; probed by its first words, then verified."""
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    # The first word may be glued to what stands before it, so the probe starts at the second.
-    start = items.select("item_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice(words(F.col("text")), 2, probe), " ")).alias("_p"))
-    keys = F.array_distinct(T.let(words(F.coalesce("text", F.lit(""))), lambda w: F.when(F.size(w) >= probe, F.transform(F.sequence(F.lit(1), F.size(w) - probe + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, probe), " ")))).otherwise(F.array().cast("array<bigint>"))))
-    probes = docs.select("doc_id", F.explode(keys).alias("_p")).join(F.broadcast(start.select("item_id", "_p")), "_p").select("doc_id", "item_id").distinct()
-    return probes.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(start.select("item_id", "passage")), "item_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    """(item_id, doc_id) where a document holds the passage; probed by five words, then verified.
+
+    The first word may be glued to what stands before it and the last to what follows, so the
+    probe is the passage's rarest run of words inside; passages of fewer words are looked for
+    by their rarest run of characters.
+    """
+    cut = items.select("item_id", F.col("text").alias("passage"), F.regexp_replace("text", r"[^\x20\x09-\x0D]+$", "").alias("_inner"))
+    keys = cut.select("item_id", F.explode(shingle_keys(F.col("_inner"), probe, 1)).alias("_p"))
+    held = docs.select("doc_id", F.explode(shingle_keys(F.col("text"), probe)).alias("_p")).join(checked_broadcast(keys.select("_p").distinct()), "_p", "left_semi")
+    often = held.groupBy("_p").agg(F.count("*").alias("_n"))
+    rarest = keys.join(often, "_p", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_p")).alias("r"))
+    probes = held.join(rarest.filter("r.n > 0").select("item_id", F.col("r._p").alias("_p")), "_p").select("doc_id", "item_id")
+    passages = cut.select("item_id", "passage")
+    long = probes.join(docs.select("doc_id", "text"), "doc_id").join(passages, "item_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = passages.join(keys.select("item_id").distinct(), "item_id", "left_anti")
+    return long.unionByName(contained(short, "passage", docs.select("doc_id", "text"), "text").select("item_id", "doc_id"))
 
 
 @query("gold_documents", "SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -292,12 +310,19 @@ def answer_text_scores(spark: SparkSession, d: str) -> DataFrame:
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.text_score(F.col("text"), F.col("answer")), 6).alias("score"))
 
 
-@query("anchor_coverage", r"""WITH p AS (SELECT b.item_id, regexp_replace(b.text, '\s+', '', 'g') AS a, d.doc_id, regexp_replace(d.text, '\s+', '', 'g') AS t FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.doc_id // 40 = b.item_id // 40),
+@query("anchor_coverage", r"""WITH w AS (SELECT item_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark), v AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS k FROM w, unnest(range(1, len(w) - 3)) AS r(i)), y AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM v, unnest(range(1, len(w) - 3)) AS r(i)),
+j AS (SELECT DISTINCT item_id, doc_id FROM x JOIN y USING (k)),
+p AS (SELECT item_id, doc_id, regexp_replace(w.text, '\s+', '', 'g') AS a, regexp_replace(v.text, '\s+', '', 'g') AS t FROM j JOIN w USING (item_id) JOIN v USING (doc_id)),
 s AS (SELECT *, list_distinct([a[i:i+1] for i in range(1, length(a))]) AS ga, list_distinct([t[i:i+1] for i in range(1, length(t))]) AS gt FROM p)
-SELECT item_id, doc_id, round(CASE WHEN a = '' OR t = '' THEN 0.0 WHEN contains(t, a) THEN 1.0 ELSE len(list_intersect(ga, gt))::DOUBLE / greatest(len(ga), 1) END, 6) AS coverage FROM s""")
+SELECT item_id, doc_id, round(CASE WHEN a = '' OR t = '' THEN 0.0 WHEN contains(t, a) THEN 1.0 ELSE len(list_intersect(ga, gt))::DOUBLE / greatest(len(ga), 1) END, 6) AS coverage FROM s""")
 def anchor_coverage(spark: SparkSession, d: str) -> DataFrame:
-    pair = table(spark, d, "benchmark").withColumnRenamed("text", "anchor").join(table(spark, d, "documents").select("doc_id", "text"), F.col("item_id") == F.col("doc_id"))
-    return pair.select("item_id", "doc_id", F.round(T.anchor_coverage(F.col("anchor"), F.col("text")), 6).alias("coverage"))
+    """Every pair of a passage and a document that share five neighbouring words."""
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", "text")
+    keys = lambda df, c: df.select(c, F.explode(shingle_keys(F.col("text"), 5)).alias("_p"))
+    pairs = keys(docs, "doc_id").join(keys(items, "item_id"), "_p").select("item_id", "doc_id").distinct()
+    both = pairs.join(items.select("item_id", F.col("text").alias("anchor")), "item_id").join(docs, "doc_id")
+    return both.select("item_id", "doc_id", F.round(T.anchor_coverage(F.col("anchor"), F.col("text")), 6).alias("coverage"))
 
 
 @query("phrase_support")

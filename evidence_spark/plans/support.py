@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, contract, scoring, support
+from ..operators import chunking, contract, grids, scoring, search, support
+from ..operators import tables as tb
 from .rules import rowset, turns
 from .tables import table
 
@@ -394,3 +395,79 @@ def answer_flags(spark: SparkSession, d: str) -> DataFrame:
     options = o.select(k.alias("case_id"), F.explode(F.array(F.lit(other), F.lit("short"))).alias("option_text"))
     cites = o.select(k.alias("case_id"), F.when(k % 5 == 0, "see The Gold Option (that is worded at length)").otherwise("other").alias("excerpt"))
     return scoring.answer_flags(rows, options, cites).select("case_id", "wrong_option", "supported", "needs_review")
+
+
+# ---- encoders, postings, statements, outlines, layouts, sources (D1, D2, D32, D50, C17, F20) ----
+
+
+@query("hashed_embeddings", r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS w FROM benchmark), p AS (SELECT item_id, ('0x' || md5(w)[1:8])::BIGINT % 64 AS place, count(*)::DOUBLE AS n FROM w GROUP BY ALL)
+SELECT item_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 9) AS value FROM p""")
+def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    v = search.embed(table(spark, d, "benchmark"), "item_id")
+    return v.select("item_id", F.posexplode("vector").alias("p", "x")).filter("x > 0").select("item_id", F.col("p").cast("long").alias("place"), F.round("x", 9).alias("value"))
+
+
+@query("weight_postings", """SELECT l_orderkey * 10 + l_linenumber AS chunk_id, l_partkey AS part, l_suppkey AS supp, u.t AS token, u.w AS weight FROM lineitem, unnest([{'t': 'tax', 'w': l_tax}, {'t': 'discount', 'w': l_discount}, {'t': 'quantity', 'w': l_quantity::DOUBLE}]) AS x(u) WHERE u.w <> 0""")
+def weight_postings(spark: SparkSession, d: str) -> DataFrame:
+    names = ("tax", "discount", "quantity")
+    m = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"l_{n}").cast("double").cast("string"))], F.lit("flag"), F.lit("heavy"), F.lit("none"), F.lit(None).cast("string"))
+    rows = table(spark, d, "lineitem").select(F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp")).alias("k"), m.alias("weights"))
+    return search.to_postings(rows, "k").select("k.*", "token", "weight")
+
+
+@query("statement_evidence", f"""WITH {TURNS}, s AS (SELECT conv_id AS question_id, array_to_string(string_split_regex(trim(text), ' +')[a:b], ' ') AS statement FROM c, (VALUES (1, 9), (3, 12)) v(a, b) WHERE turn = 0),
+u AS (SELECT DISTINCT question_id, unnest(list_concat([statement], list_filter(list_transform(string_split_regex(statement, '[；;，,]'), lambda x: trim(x, ' ')), lambda x: length({NORM.format('x')}) >= 4))) AS statement FROM s WHERE trim(statement) <> ''),
+j AS (SELECT question_id, statement, k AS chunk_id, turn AS pos, {NORM.format('statement')} AS p, {NORM.format('text')} AS t FROM u JOIN c ON conv_id = question_id),
+r AS (SELECT *, round({RECALL.format(t='t', p='p')}, 6) AS score FROM j WHERE length(p) > 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY question_id, statement ORDER BY score DESC, pos) AS n FROM r WHERE score >= 0.45),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY score DESC, length(statement) DESC, statement) AS m FROM b WHERE n = 1)
+SELECT question_id, 'support' AS role, rank, chunk_id, statement, score FROM (SELECT *, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, length(statement) DESC, statement, chunk_id))::INTEGER AS rank FROM o WHERE m = 1) WHERE rank <= 10""")
+def statement_evidence(spark: SparkSession, d: str) -> DataFrame:
+    w = words(F.col("text"))
+    part = lambda a, b: F.array_join(F.slice(w, a, b - a + 1), " ")
+    first = table(spark, d, "conversations").filter("turn = 0")
+    s = first.select(F.col("conv_id").alias("question_id"), F.explode(support.statements_of(F.array(part(1, 9), part(3, 12)))).alias("statement"))
+    scope = first.select(F.col("conv_id").alias("question_id"), F.col("conv_id").alias("doc_id"))
+    return support.statement_support(s, chunk_rows(spark, d, F.col("text")), scope)
+
+
+@query("section_outlines", """WITH r AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem), g AS (SELECT o, min(n) AS f, count(*) AS c, string_agg('（' || ['一','二','三','四','五','六','七'][n] || '）item ' || n, '|' ORDER BY n) AS s FROM r GROUP BY o)
+SELECT o AS question_id, o * 10 + f AS chunk_id, CASE WHEN c >= 2 THEN s ELSE '' END AS outline FROM g WHERE o % 3 = 0""")
+def section_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """An order is a document of one part, its lines are the part's chunks; every third order is asked for."""
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos")).distinct()
+    mark = F.element_at(F.array(*[F.lit(x) for x in "一二三四五六七"]), F.col("pos"))
+    text = F.concat(F.lit("\n （"), mark, F.lit("）item  "), F.col("pos").cast("string"), F.lit("\nbody"))
+    chunks = r.select("doc_id", (F.col("doc_id") * 10 + F.col("pos")).alias("chunk_id"), "pos", F.array(F.lit("总则"), F.lit("风险管理部分")).alias("section_path"), text.alias("text"))
+    asked = r.select("doc_id").distinct().select(F.col("doc_id").alias("question_id"), F.when(F.col("doc_id") % 3 == 0, "风险管理部分包括哪些").otherwise("风险管理部分").alias("question"))
+    out = support.section_outline(asked, chunks, asked.select("question_id", F.col("question_id").alias("doc_id")))
+    return out.select("question_id", "chunk_id", F.array_join("outline", "|").alias("outline"))
+
+
+@query("grid_layouts", """WITH g AS (SELECT n_name AS sheet, n_nationkey AS k, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT sheet, (3 + k % 2)::INTEGER AS first_row, 2 AS first_col, (7 + k % 2)::INTEGER AS data_row, '年度 / 名称|2024 / 余额|2024 / 段' AS headers, '1,3' AS label_cols FROM g""")
+def grid_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """A nation's customers as a sheet: title, unit, two header rows, then a row per customer."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    top = (F.col("n_nationkey") % 2 + 3).cast("int")
+    from pyspark.sql.window import Window as W
+
+    at = (F.row_number().over(W.partitionBy("n_name").orderBy("c_custkey")) + top + 3).cast("int")
+    c = c.withColumn("at", at)
+    at = F.col("at")
+    body = c.select(F.col("n_name").alias("sheet"), F.explode(rowset(["row", "col", "value"], (at, 2, F.col("c_name")), (at, 3, F.format_number("c_acctbal", 2)), (at, 4, F.col("c_mktsegment")))).alias("r")).select("sheet", "r.*")
+    head = rowset(["row", "col", "value"], (top - 2, 1, " "), (top, 2, "统计表"), (top + 1, 4, "单位：元"), (top + 2, 2, "年度"), (top + 2, 3, "2024 "), (top + 2, 4, "2024 "), (top + 3, 2, "名称"), (top + 3, 3, "余额"), (top + 3, 4, "段"))
+    heads = c.select(F.col("n_name").alias("sheet"), "n_nationkey").distinct().select("sheet", F.explode(head).alias("r")).select("sheet", "r.*")
+    out = grids.infer_layout(body.unionByName(heads), ["sheet"])
+    return out.select("sheet", "first_row", "first_col", "data_row", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("label_cols", lambda x: x.cast("string")), ",").alias("label_cols"))
+
+
+@query("question_sources", """SELECT n_nationkey * 100 + m AS question_id, lower('Orders of ' || n_name) || '2024年' || m || '月' AS source_title FROM nation n, unnest([1, 2, 11]) AS u(m) WHERE m < 11 AND (SELECT count(*) FROM nation o WHERE contains(n.n_name, o.n_name)) = 1""")
+def question_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Titles by nation and month; a question that holds two titles has none, as has month 11."""
+    n = table(spark, d, "nation")
+    month = lambda *ms: F.explode(F.array(*[F.lit(m) for m in ms]))
+    titles = n.select("n_name", month(1, 2, 12).alias("m")).select(F.lower(F.concat(F.lit("7_Orders of "), "n_name", F.lit("2024年"), F.col("m").cast("string"), F.lit("月.xlsx"))).alias("source_title"))
+    q = n.select("n_nationkey", "n_name", month(1, 2, 11).alias("m")).select((F.col("n_nationkey") * 100 + F.col("m")).alias("question_id"), F.concat(F.lit("2024年"), F.col("m").cast("string"), F.lit("月《Orders of "), "n_name", F.lit("》情况？")).alias("question"))
+    none = F.lit(None).cast("int")
+    return tb.match_source(q.select("question_id", "question", none.alias("year"), none.alias("month"), none.alias("quarter")), titles)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidence_spark.functions import text as T
-from evidence_spark.operators import chunking, contract, evaluation, scoring, support, tables
+from evidence_spark.operators import chunking, contract, evaluation, grids, scoring, search, support, tables
 from evidence_spark.operators import structure as S
 from evidence_spark.operators.joins import contained
 from evidence_spark.plans import relational, retrieval, rules
@@ -206,6 +206,57 @@ def test_run_comparison_lists_what_is_missing(spark):
     assert (r["cases"], r["missing_left"], r["missing_right"], r["mean_ms_left"], r["mean_ms_right"], r["differing"]) == (1, 1, 1, 15.0, 40.0, 1)
 
 
+def test_embedding_jobs(spark):
+    df = spark.createDataFrame([(1, "A b a"), (2, "c")], "chunk_id int, text string")
+    v = {r["chunk_id"]: r["vector"] for r in search.embed(df).collect()}
+    assert len(v[1]) == 64 and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and sorted(x for x in v[2] if x) == [1.0]
+
+    def encoder():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    assert {r["chunk_id"]: list(r["vector"]) for r in search.embed(df, encoder=encoder).collect()} == {1: [5.0, 1.0], 2: [1.0, 1.0]}
+    for bad in (None, "  "):
+        with pytest.raises(Exception, match="blank text"):
+            search.embed(df.unionByName(spark.createDataFrame([(3, bad)], "chunk_id int, text string"))).collect()
+
+
+def test_postings_and_dense_ties(spark, monkeypatch):
+    df = spark.createDataFrame([(1, {"a": "1.5", "b": "0", "c": "x", "d": None, "e": "NaN"})], "chunk_id int, weights map<string,string>")
+    assert [tuple(r) for r in search.to_postings(df, "chunk_id").collect()] == [(1, "a", 1.5)]
+    v = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(20)] + [(99, None)], "chunk_id int, vector array<double>")
+    q = spark.createDataFrame([(7, [0.0, 1.0])], "query_id int, vector array<double>")
+    for block in (16_384, 3):
+        monkeypatch.setattr(search, "VECTOR_BLOCK", block)
+        assert [r["chunk_id"] for r in search.dense_topk(q, v, 3).orderBy("rank").collect()] == [1, 3, 5]
+    assert search.dense_topk(q, v.filter("chunk_id = 2"), 3).count() == 1 and search.dense_topk(q.limit(0), v, 3).count() == 0
+
+
+def test_statements_and_their_scope(spark):
+    got = one(spark, support.statements_of(F.array(F.lit("银行业务包括吸收存款、发放贷款；禁止洗钱"), F.lit(None).cast("string"))).alias("s"))["s"]
+    assert got == ["银行业务包括吸收存款、发放贷款；禁止洗钱", "银行业务包括吸收存款、发放贷款", "禁止洗钱", "发放贷款", "吸收存款"]
+    chunks = spark.createDataFrame([(1, "a", 0, None, "银行不得从事下列行为："), (1, "b", 1, None, "（一）违规发放贷款；"), (1, "c", 2, None, "一、商业银行业务范围\n正文"), (2, "d", 0, None, "（一）违规发放贷款；")], CHUNKS)
+    s = spark.createDataFrame([(1, "违规发放贷款"), (1, "“存款”违规发放贷款"), (1, "商业银行业务包括贷款")], "question_id int, statement string")
+    rows = support.statement_support(s, chunks, spark.createDataFrame([(1, 1)], "question_id int, doc_id int")).collect()
+    assert {(r["role"], r["chunk_id"]) for r in rows} == {("support", "b"), ("support", "c"), ("lead", "a"), ("section", "c")}
+
+
+def test_outline_of_a_named_part(spark):
+    chunks = spark.createDataFrame([(1, "a", 0, ["三、管理"], "（一）甲\n（二）乙"), (1, "b", 1, ["三、管理", "风险管理部分"], "1. 丙"), (1, "c", 2, ["四"], "（一）丁"), (1, "d", 3, None, "（一）戊")], "doc_id int, chunk_id string, pos int, section_path array<string>, text string")
+    q = spark.createDataFrame([(1, "风险管理部分包括哪些"), (2, "风险管理部分的要求"), (3, "其他部分包括哪些")], "question_id int, question string")
+    got = support.section_outline(q, chunks, q.select("question_id", F.lit(1).alias("doc_id"))).collect()
+    assert [(r["question_id"], r["chunk_id"], list(r["outline"])) for r in got] == [(1, "b", ["（一）甲", "（二）乙", "1. 丙"])]
+
+
+def test_grid_layout(spark):
+    rows = [("s", 3, 2, "统计表"), ("s", 4, 4, "单位：亿元"), ("s", 5, 2, "地区"), ("s", 5, 3, "收入"), ("s", 5, 4, "收入"), ("s", 6, 3, "本月"), ("s", 6, 4, "累计"), ("s", 7, 2, "北京"), ("s", 7, 3, "1,234"), ("s", 7, 4, "5%"), ("t", 1, 1, "甲"), ("t", 2, 1, "乙"), ("u", 1, 1, " ")]
+    got = {r["sheet"]: r for r in grids.infer_layout(spark.createDataFrame(rows, "sheet string, row int, col int, value string"), ["sheet"]).collect()}
+    r = got["s"]
+    assert (r["first_row"], r["first_col"], r["data_row"], list(r["header_rows"]), list(r["headers"]), list(r["label_cols"])) == (3, 2, 7, [5, 6], ["地区", "收入 / 本月", "收入 / 累计"], [1])
+    assert got["t"]["data_row"] is None and list(got["t"]["headers"]) == ["列1"] and list(got["t"]["label_cols"]) == [1] and "u" not in got
+
+
 PLANS = relational.QUERIES | retrieval.QUERIES | rules.QUERIES | support_plans.QUERIES
 
 
