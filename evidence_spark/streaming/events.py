@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,28 +80,48 @@ def stage_spans(events: DataFrame, key: str, ts: str, tie: str, starts: Column,
     return done.select(key, "started", "ended", F.round(F.col("ended").cast("timestamp").cast("double") - F.col("started").cast("timestamp").cast("double"), 6).alias("seconds"))
 
 
-def stage_spans_stream(events: DataFrame, key: str, key_type: str, ts: str, kind: str, start: str, end: str) -> DataFrame:
-    """J7 on a stream: the open start is the key's state; a row leaves with each end."""
+def stage_spans_stream(events: DataFrame, key: str, key_type: str, ts: str, kind: str, start: str, end: str, delay: str | None = None, keep: int = 86_400) -> DataFrame:
+    """J7 on a stream: the open start is the key's state; a row leaves with each end.
+
+    With a delay, rows wait in the state until the watermark passes them and are taken in the
+    order of their times, so a late start that the watermark admits changes its span as in
+    the batch job; an open start leaves the state `keep` seconds after its time. Without one
+    rows are taken batch by batch, in order within each, and nothing expires.
+    """
+    rows = events.withWatermark(ts, delay) if delay else events
+    rows = rows.select(key, ts, F.col(kind).alias("_kind"), F.unix_micros(ts).alias("_at")).filter(F.col("_kind").isin(start, end))
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened: Any = state.get[0] if state.exists else None
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(ts, kind="stable").itertuples():
-            what, at = getattr(r, kind), getattr(r, ts)
-            if what == start and opened is None:
+        opened, times, kinds = state.get if state.exists else (None, [], [])
+        waiting = list(zip(times, kinds, strict=True))
+        if not state.hasTimedOut:
+            new = pd.concat(list(batches)).sort_values("_at", kind="stable")
+            waiting += zip(new["_at"].tolist(), new["_kind"].tolist(), strict=True)
+        reached = state.getCurrentWatermarkMs() * 1000 if delay else None
+        out, later = [], []
+        for at, what in sorted(waiting, key=lambda x: x[0]):
+            if reached is not None and at >= reached:
+                later.append((at, what))
+            elif what == start and opened is None:
                 opened = at
             elif what == end and opened is not None:
-                rows.append((k[0], opened, at, (at - opened).total_seconds()))
+                out.append((k[0], opened, at))
                 opened = None
-        if opened is None:
+        if delay and opened is not None and opened + keep * 1_000_000 < reached:
+            opened = None
+        if opened is None and not later:
             if state.exists:
                 state.remove()
         else:
-            state.update((opened,))
-        yield pd.DataFrame(rows, columns=[key, "started", "ended", "seconds"])
-
-    out = f"{key} {key_type}, started timestamp, ended timestamp, seconds double"
-    return events.groupBy(key).applyInPandasWithState(run, out, "opened timestamp", "append", GroupStateTimeout.NoTimeout)
+            state.update((opened, [x[0] for x in later], [x[1] for x in later]))
+            if delay:
+                due = min(([later[0][0]] if later else []) + ([opened + keep * 1_000_000] if opened is not None else []))
+                state.setTimeoutTimestamp(max(due, reached) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[key, "started", "ended"])
+
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    spans = rows.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, started long, ended long", "opened long, times array<long>, kinds array<string>", "append", timeout)
+    return spans.select(key, F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), ((F.col("ended") - F.col("started")) / 1e6).alias("seconds"))
 
 
 def running_peaks(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -191,3 +191,20 @@ def test_percent_counts_as_ratio(spark):
     claims = spark.createDataFrame([(1, "占比 12.5% ，共 40 家")], "id int, claim string")
     cited = spark.createDataFrame([(1, "比例 0.125"), (1, "41 家")], "id int, text string")
     assert [r["number"] for r in evidence.unsupported_numbers(claims, cited, ["id"]).collect()] == ["40"]
+
+
+def test_spans_stream_waits_for_late_rows(spark, tmp_path):
+    """A late start, written after its end, pairs as in the batch job; a start without end leaves the state."""
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    files = [[(1, at(5), "end"), (2, at(1), "start")], [(1, at(2), "start"), (2, at(4), "end")], [(3, at(40), "start")], [(3, at(90), "start")]]
+    shape = "user long, ts timestamp, kind string"
+    folder = str(tmp_path / "in")
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder) if i else spark.createDataFrame(rows, shape).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = events.stage_spans_stream(stream, "user", "long", "ts", "kind", "start", "end", delay="10 minutes").writeStream.format("memory").queryName("late_spans").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["user"], r["started"], r["ended"], r["seconds"]) for r in spark.table("late_spans").collect()}
+    assert got == {(1, at(2), at(5), 180.0), (2, at(1), at(4), 180.0)}
