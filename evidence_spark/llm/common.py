@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset on one machine, one of our own."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -60,19 +63,19 @@ def uniform(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
-def lookup_join(df: DataFrame, small: DataFrame, key: str, rows: int | None = None, salts: int = 64) -> DataFrame:
-    """Inner join on a key of which one value may hold much of df.
+def lookup_join(df: DataFrame, small: DataFrame, key: str, by: Sequence[str] | None = None, how: str = "inner", salts: int = 64, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join (inner or left) on a key of which one value may hold much of df.
 
-    small has one row per key. It is broadcast up to BROADCAST_ROWS rows; a larger
-    one is repeated per salt and df dealt out by key and salt.
+    small has one row per key. It is broadcast up to that many rows; a larger one is
+    repeated per salt and df dealt out by key and salt, a hash of the columns in by (all
+    but the key and those that hold maps, if not given).
     """
-    rows = small.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    if rows <= BROADCAST_ROWS:
-        return df.join(F.broadcast(small), key)
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(salts))
-    left = df.withColumn("_salt", salt)
+    by = by or [c for c, kind in df.dtypes if c != key and "map<" not in kind]
+    if small.limit(rows + 1).count() <= rows:
+        return df.join(F.broadcast(small), key, how)
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
@@ -92,6 +95,20 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
     return out.drop("_part", *[f"_{k}" for k in sums])
 
 
+def next_in_order(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds name: value of the row that follows in the order, in the last row that of the first.
+
+    Rows are dealt out by range; only a row per partition meets in one place.
+    """
+    parts = cut(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
+    firsts = parts.groupBy("_part").agg(F.min_by(value, F.struct(*order)).alias("_head"))
+    everywhere = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    after = firsts.select("_part", F.coalesce(F.lead("_head").over(W.orderBy("_part")), F.first("_head").over(everywhere)).alias("_after"))
+    inside = W.partitionBy("_part").orderBy(*order)
+    led = parts.withColumn("_next", F.lead(value).over(inside)).join(F.broadcast(after), "_part")
+    return led.withColumn(name, F.coalesce("_next", "_after")).drop("_part", "_next", "_after")
+
+
 def ranks_in_class(df: DataFrame, cls: str, order: Sequence[Column], name: str, buckets: int) -> DataFrame:
     """Adds name: 0, 1, 2, ... within each class, whatever share of the rows one class holds.
 

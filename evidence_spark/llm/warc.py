@@ -35,12 +35,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, partitions, shared_dir
+from .common import cut, lookup_join, partitions, shared_dir
 
 MAGIC_DICT = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES = 32 << 20
-#: The dictionary is fitted to the starts of so many pages, chosen by a hash of the id.
+#: The dictionary is fitted to the starts of so many payloads, chosen by a hash of the payload.
 SAMPLE_PAGES, SAMPLE_BYTES, DICT_BYTES = 500, 16_384, 65_536
 DATE = "2024-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -167,15 +167,15 @@ def write_archives(pages: DataFrame, directory: str, id_col: str = "page_id", ur
     rows = pages.select(F.col(id_col).cast("string").alias("_id"), F.col(id_col).alias("_order"), F.col(url_col).cast("string").alias("_url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("_payload"))
     rows = rows.withColumn("_digest", base32_sha1(F.col("_payload")))
     again = rows.filter(F.octet_length("_payload") >= min_revisit).groupBy("_digest").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    again = cut(again)
-    if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    rows = rows.join(again, "_digest", "left")
+    rows = lookup_join(rows, cut(again), "_digest", by=["_order", "_url"], how="left")
     refers = F.when((F.octet_length("_payload") >= min_revisit) & F.col("_first").isNotNull() & ~F.col("_order").eqNullSafe(F.col("_first")), F.col("_first").cast("string"))
     rows = rows.select("_id", "_url", "_payload", "_digest", refers.alias("_refers"))
 
-    sample = pages.select(F.col(id_col).alias("i"), F.substring(F.col(payload_col), 1, SAMPLE_BYTES).alias("p")).filter("length(p) > 0").orderBy(F.xxhash64("i"), "i", "p").limit(SAMPLE_PAGES)
-    raw = fit_dictionary([r["p"].encode() for r in sample.collect()])
+    # Hashes of payloads are chosen first; only the chosen payloads' starts travel, one for each.
+    hashed = pages.filter(F.length(payload_col) > 0).select(F.xxhash64(payload_col).alias("h"), F.substring(F.col(payload_col), 1, SAMPLE_BYTES).alias("p"))
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    sample = hashed.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("p").alias("p")).orderBy("h").collect() if chosen else []
+    raw = fit_dictionary([r["p"].encode() for r in sample])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(raw), write_checksum=True, write_content_size=True)
