@@ -180,6 +180,16 @@ def term_coverage(terms: Column, text: Column) -> Column:
     return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(text, t))) / F.size(terms)).otherwise(0.0)
 
 
+def statement_coverage(statements: Column, text: Column, terms: Callable[[Column], Column] = question_terms) -> Column:
+    """D17, by statements: the greatest coverage of one statement's own terms; no statements give 0."""
+    return F.coalesce(F.array_max(F.transform(statements, lambda s: term_coverage(terms(s), text))), F.lit(0.0))
+
+
+def title_hits(terms: Column, filename: Column, section: Column) -> Column:
+    """D17, by titles: how many terms the file name and section hold."""
+    return F.size(F.filter(terms, lambda t: F.contains(F.concat_ws(" ", filename, section), t)))
+
+
 def excerpt(text: Column, n: int = 1200) -> Column:
     """Whole sentences up to n characters; a first sentence that is longer is cut."""
     sentences = F.regexp_extract_all(F.trim(text), F.lit(r"(?s).+?(?:[。！？!?；;]|$)"), F.lit(0))

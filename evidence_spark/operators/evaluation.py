@@ -134,6 +134,15 @@ def diff_runs(a: DataFrame, b: DataFrame, case: str = "case_id", passed: str = "
     return one.join(two, case, "full_outer").select(case, change.alias("change"))
 
 
+def run_delta(changes: DataFrame, a: DataFrame, b: DataFrame, passed: str = "passed") -> DataFrame:
+    """How many cases changed which way, and the pass rates of both runs and their difference."""
+    side = lambda df, n: df.select(F.lit(n).alias("_s"), F.col(passed).alias("_p"), F.lit(None).cast("string").alias("_c"))
+    rows = side(a, 0).unionByName(side(b, 1)).unionByName(changes.select(F.lit(2).alias("_s"), F.lit(None).cast("boolean").alias("_p"), F.col("change").alias("_c")))
+    rate = lambda n: F.round(F.avg(F.when(F.col("_s") == n, F.col("_p").cast("double"))), 6)
+    out = rows.agg(rate(0).alias("rate_left"), rate(1).alias("rate_right"), *[F.count_if(F.col("_c") == k).alias(k) for k in ("regressed", "regained", "kept", "missing_left", "missing_right")])
+    return out.withColumn("delta", F.round(F.col("rate_right") - F.col("rate_left"), 6))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, fields: list[str], case: str = "case_id", ms: str | None = None) -> DataFrame:
     """Per field how many cases differ (nulls equal), of how many both runs have, with the cases each lacks and both mean times."""
     time = lambda side: F.col(ms).cast("double").alias(f"_{side}_ms") if ms else F.lit(None).cast("double").alias(f"_{side}_ms")

@@ -134,6 +134,13 @@ def identity_hash(fields: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(f).cast("string").alias(f) for f in sorted(fields)])), 256)
 
 
+def review_state(docs: DataFrame, fields: list[str], confirmed: str = "confirmed_hash") -> DataFrame:
+    """identity_hash and review_state: confirmed while the hash that was confirmed still holds, reset where the identity changed since, else pending."""
+    out = docs.withColumn("identity_hash", identity_hash(fields))
+    state = F.when(F.col(confirmed).isNull(), "pending").when(F.col(confirmed) == F.col("identity_hash"), "confirmed").otherwise("reset")
+    return out.withColumn("review_state", state)
+
+
 def reject_qa_rows(rows: DataFrame, fields: str = "fields") -> tuple[DataFrame, DataFrame]:
     """(kept, refused): a map with question and any of answer, answer_text, evidence, option_a is refused."""
     keys = F.map_keys(fields)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import bigram_support, let, token_count
+from ..functions.text import NUMERAL, bigram_support, let, numeral, token_count
 
 #: Weight of each kind of query variant, and of each evidence role.
 VARIANT_WEIGHTS = {"semantic": 1.0, "statement": 1.15, "table": 1.2, "keyword": 0.75, "legacy": 0.9, "fallback": 0.85}
@@ -207,17 +207,29 @@ def governing_lead(chunks: DataFrame, doc: str, pos: str, modal: Column, back: i
     return chunks.withColumn("lead_pos", F.last(F.when(modal, F.col(pos)), ignorenulls=True).over(w))
 
 
+#: How a place of the same document is referred to, by kind.
+REFERENCES = {"article": rf"第\s*{NUMERAL}\s*条", "page": rf"第\s*{NUMERAL}\s*页", "table": rf"(?:附表|表)\s*{NUMERAL}", "annex": rf"(?:附件|附录)\s*{NUMERAL}", "figure": rf"图\s*{NUMERAL}"}
+NEARBY = {"table": "[上下]表", "figure": "[上下]图", "context": "[上下]文"}
+
+
 def recognize_references(chunks: DataFrame, c: str = "chunk_id", text: str = "text", limit: int = 6) -> DataFrame:
-    """References inside the same document: 第X条, 第X页, 表X, 附件X, 图X; names in 《》 are masked."""
-    from ..functions.text import numeral
-
-    masked = F.regexp_replace(F.col(text), "《[^》]*》(?:第[一二三四五六七八九十百零\\d]+条)?", " ")
-    number = "[一二三四五六七八九十百零\\d]{1,4}"
-    kinds = {"article": f"第({number})条", "page": f"第({number})页", "table": f"表({number})", "annex": f"附件({number})", "figure": f"图({number})"}
-    names = lambda kind, labels: F.transform(labels, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
-    found = F.concat(*[names(k, F.regexp_extract_all(masked, F.lit(p), F.lit(1))) for k, p in kinds.items()])
-    rows = chunks.select(c, F.posexplode(F.slice(F.array_distinct(found), 1, limit)).alias("pos", "r"))
-    return rows.select(c, "pos", F.col("r.kind").alias("kind"), numeral(F.col("r.label")).alias("number"))
+    """References inside the same document in the order of the text: 第X条, 第X页, 表X, 附件X, 图X, and 上表, 下图, 下文; names in 《》 are masked.
+
+    number is null for the latter, direction (previous or next) for the others; a page right
+    before a table, figure or annex is given with it. Distinct, at most limit per chunk.
+    """
+    masked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"《[^》]*》(?:第{NUMERAL}条)?", " ")
+    page = REFERENCES["page"]
+    placed = "|".join(REFERENCES[k] for k in ("table", "annex", "figure"))
+    found = F.regexp_extract_all(masked, F.lit("|".join([f"{page}\\s*(?:{placed})", *NEARBY.values(), *REFERENCES.values()])), F.lit(0))
+    rows = chunks.select(c, F.posexplode(F.slice(F.array_distinct(found), 1, limit)).alias("pos", "_m"))
+    on_page = F.regexp_extract("_m", f"^({page})\\s*(?:{placed})", 1)
+    rows = rows.withColumn("_page", on_page).withColumn("_m", F.when(on_page != "", F.regexp_replace("_m", f"^{page}\\s*", "")).otherwise(F.col("_m")))
+    near = F.coalesce(*[F.when(F.col("_m").rlike(f"^{p}$"), F.lit(k)) for k, p in NEARBY.items()])
+    kind = F.coalesce(near, *[F.when(F.col("_m").rlike(f"^{p}$"), F.lit(k)) for k, p in REFERENCES.items()])
+    digits = lambda m: numeral(F.nullif(F.regexp_extract(m, NUMERAL, 0), F.lit("")))
+    way = F.when(near.isNotNull(), F.when(F.startswith("_m", F.lit("上")), "previous").otherwise("next"))
+    return rows.select(c, "pos", kind.alias("kind"), digits(F.col("_m")).alias("number"), digits(F.col("_page")).alias("page"), way.alias("direction"))
 
 
 def dedupe_evidence(evidence: DataFrame, q: str = "query_id") -> DataFrame:

@@ -128,6 +128,13 @@ def diff_runs(spark: SparkSession, d: str) -> DataFrame:
     return ev.diff_runs(*runs(spark, d))
 
 
+@query("run_delta", f"""WITH {RUNS_SQL}, j AS (SELECT a.passed AS x, b.passed AS y FROM a FULL JOIN b USING (case_id)), r AS (SELECT (SELECT round(avg(passed::INTEGER), 6) FROM a) AS l, (SELECT round(avg(passed::INTEGER), 6) FROM b) AS r)
+SELECT l AS rate_left, r AS rate_right, count_if(x AND NOT y)::BIGINT AS regressed, count_if(NOT x AND y)::BIGINT AS regained, count_if(x = y)::BIGINT AS kept, count_if(x IS NULL)::BIGINT AS missing_left, count_if(y IS NULL)::BIGINT AS missing_right, round(r - l, 6) AS delta FROM j, r GROUP BY l, r""")
+def run_delta(spark: SparkSession, d: str) -> DataFrame:
+    a, b = runs(spark, d)
+    return ev.run_delta(ev.diff_runs(a, b), a, b)
+
+
 @query("compare_runs", f"""WITH {RUNS_SQL}, j AS (SELECT a.case_id IS NOT NULL AND b.case_id IS NOT NULL AS both_, a.case_id IS NULL AS ml, b.case_id IS NULL AS mr, a.ms AS ams, b.ms AS bms, a.passed IS DISTINCT FROM b.passed AS x, a.s IS DISTINCT FROM b.s AS y, a.p IS DISTINCT FROM b.p AS z FROM a FULL JOIN b ON a.case_id = b.case_id),
 g AS (SELECT count_if(both_)::BIGINT AS cases, count_if(ml)::BIGINT AS missing_left, count_if(mr)::BIGINT AS missing_right, round(avg(ams), 6) AS mean_ms_left, round(avg(bms), 6) AS mean_ms_right, [count_if(both_ AND x), count_if(both_ AND y), count_if(both_ AND z)] AS n FROM j)
 SELECT cases, missing_left, missing_right, mean_ms_left, mean_ms_right, ['passed', 's', 'p'][i] AS field, n[i]::BIGINT AS differing FROM g, unnest([1, 2, 3]) AS u(i)""")

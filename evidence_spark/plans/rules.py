@@ -196,12 +196,12 @@ def locator_matches(spark: SparkSession, d: str) -> DataFrame:
     return structure.match_structure(rows, "paragraph").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "mismatch")
 
 
-@query("references_in_text", """SELECT doc_id, u.i::INTEGER AS pos, ['article', 'page', 'table', 'annex'][u.i + 1] AS kind, [doc_id % 900 + 1, doc_id % 80 + 1, doc_id % 7 + 1, doc_id % 5 + 1][u.i + 1]::INTEGER AS number FROM documents, unnest([0, 1, 2, 3]) AS u(i)""")
+@query("references_in_text", """SELECT doc_id, u.i::INTEGER AS pos, ['annex', 'article', 'table', 'page', 'table'][u.i + 1] AS kind, [doc_id % 5 + 1, doc_id % 900 + 1, doc_id % 7 + 1, doc_id % 80 + 1, NULL][u.i + 1]::INTEGER AS number, CASE WHEN u.i = 4 THEN 'next' END AS direction FROM documents, unnest([0, 1, 2, 3, 4]) AS u(i)""")
 def references_in_text(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     s = lambda n: (k % n + 1).cast("string")
-    text = F.concat(F.lit("依据《办法》第三条，见附件"), s(5), F.lit("、第"), s(900), F.lit("条、表"), s(7), F.lit("和第"), s(80), F.lit("页"))
-    return search.recognize_references(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id").select("doc_id", "pos", "kind", "number")
+    text = F.concat(F.lit("依据《办法》第三条，见附件"), s(5), F.lit("、第"), s(900), F.lit("条、表"), s(7), F.lit("和第"), s(80), F.lit("页，以及下表"))
+    return search.recognize_references(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id").select("doc_id", "pos", "kind", "number", "direction")
 
 
 # ---- identity (B3, B5, B7, B8, B9, B12, B13, B14) ----
@@ -251,6 +251,22 @@ def identity_hashes(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("h", identity.identity_hash(["n_name", "c_mktsegment"])).groupBy("n_nationkey").agg(F.count_distinct("h").alias("identities"))
 
 
+@query("review_states", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed' ELSE 'reset' END AS state FROM customer""")
+def review_states(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the customers was never confirmed, a third holds, a third moved to another segment since."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey") % 3
+    fields = ["c_name", "c_mktsegment"]
+    before = c.withColumn("c_mktsegment", F.when(k == 2, F.concat("c_mktsegment", F.lit("?"))).otherwise(F.col("c_mktsegment"))).select("c_custkey", F.when(k > 0, identity.identity_hash(fields)).alias("confirmed_hash"))
+    return identity.review_state(c.join(before, "c_custkey"), fields).select("c_custkey", F.col("review_state").alias("state"))
+
+
+@query("title_term_hits", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (contains(p_name || ' ' || p_type, 'red')::INTEGER + contains(p_name || ' ' || p_type, 'ring')::INTEGER + contains(p_name || ' ' || p_type, 'ECO')::INTEGER)::INTEGER AS hits FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def title_term_hits(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
+    terms = F.array(F.lit("red"), F.lit("ring"), F.lit("ECO"))
+    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", T.title_hits(terms, F.col("p_name"), F.col("p_type")).alias("hits"))
+
+
 @query("qa_rows_refused", "SELECT conv_id, turn, turn % 3 = 1 AS refused FROM conversations")
 def qa_rows_refused(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("turn") % 3
