@@ -53,9 +53,10 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """docs as a struct column _row, with size, source_size, target, rate and copies."""
     targets = source_targets(docs, source_col, text_col, weights, max_repeat)
     rows = docs.select(
-        F.struct("*").alias("_row"), F.col(id_col).alias("_id"), text_key(F.col(source_col)).alias("_key"), word_count(F.col(text_col)).alias("size")
+        F.struct("*").alias("_row"), F.col(id_col).alias("_id"), text_key(F.col(source_col)).alias("_key"), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_deal"),
     )
-    out = lookup_join(rows, targets, "_key")
+    out = lookup_join(rows, targets, "_key", by=["_deal"]).drop("_deal")
     out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     fraction = F.col("rate") - F.floor("rate")
     return out.withColumn("copies", F.floor("rate") + F.when(uniform(seed, F.col("_id")) < fraction, 1).otherwise(0)).drop("_key")
