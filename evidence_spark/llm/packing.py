@@ -215,7 +215,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     room, buckets = capacity // grain, max(16, partitions(spark))
     cls = F.ceil(F.col("length") / grain).cast("int")
-    bucket = F.pmod(F.xxhash64("_id", "start"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("_id", "start", "ids_crc32"), F.lit(buckets)).cast("int")
     parts = cut(pieces(docs, path, id_col, text_col, capacity, keep_ids)).withColumns({"_class": cls, "_bucket": bucket})
     histogram = {r["_class"]: r["count"] for r in parts.groupBy("_class").count().collect()}  # at most room rows
     slots = spark.createDataFrame(pattern_slots(plan_patterns(histogram, room)), "_class int, _lo long, _hi long, _per long, _first long, _place long")
