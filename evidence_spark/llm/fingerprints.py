@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, lookup_join
+from .common import BROADCAST_ROWS, WORD, cut, next_in_order
 
 K = 128
 WIDTH = 5
-#: Documents of neighbouring ids are brought together in blocks of at most so many ids.
-BLOCK = 256
+#: Documents of neighbouring ids are brought together in blocks of so many ids (a power of
+#: two), those without id in 2^ANON_BITS blocks.
+BLOCK, ANON_BITS = 256, 12
 
 
 def let(col: Column, f: Callable[[Column], Column]) -> Column:
@@ -88,33 +89,26 @@ def from_text(s: Column) -> Column:
     return F.transform(parts, lambda x: F.shiftleft(halves(x, 1), 32).bitwiseOR(halves(x, 9)))
 
 
-def _next_block(blocks: DataFrame) -> DataFrame:
-    """(block, head) -> (_block, head): each block with the head of the next one, the last with the first's.
-
-    Blocks meet in stretches of 4096; only one row per stretch meets in one place.
-    """
-    b = blocks.withColumn("_stretch", F.floor(F.col("block") / 4096))
-    firsts = b.groupBy("_stretch").agg(F.min_by("head", "block").alias("_head"))
-    everywhere = W.orderBy("_stretch")
-    firsts = firsts.select("_stretch", F.coalesce(F.lead("_head").over(everywhere), F.first("_head").over(everywhere)).alias("_after"))
-    inside = W.partitionBy("_stretch").orderBy("block")
-    led = b.withColumn("_next", F.lead("head").over(inside)).join(firsts, "_stretch")
-    return led.select(F.col("block").alias("_block"), F.coalesce("_next", "_after").alias("_id"))
-
-
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _text and _next_text, the text of the next document by ascending id, after the last the first.
 
-    Null texts count as empty. Rows that share an id follow each other by text; rows
-    without id come after all others.
+    Null texts count as empty. Rows that share an id follow each other by a hash of the
+    text, then by text; rows without id come after all others, in the same order. They are
+    brought together in blocks of BLOCK neighbouring ids, those without id in blocks of
+    neighbouring hashes; each block also gets the first row of the block after it.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    top = F.lit(2**62)
-    key = F.coalesce(F.col("_id"), top)
-    rows = rows.select(F.floor(key / BLOCK).alias("_block"), key.alias("_id"), F.col("_id").isNull().alias("_anon"), "_text")
-    heads = cut(_next_block(rows.groupBy(F.col("_block").alias("block")).agg(F.min("_id").alias("head"))))
-    extra = lookup_join(rows.select("_id", "_anon", "_text"), heads, "_id").select("_block", "_id", "_anon", "_text", F.lit(True).alias("_extra"))
-    w = W.partitionBy("_block").orderBy("_extra", "_id", "_text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    ident = F.col(id_col).cast("long")
+    rows = docs.select(ident.isNull().alias("_anon"), F.coalesce(ident, F.lit(0)).alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
+    rows = rows.withColumn("_block", F.when(F.col("_anon"), F.shiftright("_hash", 64 - ANON_BITS)).otherwise(F.shiftright("_id", BLOCK.bit_length() - 1)))
+    heads = rows.groupBy("_anon", "_block").agg(F.min(F.struct("_anon", "_id", "_hash")).alias("_head"))
+    heads = next_in_order(heads, ["_anon", "_block"], "_head", "_key").select(F.col("_anon").alias("_to_anon"), F.col("_block").alias("_to_block"), "_key")
+    heads = cut(heads)
+    if heads.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        heads = F.broadcast(heads)
+    extra = rows.withColumn("_key", F.struct("_anon", "_id", "_hash")).join(heads, "_key")
+    extra = extra.select(F.col("_to_anon").alias("_anon"), "_id", "_hash", "_text", F.col("_to_block").alias("_block"), F.lit(True).alias("_extra"))
+    w = W.partitionBy("_anon", "_block").orderBy("_extra", "_id", "_hash", "_text")
     led = rows.withColumn("_extra", F.lit(False)).unionByName(extra).withColumn("_next_text", F.lead("_text").over(w)).filter(~F.col("_extra"))
     return led.select(F.when(~F.col("_anon"), F.col("_id")).alias("_id"), "_text", "_next_text")
 
