@@ -13,8 +13,12 @@ transducer starts anew at each.
 
 A chunk of a text stands for a map of states: what comes before its first sure boundary
 (white space after anything else) depends on the state it is entered in, what follows
-does not. So the map is (head, count, tail), and maps compose associatively in a
-parallel prefix scan, which makes chunks of any length and cut give the same count.
+does not, and the state it is left in depends on what comes after its last one. So the map
+is (head, count, tail): the head is the part still open to the state before, the tail
+spells the state left. Maps compose associatively: a tail and the next head are run
+together. Texts of more than LONG characters become rows of chunks, mapped in parallel by
+all tasks; only the maps, two words and a number each, meet again and are composed in
+order, so no task reads a whole long text.
 
 Defined cases: a null or empty text has no tokens; special strings inside a text count
 as the library's default has it, one token each; texts of any length are read whole.
@@ -33,9 +37,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
+from .common import partitions
+
+#: Characters of a chunk; of a text that is read in chunks by several tasks, at least.
+CHUNK, LONG = 1 << 16, 1 << 20
 #: Entries after which a worker drops its cached segments or states and compiles anew.
-CACHE, STATES = 300_000, 600_000
+CACHE, STATES = 150_000, 400_000
 #: Segments for caching: a run of ASCII white space with what follows it. Each begins at
 #: a sure boundary unless other white space stands before it.
 SEGMENT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -129,6 +136,8 @@ class Transducer:
         else:
             raise ValueError("no token ends here")
         added = place[1] + 1
+        if not -256 <= added < 256:
+            raise ValueError("a transition's count takes nine bits")
         k = next(k for k in range(size + 1) if grown[k:] in self.stems)
         shared = self.places.setdefault
         kept = [shared(q := (p[0], p[1] - added), q) if (p := window[i]) is not None and grown[i:] in self.stems else None for i in range(k, size)]
@@ -181,33 +190,31 @@ class Counter(dict):
             return sum(map(self.__getitem__, SEGMENT.findall(text)))
         return self.pieces(text)
 
+    def count(self, text: str) -> int:
+        parts = self.special.split(text) if self.special and self.special.search(text) else [text]
+        return len(parts) - 1 + sum(map(self.plain, parts))
+
     def chunk(self, text: str) -> tuple:
         """(head, count, tail); (text,) where no sure boundary is inside."""
         first = FIRST_CUT.search(text)
         if first is None or OTHER_SPACE.search(text):
             return (text,)
         last = LAST_CUT.search(text).start()
-        return text[: first.start()], self.plain(text[first.start() : last]), text[last:]
+        return text[: first.start()], self.count(text[first.start() : last]), text[last:]
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         if len(a) == 1:
             return (a[0] + b[0], *b[1:])
         if len(b) == 1:
             return (*a[:2], a[2] + b[0])
-        return a[0], a[1] + self.plain(a[2] + b[0]) + b[1], b[2]
-
-    def count(self, text: str) -> int:
-        parts = self.special.split(text) if self.special and self.special.search(text) else [text]
-        return len(parts) - 1 + sum(self.segmented(p) for p in parts)
+        return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2]
 
-    def segmented(self, text: str, size: int = CHUNK) -> int:
-        if len(text) <= size:
-            return self.plain(text)
-        maps = [self.chunk(text[i : i + size]) for i in range(0, len(text), size)]
-        while len(maps) > 1:  # a balanced scan of which only the last value is wanted
+    def composed(self, maps: list[tuple]) -> int:
+        """The count of a text from its chunks' maps, composed in a balanced tree."""
+        while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         m = maps[0]
-        return self.plain(m[0]) if len(m) == 1 else self.plain(m[0]) + m[1] + self.plain(m[2])
+        return self.count(m[0]) if len(m) == 1 else self.count(m[0]) + m[1] + self.count(m[2])
 
 
 @functools.lru_cache(maxsize=2)
@@ -215,7 +222,7 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, size: int = CHUNK) -> DataFrame:
     """_id, n_bytes and n_tokens of every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +231,28 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             n = pa.array((c.count(t.as_py()) if t.is_valid else 0 for t in batch.column(2)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["_id", "n_bytes", "n_tokens"])
 
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("_id"), size.alias("n_bytes"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(count, f"_id {dict(rows.dtypes)['_id']}, n_bytes long, n_tokens long")
+    def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for batch in batches:
+            maps = [c.chunk(t.as_py()) for t in batch.column(4)]
+            cols = [pa.array([m[0] for m in maps], pa.string()), pa.array([m[1] if len(m) > 1 else None for m in maps], pa.int64()), pa.array([m[2] if len(m) > 1 else None for m in maps], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], ["_row", "_id", "n_bytes", "at", "head", "n", "tail"])
+
+    def compose(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        maps = [(h,) if n is None else (h, n, x) for h, n, x in zip(*(t[c].to_pylist() for c in ("head", "n", "tail")), strict=True)]
+        return pa.table({"_id": t["_id"].slice(0, 1), "n_bytes": t["n_bytes"].slice(0, 1), "n_tokens": pa.array([counter(path).composed(maps)], pa.int64())})
+
+    bytes_ = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("_id"), bytes_.alias("n_bytes"), F.col(text_col).cast("string").alias("_text"))
+    kind = dict(rows.dtypes)["_id"]
+    shape = f"_id {kind}, n_bytes long, n_tokens long"
+    within = F.coalesce(F.col("n_bytes") <= long, F.lit(True))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("_text") - 1) / size).cast("int")), lambda i: F.substr("_text", i * size + 1, F.lit(size)))
+    chunks = rows.filter(~within).withColumn("_row", F.monotonically_increasing_id()).select("_row", "_id", "n_bytes", F.posexplode(parts).alias("at", "_part"))
+    chunks = chunks.repartition(partitions(docs.sparkSession), "_row", "at")
+    maps = chunks.mapInArrow(map_chunks, f"_row long, _id {kind}, n_bytes long, at int, head string, n long, tail string")
+    return rows.filter(within).mapInArrow(count, shape).union(maps.groupBy("_row").applyInArrow(compose, shape))
 
 
 class Encoder(dict):
