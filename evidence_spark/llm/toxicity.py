@@ -7,8 +7,8 @@ texts), where at least two do. Words are runs of letters, lower case; stems are
 first 4 to 7 letters. The model is fitted to at most about SAMPLE graded documents, chosen by a hash of
 the id; features are selected among those of the sample by the likelihood ratio of their
 presence in graded-up against grade-0 documents (at least LEAST, the best FEATURES).
-Where labels only say toxic or not, a toxic document that holds at least MANY selected
-features is one grade higher. Expected severity is the sum of P(grade > j).
+There are as many thresholds as the labels have grades above 0: labels that only say toxic
+or not give one. Expected severity is the sum of P(grade > j).
 
 Defined cases: null and empty texts hold no word and get the severity of a text without
 any; a document without grade is not used, one graded twice at its highest grade;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, uniform
 
-SAMPLE, FEATURES, LEAST, MANY = 20_000, 4096, 12.0, 3
+SAMPLE, FEATURES, LEAST = 20_000, 4096, 12.0
 STEMS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -63,7 +63,7 @@ class OrdinalModel:
 
     def stems_of(self, word: str) -> tuple[str, ...]:
         if (found := self.seen.get(word)) is None:
-            if len(self.seen) > 300_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             found = self.seen[word] = tuple(s for k in STEMS if len(word) >= k and (s := word[:k]) in self.stems)
         return found
@@ -154,8 +154,6 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
             )
 
     data = sorted((r["grade"], list(r["at"]), list(r["shares"])) for r in rows.mapInArrow(positions, "grade int, at array<int>, shares array<double>").collect())  # at most about sample rows
-    if set(sizes) <= {0, 1}:
-        data = [(g + (g and len(x) >= MANY), x, v) for g, x, v in data]
     w, theta = fit_ordinal(data, len(index), max(g for g, _, _ in data) + 1)
     return OrdinalModel(dict(zip(names, w.tolist(), strict=True)), theta.tolist())
 
