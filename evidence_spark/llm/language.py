@@ -2,9 +2,9 @@
 
 Words are runs of letters, lower case; a run of more than LONGEST letters (as in scripts
 without spaces) is several words, one after another, so every letter is read in fitting
-and prediction. A word's score for each language is the sum of weights of its features: prefixes and suffixes up to four letters, letter n-grams up to
-three, and membership in each language's lexicon (its most frequent words in the
-sample). Transition weights between neighbouring words are learned with them, on
+and prediction. A word's score for each language is the sum of weights of its features:
+prefixes and suffixes up to four letters, letter n-grams up to three, and membership in
+each language's lexicon (its most frequent words in the sample). Transition weights between neighbouring words are learned with them, on
 sequences that change language from snippet to snippet, so switches inside a text are
 followed. Forward-backward gives every word's distribution; a document's language is the
 one with the greatest share of letters, and that share its score.
@@ -40,17 +40,25 @@ from .common import uniform
 
 DOCS, SNIPPETS, LENGTH, LEXICON, SLOTS = 500, 6, 12, 400, 1 << 16
 #: Words per piece of the chain; words per lot.
-PIECE, LOT = 128, 400_000
+PIECE, LOT = 128, 150_000
 #: Letters of a word at most; longer runs are cut into consecutive words.
 LONGEST = 40
 LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, lower case."""
+    words = LETTERS.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, words)):  # numerals that are no digits, as in x²
+        words = LETTERS.findall("".join(c if c.isalpha() else " " for c in text).lower())
+    return words
+
+
 class Slots(dict):
     """Feature text to weight row, by hash."""
 
     def __missing__(self, feature: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         slot = self[feature] = xxhash.xxh32_intdigest(feature) % SLOTS
         return slot
@@ -82,7 +90,7 @@ class Chain:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores [word, label], by word from a cache."""
-        if len(self.cache) > 200_000:
+        if len(self.cache) > 100_000:
             self.cache, self.table = {}, self.table[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.cache]
         if new:
@@ -147,7 +155,7 @@ class Chain:
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(label, score) of every text."""
-        lists = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        lists = list(map(words_of, texts))
         words = [w for x in lists for w in x]
         out = [("und", 0.0)] * len(texts)
         if not words or not self.labels:
@@ -233,7 +241,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             out: list[tuple[str, str]] = []
             for ident, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = LETTERS.findall(text.lower())
+                words = words_of(text)
                 places = max(1, len(words) - LENGTH + 1)
                 for i in sorted({xxhash.xxh32_intdigest(f"{ident}:{j}") % places for j in range(SNIPPETS)}):
                     if piece := words[i : i + LENGTH]:
@@ -283,7 +291,7 @@ def keep_known(docs: DataFrame, chain: Chain, text_col: str = "text", least: flo
                 if model.labels:
                     keep = [lang != "und" and score >= least for lang, score in model.documents(texts)]
                 else:
-                    keep = [bool(LETTERS.search(t or "")) for t in texts]
+                    keep = [bool(words_of(t)) for t in texts]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
