@@ -88,7 +88,27 @@ def test_tokens_equal_the_library(odd):
         assert count.count(t) == len(ids), t[:50]
         assert encode.encode(t) == np.array(ids, "<u4").tobytes()
     for t in texts[:800]:  # chunks cut anywhere compose to the same count
-        assert count.segmented(t, 3) == count.plain(t)
+        maps = [count.chunk(t[i : i + 3]) for i in range(0, len(t), 3)]
+        assert not maps or count.composed(maps) == count.count(t)
+
+
+@pytest.mark.parametrize("frame", ["docs", "odd"])
+def test_token_counts_in_rows_of_chunks(spark, frame, request):
+    df = request.getfixturevalue(frame)
+    lib = Tokenizer.from_file(BPE)
+    want = sorted(((r["doc_id"], len((r["text"] or "").encode()), len(lib.encode(r["text"] or "", add_special_tokens=False).ids)) for r in df.collect()), key=repr)
+    for how in ({}, {"long": 200, "size": 64}):
+        assert sorted(((r["_id"], r["n_bytes"], r["n_tokens"]) for r in tokens.token_counts(df, BPE, **how).collect()), key=repr) == want
+    assert tokens.token_counts(df.limit(0), BPE).count() == 0
+
+
+def test_token_count_query_equals_the_library(spark, docs):
+    lib = Tokenizer.from_file(BPE)
+    want = {}
+    for r in docs.collect():
+        n = len(lib.encode(r["text"] or "", add_special_tokens=False).ids)
+        want[r["doc_id"]] = (len((r["text"] or "").encode()), n, n > 1024)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op6_token_counts(spark, SF).collect()} == want
 
 
 @pytest.mark.parametrize("frame", ["docs", "odd"])
@@ -175,6 +195,38 @@ def test_language_follows_switches_and_odd_rows(spark, docs, odd):
     assert language.predict(odd, language.fit(odd.filter("lang = 'xx'"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_numerals_are_no_letters(spark, docs):
+    chain = language.fit_chain([("a", ["abc"]), ("b", ["xyz"])])
+    df = spark.createDataFrame(list(enumerate(["²", "½ ①", "Ⅷ 12", "x²", "一"])), "doc_id int, text string")
+    assert [r["lang_pred"] == "und" for r in language.predict(df, chain).orderBy("_id").collect()] == [True, True, True, False, False]
+    assert language.predict(df.limit(0), chain).count() == 0
+
+
+def test_language_query_against_plain_python(spark, docs):
+    """Documents one at a time, with a forward-backward pass over a plain list of words."""
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    train = docs.filter("crc32(cast(doc_id as string)) % 3 <> 1")
+    chain = language.fit(train)
+    for r in [x for x in queries.op3_language(spark, SF).collect() if x["doc_id"] % 7 == 0]:
+        words = language.words_of(texts[r["doc_id"]])
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        e = np.array([np.sum([chain.weights[f] for f in chain.features(w)], axis=0) for w in words])
+        e = np.exp(e - e.max(1, keepdims=True))
+        move, f = np.exp(chain.moves), [np.exp(chain.start) * e[0]]
+        for x in e[1:]:
+            f.append((f[-1] / f[-1].sum()) @ move * x)
+        b = [np.ones(len(chain.labels))]
+        for x in e[:0:-1]:
+            v = move @ (x * b[-1])
+            b.append(v / v.sum())
+        m = np.array(f) * np.array(b[::-1])
+        share = ((m / m.sum(1, keepdims=True)) * np.array([len(w) for w in words])[:, None]).sum(0)
+        share /= share.sum()
+        assert abs(share.max() - r["score"]) < 1e-6 and (chain.labels[int(share.argmax())] == r["lang_pred"] or np.sort(share)[-1] - np.sort(share)[-2] < 1e-6)
+
+
 def test_language_reads_every_letter_of_long_runs(spark, docs):
     """Runs whose middle is of another language than both ends, and runs that switch, in fitting and prediction."""
     rows = docs.select("text", "lang").filter("text is not null and lang is not null").collect()
@@ -222,7 +274,10 @@ def test_warc_round_trip_and_rejects(spark, tmp_path):
 # ---- 5 top-k ----
 
 
-def test_topk_brute_force_with_ties_and_bad_vectors(spark):
+@pytest.mark.parametrize("block", [4096, 40])
+def test_topk_brute_force_with_ties_and_bad_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "LOT", 7 * block)
     rng = np.random.default_rng(1)
     vecs = rng.normal(size=(300, 8)).tolist()
     vecs[10:60] = [vecs[10]] * 50
@@ -238,6 +293,28 @@ def test_topk_brute_force_with_ties_and_bad_vectors(spark):
     assert set(got) == set(range(0, 300, 5)) and topk.exact_topk(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 300, 10**6])
+def test_index_stops_on_proof_only(scale):
+    """Small, larger and very large parts (single, double and integer sums), with bounds from elsewhere and without."""
+    rng = np.random.default_rng(scale)
+    v = (rng.normal(size=(700, 16)) * 40 * scale).astype(np.int64)
+    v[100:140] = v[100]
+    ids, q = rng.permutation(700), v[::50]
+    index = topk.Index(ids, v, topk.lengths(q).max())
+    scores = v @ q.T
+    for share in (None, 0.98):
+        bounds = np.full(len(q), -np.inf) if share is None else np.quantile(scores, share, axis=0).astype(np.int64).astype(float)
+        for j, (found, got) in enumerate(index.search(q, ids[::50], bounds, 5)):
+            best = sorted((-int(s), int(i)) for s, i in zip(scores[:, j], ids, strict=True) if i != ids[::50][j] and s >= bounds[j])[:5]
+            assert [(-int(s), int(i)) for s, i in zip(got, found, strict=True)][: len(best)] == best
+
+
+def test_topk_clashing_columns_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1, 2], 0, 0), (1, [1, 2], 0, 0), (2, [3, 4], 0, 0), (None, [9, 9], 0, 0)], "vec_id long, vector array<long>, _id int, _block int")
+    got = [tuple(r) for r in topk.exact_topk(df, df).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 11), (2, 1, 1, 11), (2, 2, 1, 11)]
+
+
 # ---- 7 toxicity, 8 language models ----
 
 
@@ -251,6 +328,29 @@ def test_toxicity_held_out(spark):
     assert all(a < b for a, b in zip(model.thresholds, model.thresholds[1:], strict=False))
 
 
+def test_toxicity_query_is_the_model_row_by_row(spark, docs):
+    model = queries.toxicity_model(spark, docs, SF)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op7_toxicity(spark, SF).collect():
+        up = model.above(texts[r["doc_id"]])
+        assert abs(r["severity"] - up.sum()) < 1e-9 and abs(r["p_toxic"] - up[0]) < 1e-9 and r["toxic"] == (up[0] >= 0.5)
+
+
+def test_three_grades_share_weights_across_thresholds(spark):
+    """Grades 0, 1, 2 by how many bad words a text holds: one weight each, two ordered thresholds."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        g = i % 3
+        rows.append((i, " ".join([f"w{rng.randrange(50)}" for _ in range(20)] + rng.sample(["bad", "worse", "vile", "foul"], 2 * g)), g))
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = toxicity.fit(df, df.select(F.col("doc_id").alias("_id"), "grade"))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    out = toxicity.severity(df, model).join(df, F.col("_id") == F.col("doc_id")).collect()
+    assert all(abs(r["severity"] - r["grade"]) < 0.5 for r in out)
+    assert toxicity.severity(df.limit(0), model).count() == 0
+
+
 def test_toxicity_odd_rows(spark, odd):
     model = toxicity.OrdinalModel({"one": 9.0}, [2.0, 4.0])
     out = {r["_id"]: r for r in toxicity.severity(odd, model).filter("_id is not null").collect()}
@@ -273,6 +373,32 @@ def test_lm_against_plain_counts(spark, odd):
     assert abs(got[7]["background_loss"] - loss(2)) < 1e-6 and abs(got[7]["target_loss"] - loss(1)) < 1e-6
 
 
+def test_lm_query_against_plain_counts(spark, docs):
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
+    one, two, sizes = [defaultdict(int), defaultdict(int)], [defaultdict(int), defaultdict(int)], [0, 0]
+    for i, w in texts.items():
+        for k in (0, 1) if i in good else (1,):
+            sizes[k] += len(w)
+            one[k][None] += bool(w)
+            for a, b in zip([None, *w], w, strict=False):
+                one[k][b] += 1
+                two[k][a, b] += 1
+    vocabulary = max(lm.VOCABULARY, len(one[1]) - 1)
+    for r in queries.op8_lm_scores(spark, SF).collect():
+        w, want = texts[r["doc_id"]], []
+        for k in (0, 1):
+            own = [(one[k][b] + lm.ADDED) / (sizes[k] + lm.ADDED * vocabulary) for b in w]
+            want.append(np.mean([-np.log((two[k][a, b] + lm.BACK_OFF * p) / (one[k][a] + lm.BACK_OFF)) for a, b, p in zip([None, *w], w, own, strict=False)]) if w else None)
+        assert r["n_words"] == len(w) and ((r["score"] is None) if not w else abs(r["score"] - (want[0] - want[1])) < 1e-7)
+
+
+def test_lm_empty_table_and_long_text(spark, odd):
+    target = spark.createDataFrame([(5,)], "_id long")
+    assert lm.score(odd.limit(0), lm.fit(odd.limit(0), target)).count() == 0
+    assert {r["_id"]: r["n_words"] for r in lm.score(odd, lm.fit(odd, target)).filter("_id is not null").collect()}[5] == 60_000
+
+
 def test_lm_counts_are_exact_beyond_any_fixed_table(spark):
     """More words than VOCABULARY, each in bigrams of its own, against counts in plain Python; models applied to other documents, too."""
     rng = random.Random(3)
@@ -357,8 +483,33 @@ def test_join_on_common_passages_and_near_copies(spark):
     rows += [(1000 + i, " ".join(passage[:100] + [f"y{i}_{j}" for j in range(100)])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for width, percent in ((3, 90), (5, 80)):
-        got = {r["_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(df, width=width, percent=percent).collect()}
-        assert got == brute_components(rows, width, percent)
+        want = brute_components(rows, width, percent)
+        for how in ({}, {"rounds": 0, "listed": 2, "block": 32}, {"rounds": 1, "listed": 10_000}):  # by pivots, by blocks, by listing
+            got = {r["_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(df, width=width, percent=percent, **how).collect()}
+            assert got == want
+
+
+def test_join_without_a_centre(spark):
+    """Copies with two edits each and no original: nearly all share entries, few link."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(220):
+        words = list(base)
+        for k in rng.sample(range(5, 145), 2):
+            words[k] = f"z{i}_{k}"
+        rows.append((i, " ".join(words if i % 7 else words[: 150 - i % 5])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for how in ({}, {"rounds": 1, "listed": 4, "block": 16}):
+        got = {r["_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(df, width=3, percent=90, **how).collect()}
+        assert got == brute_components(rows, 3, 90)
+
+
+def test_join_tells_classes_of_one_hash_apart(spark, monkeypatch):
+    """Where different sets share the first hash, the second stands in."""
+    shared = frozenset({jaccard.set_class(jaccard.token_set(b"a b c d", 3, jaccard.Words()))[0]})
+    s = jaccard.token_set(b"a b c d", 3, jaccard.Words())
+    assert jaccard.class_of(s, shared) == jaccard.set_class(s)[1] != jaccard.class_of(s, frozenset())
 
 
 def test_join_odd_rows(spark, odd):
@@ -417,7 +568,24 @@ def test_fingerprints_against_brute_force(spark, docs):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         text_of = lambda s: "".join(f"{x & (1 << 64) - 1:016X}" for x in s)
         assert r["fingerprint"] == text_of(brute_sketch(t)) and r["edited_fingerprint"] == text_of(brute_sketch(edited))
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        for near, other in ((r["near_edited"], edited), (r["near_next"], after)):
+            a, b = brute_sketch(t), brute_sketch(other)
+            union = sorted({*a, *b})[: fingerprints.K]
+            assert near == (sum(x in a and x in b for x in union) / len(union) if union else 1.0)
+
+
+def test_next_text_of_sparse_large_and_null_ids(spark):
+    rng = random.Random(8)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(60)] + [2**62 + 5, 2**63 - 1, 0, 255, 256] + [None] * 5
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(i, f"t{k}", "x") for k, i in enumerate(ids)], "doc_id long, text string, _block string").repartition(3)
+    got = {(r["_id"], r["_text"]): r["_next_text"] for r in fingerprints.with_next_text(df).collect()}
+    named = sorted((i, f"t{k}") for k, i in enumerate(ids) if i is not None)
+    assert len(got) == len(ids) and all(got[a] == b[1] for a, b in zip(named, named[1:], strict=False))
+    chain, at = [named[0][1]], {x[1]: n for x, n in got.items()}
+    while (after := at[chain[-1]]) != chain[0]:
+        chain.append(after)
+    assert sorted(chain) == sorted(at) and chain[: len(named)] == [t for _, t in named]
 
 
 def test_sketch_estimates_and_merge(spark):
@@ -445,4 +613,29 @@ def test_pipeline_stages(spark):
     once = corpus_pipeline.keep_one_of_each_group(spark, docs, d)
     want = {c for _, c in brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80).values()}
     assert {r["doc_id"] for r in once.collect()} == want
+    kept = corpus_pipeline.reject_unknown_language(spark, docs, d)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in docs.collect() if not language.LETTERS.search(r["text"] or "")} | {r["_id"] for r in language.predict(docs, language.fit(docs)).filter("score < 0.3").collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, d)
+    plan = {r["_id"]: r["copies"] for r in mixing.mixing_plan(docs).collect()}
+    assert mixed.columns == docs.columns and {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in plan.items() if n}
+    packed = corpus_pipeline.pack_sequences(spark, docs, d)
+    lib = Tokenizer.from_file(BPE)
+    assert packed.agg(F.sum("length")).first()[0] == sum(len(lib.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "ngram_jaccard_join", "mixing", "packing"]
+
+
+def test_pipeline_is_its_stages_one_after_another(spark, odd):
+    """Every document that run() packs went through all stages; odd rows pass each stage without harm."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    at = docs
+    for _, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, SF)
+    counted = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert counted(corpus_pipeline.run(spark, SF)) == counted(at)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    rest = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rest = stage(spark, rest, SF)
+        assert rest.columns == odd.columns
