@@ -20,8 +20,9 @@ with the input up to MOST_COUNTERS (never too low). It steers the order and the
 a poor estimate costs time, not links. The number of groups follows the size of the smaller
 set of a pair; a set near the bound of a size class is indexed for both classes.
 
-Documents of equal sets form a class, and classes are joined. Those that share an entry
-are split by bands of sizes, so that a group holds the sets of one band (or of two, each
+Documents of equal sets form a class, and classes are joined. An entry of a rare token has
+few sets, by the counters, and is brought together as it is; one of frequent tokens (hot)
+is dealt out by class and counted in parts. Those that share an entry are split by bands of sizes, so that a group holds the sets of one band (or of two, each
 set facing those of the other band). Then rounds: each group's pivot, the set of the most
 common tokens, is verified against all that face it, links make components, and what
 faces no other component (or nothing within reach) leaves the group, as does the pivot. A
@@ -50,8 +51,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import BROADCAST_ROWS, stored
+from .common import BROADCAST_ROWS, partitions, stored
 
 #: Token counters: as many as keep tokens per counter near 16, within these bounds.
 LEAST_COUNTERS, MOST_COUNTERS, CHUNKS, CELLS = 1 << 20, 1 << 26, 16, 256
@@ -65,6 +67,8 @@ LONGS = 1_000_000
 BANDS = 3
 #: Rounds of pivots; members of a group whose pairs are listed; sets and tokens of a block.
 ROUNDS, LISTED, BLOCK, BLOCK_TOKENS = 3, 16, 512, 1 << 19
+#: Parts in which the sets of an entry of frequent tokens are counted.
+PARTS = 64
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -117,8 +121,8 @@ def required(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def entries(tokens: np.ndarray, seen: np.ndarray, bounds: tuple[int, ...], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The index entries of a set, single tokens and combinations of its prefix, and their reach.
+def entries(tokens: np.ndarray, seen: np.ndarray, bounds: tuple[int, ...], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index entries of a set, single tokens and combinations of its prefix, their reach, and whether they are of frequent tokens.
 
     seen is how often each token occurs.
     """
@@ -130,6 +134,7 @@ def entries(tokens: np.ndarray, seen: np.ndarray, bounds: tuple[int, ...], perce
     tokens, seen = tokens[first], seen[first]
     level = np.searchsorted(bounds, seen, side="right")
     out: dict[int, int] = {}
+    hot: set[int] = set()
     for size in {least.bit_length(), n.bit_length()}:
         most = (1 << size) - 1 if size < n.bit_length() else 2 * n  # for the lower size class this is the larger set
         if (1 << size) <= SMALL or not level[:need].any():
@@ -137,6 +142,8 @@ def entries(tokens: np.ndarray, seen: np.ndarray, bounds: tuple[int, ...], perce
                 if (r := reach(p)) < least:
                     break
                 out[t] = max(out.get(t, 0), min(r, most))
+                if level[p]:
+                    hot.add(t)
             continue
         groups = (1 << size) // 16
         misses, held = 0, defaultdict(list)
@@ -152,16 +159,24 @@ def entries(tokens: np.ndarray, seen: np.ndarray, bounds: tuple[int, ...], perce
             for rest in itertools.combinations(group, k):
                 e = xxhash.xxh3_64_intdigest(np.array([size, k, *sorted((*rest, t))], np.uint64).tobytes())
                 out[e] = max(out.get(e, 0), r)
+                hot.add(e)
             if len(group) >= k:
                 misses += 1
             group.append(t)
-    return np.fromiter(out, np.uint64, len(out)), np.fromiter(out.values(), np.int64, len(out))
+    return np.fromiter(out, np.uint64, len(out)), np.fromiter(out.values(), np.int64, len(out)), np.fromiter((e in hot for e in out), bool, len(out))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows: what a part is turned into is held at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, size):
+            yield batch.slice(i, size)
+
+
 def read_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, np.ndarray, frozenset[int]]:
     """(_id, n, c) of every document, the counters over all of them, and the first hashes that different sets share."""
 
@@ -178,7 +193,7 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[
             counts[at.astype(np.int64)] += n.astype(np.uint32)
             lot.clear()
 
-        for batch in batches:
+        for batch in in_parts(batches):
             ns, cs = [], []
             for text in batch.column(1):
                 s = token_set(text.as_py(), width, words)
@@ -208,7 +223,8 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     both = stored(rows.mapInArrow(run, "_id long, n long, c long, d long, chunk int, data binary"))
     shape = "chunk int, data binary"
-    parts = both.filter("chunk is not null").select("chunk", "data", F.pmod(F.xxhash64("data"), F.lit(64)).alias("lot"))
+    few = 1 + math.isqrt(partitions(docs.sparkSession))
+    parts = both.filter("chunk is not null").select("chunk", "data", F.pmod(F.xxhash64("data"), F.lit(few)).alias("lot"))
     parts = parts.groupBy("chunk", "lot").applyInPandas(add, shape).groupBy("chunk").applyInPandas(add, shape)
     counts = np.zeros(counters, np.uint32)
     for r in parts.collect():  # at most MOST_COUNTERS numbers
@@ -219,7 +235,7 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[
 
 
 def index_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, counts: np.ndarray, shared: frozenset[int]) -> DataFrame:
-    """(entry, c, n, reach, common) of every class; copies that a task meets again soon are indexed once.
+    """(entry, c, n, reach, common, hot) of every class; copies that a task meets again soon are indexed once.
 
     common is how common a set's tokens are: the more a near copy was edited, the less.
     """
@@ -231,7 +247,7 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done = Words(), set()
-        for batch in batches:
+        for batch in in_parts(batches):
             es, cols = [], []
             for text in batch.column(0):
                 s = token_set(text.as_py(), width, words)
@@ -241,15 +257,15 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
                     done.clear()
                 done.add(c)
                 seen = table.value[(s >> shift).astype(np.int64)]
-                e, reach = entries(s, seen, bounds, percent)
+                e, reach, hot = entries(s, seen, bounds, percent)
                 es.append(e)
-                cols.append((np.full(len(e), c), np.full(len(e), len(s)), reach, np.full(len(e), int(1e6 * np.log2(seen + 1.0).mean()))))
+                cols.append((np.full(len(e), c), np.full(len(e), len(s)), reach, np.full(len(e), int(1e6 * np.log2(seen + 1.0).mean())), hot))
             if es:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(es)), *[pa.array(np.concatenate(x)).cast(k) for x, k in zip(zip(*cols, strict=True), kinds, strict=True)]], ["entry", "c", "n", "reach", "common"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(es)), *[pa.array(np.concatenate(x)).cast(k) for x, k in zip(zip(*cols, strict=True), kinds, strict=True)]], ["entry", "c", "n", "reach", "common", "hot"])
 
     texts = docs.filter(F.col(id_col).cast("long").isNotNull()).select(F.col(text_col).cast("binary"))
-    return texts.mapInArrow(run, "entry long, c long, n int, reach int, common int")
+    return texts.mapInArrow(run, "entry long, c long, n int, reach int, common int, hot boolean")
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -268,11 +284,11 @@ def several(rows: DataFrame, key: str, of: str) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, shared: frozenset[int]) -> DataFrame:
-    """(c, tokens) of the classes in reps (c, _id), read again from their documents."""
+    """(c, cells, tokens) of the classes in reps (c, _id), read again from their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done = Words(), set()
-        for batch in batches:
+        for batch in in_parts(batches):
             cs, sets = [], []
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = token_set(text.as_py(), width, words)
@@ -281,24 +297,44 @@ def class_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, wid
                     sets.append(s)
             if cs:
                 ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.ListArray.from_arrays(ends, _signed(np.concatenate(sets)))], ["c", "tokens"])
+                counts = pa.array([np.minimum(cells(s), 255).astype(np.uint8).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), counts, pa.ListArray.from_arrays(ends, _signed(np.concatenate(sets)))], ["c", "cells", "tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return texts.join(bounded(reps, LONGS), "_id").select("c", "_text").mapInArrow(run, "c long, tokens array<long>")
+    return texts.join(bounded(reps, LONGS), "_id").select("c", "_text").mapInArrow(run, "c long, cells binary, tokens array<long>")
 
 
 def similar_size(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link. Pairs, two numbers each, go to the sets of b
-    (up to LONGS of them); those sets then meet the few that stand as a."""
+def joined(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with a column of both sides. Pairs, two numbers each, go to the sets of b
+    (up to LONGS of them); what is found there then meets the few that stand as a."""
     small = pairs.count() <= LONGS
-    of_b = sets.select(F.col("c").alias("b"), F.col("tokens").alias("of_b")).join(F.broadcast(pairs) if small else pairs, "b")
+    of_b = sets.select(F.col("c").alias("b"), F.col(column).alias("of_b")).join(F.broadcast(pairs) if small else pairs, "b")
     asked = pairs.select(F.col("a").alias("c")).distinct()
-    of_a = sets.join(F.broadcast(asked) if small else asked, "c").select(F.col("c").alias("a"), F.col("tokens").alias("of_a"))
-    both = of_b.join(of_a, "a").withColumn("_both", F.size(F.array_intersect("of_a", "of_b")))
+    of_a = sets.select("c", column).join(F.broadcast(asked) if small else asked, "c").select(F.col("c").alias("a"), F.col(column).alias("of_a"))
+    return of_b.join(of_a, "a").select("a", "b", "of_a", "of_b")
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their cell counts don't rule out; whole sets travel for these only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches, 10_000):
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS) for i in (2, 3))
+            full = (x == 255).any(1) | (y == 255).any(1)
+            both, n = np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(full | (both * 100 >= (n - both) * percent)))
+
+    return joined(pairs, sets, "cells").mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, lots: int) -> DataFrame:
+    """The pairs (a, b) of classes that link."""
+    left = stored(plausible(stored(pairs.coalesce(lots)), sets, percent).coalesce(lots))
+    both = joined(left, sets, "tokens").withColumn("_both", F.size(F.array_intersect("of_a", "of_b")))
     union = F.size("of_a") + F.size("of_b") - F.col("_both")
     return both.filter(F.col("_both") * 100 >= union * percent).select("a", "b")
 
@@ -334,15 +370,31 @@ def size_band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) * F.lit(BANDS / -math.log(percent / 100)))
 
 
+def shared_entries(index: DataFrame, percent: int) -> DataFrame:
+    """The index rows whose entry several classes have, with band, any (bit set of the entry's bands), odd (of those with an odd count) and m (rows)."""
+    bit = F.expr("shiftleft(1L, cast(pmod(band, 63) as int))")
+    facts = {"lo": F.min("c"), "hi": F.max("c"), "m": F.count("*"), "any": F.bit_or("bit"), "odd": F.bit_xor("bit")}
+    part = F.when(F.col("hot"), F.pmod("c", F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    w = W.partitionBy("entry", "part")
+    rows = index.withColumn("band", size_band(F.col("n"), percent)).withColumn("bit", bit).withColumn("part", part)
+    rows = stored(rows.withColumns({k: f.over(w) for k, f in facts.items()}).filter("hot or lo < hi").drop("part"))
+    names = ["entry", "c", "n", "reach", "common", "band", "any", "odd", "m"]
+    hot = rows.filter("hot").drop(*facts)
+    whole = stored(hot.groupBy("entry").agg(*[f.alias(k) for k, f in facts.items()]).filter("lo < hi").drop("lo", "hi"))
+    return rows.filter("not hot").select(*names).unionByName(hot.join(bounded(whole), "entry").select(*names)).distinct()
+
+
 def grouped(index: DataFrame, percent: int) -> DataFrame:
     """(own, facing, c, n, reach, common, comp): the members of groups, each under its side and the side it faces."""
-    shared = stored(several(index, "entry", "c"))
-    held = index.join(bounded(shared, LONGS), "entry").distinct()
-    band, least = size_band(F.col("n"), percent), F.ceil(F.col("n") * percent / 100)
-    held = held.withColumn("_b", band).withColumn("_o", F.explode(F.sequence(size_band(least, percent), F.greatest(size_band(F.col("reach"), percent), size_band(least, percent)))))
-    side = lambda x, y: F.xxhash64("entry", F.least("_b", "_o"), F.greatest("_b", "_o"), x)
+    held = shared_entries(index, percent).withColumnRenamed("band", "_b")
+    least = F.ceil(F.col("n") * percent / 100)
+    alone = (F.col("m") == 2) & (F.expr("shiftright(odd, cast(pmod(_b, 63) as int)) & 1") == 1)
+    there = lambda o: F.getbit("any", F.pmod(o, F.lit(63)).cast("int")) == 1
+    bands = F.sequence(size_band(least, percent), F.greatest(size_band(F.col("reach"), percent), size_band(least, percent)))
+    held = held.withColumn("_alone", alone).withColumn("_o", F.explode(F.filter(bands, lambda o: there(o) & ((o != F.col("_b")) | ~F.col("_alone")))))
+    side = lambda x: F.xxhash64("entry", F.least("_b", "_o"), F.greatest("_b", "_o"), x)
     own, facing = F.when(F.col("_b") == F.col("_o"), F.lit(0)).otherwise(F.col("_b")), F.when(F.col("_b") == F.col("_o"), F.lit(0)).otherwise(F.col("_o"))
-    return held.select(side(own, 0).alias("own"), side(facing, 0).alias("facing"), "c", "n", "reach", "common", F.col("c").alias("comp"))
+    return held.select(side(own).alias("own"), side(facing).alias("facing"), "c", "n", "reach", "common", F.col("c").alias("comp"))
 
 
 def open_members(members: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -410,13 +462,13 @@ def links_in_blocks(members: DataFrame, counts: DataFrame, sets: DataFrame, perc
                     root[root == root[j]] = root[i]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.join(sets, "c").groupBy("gid", "x", "y").applyInArrow(compare, "a long, b long")
+    return rows.join(sets.select("c", "tokens"), "c").groupBy("gid", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = ROUNDS, listed: int = LISTED, block: int = BLOCK) -> DataFrame:
     """_id, n_shingles and component_id (smallest id connected by links) of every document."""
     rows, counts, shared = read_sets(docs, id_col, text_col, width)
-    index = stored(index_rows(docs, id_col, text_col, width, percent, counts, shared))
+    index = index_rows(docs, id_col, text_col, width, percent, counts, shared)
     classes = rows.filter("c is not null and _id is not null").groupBy("c").agg(F.min("_id").alias("_id"), F.count("*").alias("copies"))
     reps = stored(classes)
 
@@ -435,12 +487,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn < rounds:
             fits = within(F.col("n"), F.col("reach"), F.col("p.n"), F.col("p.reach"), percent)
             pairs = members.filter((F.col("comp") != F.col("p.comp")) & fits).select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-            found = verify(stored(pairs.coalesce(lots)), sets, percent)
+            found = verify(pairs, sets, percent, lots)
             members = members.filter(~F.col("asked")).drop("p", "asked")
         else:
             rest = stored(members.drop("p", "asked").withColumn("gid", F.least("own", "facing")).coalesce(lots))
             sizes = bounded(stored(rest.groupBy("gid").agg(F.count("*").alias("m"), F.max("n").alias("most")).coalesce(lots)))
-            found = verify(stored(left_pairs(rest, sizes, percent, listed).coalesce(lots)), sets, percent)
+            found = verify(left_pairs(rest, sizes, percent, listed), sets, percent, lots)
             found = found.union(links_in_blocks(rest, sizes, sets, percent, listed, block))
         found = stored(found.coalesce(lots))
         links = found if links is None else links.union(found)
