@@ -55,7 +55,7 @@ from pyspark.sql.window import Window as W
 
 from .common import BROADCAST_ROWS, partitions, stored
 
-#: Token counters: as many as keep tokens per counter near 16, within these bounds.
+#: Token counters: as many as keep tokens per counter near 32, within these bounds.
 LEAST_COUNTERS, MOST_COUNTERS, CHUNKS, CELLS = 1 << 20, 1 << 26, 16, 256
 #: Below so many tokens every token is indexed alone.
 SMALL = 64
@@ -181,7 +181,7 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[
     """(_id, n, c) of every document, the counters over all of them, and the first hashes that different sets share."""
 
     size = (docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0) // 6  # words of some six bytes
-    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, size // 16 - 1).bit_length()))
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, size // 32 - 1).bit_length()))
     shift = np.uint64(65 - counters.bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[
                 cs.append(set_class(s) if len(s) else (None, None))
                 lot.append(s)
                 held += len(s)
-                if held > 500_000:
+                if held > 200_000:
                     flush()
                     held = 0
             k = len(ns)

@@ -40,7 +40,7 @@ from .common import uniform
 
 DOCS, SNIPPETS, LENGTH, LEXICON, SLOTS = 500, 6, 12, 400, 1 << 16
 #: Words per piece of the chain; words per lot.
-PIECE, LOT = 128, 150_000
+PIECE, LOT = 128, 60_000
 #: Letters of a word at most; longer runs are cut into consecutive words.
 LONGEST = 40
 LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
