@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, lm, mixing, packing, tokens, topk, toxicity, warc
+from . import bpe, fingerprints, jaccard, language, lm, mixing, packing, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -113,6 +113,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(F.col("_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -124,6 +131,7 @@ QUERIES = {
     "op8_lm_scores": op8_lm_scores,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
+    "op11_bpe": op11_bpe,
 }
 SQL = {
     "op1_mixing": SQL_OP1,
