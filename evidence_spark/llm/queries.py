@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, language, lm, mixing, packing, tokens, topk, toxicity, warc
+from . import bpe, codes, fingerprints, jaccard, language, lm, mixing, packing, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -120,6 +120,37 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    out = codes.with_label_errors(rows.select(F.col("_id").alias("vec_id"), "label", codes.code_text(F.col("codes")).alias("code"), "error"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _sql_op12() -> str:
+    """Seven assignments and six refits of all parts, one common table expression each."""
+    apart = "list_sum(list_transform(list_zip(s.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = ["""e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, * FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+s AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS v FROM e, (SELECT unnest(range(8)) AS p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS k, v FROM s WHERE r <= 16)"""]
+    for i in range(7):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, p, k, d, v FROM (SELECT s.r, s.p, b.k, s.v, {apart} AS d FROM s JOIN b{i} b ON s.p = b.p)
+  QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY d, k) = 1)""")
+        if i < 6:
+            steps.append(f"""m{i} AS MATERIALIZED (SELECT p, k, list(x ORDER BY j) AS v FROM (SELECT p, k, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x
+  FROM (SELECT p, k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY p, k, j) GROUP BY p, k),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m ON b.p = m.p AND b.k = m.k)""")
+    return "WITH " + ",\n".join(steps) + """,
+c AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY r),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, k, j)) AS codebooks_sha256 FROM (SELECT p, k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM b6))
+SELECT e.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY e.label))::BIGINT AS label_error, h.codebooks_sha256 FROM e JOIN c ON e.r = c.r, h
+"""
+
+
+SQL_OP12 = _sql_op12()
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -132,9 +163,11 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_fingerprints": op10_fingerprints,
     "op11_bpe": op11_bpe,
+    "op12_codes": op12_codes,
 }
 SQL = {
     "op1_mixing": SQL_OP1,
     "op4_warc": SQL_OP4,
     "op5_topk": SQL_OP5,
+    "op12_codes": SQL_OP12,
 }
