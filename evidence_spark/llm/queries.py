@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, fingerprints, jaccard, language, lm, mixing, packing, tokens, topk, toxicity, warc
+from . import bpe, codes, fingerprints, jaccard, language, lm, mixing, packing, tokens, topk, toxicity, warc, whiten
 from .common import table
 
 
@@ -151,6 +151,10 @@ SELECT e.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY e.label))::BI
 SQL_OP12 = _sql_op12()
 
 
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("_id", "vec_id")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -164,6 +168,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_bpe": op11_bpe,
     "op12_codes": op12_codes,
+    "op13_whiten": op13_whiten,
 }
 SQL = {
     "op1_mixing": SQL_OP1,

@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import itertools
+import math
 import random
 import struct
 import zlib
@@ -11,13 +13,14 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 import xxhash
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from evidence_spark.llm import fingerprints, jaccard, language, lm, mixing, packing, queries, tokens, topk, toxicity, warc
+from evidence_spark.llm import bpe, codes, fingerprints, jaccard, language, lm, mixing, packing, queries, tokens, topk, toxicity, warc, whiten
 
 SF = "/root/testdata/sf0.001"
 BPE = P.path("byte_bpe_50k.json")
@@ -639,3 +642,171 @@ def test_pipeline_is_its_stages_one_after_another(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         rest = stage(spark, rest, SF)
         assert rest.columns == odd.columns
+
+
+# ---- 11 byte-level BPE ----
+
+RANKS = P.path("byte_bpe_50k.tiktoken")
+
+
+def library():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(RANKS), special_tokens={})
+
+
+def test_bpe_equals_the_library_on_random_unicode():
+    rng, lib, model = random.Random(3), library(), bpe.Encoder(RANKS, P.PATTERN)
+    alphabet = [chr(i) for i in range(0x180)] + list(" \t\n\r\x0b\x0c\x1c\x85\xa0　'''  stmlldrve日本é") * 3 + ["<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    texts += ["", "a" * 2000, " " * 700, "ab" * 900, "aaaa" * 1000 + "b", "".join(rng.choice("abc") for _ in range(30_000)), "the" * 500]
+    texts += [f"a{chr(c)}1 {chr(c)}{chr(c)} ." for c in range(0x180, 0x110000, 13) if not 0xD800 <= c < 0xE000]
+    for t, ids in zip(texts, model.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == lib.encode_ordinary(t), t[:60]
+
+
+def test_replay_waits_for_a_merge_of_lower_rank():
+    """Merges whose results come before their parts: (x, bc) before (b, c), among two places of (b, c) in one word."""
+    tokens = [bytes((b,)) for b in range(256)] + [b"xbc", b"xbcb", b"bc", b"bcx", b"bcbc"]
+    ranks = {t: i for i, t in enumerate(tokens)}
+    lib, model = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={}), bpe.Replay(ranks)
+    words = ["".join(w) for n in range(1, 8) for w in itertools.product("xbc", repeat=n)]
+    words = [w for w in words if w.encode() not in ranks]
+    for w, ids in zip(words, model.encode([w.encode() for w in words]), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == lib.encode_ordinary(w), w
+
+
+@pytest.mark.parametrize("frame", ["docs", "odd"])
+def test_bpe_round_trip(spark, frame, request, monkeypatch):
+    df, lib = request.getfixturevalue(frame), library()
+    monkeypatch.setattr(bpe, "LOT", 1000)
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    want = sorted(((r["doc_id"], lib.encode_ordinary(r["text"] or ""), (r["text"] or "").encode()) for r in df.collect()), key=repr)
+    coded = bpe.encode(df, RANKS, P.PATTERN)
+    assert sorted(((r["_id"], r["ids"], bytes(r["decoded"])) for r in bpe.decode(coded.withColumn("decoded", F.lit(1)), RANKS).collect()), key=repr) == want
+    assert bpe.decode(bpe.encode(df.limit(0), RANKS, P.PATTERN), RANKS).count() == 0
+    assert bpe.decode(coded.limit(1).select(F.lit(None).cast("array<int>").alias("ids")), RANKS).first()["decoded"] is None
+    with pytest.raises(Exception, match="no id 60000"):
+        bpe.decode(coded.limit(1).select(F.array(F.lit(60_000)).alias("ids")), RANKS).collect()
+
+
+def test_bpe_query_equals_the_library(spark, docs):
+    lib, hexed = library(), lambda raw: hashlib.sha256(raw).hexdigest()
+    want = {}
+    for r in docs.collect():
+        ids = lib.encode_ordinary(r["text"] or "")
+        want[r["doc_id"]] = (len(ids), hexed(" ".join(map(str, ids)).encode()), hexed((r["text"] or "").encode()))
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op11_bpe(spark, SF).collect()} == want
+
+
+# ---- 12 vector codes, 13 whitening ----
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    """Ties, repeated rows and ids, null and non-finite vectors, one vector that many rows share, clashing column names."""
+    rng = random.Random(4)
+    rows = [(i, i % 3 if i % 5 else None, [rng.choice([rng.gauss(0, 1), 0.5, -0.0]) for _ in range(16)]) for i in range(150)]
+    rows += [(3, 1, rows[3][2]), (3, 1, rows[4][2]), (None, None, rows[3][2]), (900, 1, None), (901, 1, []), (902, 2, [float("nan")] * 16)]
+    rows += [(903, 2, [None] * 16), (904, 2, [float("inf")] * 16), (905, 2, [1.0] * 8)] + [(1000 + i, 1, [0.1] * 16) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    return df.withColumn("_id", F.lit(1)).withColumn("_v", F.lit("x")).withColumn("index", F.lit(2)).withColumn("_x", F.lit("y"))
+
+
+def whole_vectors(rows, scale, size=16):
+    """(id, label, floored vector) of the rows that take part."""
+    good = [r for r in rows if r["embedding"] and len(r["embedding"]) == size and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    return [(r["vec_id"], r["label"], [math.floor(scale * x) for x in r["embedding"]]) for r in good]
+
+
+def plain_codes(rows, parts, entries, rounds):
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    w = len(rows[0][2]) // parts
+    cut = lambda v, p: v[p * w : (p + 1) * w]
+    books = [[cut(r[2], p) for r in rows[:entries]] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            groups = defaultdict(list)
+            for r in rows:
+                groups[near(cut(r[2], p), books[p])[1]].append(cut(r[2], p))
+            for k, xs in groups.items():
+                books[p][k] = [sum(c) // len(xs) for c in zip(*xs, strict=True)]
+    found = [(r, [near(cut(r[2], p), books[p]) for p in range(parts)]) for r in rows]
+    return [(r[0], r[1], [k for _, k in best], sum(d for d, _ in best)) for r, best in found], books
+
+
+@pytest.mark.parametrize("how", [{}, {"parts": 4, "entries": 5, "rounds": 3, "scale": 10}, {"parts": 16, "entries": 3, "rounds": 2}, {"parts": 1, "entries": 300}])
+def test_codes_equal_brute_force(vectors, monkeypatch, how):
+    monkeypatch.setattr(codes, "BLOCK", 7)
+    out, books = codes.compress(vectors, **how)
+    want, plain = plain_codes(whole_vectors(vectors.collect(), how.get("scale", codes.SCALE)), how.get("parts", 8), how.get("entries", 16), how.get("rounds", 6))
+    assert [b.tolist() for b in books] == plain
+    assert sorted(map(tuple, out.select("_id", "label", "codes", "error").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_codes_labels_and_odd_tables(vectors):
+    rows = [r for r in codes.with_label_errors(codes.compress(vectors, rounds=1)[0]).collect()]
+    by = defaultdict(int)
+    for r in rows:
+        by[r["label"]] += r["error"]
+    assert None in by and all(r["label_error"] == by[r["label"]] for r in rows)
+    assert codes.compress(vectors.limit(0))[0].count() == 0 and codes.compress(vectors.filter("embedding is null"))[0].count() == 0
+    with pytest.raises(ValueError, match="equal parts"):
+        codes.compress(vectors, parts=5)
+
+
+def test_shortlist_and_curve():
+    rng = np.random.default_rng(1)
+    short = 0
+    for _ in range(300):
+        points, entries = rng.integers(-50, 50, (20, 3)) // 4 + rng.integers(-40, 40, 3), rng.integers(-50, 50, (8, 3))
+        entries[5] = entries[2]
+        kept = codes.shortlist(points.min(0), points.max(0), entries)
+        short += len(kept) < 8
+        assert (kept[codes.nearest(points, entries[kept])[0]] == codes.nearest(points, entries)[0]).all()
+    assert short > 100
+    grid = np.array(list(itertools.product(range(8), repeat=2)))
+    walk = grid[np.argsort(codes.hilbert(grid * 32, 0, 255), kind="stable")]
+    assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()  # the curve goes from neighbour to neighbour
+
+
+def whitening_holds(rows, got, most=4):
+    """Rows against numpy, each component up to its sign."""
+    distinct = {tuple(v) for _, _, v in rows}
+    n, sums = len(distinct), [sum(c) for c in zip(*distinct, strict=True)]
+    centred = np.array(sorted(distinct), float) - np.array(sums) / n
+    variance = centred.T @ centred / n
+    values, basis = np.linalg.eigh(variance)
+    order = [d for d in np.argsort(-values)[:most] if values[d] > 1e-12 * values.max()]
+    assert len(got) == len(order) * len(rows)
+    by = defaultdict(list)
+    for r in got:
+        assert r["n"] == n and 0 <= r["identity_error"] < 1e-9
+        by[r["_id"], r["deviation"], r["component"]].append(r)
+    for c, d in enumerate(order):
+        pairs = []
+        for i, _, v in rows:
+            key = i, sum((n * a - s) ** 2 for a, s in zip(v, sums, strict=True)), c + 1
+            white = (np.array(v) - np.array(sums) / n) @ basis[:, d] / math.sqrt(values[d])
+            pairs.append((white, min((r["whitened"] for r in by[key]), key=lambda w: abs(abs(w) - abs(white)))))
+            assert all(abs(r["explained"] - values[d] / variance.trace()) < 1e-9 for r in by[key])
+        white, found = np.array(pairs).T
+        assert min(np.abs(found - white).max(), np.abs(found + white).max()) < 1e-7
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_whitening_equals_numpy(vectors, monkeypatch, block):
+    monkeypatch.setattr(whiten, "BLOCK", block)
+    whitening_holds(whole_vectors(vectors.collect(), 256), whiten.whiten(vectors).collect())
+
+
+def test_whitening_of_few_dimensions_and_odd_tables(spark, vectors):
+    line = spark.createDataFrame([(i, [float(i % 7), 2.0 * (i % 7)]) for i in range(20)], "vec_id long, embedding array<float>")
+    rows = [(r["vec_id"], 0, [256 * int(x) for x in r["embedding"]]) for r in line.collect()]
+    whitening_holds(rows, whiten.whiten(line).collect())  # one component: the other's eigenvalue is zero
+    assert whiten.whiten(line.filter("vec_id % 7 = 1")).count() == 0 and whiten.whiten(vectors.limit(0)).count() == 0
+
+
+def test_whitening_query_equals_numpy(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    whitening_holds(whole_vectors(table, 256, 64), queries.op13_whiten(spark, SF).withColumnRenamed("vec_id", "_id").collect())
