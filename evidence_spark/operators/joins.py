@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from .lineage import kept
 
 #: A needle is indexed by so many characters; of a shorter one, by all it has.
 GRAM = 4
@@ -32,20 +33,24 @@ def contained(needles: DataFrame, needle: str, texts: DataFrame, text: str) -> D
 
     A needle's key is its rarest run of GRAM characters over all texts (all of it, if it is
     shorter); texts are keyed by their runs of the lengths that needles have. So common
-    runs draw few pairs, and no side is met by every row of the other.
+    runs draw few pairs, and no side is met by every row of the other. Only numbers travel:
+    a hash stands for each text, needle and run; texts join the pairs in the end and are
+    looked into, so equal hashes of different strings add pairs to verify, never results.
     """
     clash = set(needles.columns) & set(texts.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     n, t = F.col(needle), F.col(text)
-    keyed = needles.filter(F.char_length(n) > 0).withColumn("_size", F.least(F.lit(GRAM), F.char_length(n)))
-    keyed = keyed.withColumn("_nid", F.xxhash64(n, "_size"))
-    sizes = sorted(r["_size"] for r in keyed.select("_size").distinct().collect())  # at most GRAM numbers
-    asked = keyed.select("_size", F.explode(grams(n, F.col("_size"))).alias("_g")).distinct()
-    runs = texts.filter(t.isNotNull()).withColumn("_g", F.explode(F.concat(F.array().cast("array<string>"), *[grams(t, s) for s in sizes])))
-    runs = runs.join(checked_broadcast(asked.select("_g").distinct()), "_g", "left_semi")
+    keyed = needles.filter(F.char_length(n) > 0).withColumn("_nid", F.xxhash64(n))
+    held = texts.filter(t.isNotNull()).withColumn("_tid", F.xxhash64(t))
+    size = F.least(F.lit(GRAM), F.char_length(n))
+    hashed = lambda runs: F.explode(F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g))))
+    asked = keyed.select("_nid", size.alias("_size"), n.alias("_n")).distinct()
+    sizes = sorted(r["_size"] for r in asked.select("_size").distinct().collect())  # at most GRAM numbers
+    each = asked.select("_nid", hashed(grams(F.col("_n"), F.col("_size"))).alias("_g"))
+    runs = held.select("_tid", t.alias("_t")).distinct().select("_tid", hashed(F.concat(F.array().cast("array<string>"), *[grams(F.col("_t"), s) for s in sizes])).alias("_g"))
+    runs = kept(runs.join(checked_broadcast(each.select("_g").distinct()), "_g", "left_semi"))
     often = runs.groupBy("_g").agg(F.count("*").alias("_often"))
-    each = keyed.select("_nid", F.explode(grams(n, F.col("_size"))).alias("_g")).distinct().join(often, "_g", "left")
-    rarest = each.groupBy("_nid").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("o"), F.col("_g").alias("g"))).alias("_r")).filter("_r.o > 0")
-    probes = keyed.join(rarest.select("_nid", F.col("_r.g").alias("_g")), "_nid").drop("_nid", "_size")
-    return runs.join(probes, "_g").filter(F.contains(t, n)).drop("_g")
+    rarest = each.join(often, "_g", "left").groupBy("_nid").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("o"), F.col("_g").alias("g"))).alias("_r")).filter("_r.o > 0")
+    pairs = runs.join(rarest.select("_nid", F.col("_r.g").alias("_g")), "_g").select("_tid", "_nid").distinct()
+    return held.join(pairs, "_tid").join(keyed, "_nid").filter(F.contains(t, n)).drop("_tid", "_nid")

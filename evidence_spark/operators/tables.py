@@ -104,8 +104,8 @@ def resolve_ties(tied: DataFrame) -> DataFrame:
     """one of each question's tied cells, by the first rule that names exactly one, with tie_rule; none gives no row.
 
     first_block: all in one table and under one row label, the smallest row (of those with a
-    column sheet_row; others by coordinate). latest_period: all periods differ and are of one
-    kind (year, month or quarter), the latest. question_wording: twice the question's bigrams
+    column sheet_row; others by coordinate). latest_period: all in one table and under one
+    row label, all periods differ and are of one kind (year, month or quarter), the latest. question_wording: twice the question's bigrams
     in the row label and once those in the column label, if one cell leads.
     """
     for c, kind in (("month", "int"), ("sheet_row", "int"), ("question", "string")):
@@ -124,7 +124,7 @@ def resolve_ties(tied: DataFrame) -> DataFrame:
     rows = rows.join(facts, "question_id")
     leads = F.sum((F.col("_words") == F.col("_lead")).cast("int")).over(w)
     first = (F.col("_sources") == 1) & (F.col("_labels") == 1) & (F.col("_rows") == F.col("_n")) & (F.col("sheet_row") == F.col("_top"))
-    latest = (F.col("_periods") == F.col("_n")) & (F.col("_kinds") == 1) & (F.col("_one") != "none") & (F.col("_period") == F.col("_latest"))
+    latest = (F.col("_sources") == 1) & (F.col("_labels") == 1) & (F.col("_periods") == F.col("_n")) & (F.col("_kinds") == 1) & (F.col("_one") != "none") & (F.col("_period") == F.col("_latest"))
     words = (F.col("_lead") > 0) & (F.col("_words") == F.col("_lead")) & (leads == 1)
     rule = F.when(first, F.lit(0)).when(latest, 1).when(words, 2)
     picked = rows.withColumn("_rule", rule).filter("_rule is not null").withColumn("_r", F.row_number().over(w.orderBy("_rule", "source_title", "coordinate"))).filter("_r = 1")
