@@ -6,10 +6,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from evidence_spark.plans import evidence, relational, retrieval, rules, support
+from evidence_spark.plans import context, evidence, relational, retrieval, rules, spreadsheets, support
 
 SF = "/root/testdata/sf0.001"
-QUERIES = retrieval.QUERIES | relational.QUERIES | evidence.QUERIES | rules.QUERIES | support.QUERIES
+QUERIES = retrieval.QUERIES | relational.QUERIES | evidence.QUERIES | rules.QUERIES | support.QUERIES | spreadsheets.QUERIES | context.QUERIES
 #: Jobs that are meant to fail on blank texts.
 STRICT = {"hashed_embeddings"}
 

@@ -8,11 +8,11 @@ import os
 import duckdb
 import pytest
 
-from evidence_spark.plans import evidence, relational, retrieval, rules, support
+from evidence_spark.plans import context, evidence, relational, retrieval, rules, spreadsheets, support
 
 SF = "/root/testdata/sf0.001"
-QUERIES = retrieval.QUERIES | relational.QUERIES | evidence.QUERIES | rules.QUERIES | support.QUERIES
-SQL = retrieval.SQL | relational.SQL | evidence.SQL | rules.SQL | support.SQL
+QUERIES = retrieval.QUERIES | relational.QUERIES | evidence.QUERIES | rules.QUERIES | support.QUERIES | spreadsheets.QUERIES | context.QUERIES
+SQL = retrieval.SQL | relational.SQL | evidence.SQL | rules.SQL | support.SQL | spreadsheets.SQL | context.SQL
 
 
 @pytest.fixture(scope="module")
