@@ -6,6 +6,7 @@ join before it made for that query; row_number <= k lets Spark prune before the
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import NUMERAL, bigram_support, let, numeral, token_count
+from .joins import checked_broadcast
+from .lineage import kept
 
 #: Weight of each kind of query variant, and of each evidence role.
 VARIANT_WEIGHTS = {"semantic": 1.0, "statement": 1.15, "table": 1.2, "keyword": 0.75, "legacy": 0.9, "fallback": 0.85}
@@ -28,39 +31,74 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str =
     return df.withColumn(name, rank).filter(F.col(name) <= k)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, q: str = "query_id", c: str = "chunk_id", vector: str = "vector") -> DataFrame:
-    """The k vectors of greatest inner product for every query; ties (to nine places) go to the smaller id.
+def dense_topk(
+    queries: DataFrame, vectors: DataFrame, k: int, q: str = "query_id", c: str = "chunk_id", vector: str = "vector", filters: DataFrame | None = None, chunks: DataFrame | None = None, doc: str = "document_id"
+) -> DataFrame:
+    """The k vectors of greatest inner product for every query; ties (to nine places) go to the smaller id.
 
     Vectors are dealt into blocks, queries into lots; each block meets each lot once and
-    keeps k per query, a window merges what the blocks kept. Null vectors take no part;
-    all others are of one length.
+    keeps k per query, a window merges what the blocks kept. Null vectors take no part; a
+    query meets the vectors of its own length. With filters and chunks (see filtered) a
+    block ranks for each query only the chunks that fit its filter.
     """
     blocks, lots = (max(1, -(-df.count() // n)) for df, n in ((vectors, VECTOR_BLOCK), (queries, QUERY_LOT)))
-    deal = lambda df, ident, n, name: df.select(F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).filter("_v is not null").withColumn(name, F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int"))
-    each = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     kind_q, kind_c = dict(queries.dtypes)[q], dict(vectors.dtypes)[c]
+    wants, has, fields = [], [], []
+    if filters is not None:
+        asks, shows, fields = filter_sides(filters, chunks, q, c, doc)
+        wants, has = [x for x in asks.columns if x != q], [x for x in shows.columns if x != c]
+        queries, vectors = queries.select(q, vector).join(asks, q, "left"), vectors.select(c, vector).join(shows, c, "left")
+    deal = lambda df, ident, more, n, name: df.select(F.col(ident).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), *more).filter("_v is not null").withColumn(name, F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int"))
+    each = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     matrix = lambda t: t["_v"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
 
+    def fitting(block: pa.Table, wanted: dict) -> np.ndarray:
+        mask = np.ones(len(block), bool)
+        if wanted.get("_docs") is not None:
+            mask &= np.isin(block["_doc"].to_numpy(zero_copy_only=False).astype(object), wanted["_docs"])
+        for f in fields:
+            if wanted[f"_want_{f}"] is not None:
+                mask &= block[f"_has_{f}"].to_numpy(zero_copy_only=False) == wanted[f"_want_{f}"]
+        return mask
+
     def search(block: pa.Table, lot: pa.Table) -> pa.Table:
         at, of, scores = [], [], []
         if len(block) and len(lot):
             block = block.sort_by("_id")
-            m, v = matrix(lot), matrix(block)
-            step = max(1, PRODUCTS // len(v))
-            for i in range(0, len(m), step):
-                s = m[i : i + step] @ v.T
-                shown = s.round(9)
-                least = np.partition(shown, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k)]
-                for j, row in enumerate(shown):
-                    some = np.flatnonzero(row >= least[j])
-                    best = some[np.argsort(-row[some], kind="stable")[:k]]  # rows are in the order of ids
-                    at.append(np.full(len(best), i + j))
-                    of.append(best)
-                    scores.append(s[j, best])
+            asked = lot.select(wants).to_pylist() if wants else []
+            signs, masks = [repr(x) for x in asked], {}
+            sizes, lengths = (np.array([len(v) for v in t["_v"]]) for t in (block, lot))
+            for size in np.unique(lengths):
+                mine, theirs = np.flatnonzero(lengths == size), np.flatnonzero(sizes == size)
+                if not size or not len(theirs):
+                    continue
+                m, v = matrix(lot.take(mine)), matrix(block.take(theirs))
+                step = max(1, PRODUCTS // len(v))
+                for i in range(0, len(m), step):
+                    s = m[i : i + step] @ v.T
+                    shown = s.round(9)
+                    for j, row in enumerate(shown):
+                        who = mine[i + j]
+                        if asked:
+                            if signs[who] not in masks:
+                                masks[signs[who]] = fitting(block, asked[who])
+                            open_ = np.flatnonzero(masks[signs[who]][theirs])
+                        else:
+                            open_ = None
+                        seen = row if open_ is None else row[open_]
+                        if not len(seen):
+                            continue
+                        least = np.partition(seen, max(0, len(seen) - k))[max(0, len(seen) - k)]
+                        some = np.flatnonzero(seen >= least)
+                        best = some[np.argsort(-seen[some], kind="stable")[:k]]  # rows are in the order of ids
+                        best = best if open_ is None else open_[best]
+                        at.append(np.full(len(best), who))
+                        of.append(theirs[best])
+                        scores.append(s[j, best])
         take = lambda t, x: t["_id"].take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
         return pa.table({q: take(lot, at), c: take(block, of), "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
 
-    left, right = each(deal(vectors, c, blocks, "_block"), lots, "_lot"), each(deal(queries, q, lots, "_lot"), blocks, "_block")
+    left, right = each(deal(vectors, c, has, blocks, "_block"), lots, "_lot"), each(deal(queries, q, wants, lots, "_lot"), blocks, "_block")
     found = left.groupBy("_block", "_lot").cogroup(right.groupBy("_block", "_lot")).applyInArrow(search, f"{q} {kind_q}, {c} {kind_c}, score double")
     return top(found, [q], [F.desc(F.round("score", 9)), F.col(c)], k)
 
@@ -103,13 +141,92 @@ def to_postings(df: DataFrame, key: str, weights: str = "weights") -> DataFrame:
     return rows.filter(F.col("weight").isNotNull() & (F.col("weight") != 0) & ~F.isnan("weight")).select(key, "token", "weight")
 
 
-def sparse_topk(q_postings: DataFrame, postings: DataFrame, k: int, q: str = "query_id", c: str = "chunk_id") -> DataFrame:
-    """The k chunks of greatest dot product on shared tokens for every query."""
-    joined = postings.join(q_postings.select(q, "token", F.col("weight").alias("_w")), "token")
-    scored = joined.groupBy(q, c).agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+#: Postings of a token beyond which it counts as common; each further tenfold is a class of its own.
+COMMON = 10_000
+#: Scores closer than this may tie after rounding.
+CLOSE = 1e-8
+
+
+def sparse_topk(q_postings: DataFrame, postings: DataFrame, k: int, q: str = "query_id", c: str = "chunk_id", common: int = COMMON, allow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The k chunks of greatest dot product on shared tokens for every query.
+
+    Tokens are read in classes, rare ones first. What a query's remaining tokens can add or
+    take is bounded by each token's greatest and least weight. Once k chunks are certain to
+    stay above whatever a chunk not met yet could reach, common tokens are no longer joined
+    by token: they are looked up by (chunk, token) for the few chunks that may still be among
+    the k best. Queries that stay open read the next class, dealt by chunk, so no common
+    token meets in one task; after the last class every score is whole. allow keeps the rows
+    (query, chunk) that a query may see, before anything is ranked.
+    """
+    allow = allow or (lambda rows: rows)
+    asked = q_postings.select(q, "token", F.col("weight").cast("double").alias("_w"))
+    rows = postings.select(c, "token", F.col("weight").cast("double").alias("_v"))
+    stats = rows.join(checked_broadcast(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("_df"), F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
+    cls = F.greatest(F.lit(0), F.ceil(F.log10(F.col("_df") / F.lit(float(common))))).cast("int")
+    ends = F.array(F.lit(0.0), F.col("_w") * F.col("_hi"), F.col("_w") * F.col("_lo"))
+    terms = kept(asked.join(stats, "token").select(q, "token", "_w", cls.alias("_class"), F.array_max(ends).alias("_up"), F.array_min(ends).alias("_down")))
+    classes = sorted(r["_class"] for r in terms.select("_class").distinct().collect())  # as many as the data has tenfolds
+    salts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held, done, open_ = None, [], None
+    for i, k_class in enumerate(classes):
+        part = terms.filter(F.col("_class") == k_class)
+        part = part.join(open_, q, "left_semi") if open_ is not None else part
+        part, side, keys = part.select(q, "token", "_w"), rows, ["token"]
+        if k_class:
+            part, side, keys = part.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), rows.withColumn("_salt", F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")), ["token", "_salt"]
+        met = allow(side.join(part, keys).select(q, c, (F.col("_v") * F.col("_w")).alias("score")))
+        held = (met if held is None else held.unionByName(met)).groupBy(q, c).agg(F.sum("score").alias("score"))
+        if i == len(classes) - 1:
+            break
+        held = kept(held)
+        rest = terms.filter(F.col("_class") > k_class)
+        bounds = rest.groupBy(q).agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
+        best = top(held, [q], [F.desc("score")], k, "_n").groupBy(q).agg(F.min("score").alias("_least"), F.max("_n").alias("_n"))
+        state = kept(best.join(bounds, q, "left").select(q, "_n", (F.col("_least") + F.coalesce("_down", F.lit(0.0))).alias("_floor"), F.coalesce("_up", F.lit(0.0)).alias("_up")))
+        closed = state.filter((F.col("_n") >= k) & (F.col("_floor") > F.col("_up") + CLOSE))
+        final = held.join(closed, q).filter(F.col("score") + F.col("_up") >= F.col("_floor") - CLOSE).select(q, c, "score")
+        more = final.select(q, c).join(rest.select(q, "token", "_w"), q).join(rows, [c, "token"]).select(q, c, (F.col("_v") * F.col("_w")).alias("score"))
+        done.append(final.unionByName(more).groupBy(q, c).agg(F.sum("score").alias("score")))
+        queries = terms.select(q).distinct() if open_ is None else open_
+        open_ = kept(queries.join(closed.select(q), q, "left_anti"))
+        held = held.join(open_, q, "left_semi")
+    if held is None:
+        held = rows.limit(0).crossJoin(terms.limit(0).select(q)).select(q, c, F.lit(0.0).alias("score"))
+    scored = functools.reduce(DataFrame.unionByName, done, held)
     return top(scored, [q], [F.desc(F.round("score", 9)), F.col(c)], k)
 
 
+#: Fields of a chunk that a search filters by equality, besides its document.
+FILTER_FIELDS = ("article_number", "version_status", "year", "month", "quarter")
+
+
+def filter_sides(filters: DataFrame, chunks: DataFrame, q: str, c: str, doc: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """What each query wants (_docs, _want_*), what each chunk has (_doc, _has_*), and the fields that both know."""
+    fields = [f for f in FILTER_FIELDS if f in filters.columns and f in chunks.columns]
+    docs = F.col("document_ids").cast("array<string>") if "document_ids" in filters.columns else F.lit(None).cast("array<string>")
+    wants = filters.select(q, docs.alias("_docs"), *[F.nullif(F.col(f).cast("string"), F.lit("")).alias(f"_want_{f}") for f in fields])
+    has = chunks.select(c, F.col(doc).cast("string").alias("_doc"), *[F.col(f).cast("string").alias(f"_has_{f}") for f in fields])
+    return wants, has, fields
+
+
+def filtered(filters: DataFrame, chunks: DataFrame, q: str = "query_id", c: str = "chunk_id", doc: str = "document_id") -> Callable[[DataFrame], DataFrame]:
+    """Keeps rows (query, chunk) whose chunk fits the query's filters; used inside a search, so that k results stay.
+
+    filters: a row per query with document_ids (null: any; an empty list: none) and equality
+    fields (null or empty: any). A query without a row there sees all. chunks: a row per
+    chunk; one without is seen by queries without any filter only.
+    """
+    wants, has, fields = filter_sides(filters, chunks, q, c, doc)
+
+    def keep(rows: DataFrame) -> DataFrame:
+        fits = F.col("_docs").isNull() | F.coalesce(F.array_contains("_docs", F.col("_doc")), F.lit(False))
+        for f in fields:
+            fits = fits & (F.col(f"_want_{f}").isNull() | F.col(f"_has_{f}").eqNullSafe(F.col(f"_want_{f}")))
+        return rows.join(checked_broadcast(wants), q, "left").join(has, c, "left").filter(fits).select(*rows.columns)
+
+    return keep
+
+
 def rrf(lists: DataFrame, k: int = 60, limit: int = 10, q: str = "query_id", c: str = "chunk_id") -> DataFrame:
     """Reciprocal rank fusion of several ranked lists (rows q, c, rank)."""
     fused = lists.groupBy(q, c).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
