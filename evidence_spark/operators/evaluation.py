@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import number_match, numbers, text_score
+from .joins import checked_broadcast
 
 
 def hit_ranks(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5), wanted: DataFrame | None = None) -> DataFrame:
@@ -108,7 +109,7 @@ def split_holdout(cases: DataFrame, strata: list[str], total: int, share: float
     chosen = F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share))
     rows = rows.withColumn("_late", ~chosen)
     places = rows.select(case, "_late", "_h").orderBy("_late", F.when(~F.col("_late"), F.col("_h")).desc_nulls_last(), "_h", case).limit(total).select(case, F.lit(True).alias("holdout"))
-    return rows.join(F.broadcast(places), case, "left").withColumn("holdout", F.coalesce("holdout", F.lit(False))).drop("_h", "_n", "_r", "_late")
+    return rows.join(checked_broadcast(places), case, "left").withColumn("holdout", F.coalesce("holdout", F.lit(False))).drop("_h", "_n", "_r", "_late")
 
 
 def make_ood(cases: DataFrame, every: int = 10, limit: int = 30, case: str = "case_id", text: str = "question") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import anchor_coverage, bigram_support, critical_terms, let, normalize_support, numeral
 from .joins import contained
+from .lineage import kept
 from .structure import resolve_titles
 
 #: Words that open a request, words that are none of its terms, and what a clause may end with.
@@ -138,13 +139,13 @@ def definition_support(questions: DataFrame, chunks: DataFrame, scope: DataFrame
     terms = questions.filter(asked).select(q, F.explode(quoted_terms(F.col("question"))).alias("term"))
     forms = terms.select(q, "term", F.posexplode(F.array(*[normalize_support(F.concat(F.lit(a), F.col("term"), F.lit(b))) for a, b in DEFINITION_FORMS])).alias("_n", "_form"))
     texts = chunks.select("doc_id", "chunk_id", normalize_support(F.col("text")).alias("_t"))
-    inside = forms.join(scope.select(q, "doc_id").distinct(), q).join(texts, "doc_id").filter(F.contains("_t", "_form")).select(q, "chunk_id", "term", F.lit("scope").alias("source"))
+    inside = kept(forms.join(scope.select(q, "doc_id").distinct(), q).join(texts, "doc_id").filter(F.contains("_t", "_form")).select(q, "chunk_id", "term", F.lit("scope").alias("source")))
     left = terms.join(inside.select(q).distinct(), q, "left_anti")
     norm = F.regexp_replace(F.translate(F.lower(F.trim("term")), "（）：“”", "():"), r"\s+", "")
-    known = left.withColumn("term_norm", norm).join(definitions.select("term_norm", "chunk_id"), "term_norm").select(q, "chunk_id", "term", F.lit("dictionary").alias("source"))
+    known = kept(left.withColumn("term_norm", norm).join(definitions.select("term_norm", "chunk_id"), "term_norm").select(q, "chunk_id", "term", F.lit("dictionary").alias("source")))
     rest = forms.join(inside.select(q).distinct(), q, "left_anti").join(known.select(q).distinct(), q, "left_anti")
     anywhere = contained(rest.select(q, "term", "_form"), "_form", texts.select("chunk_id", "_t"), "_t").select(q, "chunk_id", "term", F.lit("corpus").alias("source"))
-    found = inside.unionByName(known).unionByName(anywhere).groupBy(q, "chunk_id").agg(F.min("term").alias("term"), F.min("source").alias("source"))
+    found = kept(inside.unionByName(known).unionByName(anywhere).groupBy(q, "chunk_id").agg(F.min("term").alias("term"), F.min("source").alias("source")))
     w = W.partitionBy("doc_id").orderBy("pos")
     after = chunks.select(F.col("chunk_id").alias("_c"), F.lead("chunk_id").over(w).alias("chunk_id")).filter("chunk_id is not null")
     next_ = found.withColumnRenamed("chunk_id", "_c").join(after, "_c").select(q, "chunk_id", "term", F.lit("successor").alias("source"))

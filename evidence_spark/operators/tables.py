@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import anchor_coverage, bigram_set, squeeze
 from .joins import contained
+from .lineage import kept
 
 #: Fixed value: scores this close count as a tie.
 TIE = 0.0001
@@ -32,7 +33,7 @@ def cell_candidates(questions: DataFrame, cells: DataFrame) -> DataFrame:
     held = contained(wanted, "_asked", titles, "_t").select("question_id", "source_title")
     out = cells.join(held, "source_title").join(questions, "question_id")
     fits = lambda want, have: F.col(want).isNull() | F.col(have).eqNullSafe(F.col(want))
-    return out.filter(fits("asked_year", "year") & fits("asked_quarter", "quarter"))
+    return kept(out.filter(fits("asked_year", "year") & fits("asked_quarter", "quarter")))
 
 
 def require_labels(candidates: DataFrame, terms: str = "required") -> DataFrame:

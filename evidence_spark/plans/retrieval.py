@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluation, search
+from ..operators import chunking, evaluation, gold, search
 from ..operators.joins import checked_broadcast, contained
+from ..operators.lineage import kept
 from ..sources import documents as readers
 from .tables import table
 
@@ -98,7 +99,7 @@ rk AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 def sparse_hits(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
     ch = chunks(spark, d)
     q = chunking.postings(table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", F.col("text"))
-    return search.sparse_topk(q, chunking.postings(ch, "chunk_id", F.col("piece")), k), ch
+    return search.sparse_topk(q, kept(chunking.postings(ch, "chunk_id", F.col("piece"))), k), ch
 
 
 @query("sparse_topk", f"WITH {SPARSE_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
@@ -143,7 +144,7 @@ def gold_documents(items: DataFrame, docs: DataFrame, probe: int = 5) -> DataFra
     """
     cut = items.select("item_id", F.col("text").alias("passage"), F.regexp_replace("text", r"[^\x20\x09-\x0D]+$", "").alias("_inner"))
     keys = cut.select("item_id", F.explode(shingle_keys(F.col("_inner"), probe, 1)).alias("_p"))
-    held = docs.select("doc_id", F.explode(shingle_keys(F.col("text"), probe)).alias("_p")).join(checked_broadcast(keys.select("_p").distinct()), "_p", "left_semi")
+    held = kept(docs.select("doc_id", F.explode(shingle_keys(F.col("text"), probe)).alias("_p")).join(checked_broadcast(keys.select("_p").distinct()), "_p", "left_semi"))
     often = held.groupBy("_p").agg(F.count("*").alias("_n"))
     rarest = keys.join(often, "_p", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_p")).alias("r"))
     probes = held.join(rarest.filter("r.n > 0").select("item_id", F.col("r._p").alias("_p")), "_p").select("doc_id", "item_id")
@@ -158,6 +159,63 @@ def gold_documents_query(spark: SparkSession, d: str) -> DataFrame:
     return gold_documents(table(spark, d, "benchmark"), table(spark, d, "documents")).distinct()
 
 
+PLAIN_SQL = r"""regexp_replace(regexp_replace(translate(lower(coalesce({}, '')), '《》', ''), '\.(?:pdf|docx?|xlsx?|xls|csv|txt|md)$', '', 'g'), '[\s·•、，,。.;；:：()（）"''“”‘’\-_/\\]+', '', 'g')"""
+
+
+def altered(text: F.Column) -> F.Column:
+    return F.regexp_replace(text, r"\S+$", "gone")
+
+
+@query("near_passages", f"""WITH p AS (SELECT item_id AS aspect_id, item_id AS doc, {PLAIN_SQL.format(r"regexp_replace(text, '[^ \t\n\r\f\v]+$', 'gone')")} AS p FROM benchmark),
+c AS (SELECT doc_id, {PLAIN_SQL.format('text')} AS c FROM documents),
+w AS (SELECT *, CASE WHEN length(p) > 8 THEN list_transform(range(4), lambda i: substr(p, i * greatest(1, (length(p) - 8) // 3) + 1, 8)) ELSE [p] END AS w, list_distinct(list_transform(range(1, length(p)), lambda i: substr(p, i, 2))) AS g FROM p WHERE p <> ''),
+m AS (SELECT aspect_id, doc_id, c, g FROM w JOIN c ON c.c <> '' AND (contains(c, w[1]) OR contains(c, w[2]) OR contains(c, w[3]) OR contains(c, w[4]))),
+a AS (SELECT aspect_id, doc_id FROM m WHERE len(list_intersect(g, list_distinct(list_transform(range(1, length(c)), lambda i: substr(c, i, 2))))) >= 0.7 * len(g) AND len(g) > 0),
+n AS (SELECT aspect_id, doc_id FROM w JOIN c ON c.doc_id = w.doc AND c.c <> '' WHERE aspect_id NOT IN (SELECT aspect_id FROM a) AND (contains(c, p) OR contains(p, c) AND length(c) >= 20
+  OR len(g) > 0 AND len(list_intersect(g, list_distinct(list_transform(range(1, length(c)), lambda i: substr(c, i, 2))))) >= 0.55 * len(g)))
+SELECT aspect_id, doc_id AS chunk_id, 'anywhere' AS scope FROM a UNION ALL SELECT aspect_id, doc_id, 'named' FROM n""")
+def near_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages whose last word was changed, over all documents; the document of a passage's own number is the named one."""
+    passages = table(spark, d, "benchmark").select(F.col("item_id").alias("aspect_id"), F.col("item_id").alias("document_id"), altered(F.col("text")).alias("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text")
+    return gold.passage_chunks(passages, docs)
+
+
+@query("gold_cells", """WITH r AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n, l_partkey % 2 AS s, l_orderkey % 3 AS kind FROM lineitem),
+e AS (SELECT DISTINCT o, kind, o % 7 + 1 AS want FROM r),
+h AS (SELECT e.o, e.want, bool_or(s = 0) AS some FROM e JOIN r ON e.o = r.o AND r.n = e.want WHERE e.kind > 0 GROUP BY ALL)
+SELECT DISTINCT e.o AS case_id, 'cell:A' || e.want AS aspect_id, r.o || '-' || r.n || '-' || r.s AS chunk_id FROM e LEFT JOIN h ON h.o = e.o LEFT JOIN r ON r.o = e.o AND r.n = e.want AND (r.s = 0 OR NOT h.some) WHERE e.kind > 0
+UNION ALL SELECT DISTINCT e.o, 'value:7' || e.want, r.o || '-' || r.n || '-' || r.s FROM e LEFT JOIN r ON r.o = e.o AND contains('7' || r.n || '亿', '7' || e.want) WHERE e.kind = 0""")
+def gold_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, lines as cells of two sheets; two orders of three name a cell, the third a value."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(o.alias("document_id"), n.alias("n"), (F.col("l_partkey") % 2).alias("s")).distinct()
+    rows = rows.withColumn("chunk_id", F.concat_ws("-", F.col("document_id").cast("string"), F.col("n").cast("string"), F.col("s").cast("string")))
+    cells = rows.select("document_id", F.concat(F.lit("Sheet "), F.col("s").cast("string")).alias("sheet"), F.concat(F.lit("A"), F.col("n").cast("string")).alias("coordinate"), "chunk_id")
+    want = (o % 7 + 1).cast("string")
+    text = F.when(o % 3 > 0, F.concat(F.lit("工作表：Sheet 0；A"), want)).otherwise(F.concat(F.lit("合计=7"), want))
+    asked = table(spark, d, "lineitem").select(o.alias("case_id"), o.alias("document_id"), text.alias("text")).distinct()
+    return gold.cell_chunks(asked, cells, rows.select("document_id", "chunk_id", F.concat(F.lit("7"), F.col("n").cast("string"), F.lit("亿")).alias("text")))
+
+
+@query("filtered_search", f"""WITH {SPARSE_SQL}, m AS (SELECT DISTINCT chunk_id, ch.doc_id, 2020 + ch.doc_id % 3 AS year, lang FROM ch JOIN documents USING (doc_id)),
+f AS (SELECT query_id, chunk_id, score FROM sc JOIN m USING (chunk_id) WHERE (query_id % 4 = 3 OR year = 2020 + query_id % 3) AND (query_id % 2 = 1 OR lang = 'en') AND (query_id % 5 > 0 OR doc_id IN (query_id, query_id + 1, query_id * 2)))
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id))::INTEGER AS rank FROM f) WHERE rank <= 10""")
+def filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    """Passages as questions, each held to a year, every second to a language, every fifth to three documents."""
+    ch = chunks(spark, d)
+    i = F.col("item_id")
+    asked = table(spark, d, "benchmark")
+    filters = asked.select(
+        i.alias("query_id"), F.when(i % 5 == 0, F.array(i.cast("string"), (i + 1).cast("string"), (i * 2).cast("string"))).alias("document_ids"), F.when(i % 4 != 3, 2020 + i % 3).alias("year"), F.when(i % 2 == 0, "en").alias("version_status"),
+    )
+    about = ch.select("chunk_id", "doc_id").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    about = about.select("chunk_id", F.col("doc_id").alias("document_id"), (2020 + F.col("doc_id") % 3).alias("year"), F.col("lang").alias("version_status")).dropDuplicates(["chunk_id"])
+    q = chunking.postings(asked.withColumnRenamed("item_id", "query_id"), "query_id", F.col("text"))
+    out = search.sparse_topk(q, kept(chunking.postings(ch, "chunk_id", F.col("piece"))), 10, allow=search.filtered(filters, about))
+    return out.withColumn("score", F.round("score", 6))
+
+
 DENSE_SQL = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 ds AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label AS document_id, list_dot_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id % 50 = 0),
 dk AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id))::INTEGER AS rank FROM ds)

@@ -177,14 +177,14 @@ def lead_items(spark: SparkSession, d: str) -> DataFrame:
     return support.lead_continuation(sel, chunks).select("question_id", "chunk_id", "step")
 
 
-@query("recovery_gate", """WITH m AS (SELECT s_suppkey AS aspect_id, s_suppkey % 5 = 0 AS def, coalesce(bool_or(CASE WHEN s_suppkey % 5 = 0 THEN l_linenumber = 7 ELSE l_returnflag = 'R' AND l_discount * 10 >= 0.95 AND (s_suppkey % 2 = 1 OR l_partkey % 2 = 0) END), false) AS fine FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_orderkey % 40 = 0 GROUP BY ALL)
+@query("recovery_gate", """WITH m AS (SELECT s_suppkey AS aspect_id, s_suppkey % 5 = 0 AS def, coalesce(bool_or(l_quantity = 50 AND CASE WHEN s_suppkey % 5 = 0 THEN l_linenumber = 7 ELSE l_returnflag = 'R' AND l_discount * 10 >= 0.75 AND (s_suppkey % 2 = 1 OR l_partkey % 2 = 0) END), false) AS fine FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL)
 SELECT aspect_id, CASE WHEN def THEN 'definition' ELSE 'phrases' END AS pass FROM m WHERE NOT fine""")
 def recovery_gate(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("s_suppkey")
     aspects = table(spark, d, "supplier").select(s.alias("aspect_id"), F.when(s % 5 == 0, "define").otherwise("explain").alias("intent"), F.array(F.lit("资本(a)")).alias("targets"))
-    l = table(spark, d, "lineitem").filter("l_orderkey % 40 = 0")  # noqa: E741  the matches of this run
-    text = F.when(F.col("l_linenumber") == 7, "资本(a)，是指").otherwise("资本(a)")
-    score = F.when(F.col("l_discount") * 10 >= 0.95, 0.6).otherwise(0.2)
+    l = table(spark, d, "lineitem")  # noqa: E741
+    text = F.when((F.col("l_linenumber") == 7) & (F.col("l_quantity") == 50), "资本(a)，是指").otherwise("资本(a)")
+    score = F.when((F.col("l_discount") * 10 >= 0.75) & (F.col("l_quantity") == 50), 0.6).otherwise(0.2)
     matches = l.select(F.col("l_suppkey").alias("aspect_id"), F.col("l_partkey").alias("doc_id"), text.alias("text"), F.when(F.col("l_returnflag") == "R", "direct").otherwise("related").alias("role"), score.alias("rerank_score"))
     scope = matches.filter("aspect_id % 2 = 0 and doc_id % 2 = 0").select("aspect_id", "doc_id").unionByName(aspects.filter("aspect_id % 2 = 0").select("aspect_id", F.lit(-2).cast("long").alias("doc_id")))
     return support.needs_recovery(aspects, matches, scope)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
+from ..operators.joins import checked_broadcast
+
 KEYS = ["event_key", "target_type", "target_id", "severity"]
 #: Fixed value: local dates are those of this zone.
 ZONE = "Asia/Shanghai"
@@ -56,12 +58,12 @@ def events_on(events: DataFrame, day: Column, offset: int = 0, limit: int = 50)
 def archive_daily(events: DataFrame, archived: DataFrame, deleted: DataFrame, today: Column) -> DataFrame:
     """Events of days before today that are not archived, without days marked deleted; with archive_date."""
     old = events.withColumn("archive_date", local_date(F.col("ts"))).filter(F.col("archive_date") < today)
-    return old.join(archived.select("event_id"), "event_id", "left_anti").join(F.broadcast(deleted.select("archive_date")), "archive_date", "left_anti")
+    return old.join(archived.select("event_id"), "event_id", "left_anti").join(checked_broadcast(deleted.select("archive_date")), "archive_date", "left_anti")
 
 
 def list_archives(archive: DataFrame, deleted: DataFrame) -> DataFrame:
     """Events per archived day that is not marked deleted, by severity."""
-    kept = archive.join(F.broadcast(deleted.select("archive_date")), "archive_date", "left_anti")
+    kept = archive.join(checked_broadcast(deleted.select("archive_date")), "archive_date", "left_anti")
     return kept.groupBy("archive_date").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("errors"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
