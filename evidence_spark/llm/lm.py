@@ -5,7 +5,9 @@ count, whatever the input's size, and have the same smoothing: a bigram's share
 first word, weighed against the word's own share by how often the first word was seen.
 A word's own share has ADDED put to every count, for as many words as the background
 has, VOCABULARY at least. The background is every document, the target those chosen. A
-document's score is the mean over its words of target loss less background loss, in
+target document's own counts are taken out of the target before it is scored, so that it
+is not its own model (the background holds every document scored alike). A document's
+score is the mean over its words of target loss less background loss, in
 nats: the lower, the more it resembles the target.
 
 Documents are dealt into lots by a hash of the row, and travel compressed with the others
@@ -17,12 +19,14 @@ hashes; losses are added in steps of 2^-32, so equal texts score equally in any
 
 Defined cases: a null or wordless text has no words and a null score; with an empty
 target all counts of the target are 0 and its loss is that of equal shares; equal rows
-score equally; a document marked several times as target counts once; columns beyond id
+score equally if all or none of them are in the target (a copy counts for the others, not
+for itself); texts of any length are read whole; an empty table gives no rows; a document marked several times as target counts once; columns beyond id
 and text are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -69,6 +73,20 @@ class Keys:
         self.before = np.roll(self.word, 1)
         self.before[self.starts] = self.start
 
+    @functools.cached_property
+    def of(self) -> np.ndarray:
+        """Each word's text."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each word, its bigram and what stands before it occur in its own text."""
+        n, text = len(self.word), self.of * len(self.distinct)
+        _, at, times = np.unique(np.concatenate([text + self.word, text + self.pair]), return_inverse=True, return_counts=True)
+        word, pair = times[at[:n]], times[at[n:]]
+        before = np.roll(word, 1)
+        before[self.starts] = 1
+        return word, pair, before
+
     def counts(self, chosen: np.ndarray) -> np.ndarray:
         """How often each distinct key occurs in the chosen texts."""
         of, some = np.repeat(chosen, self.sizes), chosen[self.sizes > 0]
@@ -208,10 +226,13 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         counts = np.concatenate([counts_of(d) for d in answers["data"].to_pylist()] or [np.zeros((2, 0), np.int64)], 1)
         vocabulary = max(VOCABULARY, sum(answers["vocabulary"].to_pylist()))
         mean = np.zeros((2, len(keys.sizes)))
-        for k, name in enumerate(("background", "target")):
+        counted, target = (np.array(lot[c].to_pylist(), bool) for c in ("_counts", "_target"))
+        for k, (name, inside) in enumerate((("background", np.zeros_like(target)), ("target", counted & target))):
             if len(answers):
-                own = (counts[k][keys.word] + ADDED) / (sum(answers[name].to_pylist()) + ADDED * vocabulary)
-                loss = -np.log((counts[k][keys.pair] + BACK_OFF * own) / (counts[k][keys.before] + BACK_OFF))
+                word, pair, before = (counts[k][at] - mine * inside[keys.of] for at, mine in zip((keys.word, keys.pair, keys.before), keys.own(), strict=True))
+                all_words = (sum(answers[name].to_pylist()) - keys.sizes * inside)[keys.of]
+                own = (word + ADDED) / (all_words + ADDED * vocabulary)
+                loss = -np.log((pair + BACK_OFF * own) / (before + BACK_OFF))
                 total = np.r_[0, np.cumsum(np.rint(loss * STEPS).astype(np.int64))]
                 ends = np.cumsum(keys.sizes)
                 mean[k] = (total[ends] - total[ends - keys.sizes]) / STEPS / np.maximum(keys.sizes, 1)

@@ -366,14 +366,29 @@ def test_lm_against_plain_counts(spark, odd):
     target = spark.createDataFrame([(7,), (7,), (None,)], "_id long")
     small = odd.filter("doc_id in (0, 1, 7, 8)").dropDuplicates(["doc_id"])
     got = {r["_id"]: r for r in lm.score(small, lm.fit(small, target)).collect()}
-    assert got[0]["score"] is None and got[0]["n_words"] == 0 and got[7]["score"] == got[8]["score"] and got[7]["n_words"] == 6
+    assert got[0]["score"] is None and got[0]["n_words"] == 0 and got[7]["n_words"] == 6
     v, a, k = lm.VOCABULARY, lm.ADDED, lm.BACK_OFF
 
     def loss(copies):
         own = (copies + a) / (6 * copies + a * v)
         return -np.log((copies + k * own) / (copies + k))
 
-    assert abs(got[7]["background_loss"] - loss(2)) < 1e-6 and abs(got[7]["target_loss"] - loss(1)) < 1e-6
+    assert abs(got[7]["background_loss"] - loss(2)) < 1e-6 and abs(got[7]["target_loss"] - loss(0)) < 1e-6  # itself it isn't in the target
+    assert abs(got[8]["background_loss"] - loss(2)) < 1e-6 and abs(got[8]["target_loss"] - loss(1)) < 1e-6
+
+
+def without_itself(w, inside, one, two, size, vocabulary):
+    """The mean loss of words under plain counts, less the words' own if they are inside."""
+    mine, pairs = defaultdict(int), defaultdict(int)
+    for a, b in zip([None, *w], w, strict=False):
+        mine[b] += inside
+        pairs[a, b] += inside
+    mine[None] = inside
+    losses = []
+    for a, b in zip([None, *w], w, strict=False):
+        own = (one[b] - mine[b] + lm.ADDED) / (size - inside * len(w) + lm.ADDED * vocabulary)
+        losses.append(-np.log((two[a, b] - pairs[a, b] + lm.BACK_OFF * own) / (one[a] - mine[a] + lm.BACK_OFF)))
+    return np.mean(losses) if w else None
 
 
 def test_lm_query_against_plain_counts(spark, docs):
@@ -389,13 +404,20 @@ def test_lm_query_against_plain_counts(spark, docs):
                 two[k][a, b] += 1
     vocabulary = max(lm.VOCABULARY, len(one[1]) - 1)
     for r in queries.op8_lm_scores(spark, SF).collect():
-        w, want = texts[r["doc_id"]], []
-        for k in (0, 1):
-            own = [(one[k][b] + lm.ADDED) / (sizes[k] + lm.ADDED * vocabulary) for b in w]
-            want.append(np.mean([-np.log((two[k][a, b] + lm.BACK_OFF * p) / (one[k][a] + lm.BACK_OFF)) for a, b, p in zip([None, *w], w, own, strict=False)]) if w else None)
+        w = texts[r["doc_id"]]
+        want = [without_itself(w, inside, one[k], two[k], sizes[k], vocabulary) for k, inside in ((0, r["doc_id"] in good), (1, False))]
         assert r["n_words"] == len(w) and ((r["score"] is None) if not w else abs(r["score"] - (want[0] - want[1])) < 1e-7)
 
 
+def test_lm_tells_held_out_targets_from_the_rest(spark):
+    """Area under the curve of the target's documents, each scored without itself, against those labelled quality 0."""
+    larger = "/root/testdata/sf0.01"
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    scores = {r["doc_id"]: r["score"] for r in queries.op8_lm_scores(spark, larger).collect() if r["score"] is not None}
+    good, bad = ([s for i, s in scores.items() if quality.get(i) == q] for q in (1, 0))
+    assert np.mean([[(a < b) + (a == b) / 2 for b in bad] for a in good]) > 0.95
+
+
 def test_lm_empty_table_and_long_text(spark, odd):
     target = spark.createDataFrame([(5,)], "_id long")
     assert lm.score(odd.limit(0), lm.fit(odd.limit(0), target)).count() == 0
@@ -421,12 +443,8 @@ def test_lm_counts_are_exact_beyond_any_fixed_table(spark):
     vocabulary = len(one[1]) - 1
     assert vocabulary > lm.VOCABULARY
 
-    def losses(t):
-        w, out = t.split(), []
-        for k in (0, 1):
-            own = [(one[k][b] + lm.ADDED) / (sizes[k] + lm.ADDED * vocabulary) for b in w]
-            out.append(np.mean([-np.log((two[k][a, b] + lm.BACK_OFF * p) / (one[k][a] + lm.BACK_OFF)) for a, b, p in zip([None, *w], w, own, strict=False)]))
-        return out
+    def losses(t, in_target=False):
+        return [without_itself(t.split(), inside, one[k], two[k], sizes[k], vocabulary) for k, inside in ((0, in_target), (1, False))]
 
     models = lm.fit(df, target)
     others = spark.createDataFrame([(100, "a b new words a"), (101, None)], "doc_id long, text string")
@@ -437,7 +455,7 @@ def test_lm_counts_are_exact_beyond_any_fixed_table(spark):
         if r["_id"] == 9:
             assert r["score"] is None and r["n_words"] == 0
         else:
-            want = losses(texts[r["_id"]])
+            want = losses(texts[r["_id"]], r["_id"] in (0, 3, 25))
             assert np.allclose([r["target_loss"], r["background_loss"], r["score"]], [*want, want[0] - want[1]], atol=1e-7)
     assert set(apart) == {100, 101} and apart[101]["score"] is None and np.allclose([apart[100]["target_loss"], apart[100]["background_loss"]], losses("a b new words a"), atol=1e-7)
 
