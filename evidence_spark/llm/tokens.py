@@ -11,22 +11,28 @@ transition is annotated with the tokens it adds (a token may also swallow earlie
 so this can be below zero). Pieces are separated by the tokenizer's pattern, and the
 transducer starts anew at each.
 
-A chunk of a text stands for a map of states: what comes before its first sure boundary
-(white space after anything else) depends on the state it is entered in, what follows
-does not, and the state it is left in depends on what comes after its last one. So the map
-is (head, count, tail): the head is the part still open to the state before, the tail
-spells the state left. Maps compose associatively: a tail and the next head are run
-together. Texts of more than LONG characters become rows of chunks, mapped in parallel by
-all tasks; only the maps, two words and a number each, meet again and are composed in
-order, so no task reads a whole long text.
+A chunk of a text is a map of states: from the state it is entered in to the state it is
+left in and the tokens added on the way. A state is the piece that is open (its kind and
+the transducer's state in it, or a few characters that may still become a contraction), so
+a chunk may end anywhere: within a word, a run of digits or of white space of any kind.
+Maps compose, and a text's count is that of its chunks' maps composed in order, from the
+state before any text. Texts of more than CHUNK characters are dealt out as rows of chunks.
+Each is mapped for the state that the characters before it suggest; transducers forget
+quickly, so that is nearly always the state the chunk before is left in. Where it isn't,
+the chunks are mapped for the states found, round by round, until the maps compose. Only
+maps meet per text, a state and a number for each chunk: no task reads a whole long text,
+whatever it is made of.
 
 Defined cases: a null or empty text has no tokens; special strings inside a text count
-as the library's default has it, one token each; texts of any length are read whole.
+as the library's default has it, one token each; texts of any length are read whole;
+repeated rows are counted each on its own, ids may be null; an empty table gives no rows;
+columns beyond the two named ones are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
 import array
+import ast
 import functools
 import json
 import re
@@ -37,18 +43,25 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import cut, partitions, stored
 
-#: Characters of a chunk; of a text that is read in chunks by several tasks, at least.
-CHUNK, LONG = 1 << 16, 1 << 20
+#: Characters of a chunk; before a chunk, those that suggest the state it is entered in.
+CHUNK, LEAD = 1 << 14, 256
 #: Entries after which a worker drops its cached segments or states and compiles anew.
 CACHE, STATES = 150_000, 400_000
 #: Segments for caching: a run of ASCII white space with what follows it. Each begins at
 #: a sure boundary unless other white space stands before it.
 SEGMENT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-FIRST_CUT = regex.compile(r"(?<=[^ \t-\r])(?=[ \t-\r])")
-LAST_CUT = regex.compile(r"(?r)(?<=[^ \t-\r])(?=[ \t-\r])")
+#: Runs of letters, numbers, white space and others, at the start of a text and at its end.
+KINDS = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\s", "O": r"[^\s\p{L}\p{N}]"}
+FIRST = {k: regex.compile(f"{c}*+") for k, c in KINDS.items()}
+LAST = {k: regex.compile(f"(?r){c}*+$") for k, c in KINDS.items()}
+SPACE_BEFORE = regex.compile(r"(?r)\s*+$")
+#: What may still become a contraction with what follows.
+OPEN_CONTRACTIONS = ("r", "v", "l")
+#: The state before any text: nothing is open.
+START = ("", "")
 
 
 @functools.cache
@@ -71,6 +84,10 @@ def vocabulary(path: str) -> dict:
     return spec
 
 
+#: A transducer's state at the start of a piece.
+EMPTY = (b"", ((None, 0),))
+
+
 class Transducer:
     """Tokens of one piece, by transitions compiled on first use."""
 
@@ -86,7 +103,7 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.states = [(b"", ((None, 0),))]
+        self.states = [EMPTY]
         self.ids = {self.states[0]: 0}
         #: state and byte -> next state, shifted by 9 bits, and tokens added, plus 256
         self.moves: dict[int, int] = {}
@@ -148,17 +165,30 @@ class Transducer:
         move = self.moves[state << 8 | byte] = to << 9 | added + 256
         return move
 
+    def run(self, state: tuple, data: bytes) -> tuple[tuple, int]:
+        """The state that data leads to, and the tokens added."""
+        if len(self.moves) > STATES:
+            self.reset()
+        if (at := self.ids.get(state)) is None:
+            at = self.ids[state] = len(self.states)
+            self.states.append(state)
+        end, n = self.walk(at, data)
+        return self.states[end], n
+
     def count(self, data: bytes) -> int:
         if len(self.moves) > STATES:
             self.reset()
-        moves, state, n = self.moves, 0, 0
+        return self.walk(0, data)[1]
+
+    def walk(self, state: int, data: bytes) -> tuple[int, int]:
+        moves, n = self.moves, 0
         for b in data:
             move = moves.get(state << 8 | b)
             if move is None:
                 move = self.compile(state, b)
             state = move >> 9
             n += (move & 511) - 256
-        return n
+        return state, n
 
 
 class Counter(dict):
@@ -194,27 +224,67 @@ class Counter(dict):
         parts = self.special.split(text) if self.special and self.special.search(text) else [text]
         return len(parts) - 1 + sum(map(self.plain, parts))
 
-    def chunk(self, text: str) -> tuple:
-        """(head, count, tail); (text,) where no sure boundary is inside."""
-        first = FIRST_CUT.search(text)
-        if first is None or OTHER_SPACE.search(text):
-            return (text,)
-        last = LAST_CUT.search(text).start()
-        return text[: first.start()], self.count(text[first.start() : last]), text[last:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if len(a) == 1:
-            return (a[0] + b[0], *b[1:])
-        if len(b) == 1:
-            return (*a[:2], a[2] + b[0])
-        return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2]
-
-    def composed(self, maps: list[tuple]) -> int:
-        """The count of a text from its chunks' maps, composed in a balanced tree."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        m = maps[0]
-        return self.count(m[0]) if len(m) == 1 else self.count(m[0]) + m[1] + self.count(m[2])
+    def open(self, text: str) -> tuple[tuple, int]:
+        """(state, tokens) after a text that begins at a border of pieces; special strings are ordinary text."""
+        if not text:
+            return START, 0
+        kind = next(k for k, r in FIRST.items() if r.match(text[-1]).end())
+        at = LAST[kind].search(text).start()
+        if kind == "S":
+            closed, run = text[:at], text[at:]
+            state, n = self.transducer.run(EMPTY, run[:-1].encode())
+            return ("S", *state, run[-1]), self.plain(closed) + n
+        if kind == "L" and at and text[at - 1] == "'":
+            at = LAST["O"].search(text, 0, at).start()
+        at = SPACE_BEFORE.search(text, 0, at).start()
+        n, parts = self.plain(text[:at]), self.pattern.findall(text[at:])
+        last = parts.pop()
+        if kind == "L" and last in OPEN_CONTRACTIONS and parts and parts[-1] == "'":
+            last = parts.pop() + last
+            state = ("", last)
+        elif kind == "L" and last[0] == "'":  # a contraction, which ends its piece
+            n += self.transducer.count(last.encode())
+            state = START
+        elif last == "'":
+            state = ("", last)
+        else:
+            inner, more = self.transducer.run(EMPTY, last.encode())
+            n += more
+            state = (kind, *inner)
+        return state, n + sum(self.transducer.count(p.encode()) for p in parts)
+
+    def advance(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """The map of a chunk at one state: the state it is left in and the tokens added."""
+        kind = state[0]
+        if not text:
+            return state, 0
+        if kind == "":
+            return self.open(state[1] + text)
+        run = FIRST[kind].match(text).group()
+        if kind != "S":
+            inner, n = self.transducer.run(state[1:3], run.encode())
+            if len(run) == len(text):
+                return (kind, *inner), n
+            end, more = self.open(text[len(run) :])
+            return end, n + more
+        inner, last = state[1:3], state[3]
+        n = 0
+        if run:
+            inner, n = self.transducer.run(inner, (last + run[:-1]).encode())
+            last = run[-1]
+        if len(run) == len(text):
+            return ("S", *inner, last), n
+        # The last space before anything else joins it; another character stands alone.
+        joined = " " if last == " " else ""
+        alone = 0 if joined else self.transducer.count(last.encode())
+        end, more = self.open(joined + text[len(run) :])
+        return end, n + alone + more
+
+    def finish(self, state: tuple) -> int:
+        """The tokens that the end of the text adds."""
+        if state[0] == "":
+            return self.plain(state[1])
+        return self.transducer.run(state[1:3], state[3].encode())[1] if state[0] == "S" else 0
 
 
 @functools.lru_cache(maxsize=2)
@@ -222,7 +292,74 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, size: int = CHUNK) -> DataFrame:
+MAPS = "_row long, segment int, at int, entry string, leaves string, n long"
+
+
+def mapped(chunks: DataFrame, path: str) -> DataFrame:
+    """The map of every chunk (_row, segment, at, lead, part) at its state: that in a column entry, or else the one that lead suggests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for batch in batches:
+            entries, leaves, counts = [], [], []
+            for at, lead, part, entry in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                state = ast.literal_eval(entry) if entry is not None else c.advance(START, lead)[0] if at else START
+                end, n = c.advance(state, part)
+                entries.append(repr(state))
+                leaves.append(repr(end))
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(entries, pa.string()), pa.array(leaves, pa.string()), pa.array(counts, pa.int64())], ["_row", "segment", "at", "entry", "leaves", "n"])
+
+    return chunks.select("_row", "segment", "at", "lead", "part", "entry").mapInArrow(run, MAPS)
+
+
+def composed(maps: DataFrame) -> DataFrame:
+    """(_row, segment, leaves, n) of every segment: its chunks' maps composed in order; leaves is empty where a map lacks the state it is entered in."""
+    known = maps.groupBy("_row", "segment", "at").agg(F.map_from_entries(F.collect_list(F.struct("entry", F.struct("leaves", "n").alias("to")))).alias("map"))
+    chain = known.groupBy("_row", "segment").agg(F.array_sort(F.collect_list(F.struct("at", "map")), lambda a, b: a["at"] - b["at"]).alias("chain"))
+    begin = F.struct(F.lit(repr(START)).alias("leaves"), F.lit(0).cast("long").alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        to = F.try_element_at(x["map"], a["leaves"])
+        return F.struct(F.coalesce(to["leaves"], F.lit("")).alias("leaves"), (a["n"] + F.coalesce(to["n"], F.lit(0))).alias("n"))
+
+    return chain.select("_row", "segment", F.aggregate("chain", begin, step).alias("c")).select("_row", "segment", "c.leaves", "c.n")
+
+
+def chunked_counts(rows: DataFrame, path: str, size: int, lead: int) -> DataFrame:
+    """_id, n_bytes and n_tokens of long texts, from maps of chunks that all tasks share."""
+    c = counter(path)
+    cut_at = F.lit(c.special.pattern) if c.special else F.lit("(?!)")
+    parts = F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("_segment") - 1, F.lit(0)) / size).cast("int")),
+        lambda i: F.struct(F.substr("_segment", F.greatest(i * size - lead, F.lit(0)) + 1, F.least(i * size, F.lit(lead))).alias("lead"), F.substr("_segment", i * size + 1, F.lit(size)).alias("part")),
+    )
+    whole = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_id", "n_bytes", F.posexplode(F.split("_text", cut_at, -1)).alias("segment", "_segment"))
+    chunks = whole.select("_row", "_id", "n_bytes", "segment", F.posexplode(parts).alias("at", "_p")).select("_row", "_id", "n_bytes", "segment", "at", "_p.lead", "_p.part")
+    chunks = stored(chunks.repartition(partitions(rows.sparkSession), "_row", "segment", "at"))
+    maps = cut(mapped(chunks.withColumn("entry", F.lit(None).cast("string")), path))
+    while True:  # each round settles one more chunk of every open segment, at least
+        done = cut(composed(maps))
+        open_ = done.filter("leaves = ''")
+        if not open_.limit(1).count():
+            break
+        mine = maps.join(open_.select("_row", "segment"), ["_row", "segment"], "left_semi")
+        found = mine.select("_row", "segment", (F.col("at") + 1).alias("at"), F.col("leaves").alias("entry")).distinct()
+        new = found.join(mine.select("_row", "segment", "at", "entry"), ["_row", "segment", "at", "entry"], "left_anti")
+        maps = cut(maps.unionByName(mapped(chunks.join(new, ["_row", "segment", "at"]), path)))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for batch in batches:
+            last = [c.finish(ast.literal_eval(x)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n + m for n, m in zip(batch.column(2).to_pylist(), last, strict=True)], pa.int64())], ["_row", "n"])
+
+    ended = done.select("_row", "leaves", "n").mapInArrow(finish, "_row long, n long")
+    totals = ended.groupBy("_row").agg((F.sum("n") + F.count("*") - 1).alias("n_tokens"))  # special strings stand between segments
+    return chunks.filter("segment = 0 and at = 0").select("_row", "_id", "n_bytes").join(totals, "_row").select("_id", "n_bytes", "n_tokens")
+
+
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, lead: int = LEAD) -> DataFrame:
     """_id, n_bytes and n_tokens of every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,28 +368,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             n = pa.array((c.count(t.as_py()) if t.is_valid else 0 for t in batch.column(2)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["_id", "n_bytes", "n_tokens"])
 
-    def map_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
-        for batch in batches:
-            maps = [c.chunk(t.as_py()) for t in batch.column(4)]
-            cols = [pa.array([m[0] for m in maps], pa.string()), pa.array([m[1] if len(m) > 1 else None for m in maps], pa.int64()), pa.array([m[2] if len(m) > 1 else None for m in maps], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], ["_row", "_id", "n_bytes", "at", "head", "n", "tail"])
-
-    def compose(t: pa.Table) -> pa.Table:
-        t = t.sort_by("at")
-        maps = [(h,) if n is None else (h, n, x) for h, n, x in zip(*(t[c].to_pylist() for c in ("head", "n", "tail")), strict=True)]
-        return pa.table({"_id": t["_id"].slice(0, 1), "n_bytes": t["n_bytes"].slice(0, 1), "n_tokens": pa.array([counter(path).composed(maps)], pa.int64())})
-
     bytes_ = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("_id"), bytes_.alias("n_bytes"), F.col(text_col).cast("string").alias("_text"))
-    kind = dict(rows.dtypes)["_id"]
-    shape = f"_id {kind}, n_bytes long, n_tokens long"
-    within = F.coalesce(F.col("n_bytes") <= long, F.lit(True))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("_text") - 1) / size).cast("int")), lambda i: F.substr("_text", i * size + 1, F.lit(size)))
-    chunks = rows.filter(~within).withColumn("_row", F.monotonically_increasing_id()).select("_row", "_id", "n_bytes", F.posexplode(parts).alias("at", "_part"))
-    chunks = chunks.repartition(partitions(docs.sparkSession), "_row", "at")
-    maps = chunks.mapInArrow(map_chunks, f"_row long, _id {kind}, n_bytes long, at int, head string, n long, tail string")
-    return rows.filter(within).mapInArrow(count, shape).union(maps.groupBy("_row").applyInArrow(compose, shape))
+    one = F.coalesce(F.char_length("_text") <= size, F.lit(True))  # a single chunk is its text's whole map
+    short = rows.filter(one).mapInArrow(count, f"_id {dict(rows.dtypes)['_id']}, n_bytes long, n_tokens long")
+    return short.unionByName(chunked_counts(rows.filter(~one), path, size, lead))
 
 
 class Encoder(dict):
