@@ -3,6 +3,12 @@ group of near copies (five-word shingles, similarity 0.8), mix sources, pack.
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but
 the last return the columns of documents.
+
+Defined cases: a null or empty text is clean, has no language and is rejected by the second
+stage (the whole table, if it has no letters); rows of one id stand each for themselves;
+null ids and sources are kept as they are; texts of any length are read whole; repeated
+rows are copies of each other, of which one stays; an empty table passes all stages empty;
+columns beyond those of documents are carried along.
 """
 
 from __future__ import annotations
@@ -11,19 +17,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evidence_spark.llm import jaccard, language, mixing, packing, toxicity
-from evidence_spark.llm.common import stored, table
+from evidence_spark.llm.common import small_batches, stored, table
 from evidence_spark.llm.queries import toxicity_model
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity_model(spark, docs, sf_dir))
 
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.keep_known(docs, language.fit(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.keep_first(docs, width=5, percent=80)
 
 
@@ -32,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("_id", "doc_id")
 
 
