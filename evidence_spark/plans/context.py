@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import context as cx
+from ..operators import graph, grounding
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -68,3 +69,34 @@ def reserve_clauses(spark: SparkSession, d: str) -> DataFrame:
     asks = c.select("question_id").distinct().select("question_id", F.lit("r").alias("requirement_id"), F.lit(1).alias("pos"))
     found = c.filter("flag = 'A'").select("question_id", F.lit("r").alias("requirement_id"), "chunk_id", F.col("price").alias("score"), F.col("pos").alias("rank"))
     return cx.reserve_clauses(selected, asks, found, most=3)
+
+
+@query("neighbour_graph", f"""WITH {LINES_SQL}, h AS (SELECT * FROM c WHERE place % 4 = 1),
+e AS (SELECT h.l_orderkey, h.place AS hit, h.chunk_id AS anchor_id, c.chunk_id, CASE WHEN c.place = h.place THEN NULL WHEN c.place < h.place THEN 'previous_chunk' ELSE 'next_chunk' END AS reason, CASE WHEN c.place = h.place THEN 0 WHEN c.place < h.place THEN 1 ELSE 2 END AS o
+  FROM h JOIN c ON c.l_orderkey = h.l_orderkey AND (c.place = h.place OR abs(c.place - h.place) = 1 AND c.flag = 'R'))
+SELECT l_orderkey AS question_id, chunk_id, reason, anchor_id, pick FROM (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY hit, o))::INTEGER AS pick FROM e) WHERE pick <= 36""")
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth line of an order is a hit; lines returned are what the question is about."""
+    c = lines(spark, d)
+    chunks = c.select("document_id", "pos", "chunk_id", F.lit(None).cast("string").alias("section_title"), F.when(F.col("flag") == "R", "退货记录").otherwise("其他记录").alias("text"))
+    hits = c.filter("pos % 4 = 1").select(F.col("l_orderkey").alias("question_id"), F.lit("“退货记录”").alias("question"), "chunk_id", F.col("pos").alias("rank"))
+    none = c.limit(0).select("chunk_id", F.col("chunk_id").alias("to_id"), F.lit("clause").alias("kind"), F.lit(0).alias("turn"))
+    return graph.expand_graph(hits, chunks, none)
+
+
+@query("claim_entities", """WITH g AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice)::DECIMAL(18,2) AS p, max(l_discount)::DECIMAL(4,2) AS r, max(l_tax) > 0.05 AS late, max(year(l_shipdate)) + 20 AS y FROM lineitem GROUP BY ALL),
+e AS (SELECT *, (round(p::DOUBLE * CASE WHEN r > 0.05 THEN 1.01 ELSE 1 END, 1))::DECIMAL(18,1)::VARCHAR AS said, (r * 100)::INTEGER::VARCHAR AS pct, (y + CASE WHEN late THEN 1 ELSE 0 END)::VARCHAR AS own FROM g),
+k AS (SELECT *, own || '年金额' || p || '率' || r AS ev, [own::DOUBLE, p::DOUBLE, r::DOUBLE] AS have FROM e)
+SELECT l_orderkey, l_linenumber, y || '年' AS entity, 'date' AS kind FROM k WHERE late
+UNION ALL SELECT l_orderkey, l_linenumber, said, 'number' FROM k WHERE NOT contains(ev, said) AND len(list_filter(have, lambda h: abs(said::DOUBLE - h) <= 0.5::DOUBLE * 0.1::DOUBLE + 1e-9::DOUBLE)) = 0
+UNION ALL SELECT l_orderkey, l_linenumber, pct || '%', 'number' FROM k WHERE len(list_filter(have, lambda h: pct::DOUBLE = h OR pct::DOUBLE = h * 100::DOUBLE)) = 0""")
+def claim_entities(spark: SparkSession, d: str) -> DataFrame:
+    """A claim per order line: its year, its price to one place (a hundredth too much if much discounted), its discount in percent."""
+    keys = ["l_orderkey", "l_linenumber"]
+    g = table(spark, d, "lineitem").groupBy(*keys).agg(
+        F.max("l_extendedprice").cast("decimal(18,2)").alias("p"), F.max("l_discount").cast("decimal(4,2)").alias("r"), (F.max("l_tax") > 0.05).alias("late"), (F.max(F.year("l_shipdate")) + 20).alias("y")
+    )
+    said = F.round(F.col("p").cast("double") * F.when(F.col("r") > 0.05, 1.01).otherwise(1.0), 1).cast("decimal(18,1)").cast("string")
+    claim = F.concat(F.lit("于"), F.col("y").cast("string"), F.lit("年发生"), said, F.lit("元，比例"), (F.col("r") * 100).cast("int").cast("string"), F.lit("%"))
+    own = F.concat((F.col("y") + F.when(F.col("late"), 1).otherwise(0)).cast("string"), F.lit("年，金额"), F.col("p").cast("string"), F.lit("，率"), F.col("r").cast("string"))
+    return grounding.unsupported_entities(g.select(*keys, claim.alias("claim")), g.select(*keys, own.alias("text")), keys)
