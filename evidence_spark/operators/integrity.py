@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions.text import bigram_set
 
 
 def check_corpus(docs: DataFrame, chunks: DataFrame, doc: str = "doc_id", name: str = "name", expected: str = "chunk_count") -> DataFrame:
@@ -82,13 +87,50 @@ def metadata_coverage(docs: DataFrame, fields: list[str]) -> DataFrame:
     return counts.unpivot("documents", fields, "field", "filled")
 
 
-def compare_chunkings(old: DataFrame, new: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str = "text") -> DataFrame:
-    """Per document identical, order_only (same multiset of texts), or different."""
-    h = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    side = lambda df, p: df.groupBy(doc).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, h.alias("h")))), lambda x: x["h"]), ","), 256).alias(f"{p}o"), F.sha2(F.array_join(F.array_sort(F.collect_list(h)), ","), 256).alias(f"{p}m"))
+#: Share of bigrams that two chunkings must have of each other, both ways, to differ in boundaries only.
+BOUNDARY_COVERAGE = 0.98
+
+
+def compare_chunkings(old: DataFrame, new: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str = "text", structure: Sequence[str] = ()) -> DataFrame:
+    """Per document identical, structure_only (texts and order agree, a structural field does not), order_only (same multiset of texts), boundary_only, or different; with coverage where texts differ.
+
+    Runs of white space are compared as one blank. boundary_only: the two sides' texts, joined in
+    lines in order, have 0.98 of each other's distinct bigrams, so sentences moved between
+    chunks but none was lost. Only documents whose texts differ are taken apart into bigrams,
+    each chunk by itself up to the next one's first character, so no document is joined whole.
+    """
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    h = F.sha2(plain, 256)
+    fields = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in structure]) if structure else F.lit(""), 256)
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(pos, h.alias("h"), fields.alias("s"))))
+        return df.groupBy(doc).agg(*[
+            F.sha2(F.array_join(of, ","), 256).alias(p + name)
+            for name, of in (("o", F.transform(rows, lambda x: x["h"])), ("s", F.transform(rows, lambda x: F.concat(x["h"], x["s"]))), ("m", F.array_sort(F.collect_list(h))))
+        ])
+
     both = side(old, "a").join(side(new, "b"), doc, "full_outer")
-    kind = F.when(F.col("ao").isNull(), "added").when(F.col("bo").isNull(), "removed").when(F.col("ao") == F.col("bo"), "identical").when(F.col("am") == F.col("bm"), "order_only").otherwise("different")
-    return both.select(doc, kind.alias("kind"))
+    kind = (
+        F.when(F.col("ao").isNull(), "added").when(F.col("bo").isNull(), "removed").when(F.col("as") == F.col("bs"), "identical").when(F.col("ao") == F.col("bo"), "structure_only")
+        .when(F.col("am") == F.col("bm"), "order_only").otherwise("different")
+    )
+    known = both.select(doc, kind.alias("kind"))
+    apart = known.filter("kind = 'different'").select(doc)
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        rows = df.join(apart, doc, "left_semi").select(doc, pos, plain.alias("_t")).filter("_t <> ''")
+        w = W.partitionBy(doc).orderBy(pos, "_t")
+        seam = F.concat("_t", F.coalesce(F.concat(F.lit("\n"), F.left(F.lead("_t").over(w), F.lit(1))), F.lit("")))
+        return rows.select(doc, seam.alias("_s")).select(doc, F.explode(bigram_set(F.col("_s"))).alias("_g")).distinct().withColumn(name, F.lit(1))
+
+    met = grams(old, "_a").join(grams(new, "_b"), [doc, "_g"], "full_outer").groupBy(doc).agg(F.count("_a").alias("_na"), F.count("_b").alias("_nb"), F.count(F.col("_a") + F.col("_b")).alias("_n"))
+    share = lambda n: F.when(F.col(n) == 0, 1.0).otherwise(F.col("_n") / F.col(n))
+    cover = met.select(doc, F.least(share("_na"), share("_nb")).alias("coverage"))
+    out = known.join(cover, doc, "left")
+    # Sides without any bigram cover each other.
+    coverage = F.when(F.col("kind") == "different", F.coalesce("coverage", F.lit(1.0)))
+    return out.select(doc, F.when(coverage >= BOUNDARY_COVERAGE, "boundary_only").otherwise(F.col("kind")).alias("kind"), F.round(coverage, 6).alias("coverage"))
 
 
 def audit_metadata(copies: DataFrame, ledger: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -202,13 +202,27 @@ def metadata_coverage(spark: SparkSession, d: str) -> DataFrame:
     return integrity.metadata_coverage(docs, ["lang", "source", "checked"])
 
 
-@query("chunking_compare", """WITH o AS (SELECT conv_id, list(md5(text) ORDER BY turn) AS o, list(md5(text) ORDER BY md5(text)) AS m FROM conversations GROUP BY ALL),
-n AS (SELECT conv_id, list(md5(t) ORDER BY p) AS o, list(md5(t) ORDER BY md5(t)) AS m FROM (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN -turn ELSE turn END AS p, CASE WHEN conv_id % 5 = 0 THEN text || '!' ELSE text END AS t FROM conversations) GROUP BY ALL)
-SELECT conv_id, CASE WHEN o.o = n.o THEN 'identical' WHEN o.m = n.m THEN 'order_only' ELSE 'different' END AS kind FROM o JOIN n USING (conv_id)""")
+@query("chunking_compare", r"""WITH c AS (SELECT conv_id, turn, role, text, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS x, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prv FROM conversations),
+n0 AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN -turn ELSE turn END AS p, CASE WHEN conv_id % 7 = 3 AND turn = 0 THEN 'x' ELSE role END AS role,
+  CASE WHEN conv_id % 5 = 0 THEN x || '!' WHEN conv_id % 5 = 1 THEN coalesce(right(regexp_replace(prv, '\s+', '', 'g'), 1), '') || CASE WHEN nxt IS NULL THEN x ELSE left(x, length(x) - 1) END ELSE x END AS x FROM c),
+o AS (SELECT conv_id, list(x ORDER BY turn) AS o, list(x ORDER BY x) AS m, list(role ORDER BY turn) AS s, string_agg(x, chr(10) ORDER BY turn) FILTER (x <> '') AS j FROM c GROUP BY ALL),
+n AS (SELECT conv_id, list(x ORDER BY p) AS o, list(x ORDER BY x) AS m, list(role ORDER BY p) AS s, string_agg(x, chr(10) ORDER BY p) FILTER (x <> '') AS j FROM n0 GROUP BY ALL),
+k AS (SELECT conv_id, CASE WHEN o.o = n.o AND o.s = n.s THEN 'identical' WHEN o.o = n.o THEN 'structure_only' WHEN o.m = n.m THEN 'order_only' ELSE 'different' END AS kind,
+  list_distinct(list_transform(range(1, length(o.j)), lambda i: substr(o.j, i, 2))) AS a, list_distinct(list_transform(range(1, length(n.j)), lambda i: substr(n.j, i, 2))) AS b FROM o JOIN n USING (conv_id)),
+g AS (SELECT conv_id, kind, CASE WHEN kind = 'different' THEN least(len(list_intersect(a, b))::DOUBLE / len(a), len(list_intersect(a, b))::DOUBLE / len(b)) END AS v FROM k)
+SELECT conv_id, CASE WHEN v >= 0.98 THEN 'boundary_only' ELSE kind END AS kind, round(v, 6) AS coverage FROM g""")
 def chunking_compare(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
-    new = c.select("conv_id", F.when(F.col("conv_id") % 3 == 0, -F.col("turn")).otherwise(F.col("turn")).alias("turn"), F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
-    return integrity.compare_chunkings(c, new, "conv_id", "turn", "text")
+    """A third of the conversations runs backwards, a fifth has marks added, a fifth passes each turn's last letter on to the next."""
+    from pyspark.sql.window import Window as W
+
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    w = W.partitionBy("conv_id").orderBy("turn")
+    i, x = F.col("conv_id"), T.squeeze(F.col("text"))
+    c = c.withColumn("x", x).withColumn("before", F.lag("x").over(w)).withColumn("last", F.lead("text").over(w).isNull())
+    moved = F.concat(F.coalesce(F.right("before", F.lit(1)), F.lit("")), F.when(F.col("last"), F.col("x")).otherwise(F.left("x", F.char_length("x") - 1)))
+    text = F.when(i % 5 == 0, F.concat("x", F.lit("!"))).when(i % 5 == 1, moved).otherwise(F.col("x"))
+    new = c.select("conv_id", F.when(i % 3 == 0, -F.col("turn")).otherwise(F.col("turn")).alias("turn"), F.when((i % 7 == 3) & (F.col("turn") == 0), "x").otherwise(F.col("role")).alias("role"), text.alias("text"))
+    return integrity.compare_chunkings(c.withColumn("text", F.col("x")), new, "conv_id", "turn", "text", ["role"])
 
 
 @query("metadata_audit", """SELECT l_linenumber AS copy_id, l_orderkey, f AS field, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey, (VALUES ('status'), ('month')) v(f)
