@@ -117,9 +117,10 @@ def extract_options(questions: DataFrame, text: str = "question") -> DataFrame:
     """Labelled options (A. / A、 / (A)) where there are two or more; label, option text and the stem before them."""
     mark = r"(?:^|[\s（(])([A-H])[)）.、．:：]\s*"
     found = F.regexp_extract_all(text, F.lit(r"(?s)(?:^|(?<=[\s（(]))([A-H])[)）.、．:：]\s*(.*?)(?=(?:[\s（(][A-H][)）.、．:：])|$)"), F.lit(0))
-    rows = questions.withColumn("_o", found).filter(F.size("_o") >= 2).withColumn("stem", F.trim(F.element_at(F.split(text, mark), 1)))
+    bare = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    rows = questions.withColumn("_o", found).filter(F.size("_o") >= 2).withColumn("stem", bare(F.element_at(F.split(text, mark), 1)))
     out = rows.select(*questions.columns, "stem", F.posexplode("_o").alias("pos", "_p"))
-    return out.withColumn("label", F.regexp_extract("_p", r"([A-H])", 1)).withColumn("option", F.trim(F.regexp_replace("_p", r"^[\s（(]*[A-H][)）.、．:：]\s*", ""))).drop("_p")
+    return out.withColumn("label", F.regexp_extract("_p", r"([A-H])", 1)).withColumn("option", bare(F.regexp_replace("_p", r"^[\s（(]*[A-H][)）.、．:：]\s*", ""))).drop("_p")
 
 
 def triage(question: Column) -> Column:

@@ -310,7 +310,10 @@ def select_evidence(spark: SparkSession, d: str) -> DataFrame:
     return search.select_evidence(e.withColumn("mandatory", F.col("requirement_id") <= 3)).select("query_id", "requirement_id", "chunk_id", "pick")
 
 
-@query("token_budget")
+@query("token_budget", f"""WITH RECURSIVE {SPARSE_SQL}, r AS MATERIALIZED (SELECT query_id, chunk_id, rank, units AS tokens FROM rk JOIN ch USING (chunk_id) WHERE rank <= 12),
+f AS (SELECT query_id, rank, tokens::BIGINT AS used, true AS kept FROM r WHERE rank = 1
+  UNION ALL SELECT r.query_id, r.rank, CASE WHEN f.used + r.tokens <= 3600 THEN f.used + r.tokens ELSE f.used END, f.used + r.tokens <= 3600 FROM f JOIN r ON r.query_id = f.query_id AND r.rank = f.rank + 1)
+SELECT r.query_id, r.chunk_id, r.rank, r.tokens FROM r JOIN f ON f.query_id = r.query_id AND f.rank = r.rank AND f.kept""")
 def token_budget(spark: SparkSession, d: str) -> DataFrame:
     hits, ch = sparse_hits(spark, d, 12)
     rows = hits.join(ch.select("chunk_id", F.col("units").alias("tokens")), "chunk_id")
@@ -383,7 +386,13 @@ def anchor_coverage(spark: SparkSession, d: str) -> DataFrame:
     return both.select("item_id", "doc_id", F.round(T.anchor_coverage(F.col("anchor"), F.col("text")), 6).alias("coverage"))
 
 
-@query("phrase_support")
+SUPPORT_SQL = r"""lower(regexp_replace({}, '[\s"''“”‘’=：:；;，,。()（）]+', '', 'g'))"""
+
+
+@query("phrase_support", f"""WITH {SPARSE_SQL}, ps AS (SELECT rk.query_id, rk.chunk_id, {SUPPORT_SQL.format('b.text')} AS e, {SUPPORT_SQL.format('piece')} AS a FROM rk JOIN ch USING (chunk_id) JOIN benchmark b ON item_id = query_id WHERE rank <= 10),
+sv AS (SELECT query_id, chunk_id, CASE WHEN length(e) = 0 THEN 0 WHEN contains(a, e) THEN 1 WHEN length(e) = 1 THEN 0 ELSE len(list_filter([e[i:i + 1] for i in range(1, length(e))], lambda g: contains(a, g)))::DOUBLE / (length(e) - 1) END AS v FROM ps),
+rr AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id))::INTEGER AS rerank_rank FROM sv WHERE v >= 0.30)
+SELECT query_id, chunk_id, round(v, 6)::DOUBLE AS support, rerank_rank FROM rr WHERE rerank_rank <= 5""")
 def phrase_support(spark: SparkSession, d: str) -> DataFrame:
     """D20/D25 over the sparse hits: bigram support of the passage in each chunk, at least 0.30, five per passage."""
     hits, ch = sparse_hits(spark, d, 10)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluation, identity, integrity, search, structure
+from ..operators import chunking, evaluation, evidence, identity, integrity, search, structure
 from ..operators import tables as tb
 from ..sources import indexes
 from .tables import table
@@ -427,3 +427,38 @@ def definitions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id").cast("string")
     t = F.concat(F.lit("本办法所称A"), k, F.lit("，指银行。以下简称“B"), k, F.lit("”。上述C"), k, F.lit("是指公司。所称A"), k, F.lit("，指银行。"))
     return chunking.extract_definitions(table(spark, d, "documents").select("doc_id", t.alias("text")), "doc_id").select("doc_id", "kind", "term_norm")
+
+
+# ---- scopes, options and triage of questions ----
+
+
+@query("scope_of_queries", """WITH d AS (SELECT n_nationkey AS doc_id, lower(n_name || ' trade report') AS t FROM nation),
+q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN ' ' || lower(n_name) || ' ' WHEN 1 THEN 'the ' || lower(n_name) || ' trade report of this year' WHEN 2 THEN 'atlantis' ELSE '' END AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+h AS (SELECT query_id, list(doc_id ORDER BY doc_id) AS ids FROM q JOIN d ON trim(w) <> '' AND (contains(t, trim(w)) OR contains(trim(w), t)) GROUP BY ALL)
+SELECT q.query_id, trim(w) <> '' AS scoped, array_to_string(coalesce(ids, []), ',') AS doc_ids FROM q LEFT JOIN h USING (query_id)""")
+def scope_of_queries(spark: SparkSession, d: str) -> DataFrame:
+    n, s = table(spark, d, "nation"), F.col("s_suppkey")
+    wanted = F.when(s % 4 == 0, F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).when(s % 4 == 1, F.concat(F.lit("the "), F.lower("n_name"), F.lit(" trade report of this year"))).when(s % 4 == 2, "atlantis").otherwise("")
+    filters = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(s.alias("query_id"), wanted.alias("wanted"))
+    docs = n.select(F.col("n_nationkey").alias("doc_id"), F.concat("n_name", F.lit(" trade report")).alias("title"))
+    return structure.resolve_scope(filters, docs).select("query_id", "scoped", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
+
+
+@query("question_options", """SELECT s_suppkey AS question_id, stem, pos, label, option FROM (SELECT s_suppkey, 'Which of these is true?' AS stem, unnest([0, 1, 2])::INTEGER AS pos, unnest(['A', 'B', 'C']) AS label,
+  unnest(['in ' || n_name, s_nationkey::VARCHAR || ' of 25', 'neither']) AS option FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 > 0)""")
+def question_options(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as questions in two notations; every third has a single label, which is no option."""
+    s = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    n, k = F.col("n_name"), F.col("s_nationkey").cast("string")
+    dots = F.concat(F.lit("Which of these is true? A. in "), n, F.lit(" B. "), k, F.lit(" of 25 C. neither"))
+    marks = F.concat(F.lit("Which of these is true?\n(A) in "), n, F.lit("\n(B) "), k, F.lit(" of 25\n(C) neither"))
+    q = rows.select(s.alias("question_id"), F.when(s % 3 == 1, dots).when(s % 3 == 2, marks).otherwise(F.concat(F.lit("Is A. in "), n)).alias("question"))
+    return evidence.extract_options(q).select("question_id", "stem", "pos", "label", "option")
+
+
+@query("question_triage", """SELECT c_custkey AS question_id, CASE c_custkey % 5 WHEN 0 THEN 'prediction' WHEN 1 THEN 'advice' WHEN 2 THEN 'out_of_corpus' ELSE 'none' END AS triage FROM customer""")
+def question_triage(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    said = F.element_at(F.array(*map(F.lit, ("未来利率会怎样", "我应该买这只基金吗", "今天天气如何", "《投资建议与预测》第三条怎么规定", "“预测”一词出现在哪里"))), (c % 5 + 1).cast("int"))
+    return table(spark, d, "customer").select(c.alias("question_id"), evidence.triage(F.concat("c_mktsegment", F.lit(" "), said)).alias("triage"))

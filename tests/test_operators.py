@@ -208,3 +208,32 @@ def test_spans_stream_waits_for_late_rows(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["user"], r["started"], r["ended"], r["seconds"]) for r in spark.table("late_spans").collect()}
     assert got == {(1, at(2), at(5), 180.0), (2, at(1), at(4), 180.0)}
+
+
+def test_overlap_takes_whole_sentences_from_the_piece_before(spark):
+    """The longest run of last sentences within the overlap goes ahead, unless the piece grows too long."""
+    rows = [("a", 0, "一。二二。三三三。"), ("a", 1, "新的内容。"), ("a", 2, "很长" * 8), ("a", 3, "尾。"), ("b", 0, "甲乙丙丁戊己庚。"), ("b", 1, "后。"), ("c", 0, None), ("c", 1, "独。")]
+    df = spark.createDataFrame(rows, "d string, pos int, piece string")
+    got = {(r["d"], r["pos"]): r["overlapped"] for r in chunking.add_overlap(df, "d", overlap=7, max_tokens=20).collect()}
+    assert got == {
+        ("a", 0): "一。二二。三三三。", ("a", 1): "二二。三三三。\n\n新的内容。", ("a", 2): "很长" * 8, ("a", 3): "尾。", ("b", 0): "甲乙丙丁戊己庚。", ("b", 1): "后。", ("c", 0): None, ("c", 1): "独。",
+    }
+
+
+def test_packed_sentences_with_overlap_against_a_loop(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    units = chunking.split_sentences(docs).select("doc_id", "pos", "sentence")
+    pieces = chunking.add_overlap(chunking.pack_units(units, "doc_id", "pos", "sentence"), "doc_id").select("doc_id", "pos", "piece", "overlapped").collect()
+    count = lambda t: len(re.findall(r"[一-鿿]|[a-zA-Z0-9_]+|[^\s]", t or ""))
+    by = {(r["doc_id"], r["pos"]): r for r in pieces}
+    assert len(pieces) > 200
+    for (d, p), r in by.items():
+        before, tail = by.get((d, p - 1)), ""
+        for s in reversed([s.strip(" ") for s in re.findall(chunking.SENTENCE, before["piece"], re.S) if s.strip(" ")] if before else []):
+            if count(s + tail) > chunking.OVERLAP:
+                break
+            tail = s + tail
+        joined = f"{tail.strip(' ')}\n\n{r['piece']}" if tail.strip(" ") else r["piece"]
+        assert r["overlapped"] == (r["piece"] if count(joined) > chunking.SIZE else joined)
