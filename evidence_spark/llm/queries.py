@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, codes, fingerprints, jaccard, language, lm, mixing, packing, tokens, topk, toxicity, warc, whiten
-from .common import table
+from .common import small_batches, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +114,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
