@@ -46,18 +46,35 @@ def sufficiency(facets: DataFrame) -> DataFrame:
     return out.withColumn("status", status)
 
 
+#: States of documents whose chunks may be cited.
+CITABLE = ("indexed", "table_indexed")
+
+
+def _traced(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    status = F.col("status") if "status" in chunks.columns else F.lit(CITABLE[0])
+    both = evidence.join(chunks.select("chunk_id", F.col("text").alias("_t"), status.alias("_s"), F.lit(True).alias("_known")), "chunk_id", "left")
+    e, t = squeeze(F.col("excerpt")), squeeze(F.col("_t"))
+    open_ = F.col("_known") & F.col("_s").isin(*CITABLE)
+    return both.withColumn("_ok", F.coalesce(open_ & ((F.col("kind") == "calculation") | (F.col("_t").isNotNull() & (F.contains(t, e) | F.contains(e, t)))), F.lit(False)))
+
+
 def trace_evidence(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Keeps excerpts found in their chunk's text, or the reverse, white space aside; calculations are exempt; ranks renewed.
+    """Keeps excerpts of known chunks, of documents that are indexed, that stand in their chunk's text, or the reverse, white space aside; calculations need no text; ranks renewed.
 
-    evidence: question_id, rank, chunk_id, excerpt, kind; chunks: chunk_id, text.
+    evidence: question_id, rank, chunk_id, excerpt, kind; chunks: a row per chunk with chunk_id,
+    text and the document's status (without that column all are indexed).
     """
-    both = evidence.join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id", "left")
-    e, t = squeeze(F.col("excerpt")), squeeze(F.col("_t"))
-    ok = (F.col("kind") == "calculation") | (F.col("_t").isNotNull() & (F.contains(t, e) | F.contains(e, t)))
-    kept = both.filter(F.coalesce(ok, F.lit(False))).drop("_t")
+    kept = _traced(evidence, chunks).filter("_ok").drop("_t", "_s", "_known", "_ok")
     return kept.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("rank", "chunk_id")))
 
 
+def trace_summary(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per question checked, valid and invalid excerpts, and the invalid chunk ids in order of rank."""
+    rows = F.array_sort(F.collect_list(F.when(~F.col("_ok"), F.struct("rank", F.col("chunk_id").alias("id")))))
+    got = _traced(evidence, chunks).groupBy("question_id").agg(F.count("*").alias("checked"), F.count_if("_ok").alias("valid"), rows.alias("_r"))
+    return got.select("question_id", "checked", "valid", (F.col("checked") - F.col("valid")).alias("invalid"), F.col("_r.id").alias("invalid_ids"))
+
+
 def citation_checks(answers: DataFrame, claims: DataFrame, evidence: DataFrame, q: str = "question_id") -> DataFrame:
     """Per answer inline marks [n] without evidence, claimed ids without evidence, claimed ids not inline, and claims without any."""
     known = evidence.groupBy(q).agg(F.collect_set("evidence_no").alias("_known"))

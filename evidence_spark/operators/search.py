@@ -270,6 +270,42 @@ def filter_metadata(candidates: DataFrame, filters: DataFrame, q: str = "query_i
     return out.filter(F.col("_need").isNull() | (F.coalesce("_met", F.lit(0)) == F.col("_need"))).drop("_need", "_met")
 
 
+#: Which of a candidate's fields answer a filter, and the filters that ask for equality.
+FILTERED_FIELDS = {
+    "source_title": ("title", "source_title", "filename"), "filename": ("source_filename", "filename"), "external_doc_id": ("external_doc_id",), "issuing_authority": ("issuing_authority",), "publication_date": ("publication_date",),
+    "document_number": ("document_number",), "regulatory_topic": ("regulatory_topic",), "business_domain": ("business_domain",), "article_number": ("article_number", "section_number"), "version_status": ("version_status",), "file_type": ("source_format", "file_type"),
+}
+EQUAL_FIELDS = ("publication_date", "version_status", "external_doc_id", "file_type")
+#: Words that titles and questions write differently, replaced in this order.
+SAME_WORDS = (("同一个", "同一"), ("怎样", "怎么"), ("如何", "怎么"), ("应该", ""), ("应当", ""), ("怎么", ""), ("什么", ""))
+
+
+def match_form(text: Column) -> Column:
+    """A text for matching names: without white space, underscores, dashes, slashes and edition marks after a year."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s_\-/]+", ""), r"(\d{4}年)版", "$1")
+    for old, new in SAME_WORDS:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def filter_by_fields(candidates: DataFrame, filters: DataFrame, q: str = "query_id", c: str = "chunk_id") -> DataFrame:
+    """Candidates that answer all of their query's filters (q, field, wanted) by any of the field's names.
+
+    candidates: q, c, metadata (map), filename, section_number. Dates, states, numbers given
+    by the ledger and file types have to be equal, others hold what is wanted, both in match
+    form. Unknown fields and blank filters ask for nothing; a field that is null answers none.
+    """
+    names = F.create_map(*[x for k, v in FILTERED_FIELDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    asked = filters.filter(F.col("field").isin(*FILTERED_FIELDS) & (F.coalesce("wanted", F.lit("")) != "")).select(q, "field", match_form(F.col("wanted")).alias("_w"), names[F.col("field")].alias("_names")).distinct()
+    of = F.map_concat(F.coalesce(F.map_filter("metadata", lambda k, v: ~k.isin("filename", "section_number")), F.create_map().cast("map<string,string>")), F.create_map(F.lit("filename"), F.col("filename"), F.lit("section_number"), F.col("section_number")))
+    needed = asked.groupBy(q).agg(F.collect_list(F.struct("field", "_w", "_names")).alias("_asked"))  # a filter has a dozen fields at most
+    rows = candidates.withColumn("_of", of).join(needed, q, "left")
+    value = lambda n: F.try_element_at("_of", n)
+    fits = lambda f, v: F.when(f["field"].isin(*EQUAL_FIELDS), match_form(v) == f["_w"]).otherwise(F.contains(match_form(v), f["_w"]))
+    ok = F.forall("_asked", lambda f: F.exists(f["_names"], lambda n: F.coalesce((value(n) != "") & fits(f, value(n)), F.lit(False))))
+    return rows.filter(F.coalesce(ok, F.lit(True))).drop("_of", "_asked")
+
+
 def limit_with_coverage(candidates: DataFrame, n: int, q: str = "query_id", d: str = "document_id", rank: str = "rank") -> DataFrame:
     """The top row of every document in rank order, then the rest by rank, n in all."""
     first = F.row_number().over(W.partitionBy(q, d).orderBy(rank))

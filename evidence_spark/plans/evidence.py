@@ -53,7 +53,7 @@ def sufficiency(spark: SparkSession, d: str) -> DataFrame:
 
 @query("traced_evidence", r"""WITH e AS (SELECT conv_id AS question_id, turn AS rank, conv_id || '-' || turn AS chunk_id, CASE WHEN turn % 3 = 1 THEN 'no such words' ELSE substr(text, 5, 40) END AS excerpt, CASE WHEN turn % 4 = 1 THEN 'calculation' ELSE 'text' END AS kind FROM conversations),
 t AS (SELECT conv_id || '-' || turn AS chunk_id, regexp_replace(text, '[\s\x0B]+', '', 'g') AS t FROM conversations WHERE turn % 5 <> 4),
-k AS (SELECT e.* FROM e LEFT JOIN t USING (chunk_id) WHERE kind = 'calculation' OR coalesce(contains(t, regexp_replace(excerpt, '[\s\x0B]+', '', 'g')) OR contains(regexp_replace(excerpt, '[\s\x0B]+', '', 'g'), t), false))
+k AS (SELECT e.* FROM e JOIN t USING (chunk_id) WHERE kind = 'calculation' OR coalesce(contains(t, regexp_replace(excerpt, '[\s\x0B]+', '', 'g')) OR contains(regexp_replace(excerpt, '[\s\x0B]+', '', 'g'), t), false))
 SELECT question_id, chunk_id, excerpt, kind, (row_number() OVER (PARTITION BY question_id ORDER BY rank, chunk_id))::INTEGER AS rank FROM k""")
 def traced_evidence(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").withColumn("chunk_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))

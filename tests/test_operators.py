@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from evidence_spark.functions import text as T
-from evidence_spark.operators import chunking, evaluation, identity, search, tables
+from evidence_spark.operators import chunking, evaluation, evidence, identity, search, tables
 from evidence_spark.sources import documents, indexes
 from evidence_spark.streaming import events
 
@@ -237,3 +237,12 @@ def test_packed_sentences_with_overlap_against_a_loop(spark):
             tail = s + tail
         joined = f"{tail.strip(' ')}\n\n{r['piece']}" if tail.strip(" ") else r["piece"]
         assert r["overlapped"] == (r["piece"] if count(joined) > chunking.SIZE else joined)
+
+
+def test_trace_summary_tells_invalid_excerpts(spark):
+    chunks = spark.createDataFrame([("a", "资本 充足率", "indexed"), ("b", "其他", "table_indexed"), ("c", "旧文", "failed"), ("d", None, "indexed")], "chunk_id string, text string, status string")
+    rows = [(1, 1, "a", "资本充足", "text"), (1, 2, "b", "没有", "text"), (1, 3, "b", "没有", "calculation"), (1, 4, "c", "旧文", "text"), (1, 5, "x", "旧文", "calculation"), (2, 1, "d", "无", "text"), (3, 1, "a", "见：资本 充足率。", "text")]
+    e = spark.createDataFrame(rows, "question_id int, rank int, chunk_id string, excerpt string, kind string")
+    got = {r["question_id"]: tuple(r)[1:] for r in evidence.trace_summary(e, chunks).collect()}
+    assert got == {1: (5, 2, 3, ["b", "c", "x"]), 2: (1, 0, 1, ["d"]), 3: (1, 1, 0, [])}
+    assert sorted((r["question_id"], r["rank"], r["chunk_id"]) for r in evidence.trace_evidence(e, chunks).collect()) == [(1, 1, "a"), (1, 2, "b"), (3, 1, "a")]

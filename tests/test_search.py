@@ -79,3 +79,18 @@ def test_filters_and_lengths_in_a_dense_search(spark, sides, monkeypatch):
         got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["chunk_id"]))
     want = {q: sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in vectors if w and v and len(w) == len(v) and fits(q, c))[:4] for q, v in queries}
     assert got == {q: v for q, v in want.items() if v}
+
+
+def test_filters_by_any_of_a_fields_names(spark):
+    meta = lambda **x: x
+    candidates = [
+        (1, "a", meta(title="商业银行资本管理办法（2023年版）", version_status="active", source_format="pdf"), "x_1.pdf", "3.1"), (1, "b", meta(source_title="商业银行 资本-管理办法"), None, None), (1, "c", None, "商业银行_资本管理办法.docx", None),
+        (1, "d", meta(title="流动性办法", version_status="inactive"), None, None), (2, "a", meta(article_number="第十条"), None, None), (2, "b", meta(), None, "第十条"), (2, "c", meta(article_number=None), None, None), (3, "z", None, None, None),
+        (4, "a", meta(version_status="active"), None, None), (4, "b", meta(version_status="active2"), None, None), (5, "a", meta(title="如何计算"), None, None),
+    ]
+    filters = [(1, "source_title", "商业银行资本管理办法"), (1, "issuing_authority", ""), (1, "no_such_field", "x"), (2, "article_number", "第十条"), (3, "source_title", None), (4, "version_status", "active"), (4, "version_status", "active"), (5, "filename", "x"), (5, "source_title", "怎样计算")]
+    out = search.filter_by_fields(
+        spark.createDataFrame(candidates, "query_id int, chunk_id string, metadata map<string,string>, filename string, section_number string"), spark.createDataFrame(filters, "query_id int, field string, wanted string")
+    )
+    assert sorted((r["query_id"], r["chunk_id"]) for r in out.collect()) == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "z"), (4, "a")]
+    assert out.columns == ["query_id", "chunk_id", "metadata", "filename", "section_number"]
