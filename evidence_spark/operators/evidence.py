@@ -33,6 +33,41 @@ def evidence_bundle(reqs: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select("question_id", "requirement_id", "mandatory", "selected", "filtered", "passed_over", state.alias("state"))
 
 
+def evidence_decisions(reqs: DataFrame, candidates: DataFrame, sources: DataFrame) -> DataFrame:
+    """question_id, requirement_id, chunk_id, stage and reason of every candidate that a requirement met.
+
+    reqs: question_id, requirement_id; candidates: question_id, chunk_id, tags (requirements
+    it was found for), selected; sources: question_id, requirement_id, chunk_id of candidates
+    whose source is not the requirement's. A question's only requirement meets all its
+    candidates. Stages: filtered (explicit_source_conflict), not_selected (context_budget),
+    selected (source_and_requirement_match); missing (not_recalled) for a requirement that
+    met none, with an empty chunk_id.
+    """
+    tagged = candidates.select("question_id", "chunk_id", "selected", F.explode(F.array_distinct("tags")).alias("requirement_id"))
+    alone = reqs.groupBy("question_id").agg(F.count("*").alias("_n"), F.first("requirement_id").alias("requirement_id")).filter("_n = 1").drop("_n")
+    met = tagged.join(reqs.select("question_id", "requirement_id"), ["question_id", "requirement_id"]).select("question_id", "requirement_id", "chunk_id", "selected")
+    met = met.unionByName(candidates.join(alone, "question_id").select("question_id", "requirement_id", "chunk_id", "selected"))
+    met = met.groupBy("question_id", "requirement_id", "chunk_id").agg(F.max(F.coalesce("selected", F.lit(False))).alias("_s"))
+    conflict = sources.select("question_id", "requirement_id", "chunk_id", F.lit(True).alias("_x")).distinct()
+    rows = met.join(conflict, ["question_id", "requirement_id", "chunk_id"], "left")
+    stage = F.when(F.col("_x"), "filtered").when(F.col("_s"), "selected").otherwise("not_selected")
+    missing = reqs.select("question_id", "requirement_id").join(met.select("question_id", "requirement_id").distinct(), ["question_id", "requirement_id"], "left_anti")
+    all_ = rows.select("question_id", "requirement_id", "chunk_id", stage.alias("stage")).unionByName(missing.select("question_id", "requirement_id", F.lit("").alias("chunk_id"), F.lit("missing").alias("stage")))
+    reasons = {"filtered": "explicit_source_conflict", "selected": "source_and_requirement_match", "not_selected": "context_budget", "missing": "not_recalled"}
+    return all_.withColumn("reason", F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv])[F.col("stage")])
+
+
+def missing_requirements(reqs: DataFrame, decisions: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """Per requirement the chunks that cover it, and whether it is missing: none does, or a unit of one was cut.
+
+    reqs: question_id, requirement_id, mandatory; incomplete: question_id, chunk_id.
+    """
+    ids = decisions.filter("stage = 'selected'").join(incomplete.select("question_id", "chunk_id", F.lit(True).alias("_cut")).distinct(), ["question_id", "chunk_id"], "left")
+    got = ids.groupBy("question_id", "requirement_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("covered_by"), F.coalesce(F.bool_or("_cut"), F.lit(False)).alias("_cut"))
+    out = reqs.join(got, ["question_id", "requirement_id"], "left")
+    return out.select("question_id", "requirement_id", "mandatory", F.coalesce("covered_by", F.array().cast("array<string>")).alias("covered_by"), F.coalesce("_cut", F.lit(True)).alias("missing"))
+
+
 def sufficiency(facets: DataFrame) -> DataFrame:
     """E5: per question sufficient, partial or insufficient from facets (question_id, requirement_id, facet, status).
 

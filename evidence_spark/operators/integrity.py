@@ -87,6 +87,28 @@ def metadata_coverage(docs: DataFrame, fields: list[str]) -> DataFrame:
     return counts.unpivot("documents", fields, "field", "filled")
 
 
+def verify_files(docs: DataFrame, stored: DataFrame, manifest: DataFrame) -> DataFrame:
+    """H8: findings (check, filename, expected, actual): the ledger against stored files, and these against the source manifest.
+
+    All three: filename, size, sha256. A document's first failing check counts, in this order:
+    original_missing, original_size, original_sha256 (stored file), source_missing,
+    source_size_mismatch, source_hash_mismatch (manifest against the stored file's hash);
+    then source_not_imported and document_not_in_source for names on one side only.
+    """
+    side = lambda df, p: df.groupBy("filename").agg(F.max(F.coalesce(F.col("size").cast("long"), F.lit(0))).alias(f"_{p}n"), F.max(F.coalesce("sha256", F.lit(""))).alias(f"_{p}h"), F.lit(True).alias(f"_{p}"))
+    rows = docs.select("filename", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("_n"), F.coalesce("sha256", F.lit("")).alias("_h")).join(side(stored, "s"), "filename", "left").join(side(manifest, "m"), "filename", "left")
+    text = lambda c: F.col(c).cast("string")
+    finding = lambda name, want, have: F.struct(F.lit(name).alias("check"), want.alias("expected"), have.alias("actual"))
+    none = F.lit(None).cast("string")
+    first = (
+        F.when(F.col("_s").isNull(), finding("original_missing", text("_h"), none)).when(F.col("_sn") != F.col("_n"), finding("original_size", text("_n"), text("_sn"))).when(F.col("_sh") != F.col("_h"), finding("original_sha256", text("_h"), text("_sh")))
+        .when(F.col("_m").isNull(), finding("source_missing", text("_h"), none)).when(F.col("_mn") != F.col("_n"), finding("source_size_mismatch", text("_mn"), text("_n"))).when(F.col("_mh") != F.col("_sh"), finding("source_hash_mismatch", text("_mh"), text("_sh")))
+    )
+    found = rows.withColumn("f", first).filter("f is not null").select("f.check", "filename", "f.expected", "f.actual")
+    names = lambda a, b, name: a.select("filename").distinct().join(b.select("filename"), "filename", "left_anti").select(F.lit(name).alias("check"), "filename", none.alias("expected"), none.alias("actual"))
+    return found.unionByName(names(manifest, docs, "source_not_imported")).unionByName(names(docs, manifest, "document_not_in_source"))
+
+
 #: Share of bigrams that two chunkings must have of each other, both ways, to differ in boundaries only.
 BOUNDARY_COVERAGE = 0.98
 

@@ -104,3 +104,36 @@ def unsupported_numbers(spark: SparkSession, d: str) -> DataFrame:
     claims = l.groupBy(*keys).agg(F.concat(F.lit("is "), value.cast("decimal(18,1)").cast("string")).alias("claim"))
     cited = l.select(*keys, F.concat(F.lit("total "), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("text"))
     return ev.unsupported_numbers(claims, cited, keys)
+
+
+DECISIONS_SQL = """r AS (SELECT o_orderkey AS question_id, unnest(['a', 'b', 'c']) AS requirement_id FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 'a' FROM orders WHERE o_orderkey % 3 = 0),
+l AS (SELECT DISTINCT l_orderkey AS question_id, l_partkey::VARCHAR AS chunk_id, bool_or(l_linenumber <= 2) OVER (PARTITION BY l_orderkey, l_partkey) AS chosen, l_partkey % 4 AS t, l_suppkey % 5 = 0 AS other FROM lineitem),
+g AS (SELECT question_id, chunk_id, any_value(chosen) AS chosen, any_value(t) AS t, bool_or(other) AS other FROM l GROUP BY ALL),
+m AS (SELECT r.question_id, r.requirement_id, chunk_id, CASE WHEN other AND r.requirement_id = 'a' THEN 'filtered' WHEN chosen THEN 'selected' ELSE 'not_selected' END AS stage FROM r JOIN g ON r.question_id = g.question_id
+  AND (r.question_id % 3 = 0 OR r.requirement_id = ['a', 'b', 'a', 'none'][(t + 1)::INTEGER])),
+d AS (SELECT * FROM m UNION ALL SELECT question_id, requirement_id, '', 'missing' FROM r WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.question_id = r.question_id AND m.requirement_id = r.requirement_id))"""
+
+
+def decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as questions of three requirements (every third of one), their parts as candidates, tagged by number; suppliers by fives are another source for the first."""
+    o = F.col("o_orderkey")
+    reqs = table(spark, d, "orders").select(o.alias("question_id"), F.explode(F.when(o % 3 > 0, F.array(F.lit("a"), F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("a")))).alias("requirement_id"))
+    tags = F.element_at(F.array(F.array(F.lit("a")), F.array(F.lit("b")), F.array(F.lit("a")), F.array(F.lit("none"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_partkey").cast("string").alias("chunk_id"), tags.alias("tags"), (F.col("l_linenumber") <= 2).alias("selected"), (F.col("l_suppkey") % 5 == 0).alias("other"))
+    conflict = rows.filter("other").select("question_id", F.lit("a").alias("requirement_id"), "chunk_id")
+    return reqs, ev.evidence_decisions(reqs, rows.drop("other"), conflict)
+
+
+@query("evidence_decisions", f"""WITH {DECISIONS_SQL} SELECT question_id, requirement_id, chunk_id, stage,
+  CASE stage WHEN 'filtered' THEN 'explicit_source_conflict' WHEN 'selected' THEN 'source_and_requirement_match' WHEN 'missing' THEN 'not_recalled' ELSE 'context_budget' END AS reason FROM d""")
+def evidence_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return decisions(spark, d)[1]
+
+
+@query("missing_requirements", f"""WITH {DECISIONS_SQL}, c AS (SELECT question_id, requirement_id, list(DISTINCT chunk_id) AS ids, bool_or(chunk_id::BIGINT % 10 = 0) AS cut FROM d WHERE stage = 'selected' GROUP BY ALL)
+SELECT r.question_id, r.requirement_id, r.requirement_id <> 'c' AS mandatory, coalesce(array_to_string(list_sort(ids), ','), '') AS covered_by, coalesce(cut, true) AS missing FROM r LEFT JOIN c USING (question_id, requirement_id)""")
+def missing_requirements(spark: SparkSession, d: str) -> DataFrame:
+    reqs, made = decisions(spark, d)
+    cut = made.filter("chunk_id <> '' and cast(chunk_id as bigint) % 10 = 0").select("question_id", "chunk_id")
+    out = ev.missing_requirements(reqs.withColumn("mandatory", F.col("requirement_id") != "c"), made, cut)
+    return out.withColumn("covered_by", F.array_join("covered_by", ","))

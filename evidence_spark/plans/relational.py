@@ -517,3 +517,20 @@ def latest_per_kind(spark: SparkSession, d: str) -> DataFrame:
 def answer_log_facts(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "events").select("ts", (F.col("event_type") == "error").alias("refused"), (F.col("value") / 100).alias("confidence"), (F.col("user_id") % 5).alias("citations"))
     return evs.qa_facts(log)
+
+
+@query("verified_files", """WITH d AS (SELECT 'file' || p_partkey AS f, p_partkey AS k, p_size::BIGINT AS n, md5(p_partkey::VARCHAR) AS h FROM part),
+s AS (SELECT f, CASE WHEN k % 7 = 1 THEN n + 1 ELSE n END AS n, CASE WHEN k % 7 = 2 THEN 'x' ELSE h END AS h FROM d WHERE k % 7 <> 0),
+m AS (SELECT f, CASE WHEN k % 11 = 1 THEN n + 2 ELSE n END AS n, CASE WHEN k % 11 = 2 THEN 'y' ELSE h END AS h FROM d WHERE k % 11 <> 0 UNION ALL SELECT 'only' || s_suppkey, 1, 'z' FROM supplier),
+j AS (SELECT d.*, s.n AS sn, s.h AS sh, m.n AS mn, m.h AS mh FROM d LEFT JOIN s USING (f) LEFT JOIN m USING (f))
+SELECT CASE WHEN sn IS NULL THEN 'original_missing' WHEN sn <> n THEN 'original_size' WHEN sh <> h THEN 'original_sha256' WHEN mn IS NULL THEN 'source_missing' WHEN mn <> n THEN 'source_size_mismatch' ELSE 'source_hash_mismatch' END AS "check", f AS filename,
+  CASE WHEN sn IS NULL THEN h WHEN sn <> n THEN n::VARCHAR WHEN sh <> h THEN h WHEN mn IS NULL THEN h WHEN mn <> n THEN mn::VARCHAR ELSE mh END AS expected, CASE WHEN sn IS NULL THEN NULL WHEN sn <> n THEN sn::VARCHAR WHEN sh <> h THEN sh WHEN mn IS NULL THEN NULL WHEN mn <> n THEN n::VARCHAR ELSE sh END AS actual
+FROM j WHERE sn IS NULL OR sn <> n OR sh <> h OR mn IS NULL OR mn <> n OR mh <> sh
+UNION ALL SELECT 'source_not_imported', f, NULL, NULL FROM m WHERE f NOT IN (SELECT f FROM d) UNION ALL SELECT 'document_not_in_source', f, NULL, NULL FROM d WHERE f NOT IN (SELECT f FROM m)""")
+def verified_files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as files; stored copies and the manifest lack some and differ in size or hash for others."""
+    k = F.col("p_partkey")
+    ledger = table(spark, d, "part").select(k, F.concat(F.lit("file"), k.cast("string")).alias("filename"), F.col("p_size").cast("long").alias("size"), F.md5(k.cast("string")).alias("sha256"))
+    bent = lambda mod, more, other: ledger.filter(k % mod != 0).select("filename", F.when(k % mod == 1, F.col("size") + more).otherwise(F.col("size")).alias("size"), F.when(k % mod == 2, other).otherwise(F.col("sha256")).alias("sha256"))
+    only = table(spark, d, "supplier").select(F.concat(F.lit("only"), F.col("s_suppkey").cast("string")).alias("filename"), F.lit(1).cast("long").alias("size"), F.lit("z").alias("sha256"))
+    return integrity.verify_files(ledger.drop("p_partkey"), bent(7, 1, "x"), bent(11, 2, "y").unionByName(only))
