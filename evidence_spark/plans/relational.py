@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as ev
-from ..operators import identity, integrity
+from ..operators import identity, integrity, metadata
 from ..operators import tables as tb
 from ..sources import indexes
 from ..streaming import events as evs
@@ -534,3 +534,31 @@ def verified_files(spark: SparkSession, d: str) -> DataFrame:
     bent = lambda mod, more, other: ledger.filter(k % mod != 0).select("filename", F.when(k % mod == 1, F.col("size") + more).otherwise(F.col("size")).alias("size"), F.when(k % mod == 2, other).otherwise(F.col("sha256")).alias("sha256"))
     only = table(spark, d, "supplier").select(F.concat(F.lit("only"), F.col("s_suppkey").cast("string")).alias("filename"), F.lit(1).cast("long").alias("size"), F.lit("z").alias("sha256"))
     return integrity.verify_files(ledger.drop("p_partkey"), bent(7, 1, "x"), bent(11, 2, "y").unionByName(only))
+
+
+@query("inferred_metadata", """WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate::DATE + INTERVAL 20 YEAR AS day FROM orders)
+SELECT o_orderkey AS doc_id, CASE WHEN o_custkey % 3 = 0 THEN '财政部' WHEN o_custkey % 3 = 1 THEN o_orderpriority || '部门' END AS issuing_authority, '财会〔' || year(day) || '〕' || o_custkey % 1000 || '号' AS document_number,
+  CASE WHEN o_custkey % 3 < 2 THEN strftime(day, '%Y-%m-%d') END AS publication_date, CASE WHEN o_custkey % 2 = 0 THEN strftime(day, '%Y-%m-%d') END AS effective_date, NULL::VARCHAR AS expiration_date,
+  CASE WHEN o_custkey % 2 = 0 THEN '信贷管理' END AS regulatory_topic, CASE WHEN o_custkey % 2 = 0 THEN '信贷业务' END AS business_domain FROM o""")
+def inferred_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as notices: their authority labelled, named or absent, their dates written out."""
+    c, day = F.col("o_custkey"), F.add_months(F.to_date("o_orderdate"), 240)
+    written = F.date_format(day, "yyyy年M月d日")
+    head = F.concat(F.when(c % 3 == 1, F.concat(F.lit("发文机关："), F.col("o_orderpriority"), F.lit("部门\n"))).when(c % 3 == 0, "由财政部印发\n").otherwise(""), F.lit("《通知》（财会〔"), F.year(day).cast("string"), F.lit("〕"), (c % 1000).cast("string"), F.lit("号）"))
+    text = F.concat(head, F.lit("\n"), F.when(c % 3 < 2, F.concat(F.lit("发布日期："), written)).otherwise(F.concat(F.lit("日期 "), written)), F.when(c % 2 == 0, F.concat(F.lit("\n贷款办法自"), written, F.lit("起施行"))).otherwise(""))
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("a.pdf").alias("filename"), text.alias("text"), F.array(head).alias("head"))
+    return metadata.infer_metadata(docs)
+
+
+@query("normalized_fields", """SELECT c_custkey AS doc_id, ['publication_date', 'version_status', 'source_url', 'expiration_date'][(c_custkey % 4 + 1)::INTEGER] AS field,
+  CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 28 < 27 THEN printf('2024-02-%02d', c_custkey % 28 + 1) ELSE '2024-02-28' END WHEN 1 THEN CASE WHEN c_custkey % 8 = 1 THEN 'current' END WHEN 2 THEN CASE WHEN c_custkey % 8 = 2 THEN 'https://host/' || c_custkey END END AS normalized,
+  CASE c_custkey % 4 WHEN 1 THEN CASE WHEN c_custkey % 8 <> 1 THEN 'version_status' END WHEN 2 THEN CASE WHEN c_custkey % 8 <> 2 THEN 'url' END WHEN 3 THEN 'date' END AS error FROM customer""")
+def normalized_fields(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    key = F.element_at(F.array(*map(F.lit, ("发布日期", "status", "url", "invalid_date"))), (c % 4 + 1).cast("int"))
+    value = (
+        F.when(c % 4 == 0, F.concat(F.lit("2024年2月"), (c % 28 + 1).cast("string"), F.lit("日"))).when(c % 4 == 1, F.when(c % 8 == 1, "现行").otherwise("lost"))
+        .when(c % 4 == 2, F.concat(F.when(c % 8 == 2, "https://host/").otherwise("file://host/"), c.cast("string"))).otherwise("2024-02-31")
+    )
+    rows = table(spark, d, "customer").select(c.alias("doc_id"), key.alias("key"), value.alias("value"))
+    return metadata.normalize_metadata(rows).select("doc_id", "field", "normalized", "error")
