@@ -36,6 +36,44 @@ def check_chunks(chunks: DataFrame, doc: str = "doc_id", text: str = "text", sho
     return out.withColumn("too_many_repeats", F.col("repeated") > F.greatest(F.lit(2.0), F.col("chunks") / 10))
 
 
+#: Least characters of a document, characters from which its share of Chinese ones counts and that share, share of unreadable signs that a PDF's formulas explain.
+LEAST_TEXT, JUDGED_TEXT, LEAST_CJK, FORMULA_SIGNS = 20, 200, 0.05, 0.01
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
+def chunk_findings(docs: DataFrame, chunks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """H2: findings (doc, check, level, value) about each document's chunks.
+
+    docs: doc, file_type, chunk_count; chunks: doc, text, metadata (JSON, null: none), page_number.
+    Errors: chunk_count_mismatch, no_chunks, empty_chunk, replacement_chars,
+    chunk_metadata_json (not an object), text_too_short. Warnings: pdf_math_symbol_placeholders
+    (replacement signs under a hundredth of a PDF's text), control_chars (chunks that have
+    any), low_cjk_ratio (over 200 characters, no spreadsheet), duplicate_chunk_texts (more
+    repeats than 2 and a tenth of the chunks), pdf_page_numbers (none).
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    plain = F.trim(F.regexp_replace(t, r"\s+", " "))
+    meta = F.coalesce(F.nullif(F.col("metadata"), F.lit("")), F.lit("{}"))
+    each = chunks.select(doc, t.alias("_t"), F.sha2(plain, 256).alias("_h"), (plain != "").alias("_full"), (F.try_parse_json(meta).isNotNull() & meta.rlike(r"^\s*\{")).alias("_json"), "page_number")
+    stats = each.groupBy(doc).agg(
+        F.count("*").alias("chunks"), F.sum(F.char_length("_t")).alias("chars"), F.count_if(~F.col("_full")).alias("empty"), F.sum(F.regexp_count("_t", F.lit("�"))).alias("signs"), F.count_if(F.col("_t").rlike(CONTROL)).alias("control"),
+        F.count_if(~F.col("_json")).alias("metadata"), F.sum(F.regexp_count("_t", F.lit("[一-鿿]"))).alias("cjk"), F.count("page_number").alias("pages"), (F.count_if("_full") - F.count_distinct(F.when(F.col("_full"), F.col("_h")))).alias("repeats"),
+    )
+    n = [c for c in stats.columns if c != doc]
+    rows = docs.select(doc, "file_type", F.coalesce(F.col("chunk_count").cast("long"), F.lit(0)).alias("_want")).join(stats, doc, "left").fillna(0, n)
+    pdf, excel = F.col("file_type") == "pdf", F.coalesce(F.col("file_type").isin("xls", "xlsx"), F.lit(False))
+    formulas = F.coalesce(pdf, F.lit(False)) & (F.col("signs") / F.greatest("chars", F.lit(1)) < FORMULA_SIGNS)
+    share = F.col("cjk") / F.greatest("chars", F.lit(1))
+    checks = [
+        ("chunk_count_mismatch", "error", F.col("chunks") != F.col("_want"), F.col("chunks") - F.col("_want")), ("no_chunks", "error", F.col("chunks") == 0, F.lit(0)), ("empty_chunk", "error", F.col("empty") > 0, F.col("empty")),
+        ("pdf_math_symbol_placeholders", "warning", (F.col("signs") > 0) & formulas, F.col("signs")), ("replacement_chars", "error", (F.col("signs") > 0) & ~formulas, F.col("signs")), ("control_chars", "warning", F.col("control") > 0, F.col("control")),
+        ("chunk_metadata_json", "error", F.col("metadata") > 0, F.col("metadata")), ("text_too_short", "error", F.col("chars") < LEAST_TEXT, F.col("chars")), ("low_cjk_ratio", "warning", (F.col("chars") > JUDGED_TEXT) & ~excel & (share < LEAST_CJK), F.col("cjk")),
+        ("duplicate_chunk_texts", "warning", F.col("repeats") > F.greatest(F.lit(2), F.floor(F.col("chunks") / 10)), F.col("repeats")), ("pdf_page_numbers", "warning", F.coalesce(pdf, F.lit(False)) & (F.col("chunks") > 0) & (F.col("pages") == 0), F.col("chunks")),
+    ]
+    found = F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(name).alias("check"), F.lit(level).alias("level"), value.cast("long").alias("value"))) for name, level, ok, value in checks]))
+    return rows.select(doc, F.explode(found).alias("f")).select(doc, "f.check", "f.level", "f.value")
+
+
 def chunk_distribution(chunks: DataFrame, doc: str, kind: str) -> DataFrame:
     """H3: chunks per document by kind: documents, min, median, p95, max."""
     per = chunks.groupBy(kind, doc).agg(F.count("*").alias("n"))

@@ -562,3 +562,26 @@ def normalized_fields(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = table(spark, d, "customer").select(c.alias("doc_id"), key.alias("key"), value.alias("value"))
     return metadata.normalize_metadata(rows).select("doc_id", "field", "normalized", "error")
+
+
+@query("chunk_findings", r"""WITH c AS (SELECT conv_id AS doc_id, CASE WHEN turn % 6 = 5 THEN ' ' WHEN conv_id % 4 = 1 THEN text || '�' WHEN conv_id % 4 = 2 AND turn = 0 THEN chr(7) || text WHEN conv_id % 4 = 3 THEN 'same' ELSE text END AS t,
+  turn = 1 AND conv_id % 3 = 0 AS bad, turn FROM conversations),
+d AS (SELECT DISTINCT conv_id AS doc_id, ['pdf', 'docx', 'xlsx'][(conv_id % 3 + 1)::INTEGER] AS kind, conv_id % 5 + 2 AS want FROM conversations UNION ALL SELECT -s_suppkey, 'pdf', 0 FROM supplier),
+s AS (SELECT doc_id, count(*) AS n, sum(length(t)) AS chars, count(*) FILTER (trim(t) = '') AS empty, sum(length(t) - length(replace(t, '�', ''))) AS signs, count(*) FILTER (contains(t, chr(7))) AS control, count(*) FILTER (bad) AS meta,
+  count(*) FILTER (trim(t) <> '') - count(DISTINCT CASE WHEN trim(t) <> '' THEN trim(regexp_replace(t, '\s+', ' ', 'g')) END) AS repeats FROM c GROUP BY ALL),
+j AS (SELECT d.*, coalesce(n, 0) AS n, coalesce(chars, 0) AS chars, coalesce(empty, 0) AS empty, coalesce(signs, 0) AS signs, coalesce(control, 0) AS control, coalesce(meta, 0) AS meta, coalesce(repeats, 0) AS repeats FROM d LEFT JOIN s USING (doc_id)),
+f AS (SELECT doc_id, 'chunk_count_mismatch' AS "check", 'error' AS level, n - want AS value FROM j WHERE n <> want UNION ALL SELECT doc_id, 'no_chunks', 'error', 0 FROM j WHERE n = 0 UNION ALL SELECT doc_id, 'empty_chunk', 'error', empty FROM j WHERE empty > 0
+  UNION ALL SELECT doc_id, CASE WHEN kind = 'pdf' AND signs::DOUBLE / chars < 0.01::DOUBLE THEN 'pdf_math_symbol_placeholders' ELSE 'replacement_chars' END, CASE WHEN kind = 'pdf' AND signs::DOUBLE / chars < 0.01::DOUBLE THEN 'warning' ELSE 'error' END, signs FROM j WHERE signs > 0
+  UNION ALL SELECT doc_id, 'control_chars', 'warning', control FROM j WHERE control > 0 UNION ALL SELECT doc_id, 'chunk_metadata_json', 'error', meta FROM j WHERE meta > 0 UNION ALL SELECT doc_id, 'text_too_short', 'error', chars FROM j WHERE chars < 20
+  UNION ALL SELECT doc_id, 'low_cjk_ratio', 'warning', 0 FROM j WHERE chars > 200 AND kind <> 'xlsx' UNION ALL SELECT doc_id, 'duplicate_chunk_texts', 'warning', repeats FROM j WHERE repeats > greatest(2, n // 10) UNION ALL SELECT doc_id, 'pdf_page_numbers', 'warning', n FROM j WHERE kind = 'pdf' AND n > 0)
+SELECT doc_id, "check", level, value::BIGINT AS value FROM f""")
+def chunk_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents of which one in four each has unreadable signs, control signs or repeats; suppliers as documents without chunks."""
+    i, t = F.col("conv_id"), F.col("turn")
+    text = F.when(t % 6 == 5, " ").when(i % 4 == 1, F.concat("text", F.lit("�"))).when((i % 4 == 2) & (t == 0), F.concat(F.lit("\x07"), "text")).when(i % 4 == 3, "same").otherwise(F.col("text"))
+    c = table(spark, d, "conversations")
+    chunks = c.select(i.alias("doc_id"), text.alias("text"), F.when((t == 1) & (i % 3 == 0), "[1]").when(t == 2, None).otherwise('{"a": 1}').alias("metadata"), F.when(i % 3 == 1, t).alias("page_number"))
+    kinds = F.element_at(F.array(F.lit("pdf"), F.lit("docx"), F.lit("xlsx")), (i % 3 + 1).cast("int"))
+    docs = c.select(i.alias("doc_id"), kinds.alias("file_type"), (i % 5 + 2).alias("chunk_count")).distinct()
+    none = table(spark, d, "supplier").select((-F.col("s_suppkey")).alias("doc_id"), F.lit("pdf").alias("file_type"), F.lit(0).cast("long").alias("chunk_count"))
+    return integrity.chunk_findings(docs.unionByName(none), chunks)
