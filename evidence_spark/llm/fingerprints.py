@@ -8,7 +8,8 @@ whole set and its estimates are exact.
 
 Defined cases: null and empty texts have the empty sketch (the empty string as text);
 two empty sketches resemble each other fully, an empty and a filled one not at all;
-equal texts have equal sketches; no column but the ones named is read.
+equal texts have equal sketches, repeated rows one each; texts of any length are read
+whole; an empty table gives no rows; no column but the ones named is read.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ is decided pair by pair: in small groups by a join, in large ones by blocks of b
 that meet two at a time, where only links between components come out.
 
 Defined cases: null, empty and blank texts have no tokens and link with nothing; a text
-of fewer words than a shingle is one token; rows without id link with nothing; rows of
+of fewer words than a shingle is one token; texts of any length are read whole; rows without id link with nothing; rows of
 equal id and text share a class; an empty table gives no rows; other columns are not
 read. Tokens are held by 64-bit hashes, classes by 128 bits (a second hash stands in where
 the first is shared).

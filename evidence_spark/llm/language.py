@@ -19,7 +19,8 @@ text. Prediction reads whole texts.
 
 Defined cases: a null text or one without a letter is `und` with score 0; without
 labelled documents all are `und`; with one language that one is predicted; equal texts
-get equal results; extra columns are kept by keep_known and never read.
+get equal results, repeated rows one each; texts of any length are read whole; an empty
+table gives no rows; extra columns are kept by keep_known and never read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ the sources of smallest cap / weight reach it, so it is the largest such quotien
 
 Defined cases: a null or empty text has no words and is taken as often as any other of
 its source; a source without words has target 0 and none of its documents are taken; a
-null source is a source of its own; equal rows share one decision; an empty table gives
+null source is a source of its own; equal rows share one decision; texts of any length
+are counted whole; an empty table gives
 an empty table; columns beyond the three named ones are kept and never read.
 """
 

@@ -12,8 +12,9 @@ or not give one. Expected severity is the sum of P(grade > j).
 
 Defined cases: null and empty texts hold no word and get the severity of a text without
 any; a document without grade is not used, one graded twice at its highest grade;
-without graded documents of two grades every severity is 0; extra columns are kept by
-keep_clean and never read.
+without graded documents of two grades every severity is 0; texts of any length are read
+whole; repeated rows get equal results, one each; an empty table gives no rows; extra
+columns are kept by keep_clean and never read.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import io
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -350,11 +351,22 @@ def test_toxicity_held_out(spark):
     assert all(a < b for a, b in zip(model.thresholds, model.thresholds[1:], strict=False))
 
 
+def plain_toxicity(model, text):
+    """P(grade > j) from a model's weights and thresholds alone: words once, stems by their share."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    total = sum(w for f, w in model.weights.items() if not f.endswith("*") and f in words)
+    for f, w in model.weights.items():
+        n = sum(x.startswith(f[:-1]) for x in words) if f.endswith("*") else 0
+        share = 100 * n / (len(words) + 20)
+        total += w * min(2.0, share) if n >= 2 and share >= 0.5 else 0.0
+    return np.array([1 / (1 + math.exp(-(total - t))) for t in model.thresholds])
+
+
 def test_toxicity_query_is_the_model_row_by_row(spark, docs):
     model = queries.toxicity_model(spark, docs, SF)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in queries.op7_toxicity(spark, SF).collect():
-        up = model.above(texts[r["doc_id"]])
+        up = plain_toxicity(model, texts[r["doc_id"]])
         assert abs(r["severity"] - up.sum()) < 1e-9 and abs(r["p_toxic"] - up[0]) < 1e-9 and r["toxic"] == (up[0] >= 0.5)
 
 
