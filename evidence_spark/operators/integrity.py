@@ -36,6 +36,46 @@ def check_chunks(chunks: DataFrame, doc: str = "doc_id", text: str = "text", sho
     return out.withColumn("too_many_repeats", F.col("repeated") > F.greatest(F.lit(2.0), F.col("chunks") / 10))
 
 
+def index_findings(docs: DataFrame, chunks: DataFrame, version: str, doc: str = "doc_id") -> DataFrame:
+    """H1: findings (check, subject, value): states other than indexed with their counts, the ledger's sum of chunks against all chunks, documents without chunks in the ledger, with an index error, or indexed by another version.
+
+    docs: doc, status, chunk_count, index_error, index_version. check_corpus has the rest.
+    """
+    n = F.coalesce(F.col("chunk_count").cast("long"), F.lit(0))
+    states = docs.groupBy(F.coalesce("status", F.lit("none")).alias("subject")).agg(F.count("*").alias("value")).filter("subject <> 'indexed'").select(F.lit("document_status").alias("check"), "subject", "value")
+    sums = docs.agg(F.coalesce(F.sum(n), F.lit(0)).alias("want")).join(chunks.agg(F.count("*").alias("have")))  # a row each
+    total = sums.filter("want <> have").select(F.lit("chunk_total").alias("check"), F.col("want").cast("string").alias("subject"), F.col("have").alias("value"))
+    found = F.array_compact(F.array(
+        F.when(n <= 0, F.struct(F.lit("empty_document").alias("check"), n.alias("value"))), F.when(F.coalesce("index_error", F.lit("")) != "", F.struct(F.lit("index_error").alias("check"), n.alias("value"))),
+        F.when(F.coalesce("index_version", F.lit("")) != version, F.struct(F.lit("index_version").alias("check"), n.alias("value"))),
+    ))
+    each = docs.select(F.col(doc).cast("string").alias("subject"), F.explode(found).alias("f")).select("f.check", "subject", "f.value")
+    return states.unionByName(total).unionByName(each)
+
+
+def sheet_findings(docs: DataFrame, chunks: DataFrame, cells: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """H4: findings (doc, check, level, value) about the cells of spreadsheets.
+
+    docs: doc, file_type, numeric_cells (of the workbook); chunks: doc, chunk_id, sheet_name,
+    table_role, n_cells; cells: doc, chunk_id. blank_spreadsheet_template or
+    spreadsheet_no_cells where no row chunk has cells, spreadsheet_cell_count where the cell
+    table has more or fewer, spreadsheet_no_sheet_name, spreadsheet_orphan_cells (of no chunk).
+    """
+    sheets = docs.filter(F.col("file_type").isin("xls", "xlsx")).select(doc, F.coalesce(F.col("numeric_cells").cast("long"), F.lit(0)).alias("_numeric"))
+    rows = F.when(F.col("table_role") == "row", F.coalesce(F.col("n_cells").cast("long"), F.lit(0))).otherwise(0)
+    want = chunks.groupBy(doc).agg(F.sum(rows).alias("_want"), F.count_if(F.coalesce("sheet_name", F.lit("")) != "").alias("_named"))
+    known = chunks.select("chunk_id", F.lit(True).alias("_known")).distinct()
+    have = cells.join(known, "chunk_id", "left").groupBy(doc).agg(F.count("*").alias("_have"), F.count_if(F.col("_known").isNull()).alias("_orphans"))
+    all_ = sheets.join(want, doc, "left").join(have, doc, "left").fillna(0, ["_want", "_named", "_have", "_orphans"])
+    none = F.col("_want") == 0
+    finding = lambda ok, name, level, value: F.when(ok, F.struct(F.lit(name).alias("check"), F.lit(level).alias("level"), F.col(value).alias("value")))
+    found = F.array_compact(F.array(
+        finding(none & (F.col("_numeric") == 0), "blank_spreadsheet_template", "warning", "_numeric"), finding(none & (F.col("_numeric") > 0), "spreadsheet_no_cells", "error", "_numeric"), finding(~none & (F.col("_have") != F.col("_want")), "spreadsheet_cell_count", "error", "_have"),
+        finding(F.col("_named") == 0, "spreadsheet_no_sheet_name", "warning", "_named"), finding(F.col("_orphans") > 0, "spreadsheet_orphan_cells", "error", "_orphans"),
+    ))
+    return all_.select(doc, F.explode(found).alias("f")).select(doc, "f.check", "f.level", "f.value")
+
+
 #: Least characters of a document, characters from which its share of Chinese ones counts and that share, share of unreadable signs that a PDF's formulas explain.
 LEAST_TEXT, JUDGED_TEXT, LEAST_CJK, FORMULA_SIGNS = 20, 200, 0.05, 0.01
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"

@@ -585,3 +585,33 @@ def chunk_findings(spark: SparkSession, d: str) -> DataFrame:
     docs = c.select(i.alias("doc_id"), kinds.alias("file_type"), (i % 5 + 2).alias("chunk_count")).distinct()
     none = table(spark, d, "supplier").select((-F.col("s_suppkey")).alias("doc_id"), F.lit("pdf").alias("file_type"), F.lit(0).cast("long").alias("chunk_count"))
     return integrity.chunk_findings(docs.unionByName(none), chunks)
+
+
+@query("index_findings", """WITH d AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'indexed' ELSE o_orderstatus END AS status, o_custkey % 7 AS n, CASE WHEN o_custkey % 11 = 0 THEN 'timeout' END AS e, CASE WHEN o_custkey % 13 = 0 THEN 'v1' ELSE 'v2' END AS v FROM orders)
+SELECT 'document_status' AS "check", status AS subject, count(*) AS value FROM d WHERE status <> 'indexed' GROUP BY ALL UNION ALL SELECT 'chunk_total', w::VARCHAR, h FROM (SELECT coalesce(sum(n), 0)::BIGINT AS w, (SELECT count(*) FROM lineitem) AS h FROM d) WHERE w <> h
+UNION ALL SELECT 'empty_document', k::VARCHAR, n FROM d WHERE n = 0 UNION ALL SELECT 'index_error', k::VARCHAR, n FROM d WHERE e IS NOT NULL UNION ALL SELECT 'index_version', k::VARCHAR, n FROM d WHERE v <> 'v2'""")
+def index_findings(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("o_custkey")
+    docs = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "indexed").otherwise(F.col("o_orderstatus")).alias("status"), (c % 7).alias("chunk_count"), F.when(c % 11 == 0, "timeout").alias("index_error"), F.when(c % 13 == 0, "v1").otherwise("v2").alias("index_version")
+    )
+    return integrity.index_findings(docs, table(spark, d, "lineitem"), "v2")
+
+
+@query("sheet_findings", """WITH c AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, CASE WHEN l_orderkey % 5 > 0 THEN 'S' END AS name, CASE WHEN l_linenumber > 2 THEN 'row' ELSE 'summary' END AS role FROM lineitem),
+d AS (SELECT o_orderkey AS k, o_custkey % 3 AS numeric FROM orders WHERE o_orderkey % 3 > 0),
+w AS (SELECT k, sum(CASE WHEN role = 'row' THEN 1 ELSE 0 END)::BIGINT AS want, count(name) AS named FROM c GROUP BY ALL),
+h AS (SELECT k, count(*) AS have, count(*) FILTER (p % 50 = 1) AS orphans FROM c WHERE role = 'row' AND p % 50 <> 0 GROUP BY ALL),
+j AS (SELECT d.*, coalesce(want, 0) AS want, coalesce(named, 0) AS named, coalesce(have, 0) AS have, coalesce(orphans, 0) AS orphans FROM d LEFT JOIN w USING (k) LEFT JOIN h USING (k))
+SELECT k AS doc_id, CASE WHEN numeric = 0 THEN 'blank_spreadsheet_template' ELSE 'spreadsheet_no_cells' END AS "check", CASE WHEN numeric = 0 THEN 'warning' ELSE 'error' END AS level, numeric::BIGINT AS value FROM j WHERE want = 0
+UNION ALL SELECT k, 'spreadsheet_cell_count', 'error', have FROM j WHERE want > 0 AND have <> want UNION ALL SELECT k, 'spreadsheet_no_sheet_name', 'warning', 0 FROM j WHERE named = 0 UNION ALL SELECT k, 'spreadsheet_orphan_cells', 'error', orphans FROM j WHERE orphans > 0""")
+def sheet_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as workbooks, of which every third is no spreadsheet; their lines as chunks and cells, some of them missing or of no chunk."""
+    o, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    place = F.concat_ws("-", o.cast("string"), n.cast("string"), p.cast("string"))
+    rows = table(spark, d, "lineitem")
+    chunks = rows.select(o.alias("doc_id"), place.alias("chunk_id"), F.when(o % 5 > 0, "S").alias("sheet_name"), F.when(n > 2, "row").otherwise("summary").alias("table_role"), F.lit(1).alias("n_cells"))
+    cells = rows.filter((n > 2) & (p % 50 != 0)).select(o.alias("doc_id"), F.when(p % 50 == 1, "none").otherwise(place).alias("chunk_id"))
+    k = F.col("o_orderkey")
+    docs = table(spark, d, "orders").select(k.alias("doc_id"), F.when(k % 3 == 0, "pdf").when(k % 3 == 1, "xls").otherwise("xlsx").alias("file_type"), (F.col("o_custkey") % 3).alias("numeric_cells"))
+    return integrity.sheet_findings(docs, chunks, cells)
