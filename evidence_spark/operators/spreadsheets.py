@@ -269,7 +269,7 @@ def lookup_answers(questions: DataFrame, cells: DataFrame, least: float = 5.0) -
     """
     visible = kept(visible_cells(questions, cells))
     fitting = in_period(visible)
-    scored = score(require_terms(fitting, required_terms()))
+    scored = kept(score(require_terms(fitting, required_terms())))  # read by each step of the lookup
     asked = prepared(questions)
     reached = fitting.select("question_id").distinct()
     found = table_lookup(scored, asked, least)
