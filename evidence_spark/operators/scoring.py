@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import number_match, numbers
 from .joins import contained
+from .lineage import kept
 
 #: A file reference in gold evidence, a locator's label, and periods and titles in a text.
 GOLD_FILE = r"(\d{1,4})_([^/\\；;]+?\.(?:xlsx?|pdf|docx?))"
@@ -158,11 +159,12 @@ def resolve_gold_docs(refs: DataFrame, docs: DataFrame, key: str = "ref_id") ->
     r = refs.select(key, F.regexp_extract("evidence", GOLD_FILE, 1).alias("_n"), _plain(F.regexp_extract("evidence", GOLD_FILE, 2)).alias("_stem"), _plain(F.col("source_title")).alias("_w"))
     numbered = r.filter("_n <> ''").join(d.filter("_n <> ''"), "_n").withColumn("_fits", (F.col("_stem") != "") & F.contains("_f", "_stem"))
     by_number = numbered.groupBy(key).agg(F.count("*").alias("_c"), F.min("doc_id").alias("_only"), F.min(F.when(F.col("_fits"), F.col("doc_id"))).alias("_fit"))
-    one = by_number.select(key, F.when(F.col("_c") == 1, F.col("_only")).otherwise(F.col("_fit")).alias("doc_id")).filter("doc_id is not null").withColumn("method", F.lit("prefix"))
-    rest = r.join(one.select(key), key, "left_anti").filter("_w <> ''").select(key, "_w")
+    # What later steps read again is written once, and sides that grow with the rows are sorted: none is sent to all.
+    one = kept(by_number.select(key, F.when(F.col("_c") == 1, F.col("_only")).otherwise(F.col("_fit")).alias("doc_id")).filter("doc_id is not null").withColumn("method", F.lit("prefix")))
+    rest = kept(r.join(one.select(key).hint("merge"), key, "left_anti").filter("_w <> ''").select(key, "_w"))
     names = d.select("doc_id", F.explode(F.array_distinct(F.array("_t", "_f", "_b"))).alias("_k")).filter("_k <> ''")
-    equal = rest.join(names, F.col("_w") == F.col("_k")).groupBy(key).agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("_c")).filter("_c = 1").select(key, "doc_id", F.lit("exact").alias("method"))
-    left = rest.join(equal.select(key), key, "left_anti")
+    equal = kept(rest.join(names.hint("merge"), F.col("_w") == F.col("_k")).groupBy(key).agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("_c")).filter("_c = 1").select(key, "doc_id", F.lit("exact").alias("method")))
+    left = kept(rest.join(equal.select(key).hint("merge"), key, "left_anti"))
     held = contained(left, "_w", names, "_k").unionByName(contained(names, "_k", left, "_w"))
     share = F.least(F.char_length("_w"), F.char_length("_k")) / F.greatest(F.char_length("_w"), F.char_length("_k"))
     best = held.groupBy(key).agg(F.min_by("doc_id", F.struct((-F.round(share, 9)).alias("o"), "doc_id")).alias("doc_id")).withColumn("method", F.lit("containment"))
