@@ -39,10 +39,10 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("source_units", f"""WITH {LINES_SQL},
-a AS (SELECT a.l_orderkey, a.chunk_id, a.place, coalesce(n.flag = 'R', false) AS listed, (SELECT min(g.place) FROM c g WHERE g.l_orderkey = a.l_orderkey AND g.place > a.place AND NOT g.indexed) AS gap
-  FROM c a LEFT JOIN c n ON n.l_orderkey = a.l_orderkey AND n.place = a.place + 1 WHERE a.flag = 'A')
-SELECT a.l_orderkey AS question_id, a.chunk_id AS anchor_id, c.chunk_id, c.place::INTEGER AS place, a.listed AND a.gap IS NOT NULL AS unit_incomplete
-FROM a JOIN c ON c.l_orderkey = a.l_orderkey AND (c.place = a.place OR a.listed AND c.place > a.place AND c.place < coalesce(a.gap, 1000))""")
+a AS (SELECT a.l_orderkey, a.chunk_id, a.place, coalesce(n.flag = 'R', false) AS listed, (SELECT min(g.place) FROM c g WHERE g.l_orderkey = a.l_orderkey AND g.place > a.place AND g.place <= a.place + 10 AND NOT g.indexed) AS gap, coalesce(b.flag = 'R', false) AS beyond
+  FROM c a LEFT JOIN c b ON b.l_orderkey = a.l_orderkey AND b.place = a.place + 11 LEFT JOIN c n ON n.l_orderkey = a.l_orderkey AND n.place = a.place + 1 WHERE a.flag = 'A')
+SELECT a.l_orderkey AS question_id, a.chunk_id AS anchor_id, c.chunk_id, c.place::INTEGER AS place, a.listed AND (a.gap IS NOT NULL OR a.beyond) AS unit_incomplete
+FROM a JOIN c ON c.l_orderkey = a.l_orderkey AND (c.place = a.place OR a.listed AND c.place > a.place AND c.place < coalesce(a.gap, a.place + 11))""")
 def source_units(spark: SparkSession, d: str) -> DataFrame:
     c = lines(spark, d)
     return cx.source_units(c.filter("flag = 'A'").select(F.col("l_orderkey").alias("question_id"), "chunk_id"), c.drop("l_orderkey", "flag", "price"))
