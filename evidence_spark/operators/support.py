@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import anchor_coverage, bigram_support, critical_terms, let, normalize_support, numeral
-from .joins import contained
+from .joins import checked_broadcast, contained
 from .lineage import kept
 from .structure import resolve_titles
 
@@ -136,21 +136,31 @@ def definition_support(questions: DataFrame, chunks: DataFrame, scope: DataFrame
     source says which (scope, dictionary, corpus, or successor).
     """
     asked = F.exists(F.array(*[F.lit(m) for m in (markers or DEFINITION_QUESTIONS)]), lambda m: F.contains("question", m))
-    terms = questions.filter(asked).select(q, F.explode(quoted_terms(F.col("question"))).alias("term"))
-    forms = terms.select(q, "term", F.posexplode(F.array(*[normalize_support(F.concat(F.lit(a), F.col("term"), F.lit(b))) for a, b in DEFINITION_FORMS])).alias("_n", "_form"))
+    named = lambda rows: rows.select(q, F.explode(quoted_terms(F.col("question"))).alias("term"))
+    worded = lambda rows: rows.select(q, "term", F.posexplode(F.array(*[normalize_support(F.concat(F.lit(a), F.col("term"), F.lit(b))) for a, b in DEFINITION_FORMS])).alias("_n", "_form"))
+    questions = questions.filter(asked).select(q, "question")
     texts = chunks.select("doc_id", "chunk_id", normalize_support(F.col("text")).alias("_t"))
-    inside = kept(forms.join(scope.select(q, "doc_id").distinct(), q).join(texts, "doc_id").filter(F.contains("_t", "_form")).select(q, "chunk_id", "term", F.lit("scope").alias("source")))
-    left = terms.join(inside.select(q).distinct(), q, "left_anti")
+    inside = kept(worded(named(questions)).join(scope.select(q, "doc_id").distinct(), q).join(texts, "doc_id").filter(F.contains("_t", "_form")).select(q, "chunk_id", "term", F.lit("scope").alias("source")))
+    # Without a definition in scope only its wording tells a question: equal ones are answered once, as _same.
+    left = questions.join(inside.select(q).distinct(), q, "left_anti").groupBy(q).agg(F.array_sort(F.collect_set("question")).alias("question"))
+    left = kept(left.withColumn("_same", F.sha2(F.to_json("question"), 256)))
+    once = kept(named(left.dropDuplicates(["_same"]).select(F.col("_same").alias(q), F.explode("question").alias("question"))))
     norm = F.regexp_replace(F.translate(F.lower(F.trim("term")), "（）：“”", "():"), r"\s+", "")
-    known = kept(left.withColumn("term_norm", norm).join(definitions.select("term_norm", "chunk_id"), "term_norm").select(q, "chunk_id", "term", F.lit("dictionary").alias("source")))
-    rest = forms.join(inside.select(q).distinct(), q, "left_anti").join(known.select(q).distinct(), q, "left_anti")
+    known = kept(once.withColumn("term_norm", norm).join(definitions.select("term_norm", "chunk_id"), "term_norm").select(q, "chunk_id", "term", F.lit("dictionary").alias("source")))
+    rest = worded(once).join(known.select(q).distinct(), q, "left_anti")
     anywhere = contained(rest.select(q, "term", "_form"), "_form", texts.select("chunk_id", "_t"), "_t").select(q, "chunk_id", "term", F.lit("corpus").alias("source"))
-    found = kept(inside.unionByName(known).unionByName(anywhere).groupBy(q, "chunk_id").agg(F.min("term").alias("term"), F.min("source").alias("source")))
     w = W.partitionBy("doc_id").orderBy("pos")
     after = chunks.select(F.col("chunk_id").alias("_c"), F.lead("chunk_id").over(w).alias("chunk_id")).filter("chunk_id is not null")
-    next_ = found.withColumnRenamed("chunk_id", "_c").join(after, "_c").select(q, "chunk_id", "term", F.lit("successor").alias("source"))
-    next_ = next_.join(found.select(q, "chunk_id"), [q, "chunk_id"], "left_anti").groupBy(q, "chunk_id").agg(F.min("term").alias("term"), F.min("source").alias("source"))
-    return found.withColumn("score", F.lit(1.5)).unionByName(next_.withColumn("score", F.lit(1.4)))
+
+    def scored(hits: DataFrame) -> DataFrame:
+        found = kept(hits.groupBy(q, "chunk_id").agg(F.min("term").alias("term"), F.min("source").alias("source")))
+        next_ = found.withColumnRenamed("chunk_id", "_c").join(after, "_c").select(q, "chunk_id", "term", F.lit("successor").alias("source"))
+        next_ = next_.join(found.select(q, "chunk_id"), [q, "chunk_id"], "left_anti").groupBy(q, "chunk_id").agg(F.min("term").alias("term"), F.min("source").alias("source"))
+        return found.withColumn("score", F.lit(1.5)).unionByName(next_.withColumn("score", F.lit(1.4)))
+
+    own = scored(inside)
+    shared = scored(known.unionByName(anywhere)).withColumnRenamed(q, "_same").repartition("chunk_id")
+    return own.unionByName(shared.join(checked_broadcast(left.select(q, "_same")), "_same").select(*own.columns))
 
 
 def continue_list(anchors: DataFrame, chunks: DataFrame, phrases: DataFrame, terms: DataFrame, reach: int = 4, q: str = "question_id", leads: str = LIST_LEADS) -> DataFrame:
