@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import ARTICLE, NUMERAL, cosine, join_units, numeral, token_count, token_units, words
+from ..functions.text import ARTICLE, NUMERAL, cosine, join_units, let, numeral, token_count, token_units, words
+from .joins import checked_broadcast
 
 #: Chunk size, overlap, and what a continued piece begins with.
 SIZE, OVERLAP, CONTINUED = 800, 80, "（承接上文）"
@@ -21,10 +22,12 @@ def split_windows(df: DataFrame, text_col: str = "text", size: int = SIZE, overl
     Adds pos, piece and units (how many token units the piece takes from the text).
     """
     step = max(size - overlap, 1)
-    counted = df.withColumn("_t", token_units(F.col(text_col))).filter(F.size("_t") > 0)
-    starts = F.sequence(F.lit(0), F.size("_t") - 1, F.lit(step))
-    piece = F.transform(starts, lambda s: F.slice(F.col("_t"), s + 1, F.when(s == 0, size).otherwise(size - prefix_tokens)))
-    out = counted.select(*df.columns, F.posexplode(piece).alias("pos", "_p"))
+
+    def cut(t: F.Column) -> F.Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.size(t) - 1, F.lit(step)), lambda s: F.slice(t, s + 1, F.when(s == 0, size).otherwise(size - prefix_tokens)))
+        return F.when(F.size(t) > 0, pieces).otherwise(F.array().cast("array<array<string>>"))
+
+    out = df.select(*df.columns, F.posexplode(let(token_units(F.col(text_col)), cut)).alias("pos", "_p"))
     text = F.concat(F.when(F.col("pos") > 0, F.lit(prefix)).otherwise(F.lit("")), join_units(F.col("_p")))
     return out.select(*df.columns, "pos", text.alias("piece"), F.size("_p").alias("units"))
 
@@ -244,7 +247,13 @@ def is_toc(text: F.Column, title: F.Column) -> F.Column:
     return (leaders >= 5) | ((leaders >= 2) & F.coalesce(title.contains("目录"), F.lit(False)))
 
 
-def postings(df: DataFrame, key: str, text: F.Column) -> DataFrame:
-    """Term weights from a text: 1 + ln(tf) per distinct word."""
-    return df.select(key, F.explode(words(text)).alias("token")).groupBy(key, "token").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
+def postings(df: DataFrame, key: str, text: F.Column, only: DataFrame | None = None) -> DataFrame:
+    """Term weights from a text: 1 + ln(tf) per distinct word; with only, of the words in its column token.
+
+    Of texts dealt by key, all that follows by key finds the words of a key in one place.
+    """
+    rows = df.select(key, F.explode(words(text)).alias("token"))
+    if only is not None:
+        rows = rows.join(checked_broadcast(only.select("token").distinct()), "token", "left_semi")
+    return rows.groupBy(key, "token").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
 

@@ -141,16 +141,21 @@ def to_postings(df: DataFrame, key: str, weights: str = "weights") -> DataFrame:
     return rows.filter(F.col("weight").isNotNull() & (F.col("weight") != 0) & ~F.isnan("weight")).select(key, "token", "weight")
 
 
+#: Words of questions that are sent to every task.
+ASKED = 100_000
 #: Postings of a token beyond which it counts as common; each further tenfold is a class of its own.
 COMMON = 10_000
 #: Scores closer than this may tie after rounding.
 CLOSE = 1e-8
 
 
-def sparse_topk(q_postings: DataFrame, postings: DataFrame, k: int, q: str = "query_id", c: str = "chunk_id", common: int = COMMON, allow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def sparse_topk(q_postings: DataFrame, postings: DataFrame, k: int, q: str = "query_id", c: str = "chunk_id", common: int | None = None, allow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k chunks of greatest dot product on shared tokens for every query.
 
-    Tokens are read in classes, rare ones first. What a query's remaining tokens can add or
+    Up to ASKED words of questions meet the postings where these lie, in one pass; of
+    postings dealt by chunk (see chunking.postings) only k rows of each query and task travel.
+
+    Of more words, or with common given, tokens are read in classes, rare ones first. What a query's remaining tokens can add or
     take is bounded by each token's greatest and least weight. Once k chunks are certain to
     stay above whatever a chunk not met yet could reach, common tokens are no longer joined
     by token: they are looked up by (chunk, token) for the few chunks that may still be among
@@ -161,7 +166,12 @@ def sparse_topk(q_postings: DataFrame, postings: DataFrame, k: int, q: str = "qu
     allow = allow or (lambda rows: rows)
     asked = q_postings.select(q, "token", F.col("weight").cast("double").alias("_w"))
     rows = postings.select(c, "token", F.col("weight").cast("double").alias("_v"))
-    stats = rows.join(checked_broadcast(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("_df"), F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
+    if common is None and asked.limit(ASKED + 1).count() <= ASKED:
+        met = rows.join(F.broadcast(asked), "token").groupBy(q, c).agg(F.sum(F.col("_v") * F.col("_w")).alias("score"))
+        return top(allow(met), [q], [F.desc(F.round("score", 9)), F.col(c)], k)
+    common = common or COMMON
+    rows = kept(rows.join(checked_broadcast(asked.select("token").distinct()), "token", "left_semi"))
+    stats = rows.groupBy("token").agg(F.count("*").alias("_df"), F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
     cls = F.greatest(F.lit(0), F.ceil(F.log10(F.col("_df") / F.lit(float(common))))).cast("int")
     ends = F.array(F.lit(0.0), F.col("_w") * F.col("_hi"), F.col("_w") * F.col("_lo"))
     terms = kept(asked.join(stats, "token").select(q, "token", "_w", cls.alias("_class"), F.array_max(ends).alias("_up"), F.array_min(ends).alias("_down")))
@@ -222,7 +232,7 @@ def filtered(filters: DataFrame, chunks: DataFrame, q: str = "query_id", c: str
         fits = F.col("_docs").isNull() | F.coalesce(F.array_contains("_docs", F.col("_doc")), F.lit(False))
         for f in fields:
             fits = fits & (F.col(f"_want_{f}").isNull() | F.col(f"_has_{f}").eqNullSafe(F.col(f"_want_{f}")))
-        return rows.join(checked_broadcast(wants), q, "left").join(has, c, "left").filter(fits).select(*rows.columns)
+        return rows.join(checked_broadcast(wants), q, "left").join(has.hint("shuffle_hash"), c, "left").filter(fits).select(*rows.columns)
 
     return keep
 

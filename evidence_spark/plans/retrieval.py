@@ -13,6 +13,8 @@ from ..sources import documents as readers
 from .tables import table
 
 QUERIES, SQL = {}, {}
+#: Chunks that a task scores against all questions.
+TASK_CHUNKS = 2_048
 UNIT_SQL = r"regexp_extract_all(text, '[一-鿿]|[a-zA-Z0-9_]+|[^\s]')"
 WORDS_SQL = r"regexp_extract_all(lower({}), '[^\x20\x09-\x0D]+')"
 
@@ -96,10 +98,15 @@ rk AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 """
 
 
+def piece_postings(ch: DataFrame, q: DataFrame) -> DataFrame:
+    """Postings of written chunks for the words that questions have, so many chunks to a task."""
+    return chunking.postings(ch.repartition(max(1, -(-ch.count() // TASK_CHUNKS)), "chunk_id"), "chunk_id", F.col("piece"), only=q)
+
+
 def sparse_hits(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
-    ch = chunks(spark, d)
-    q = chunking.postings(table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", F.col("text"))
-    return search.sparse_topk(q, kept(chunking.postings(ch, "chunk_id", F.col("piece"))), k), ch
+    ch = kept(chunks(spark, d))
+    q = kept(chunking.postings(table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", F.col("text")))
+    return search.sparse_topk(q, piece_postings(ch, q), k), ch
 
 
 @query("sparse_topk", f"WITH {SPARSE_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
@@ -203,7 +210,7 @@ f AS (SELECT query_id, chunk_id, score FROM sc JOIN m USING (chunk_id) WHERE (qu
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id))::INTEGER AS rank FROM f) WHERE rank <= 10""")
 def filtered_search(spark: SparkSession, d: str) -> DataFrame:
     """Passages as questions, each held to a year, every second to a language, every fifth to three documents."""
-    ch = chunks(spark, d)
+    ch = kept(chunks(spark, d))
     i = F.col("item_id")
     asked = table(spark, d, "benchmark")
     filters = asked.select(
@@ -211,8 +218,8 @@ def filtered_search(spark: SparkSession, d: str) -> DataFrame:
     )
     about = ch.select("chunk_id", "doc_id").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     about = about.select("chunk_id", F.col("doc_id").alias("document_id"), (2020 + F.col("doc_id") % 3).alias("year"), F.col("lang").alias("version_status")).dropDuplicates(["chunk_id"])
-    q = chunking.postings(asked.withColumnRenamed("item_id", "query_id"), "query_id", F.col("text"))
-    out = search.sparse_topk(q, kept(chunking.postings(ch, "chunk_id", F.col("piece"))), 10, allow=search.filtered(filters, about))
+    q = kept(chunking.postings(asked.withColumnRenamed("item_id", "query_id"), "query_id", F.col("text")))
+    out = search.sparse_topk(q, piece_postings(ch, q), 10, allow=search.filtered(filters, about))
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -325,7 +332,7 @@ n AS (SELECT DISTINCT query_id, doc_id, pos + o AS pos FROM h, (VALUES (-1), (1)
 SELECT n.query_id, ch.chunk_id FROM n JOIN ch ON n.doc_id = ch.doc_id AND n.pos = ch.pos WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = n.query_id AND h.doc_id = n.doc_id AND h.pos = n.pos)""")
 def neighbour_expansion(spark: SparkSession, d: str) -> DataFrame:
     hits, ch = sparse_hits(spark, d, 3)
-    placed = hits.join(ch.select("chunk_id", "doc_id", "pos"), "chunk_id")
+    placed = kept(hits.join(ch.select("chunk_id", "doc_id", "pos"), "chunk_id"))
     return search.neighbour_expansion(placed, ch.select("doc_id", "pos", "chunk_id"), "doc_id", "pos").select("query_id", "chunk_id")
 
 

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from evidence_spark.operators import search
+from evidence_spark.functions.text import join_units
+from evidence_spark.operators import chunking, search
 
 
 def corpus(rng, negative):
@@ -94,3 +96,32 @@ def test_filters_by_any_of_a_fields_names(spark):
     )
     assert sorted((r["query_id"], r["chunk_id"]) for r in out.collect()) == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "z"), (4, "a")]
     assert out.columns == ["query_id", "chunk_id", "metadata", "filename", "section_number"]
+
+
+def test_words_of_few_questions_meet_postings_in_one_pass(spark, sides, monkeypatch):
+    """Nothing is written and only the postings of asked words are scored; beyond ASKED words, classes are read."""
+    chunks, queries = corpus(random.Random(10), True)
+    written, kept = [], search.kept
+    monkeypatch.setattr(search, "kept", lambda df: written.append(1) or kept(df))
+    p, q = spark.createDataFrame(chunks, "chunk_id string, token string, weight double"), spark.createDataFrame(queries, "query_id int, token string, weight double")
+    read = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+    for allow, seen in ((None, lambda q, c: True), (search.filtered(*sides), fits)):
+        want = sorted((q, i + 1, c, -s) for q, rows in plain_sparse(chunks, queries, 5, seen).items() for i, (s, c) in enumerate(rows))
+        assert read(search.sparse_topk(q, p, 5, allow=allow)) == want and not written
+        with monkeypatch.context() as m:
+            m.setattr(search, "ASKED", len(queries) - 1)
+            assert read(search.sparse_topk(q, p, 5, allow=allow)) == want and written
+        written.clear()
+
+
+def test_postings_of_asked_words(spark):
+    df = spark.createDataFrame([(1, "a b a c"), (1, "A x"), (2, None), (3, "c")], "k int, t string")
+    only = spark.createDataFrame([("a",), ("a",), ("c",)], "token string")
+    all_ = {(r["k"], r["token"]): r["weight"] for r in chunking.postings(df, "k", F.col("t")).collect()}
+    assert {(r["k"], r["token"]): r["weight"] for r in chunking.postings(df, "k", F.col("t"), only=only).collect()} == {x: w for x, w in all_.items() if x[1] in "ac"} and len(all_) == 5
+
+
+def test_units_are_joined_as_words_and_letters(spark):
+    units = [["a", "b1", "，", "_c", "中", "d", "e", "é", "f", "."], ["a"], [], ["\x00", "a", "b", "\x85", "c"]]
+    got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u array<string>").orderBy("i").select(join_units(F.col("u"))).collect()]
+    assert got == ["a b1，_c中d eéf.", "a", "", "\x00a b\x85c"]
