@@ -36,7 +36,7 @@ def probes(text: Column) -> Column:
 
 def recall(passage: Column, chunk: Column) -> Column:
     """Share of a passage's distinct bigrams that a chunk has; a passage without any gives 0."""
-    return let(F.struct(bigram_set(passage).alias("p"), bigram_set(chunk).alias("c")), lambda s: F.when(F.size(s["p"]) > 0, F.size(F.array_intersect(s["p"], s["c"])) / F.size(s["p"])).otherwise(0.0))
+    return let(bigram_set(passage), lambda p: F.when(F.size(p) > 0, F.size(F.filter(p, lambda g: F.contains(chunk, g))) / F.size(p)).otherwise(0.0))
 
 
 def passage_chunks(passages: DataFrame, chunks: DataFrame, key: str = "aspect_id") -> DataFrame:
@@ -49,10 +49,10 @@ def passage_chunks(passages: DataFrame, chunks: DataFrame, key: str = "aspect_id
     hold the passage, stand in it with 20 characters or more, or have 0.55 of its bigrams.
     """
     p = passages.select(key, F.col("document_id").alias("_doc"), plain(F.col("text")).alias("_p")).filter("_p <> ''")
-    c = chunks.select("chunk_id", "document_id", plain(F.col("text")).alias("_c")).filter("_c <> ''")
+    c = kept(chunks.select("chunk_id", "document_id", plain(F.col("text")).alias("_c")).filter("_c <> ''"))
     asked = p.select(key, "_p", F.explode(probes(F.col("_p"))).alias("_w"))
-    met = contained(asked, "_w", c.select("chunk_id", "_c"), "_c").select(key, "chunk_id", "_p", "_c").dropDuplicates([key, "chunk_id"])
-    anywhere = kept(met.filter(recall(F.col("_p"), F.col("_c")) >= ANYWHERE).select(key, "chunk_id", F.lit("anywhere").alias("scope")))
+    met = contained(asked, "_w", c.select("chunk_id", "_c"), "_c")
+    anywhere = kept(met.filter(recall(F.col("_p"), F.col("_c")) >= ANYWHERE).select(key, "chunk_id", F.lit("anywhere").alias("scope")).distinct())
     left = p.filter("_doc is not null").join(anywhere.select(key).distinct(), key, "left_anti")
     own = left.join(c, F.col("_doc") == F.col("document_id"))
     held = F.contains("_c", "_p") | (F.contains("_p", "_c") & (F.char_length("_c") >= INSIDE))

@@ -28,3 +28,25 @@ def test_numbered_names_draw_no_pairs_but_their_own(spark, monkeypatch):
     assert joins.contained(names, "n", texts, "t").filter("i = j").count() == 3000
     pairs = [df for df in written if set(df.columns) == {"_tid", "_nid"}]
     assert len(pairs) == 1 and pairs[0].count() == 3000
+
+
+def test_runs_are_hashed_alike_on_both_sides_and_only_wanted_ones_are_handed_on(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MOST_HELD", 50)
+    texts = ["abcabcabcd", "中文字符中文字符", "a😀b😀a😀b", "", "xy", "".join(random.Random(3).choice("abc") for _ in range(400))]
+    df = spark.createDataFrame([(i, t, min(max(len(t), 1), 4)) for i, t in enumerate(texts)], "i long, t string, n int")
+    rows = lambda out: sorted((r["i"], r["_g"]) for r in out.collect())
+    whole = rows(joins.run_hashes(df, "i", "t", [2, 4]))
+    runs = {(i, t[k : k + n]) for i, t in enumerate(texts) for n in (2, 4) for k in range(len(t) - n + 1)}
+    assert len(whole) == len(set(whole)) == len(runs)
+    own = rows(joins.run_hashes(df.filter("n = 4"), "i", "t", [], "n"))
+    assert len(own) == len({(i, x) for i, x in runs if len(x) == 4}) and set(own) <= set(whole)
+    some = sorted({g for i, g in whole if i == 1})
+    assert rows(joins.run_hashes(df, "i", "t", [2, 4], only=some)) == [(i, g) for i, g in whole if g in some]
+
+
+def test_containment_beyond_the_runs_that_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(joins, "FEW", 0)
+    monkeypatch.setattr(joins, "MOST_WANTED", 3)
+    n = spark.createDataFrame([(i, f"no {i:04d} of") for i in range(40)], "i int, n string")
+    t = spark.createDataFrame([(j, f"the no {j:04d} of all") for j in range(0, 60, 2)], "j int, t string")
+    assert sorted((r["i"], r["j"]) for r in joins.contained(n, "n", t, "t").collect()) == [(i, i) for i in range(0, 40, 2)]
