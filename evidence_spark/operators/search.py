@@ -272,12 +272,10 @@ def filter_metadata(candidates: DataFrame, filters: DataFrame, q: str = "query_i
 
     mode is exact or contains; a query without filters keeps everything.
     """
-    long = candidates.select(q, c, F.explode("metadata").alias("field", "value"))
-    needed = filters.groupBy(q).agg(F.count("*").alias("_need"))
-    hit = F.when(F.col("mode") == "exact", F.col("value") == F.col("wanted")).otherwise(F.contains(F.lower("value"), F.lower("wanted")))
-    met = long.join(filters, [q, "field"]).groupBy(q, c).agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("_met"))
-    out = candidates.join(needed, q, "left").join(met, [q, c], "left")
-    return out.filter(F.col("_need").isNull() | (F.coalesce("_met", F.lit(0)) == F.col("_need"))).drop("_need", "_met")
+    asked = filters.groupBy(q).agg(F.collect_list(F.struct("field", "mode", "wanted")).alias("_asked"))  # a query has few filters
+    hit = lambda f, v: F.when(f["mode"] == "exact", v == f["wanted"]).otherwise(F.contains(F.lower(v), F.lower(f["wanted"])))
+    fits = F.forall("_asked", lambda f: F.coalesce(hit(f, F.try_element_at("metadata", f["field"])), F.lit(False)))
+    return candidates.join(checked_broadcast(asked), q, "left").filter(F.coalesce(fits, F.lit(True))).drop("_asked")
 
 
 #: Which of a candidate's fields answer a filter, and the filters that ask for equality.

@@ -125,3 +125,11 @@ def test_units_are_joined_as_words_and_letters(spark):
     units = [["a", "b1", "，", "_c", "中", "d", "e", "é", "f", "."], ["a"], [], ["\x00", "a", "b", "\x85", "c"]]
     got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u array<string>").orderBy("i").select(join_units(F.col("u"))).collect()]
     assert got == ["a b1，_c中d eéf.", "a", "", "\x00a b\x85c"]
+
+
+def test_candidates_meet_all_filters_of_their_query_each_row_by_itself(spark):
+    """A candidate given twice stays twice: its filters are not counted over its copies."""
+    cand = [(1, "a", {"type": "X", "name": "A Ring"}), (1, "a", {"type": "X", "name": "A Ring"}), (1, "b", {"type": "Y", "name": "ring"}), (1, "c", {"type": "X"}), (1, "d", None), (2, "e", None), (3, "f", {"type": None}), (4, "g", {"type": "X"})]
+    filters = [(1, "type", "exact", "X"), (1, "name", "contains", "RING"), (3, "type", "exact", "X"), (4, None, "exact", "X")]
+    got = search.filter_metadata(spark.createDataFrame(cand, "query_id int, chunk_id string, metadata map<string,string>"), spark.createDataFrame(filters, "query_id int, field string, mode string, wanted string"))
+    assert sorted((r["query_id"], r["chunk_id"]) for r in got.collect()) == [(1, "a"), (1, "a"), (2, "e")]
