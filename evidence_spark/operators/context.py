@@ -3,7 +3,7 @@
 Chunks: document_id, pos (a number that orders a document), chunk_id, text, section_title,
 token_count, indexed (null counts as true), table_id and table_role. Anchors are chunks that
 were selected for a question. A unit reaches a bounded distance to both sides, so anchors
-meet their neighbours by an equi-join on document and place, never whole documents.
+take their neighbours from a frame of bounded size over their document, never whole documents.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import let
+from .lineage import written
 
 #: How many chunks a unit looks for a definition's cue, a list's lead-in, further items; its size; a table's rows.
 CUE_BACK, LEAD_BACK, ITEMS_AHEAD, MOST_CHUNKS, MOST_TOKENS, MOST_ROWS = 3, 8, 10, 12, 3600, 8
@@ -56,14 +57,16 @@ def described(chunks: DataFrame) -> DataFrame:
 PEEK = ("chunk_id", "section_title", "indexed", "_at", "_cue", "_is_item", "_lead", "_heading", "_top", "_marked")
 
 
-def neighbours(anchors: DataFrame, known: DataFrame, place: str, first: int, last: int, name: str) -> DataFrame:
-    """anchors with name: the chunks from first to last places away, nearest first, as structs (k, ...)."""
-    offsets = [k for k in range(first, last + 1) if k]
-    reach = anchors.select("_anchor", "document_id", F.col(place).alias("_p"), F.explode(F.array(*map(F.lit, offsets))).alias("_k"))
-    side = known.filter(~F.col("_page")) if place == "_item" else known
-    met = reach.withColumn("_p", F.col("_p") + F.col("_k")).join(side.select("document_id", F.col(place).alias("_p"), F.struct(*PEEK).alias("_c")), ["document_id", "_p"])
-    rows = met.groupBy("_anchor").agg(F.array_sort(F.collect_list(F.struct(F.abs("_k").alias("k"), F.col("_c").alias("c")))).alias(name))  # at most last - first + 1
-    return anchors.join(rows, "_anchor", "left").withColumn(name, F.coalesce(name, F.array().cast(dict(rows.dtypes)[name])))
+def with_neighbours(known: DataFrame, of: DataFrame) -> DataFrame:
+    """The chunks that of (chunk_id) names, with _back: up to LEAD_BACK chunks before, and _ahead: up to ITEMS_AHEAD + 1 after that are no page number; nearest first, as structs (k, c)."""
+    peek = F.when(F.col("document_id").isNotNull(), F.struct(*PEEK))
+    doc = W.partitionBy("document_id")
+    back = F.reverse(F.collect_list(peek).over(doc.orderBy("_at").rowsBetween(-LEAD_BACK, -1)))
+    ahead = F.collect_list(F.when(~F.col("_page"), peek)).over(doc.orderBy("_item").rangeBetween(1, ITEMS_AHEAD + 1))
+    ranked = lambda name: F.transform(name, lambda c, i: F.struct((i + 1).alias("k"), c.alias("c")))
+    rows = known.join(of.select("chunk_id").distinct().withColumn("_named", F.lit(True)), "chunk_id", "left")
+    rows = rows.withColumn("_back", back).withColumn("_ahead", ahead).filter("_named").drop("_named")
+    return rows.withColumn("_back", ranked("_back")).withColumn("_ahead", ranked("_ahead"))
 
 
 def walk(rows: Column, stop: Column | None, take_and_stop, before_stop) -> Column:
@@ -110,14 +113,12 @@ def source_units(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     chunk in which the section's title stands comes along. A part that is not indexed cuts
     the unit, which is flagged. An anchor that no chunk has is a unit of its own.
     """
-    known = described(chunks)
+    known = written(described(chunks))
     asked = anchors.select(*[c for c in ("question_id", "chunk_id", "question", "whole_section") if c in anchors.columns])
     for c, kind in (("question", "string"), ("whole_section", "boolean")):
         asked = asked if c in asked.columns else asked.withColumn(c, F.lit(None).cast(kind))
     asked = asked.withColumn("_anchor", F.struct("question_id", "chunk_id"))
-    at = asked.join(known, "chunk_id")
-    at = neighbours(at, known, "_at", -LEAD_BACK, -1, "_back")
-    at = neighbours(at, known, "_item", 1, ITEMS_AHEAD + 1, "_ahead")
+    at = asked.join(with_neighbours(known, asked), "chunk_id")
     q = F.regexp_replace(F.coalesce("question", F.lit("")), r"\s+", "")
     row = F.coalesce(F.col("table_role") == "row", F.lit(False))
     scope = F.coalesce("whole_section", F.lit(False))
@@ -132,6 +133,7 @@ def source_units(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     opened = F.when(F.col("question").isNull() | q.rlike(ASKS_LIST), F.col("_lead") | F.col("_is_item")).when(q.rlike(ASKS_DEFINITION), F.col("_lead")).otherwise(F.col("_lead") | (F.col("_is_item") & led))
     ahead = items_ahead(F.col("_ahead"), loose & opened, F.col("_own_top"))
     found = at.select("_anchor", "document_id", "_at", "_major", scope.alias("_scope"), row.alias("_row"), "table_id", F.when(~row, F.col("_title_at")).alias("_title_at"), cue.alias("_p1"), lead.alias("_p2"), ahead.alias("_p3"))
+    found = written(found)
     cut = F.col("_p1.cut") | F.col("_p2.cut") | F.col("_p3.cut")
     near = found.select("_anchor", F.explode(F.array_distinct(F.concat(F.array("_anchor.chunk_id"), "_p1.ids", "_p2.ids", "_p3.ids"))).alias("chunk_id"), cut.alias("cut"))
     rows = known.filter("table_role = 'row' and table_id is not null").groupBy("document_id", "table_id").agg(F.count("*").alias("_n"), F.collect_list("chunk_id").alias("_ids")).filter(F.col("_n").between(2, MOST_ROWS))
@@ -144,10 +146,9 @@ def source_units(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     scoped = later.join(ends, "_anchor").filter(F.col("_at") <= upto).filter("_next is null or _at < _next")
     scoped = scoped.select("_anchor", F.when(F.col("indexed"), F.col("chunk_id")).otherwise(F.col("_anchor.chunk_id")).alias("chunk_id"), (~F.col("indexed")).alias("cut"))
     alone = asked.join(known.select("chunk_id"), "chunk_id", "left_anti").select("_anchor", "chunk_id", F.lit(False).alias("cut"))
-    parts = near.union(tables).union(titled).union(scoped).union(alone).groupBy("_anchor", "chunk_id").agg(F.max("cut").alias("cut"))
-    flagged = parts.groupBy("_anchor").agg(F.max("cut").alias("unit_incomplete"))
-    places = known.select("chunk_id", "_at")
-    out = parts.join(flagged, "_anchor").join(places, "chunk_id", "left")
+    parts = near.union(tables).union(titled).union(scoped).union(alone)
+    parts = parts.withColumn("unit_incomplete", F.max("cut").over(W.partitionBy("_anchor"))).dropDuplicates(["_anchor", "chunk_id"])
+    out = parts.join(known.select("chunk_id", "_at"), "chunk_id", "left")
     return out.select("_anchor.question_id", F.col("_anchor.chunk_id").alias("anchor_id"), "chunk_id", F.coalesce("_at", F.lit(1)).alias("place"), "unit_incomplete")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators import context as cx
 from ..operators import graph, grounding
+from ..operators.lineage import written
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -44,16 +45,19 @@ a AS (SELECT a.l_orderkey, a.chunk_id, a.place, coalesce(n.flag = 'R', false) AS
 SELECT a.l_orderkey AS question_id, a.chunk_id AS anchor_id, c.chunk_id, c.place::INTEGER AS place, a.listed AND (a.gap IS NOT NULL OR a.beyond) AS unit_incomplete
 FROM a JOIN c ON c.l_orderkey = a.l_orderkey AND (c.place = a.place OR a.listed AND c.place > a.place AND c.place < coalesce(a.gap, a.place + 11))""")
 def source_units(spark: SparkSession, d: str) -> DataFrame:
-    c = lines(spark, d)
+    return units_of(lines(spark, d))
+
+
+def units_of(c: DataFrame) -> DataFrame:
     return cx.source_units(c.filter("flag = 'A'").select(F.col("l_orderkey").alias("question_id"), "chunk_id"), c.drop("l_orderkey", "flag", "price"))
 
 
 @query("unit_budget")
 def unit_budget(spark: SparkSession, d: str) -> DataFrame:
     """Of each order the units of its list leads, in 100 tokens; every second line brings a requirement of its own."""
-    c = lines(spark, d)
+    c = written(lines(spark, d))
     anchors = c.filter("flag = 'A'").select(F.col("l_orderkey").alias("question_id"), "chunk_id", F.col("pos").alias("rank"), F.array(F.when(F.col("pos") % 2 == 0, F.col("pos").cast("string")).otherwise("all")).alias("tags"))
-    return cx.unit_budget(source_units(spark, d), anchors, c.select("chunk_id", "token_count", "text"), most=5, tokens=100)
+    return cx.unit_budget(units_of(c), anchors, c.select("chunk_id", "token_count", "text"), most=5, tokens=100)
 
 
 @query("reserve_clauses", f"""WITH {LINES_SQL},
