@@ -431,8 +431,13 @@ def links_in_blocks(members: DataFrame, counts: DataFrame, sets: DataFrame, perc
     Members are dealt into blocks by hash and every two blocks of a group meet once. There
     cell counts rule pairs out, the rest is compared as whole sets, and a pair whose ends
     are connected by then is passed over, so at most as many links come out as sets went in.
+    Whole sets travel only for the members of such groups (up to LONGS of them).
     """
     rows = members.join(counts.filter(F.col("m") > listed), "gid")
+    asked = stored(rows.select("c").distinct())
+    whole = sets.select("c", "tokens")
+    if asked.count() <= LONGS:
+        whole = whole.join(F.broadcast(asked), "c", "left_semi")
     size = F.greatest(F.lit(2), F.least(F.lit(block), F.floor(F.lit(BLOCK_TOKENS) / F.col("most"))))
     rows = rows.withColumn("_n", F.ceil(F.col("m") / size)).withColumn("_k", F.pmod(F.xxhash64("c"), F.col("_n")))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
@@ -462,7 +467,7 @@ def links_in_blocks(members: DataFrame, counts: DataFrame, sets: DataFrame, perc
                     root[root == root[j]] = root[i]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.join(sets.select("c", "tokens"), "c").groupBy("gid", "x", "y").applyInArrow(compare, "a long, b long")
+    return rows.join(whole, "c").groupBy("gid", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = ROUNDS, listed: int = LISTED, block: int = BLOCK) -> DataFrame:

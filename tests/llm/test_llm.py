@@ -859,3 +859,18 @@ def test_whitening_of_few_dimensions_and_odd_tables(spark, vectors):
 def test_whitening_query_equals_numpy(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     whitening_holds(whole_vectors(table, 256, 64), queries.op13_whiten(spark, SF).withColumnRenamed("vec_id", "_id").collect())
+
+
+def test_whole_sets_travel_only_for_members_of_large_groups(spark):
+    """Sets that no large group holds are left where they lie: before, all were dealt out."""
+    sets = spark.createDataFrame([(c, list(range(c % 2, 20))) for c in range(40)], "c long, tokens array<long>")
+    members = spark.createDataFrame([(9, 9, 9, c, 20, 25, c) for c in range(4)], "gid long, own long, facing long, c long, n int, reach int, comp long")
+    counts = spark.createDataFrame([(9, 4, 20)], "gid long, m long, most int")
+    out = jaccard.links_in_blocks(members, counts, jaccard.stored(sets), 90, listed=2, block=2)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    linked = {frozenset((r["a"], r["b"])) for r in out.collect()}
+    near = {c: c for c in range(4)}
+    for _ in range(4):
+        for a, b in map(tuple, linked):
+            near[a] = near[b] = min(near[a], near[b])
+    assert set(near.values()) == {0}
