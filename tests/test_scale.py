@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evidence_spark.operators import joins
+from evidence_spark.operators import joins, spreadsheets
 
 
 @pytest.mark.parametrize("few", [0, 256])
@@ -50,3 +50,19 @@ def test_containment_beyond_the_runs_that_are_sent(spark, monkeypatch):
     n = spark.createDataFrame([(i, f"no {i:04d} of") for i in range(40)], "i int, n string")
     t = spark.createDataFrame([(j, f"the no {j:04d} of all") for j in range(0, 60, 2)], "j int, t string")
     assert sorted((r["i"], r["j"]) for r in joins.contained(n, "n", t, "t").collect()) == [(i, i) for i in range(0, 40, 2)]
+
+
+def test_cells_are_made_once_for_a_lookup(spark):
+    """What cells are counted from is read once, not again for titles, labels and each question's cells."""
+    made = spark.sparkContext.accumulator(0)
+
+    def say(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    kinds = "document_id string, source_title string, sheet_name string, row_label string, column_label string, coordinate string, value string, numeric_value double, unit string, year int"
+    cells = spark.createDataFrame([("d", "收入表", "Sheet1", "甲", "金额", "A1", "5", 5.0, "元", 2024), ("d", "收入表", "Sheet1", "乙", "金额", "A2", "7", 7.0, "元", 2024)], kinds).mapInArrow(say, kinds)
+    asked = spark.createDataFrame([(1, "收入表", "甲", "金额")], "question_id int, asked_source string, asked_row string, asked_column string")
+    assert [r["value"] for r in spreadsheets.lookup_answers(asked, cells).collect()] == ["5"]
+    assert made.value == 2
