@@ -247,13 +247,14 @@ def is_toc(text: F.Column, title: F.Column) -> F.Column:
     return (leaders >= 5) | ((leaders >= 2) & F.coalesce(title.contains("目录"), F.lit(False)))
 
 
-def postings(df: DataFrame, key: str, text: F.Column, only: DataFrame | None = None) -> DataFrame:
+def postings(df: DataFrame, key: str | list[str], text: F.Column, only: DataFrame | None = None) -> DataFrame:
     """Term weights from a text: 1 + ln(tf) per distinct word; with only, of the words in its column token.
 
-    Of texts dealt by key, all that follows by key finds the words of a key in one place.
+    Of texts dealt by key, or by one of several, all that follows by key finds the words of a key in one place.
     """
-    rows = df.select(key, F.explode(words(text)).alias("token"))
+    keys = [key] if isinstance(key, str) else key
+    rows = df.select(*keys, F.explode(words(text)).alias("token"))
     if only is not None:
         rows = rows.join(checked_broadcast(only.select("token").distinct()), "token", "left_semi")
-    return rows.groupBy(key, "token").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
+    return rows.groupBy(*keys, "token").agg((1 + F.log(F.count("*").cast("double"))).alias("weight"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, evaluation, gold, search
-from ..operators.joins import checked_broadcast, contained
+from ..operators.joins import checked_broadcast, contained, dealt
 from ..operators.lineage import kept
 from ..sources import documents as readers
 from .tables import table
@@ -37,9 +37,12 @@ ch AS (SELECT doc_id, pos, format('{{}}-{{:06d}}', doc_id, pos + 1) AS chunk_id,
 """
 
 
+def chunks_of(docs: DataFrame) -> DataFrame:
+    return chunking.link_chunks(chunking.split_windows(docs.select("doc_id", "text")).drop("text"), "doc_id")
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    pieces = chunking.split_windows(table(spark, d, "documents").select("doc_id", "text")).drop("text")
-    return chunking.link_chunks(pieces, "doc_id")
+    return chunks_of(table(spark, d, "documents"))
 
 
 @query("token_counts_units", f"SELECT doc_id, coalesce(len({UNIT_SQL}), 0)::INTEGER AS tokens FROM documents")
@@ -86,7 +89,9 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query("term_postings", f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, unnest({WORDS_SQL.format('piece')}) AS token FROM ch)
 SELECT token, count(DISTINCT chunk_id) AS chunks, round(sum(wt), 6) AS weight FROM (SELECT chunk_id, token, 1 + ln(count(*)) AS wt FROM w GROUP BY ALL) GROUP BY token""")
 def term_postings(spark: SparkSession, d: str) -> DataFrame:
-    post = chunking.postings(chunks(spark, d), "chunk_id", F.col("piece"))
+    """Documents are dealt so many to a task, which cuts them and counts the words of each chunk."""
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text"), "doc_id", rows=TASK_CHUNKS)
+    post = chunking.postings(chunks_of(docs), ["doc_id", "chunk_id"], F.col("piece"))
     return post.groupBy("token").agg(F.count("*").alias("chunks"), F.round(F.sum("weight"), 6).alias("weight"))
 
 

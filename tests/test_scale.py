@@ -1,10 +1,12 @@
 """Steps whose work must not grow faster than their input."""
 
 import random
+import re
 
 import pytest
 
 from evidence_spark.operators import joins, spreadsheets
+from evidence_spark.plans import retrieval
 
 
 @pytest.mark.parametrize("few", [0, 256])
@@ -66,3 +68,20 @@ def test_cells_are_made_once_for_a_lookup(spark):
     asked = spark.createDataFrame([(1, "收入表", "甲", "金额")], "question_id int, asked_source string, asked_row string, asked_column string")
     assert [r["value"] for r in spreadsheets.lookup_answers(asked, cells).collect()] == ["5"]
     assert made.value == 2
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def shuffles(df) -> list[tuple[str, str]]:
+    """The columns that each shuffle of a plan deals by, and what it is made for."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\((.*?)\), (\w+)", plan)
+
+
+def test_words_are_counted_where_documents_are_cut(spark, monkeypatch):
+    """Tasks of so many documents; no words travel by chunk."""
+    monkeypatch.setattr(retrieval, "TASK_CHUNKS", 50)
+    made = shuffles(retrieval.term_postings(spark, SF))
+    assert [kind for by, kind in made if "doc_id" in by] == ["REPARTITION_BY_NUM"]
+    assert not [by for by, _ in made if "chunk_id" in by]
