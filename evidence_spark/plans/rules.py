@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, evaluation, evidence, identity, integrity, search, structure
 from ..operators import tables as tb
+from ..operators.joins import dealt
 from ..sources import indexes
 from .tables import table
 
@@ -54,7 +55,8 @@ h AS (SELECT query_id, chunk_id, unnest([contains(lower(p_type), 'o'), contains(
 SELECT query_id, chunk_id, avg(hit::INTEGER)::DOUBLE AS inferred FROM h GROUP BY ALL""")
 def inferred_scores(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.create_map(F.lit("type"), "p_type", F.lit("name"), "p_name").alias("metadata"))
-    cand = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("chunk_id")).distinct().join(part, "chunk_id")
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("chunk_id"))
+    cand = dealt(lines, "chunk_id").distinct().join(part, "chunk_id")
     wanted = F.array(F.struct(F.lit("type").alias("field"), F.lit("O").alias("wanted")), F.struct(F.lit("name").alias("field"), F.when(F.col("s_suppkey") % 2 == 0, "red").otherwise("RING").alias("wanted")))
     filters = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.explode(wanted).alias("r")).select("query_id", "r.*")
     return search.inferred_score(cand, filters)

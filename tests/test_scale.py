@@ -6,7 +6,7 @@ import re
 import pytest
 
 from evidence_spark.operators import joins, spreadsheets
-from evidence_spark.plans import retrieval
+from evidence_spark.plans import retrieval, rules
 
 
 @pytest.mark.parametrize("few", [0, 256])
@@ -85,3 +85,9 @@ def test_words_are_counted_where_documents_are_cut(spark, monkeypatch):
     made = shuffles(retrieval.term_postings(spark, SF))
     assert [kind for by, kind in made if "doc_id" in by] == ["REPARTITION_BY_NUM"]
     assert not [by for by, _ in made if "chunk_id" in by]
+
+
+@pytest.mark.parametrize("query", [rules.inferred_scores])
+def test_lines_are_dealt_once_so_many_to_a_task(spark, monkeypatch, query):
+    monkeypatch.setattr(joins, "TASK_ROWS", 1000)
+    assert {kind for _, kind in shuffles(query(spark, SF))} == {"REPARTITION_BY_NUM"}
