@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import bigram_set
+from .joins import dealt
 
 
 def check_corpus(docs: DataFrame, chunks: DataFrame, doc: str = "doc_id", name: str = "name", expected: str = "chunk_count") -> DataFrame:
@@ -234,8 +235,8 @@ def compare_chunkings(old: DataFrame, new: DataFrame, doc: str = "doc_id", pos:
 
 
 def audit_metadata(copies: DataFrame, ledger: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row per field of a copy that differs from the ledger (nulls equal)."""
-    both = copies.select("copy_id", key, *[F.col(f).cast("string").alias(f"_c_{f}") for f in fields]).join(ledger.select(key, *[F.col(f).cast("string").alias(f"_l_{f}") for f in fields]), key)
+    """One row per field of a copy that differs from the ledger (nulls equal); copies are dealt by key, so many to a task."""
+    both = dealt(copies, key).select("copy_id", key, *[F.col(f).cast("string").alias(f"_c_{f}") for f in fields]).join(ledger.select(key, *[F.col(f).cast("string").alias(f"_l_{f}") for f in fields]), key)
     rows = F.array_compact(F.array(*[F.when(~F.col(f"_c_{f}").eqNullSafe(F.col(f"_l_{f}")), F.lit(f)) for f in fields]))
     return both.select("copy_id", key, F.explode(rows).alias("field"))
 

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from evidence_spark.operators import joins, spreadsheets
-from evidence_spark.plans import retrieval, rules
+from evidence_spark.plans import relational, retrieval, rules
 
 
 @pytest.mark.parametrize("few", [0, 256])
@@ -87,7 +87,7 @@ def test_words_are_counted_where_documents_are_cut(spark, monkeypatch):
     assert not [by for by, _ in made if "chunk_id" in by]
 
 
-@pytest.mark.parametrize("query", [rules.inferred_scores])
+@pytest.mark.parametrize("query", [rules.inferred_scores, relational.metadata_audit])
 def test_lines_are_dealt_once_so_many_to_a_task(spark, monkeypatch, query):
     monkeypatch.setattr(joins, "TASK_ROWS", 1000)
     assert {kind for _, kind in shuffles(query(spark, SF))} == {"REPARTITION_BY_NUM"}
