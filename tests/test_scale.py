@@ -46,6 +46,16 @@ def test_runs_are_hashed_alike_on_both_sides_and_only_wanted_ones_are_handed_on(
     assert rows(joins.run_hashes(df, "i", "t", [2, 4], only=some)) == [(i, g) for i, g in whole if g in some]
 
 
+@pytest.mark.parametrize("lot", [1, 7, 1 << 16])
+def test_runs_of_texts_that_are_hashed_together_end_with_their_text(spark, monkeypatch, lot):
+    monkeypatch.setattr(joins, "LOT", lot)
+    texts = ["abab", "", "bab", "a", "😀bab", "abab", "", "cabab" * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    rows = [(r["i"], r["_g"]) for r in joins.run_hashes(df, "i", "t", [2, 3, 8]).collect()]
+    assert len(rows) == len(set(rows)) == len({(i, t[k : k + n]) for i, t in enumerate(texts) for n in (2, 3, 8) for k in range(len(t) - n + 1)})
+    assert {g for i, g in rows if i == 0} == {g for i, g in rows if i == 5}
+
+
 def test_containment_beyond_the_runs_that_are_sent(spark, monkeypatch):
     monkeypatch.setattr(joins, "FEW", 0)
     monkeypatch.setattr(joins, "MOST_WANTED", 3)
