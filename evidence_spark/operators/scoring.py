@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import number_match, numbers
+from ..functions.text import let, number_match, numbers
 from .joins import contained
 from .lineage import kept
 
@@ -26,9 +26,11 @@ def _plain(text: Column) -> Column:
 
 
 def _file_plain(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[《》]", "")
+    """A file's name or text for comparison; ASCII marks are dropped by a class of their own, others only where a text has letters beyond ASCII."""
+    beyond = lambda t, marks: let(t, lambda x: F.when(F.octet_length(x) > F.char_length(x), F.regexp_replace(x, marks, "")).otherwise(x))
+    t = beyond(F.lower(F.coalesce(text, F.lit(""))), "[《》]")
     t = F.regexp_replace(t, r"\.(?:pdf|docx?|xlsx?|xls|csv|txt|md)$", "")
-    return F.regexp_replace(t, r"[\s·•、，,。.;；:：()（）\"'“”‘’\-_]+", "")
+    return beyond(F.regexp_replace(t, r"[\s,.;:()\"'\-_]+", ""), r"[·•、，。；：（）“”‘’]+")
 
 
 def _rate(flag: str, base: Column) -> Column:

@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from evidence_spark.operators import joins, spreadsheets
+from evidence_spark.operators import joins, scoring, spreadsheets
 from evidence_spark.plans import relational, retrieval, rules
 
 
@@ -101,3 +102,20 @@ def test_words_are_counted_where_documents_are_cut(spark, monkeypatch):
 def test_lines_are_dealt_once_so_many_to_a_task(spark, monkeypatch, query):
     monkeypatch.setattr(joins, "TASK_ROWS", 1000)
     assert {kind for _, kind in shuffles(query(spark, SF))} == {"REPARTITION_BY_NUM"}
+
+
+def test_names_lose_the_same_marks_whether_ascii_or_not(spark):
+    texts = ["A b-c_d.PDF", "《甲.pdf》", "甲、乙·丙；（丁）.docx", "x.md》", "“q”: 'r' (s)\t\n", "é.x l.csv", "", None, "。.txt", "a.pdf.pdf", "—-–"]
+    got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(scoring._file_plain(F.col("t")).alias("p")).collect()]
+
+    def plain(t):
+        t = re.sub("[《》]", "", (t or "").lower())
+        t = re.sub(r"\.(?:pdf|docx?|xlsx?|xls|csv|txt|md)$", "", t)
+        return re.sub(r"[ \t\n\x0b\f\r·•、，,。.;；:：()（）\"'“”‘’\-_]+", "", t)
+
+    assert got == [plain(t) for t in texts]
+
+
+def test_marks_beyond_ascii_are_only_looked_for_where_there_may_be_some(spark):
+    plan = spark.range(1).select(scoring._file_plain(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("octet_length") + plan.count("octetlength") >= 2, plan
