@@ -4,6 +4,8 @@ Chunks: document_id, pos (a number that orders a document), chunk_id, text, sect
 token_count, indexed (null counts as true), table_id and table_role. Anchors are chunks that
 were selected for a question. A unit reaches a bounded distance to both sides, so anchors
 take their neighbours from a frame of bounded size over their document, never whole documents.
+Chunks and anchors both grow with the corpus, and Spark takes a written table for as small as
+its compressed files, so joins name their kind: no table of that size is sent to the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import let
+from .joins import checked_broadcast
 from .lineage import written
 
 #: How many chunks a unit looks for a definition's cue, a list's lead-in, further items; its size; a table's rows.
@@ -44,16 +47,19 @@ def described(chunks: DataFrame) -> DataFrame:
     run = F.sum((F.lag("_bare").over(doc).isNull() | (F.lag("_bare").over(doc) != F.col("_bare"))).cast("int")).over(doc)
     c = c.withColumn("_run", run)
     own = (F.col("_bare") != "") & F.contains(F.regexp_replace(text, r"\s+", ""), "_bare")
+    titled = F.when(own & F.col("document_id").isNotNull(), F.struct("_at", "chunk_id", "indexed"))
     section = W.partitionBy("document_id", "_run").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     first = lambda pattern, t: F.trim(F.regexp_extract(t, pattern, 1))
     tail = F.right(F.trim(text), F.lit(250))
     return c.select(
-        "*", F.max(F.when(own, F.col("_at"))).over(section).alias("_title_at"), text.rlike(CUE).alias("_cue"), F.regexp_like(F.trim(text), F.lit(ITEM)).alias("_is_item"), tail.rlike(LEAD).alias("_lead"),
+        "*", F.max(titled).over(section).alias("_title_at"), text.rlike(CUE).alias("_cue"), F.regexp_like(F.trim(text), F.lit(ITEM)).alias("_is_item"), tail.rlike(LEAD).alias("_lead"),
         F.trim(text).rlike(HEADING).alias("_heading"), first(TOP_HEADING, F.trim(text)).alias("_top"), first(TOP_HEADING, F.concat_ws("\n", text, "section_title")).alias("_own_top"), first(MAJOR_HEADING, text).alias("_major"),
         (F.trim(text).rlike(ITEM) | F.trim(text).rlike(QUOTED_ITEM) | F.trim(text).rlike(EXCEPTION)).alias("_marked"), F.trim(text).rlike(ORPHAN).alias("_orphan"),
     )
 
 
+#: A chunk of a unit: its id and its place.
+PART = "struct<chunk_id:string,_at:int>"
 PEEK = ("chunk_id", "section_title", "indexed", "_at", "_cue", "_is_item", "_lead", "_heading", "_top", "_marked")
 
 
@@ -64,20 +70,24 @@ def with_neighbours(known: DataFrame, of: DataFrame) -> DataFrame:
     back = F.reverse(F.collect_list(peek).over(doc.orderBy("_at").rowsBetween(-LEAD_BACK, -1)))
     ahead = F.collect_list(F.when(~F.col("_page"), peek)).over(doc.orderBy("_item").rangeBetween(1, ITEMS_AHEAD + 1))
     ranked = lambda name: F.transform(name, lambda c, i: F.struct((i + 1).alias("k"), c.alias("c")))
-    rows = known.join(of.select("chunk_id").distinct().withColumn("_named", F.lit(True)), "chunk_id", "left")
+    rows = known.join(of.select("chunk_id").distinct().withColumn("_named", F.lit(True)).hint("merge"), "chunk_id", "left")
     rows = rows.withColumn("_back", back).withColumn("_ahead", ahead).filter("_named").drop("_named")
     return rows.withColumn("_back", ranked("_back")).withColumn("_ahead", ranked("_ahead"))
 
 
+def part(c: Column) -> Column:
+    return F.struct(c["chunk_id"].alias("chunk_id"), c["_at"].alias("_at"))
+
+
 def walk(rows: Column, stop: Column | None, take_and_stop, before_stop) -> Column:
-    """A running stop over neighbours: struct(ids, cut). before_stop(c) ends the walk without a row, take_and_stop(c) after it; a row that isn't indexed ends it as cut."""
-    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(False).alias("cut"), (stop if stop is not None else F.lit(False)).alias("done"))
+    """A running stop over neighbours: struct(ids, cut), ids being PARTs. before_stop(c) ends the walk without a row, take_and_stop(c) after it; a row that isn't indexed ends it as cut."""
+    start = F.struct(F.array().cast(f"array<{PART}>").alias("ids"), F.lit(False).alias("cut"), (stop if stop is not None else F.lit(False)).alias("done"))
 
     def step(a: Column, x: Column) -> Column:
         c = x["c"]
         ended = F.struct(a["ids"].alias("ids"), a["cut"].alias("cut"), F.lit(True).alias("done"))
         cut = F.struct(a["ids"].alias("ids"), F.lit(True).alias("cut"), F.lit(True).alias("done"))
-        taken = F.struct(F.concat(a["ids"], F.array(c["chunk_id"])).alias("ids"), a["cut"].alias("cut"), take_and_stop(c).alias("done"))
+        taken = F.struct(F.concat(a["ids"], F.array(part(c))).alias("ids"), a["cut"].alias("cut"), take_and_stop(c).alias("done"))
         return F.when(a["done"], a).when(before_stop(c), ended).when(~c["indexed"], cut).otherwise(taken)
 
     return F.aggregate(rows, start, step, lambda a: F.struct(a["ids"].alias("ids"), a["cut"].alias("cut")))
@@ -85,7 +95,7 @@ def walk(rows: Column, stop: Column | None, take_and_stop, before_stop) -> Colum
 
 def items_ahead(rows: Column, opened: Column, own_top: Column) -> Column:
     """The list that follows: items until a heading or another top heading; the first must be an item; cut if it goes on beyond."""
-    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(False).alias("cut"), (~opened).alias("done"), own_top.alias("top"))
+    start = F.struct(F.array().cast(f"array<{PART}>").alias("ids"), F.lit(False).alias("cut"), (~opened).alias("done"), own_top.alias("top"))
 
     def step(a: Column, x: Column) -> Column:
         c = x["c"]
@@ -96,7 +106,7 @@ def items_ahead(rows: Column, opened: Column, own_top: Column) -> Column:
         beyond = state(a["ids"], c["_is_item"], F.lit(True), a["top"])
         return (
             F.when(a["done"], a).when(full, beyond).when(ends, state(a["ids"], a["cut"], F.lit(True), a["top"])).when(~c["indexed"], state(a["ids"], F.lit(True), F.lit(True), a["top"]))
-            .otherwise(state(F.concat(a["ids"], F.array(c["chunk_id"])), a["cut"], F.lit(False), top))
+            .otherwise(state(F.concat(a["ids"], F.array(part(c))), a["cut"], F.lit(False), top))
         )
 
     return F.aggregate(rows, start, step, lambda a: F.struct(a["ids"].alias("ids"), a["cut"].alias("cut")))
@@ -118,11 +128,10 @@ def source_units(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     for c, kind in (("question", "string"), ("whole_section", "boolean")):
         asked = asked if c in asked.columns else asked.withColumn(c, F.lit(None).cast(kind))
     asked = asked.withColumn("_anchor", F.struct("question_id", "chunk_id"))
-    at = asked.join(with_neighbours(known, asked), "chunk_id")
+    at = asked.join(with_neighbours(known, asked).hint("merge"), "chunk_id", "left")
     q = F.regexp_replace(F.coalesce("question", F.lit("")), r"\s+", "")
     row = F.coalesce(F.col("table_role") == "row", F.lit(False))
     scope = F.coalesce("whole_section", F.lit(False))
-    none = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(False).alias("cut"))
     seeks = F.col("question").isNotNull() & q.rlike(ASKS_DEFINITION) & ~row & ~F.col("_cue")
     section = F.coalesce("section_title", F.lit(""))
     other = lambda c: (section != "") & (F.coalesce(c["section_title"], F.lit("")) != "") & (c["section_title"] != section)
@@ -134,22 +143,23 @@ def source_units(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     ahead = items_ahead(F.col("_ahead"), loose & opened, F.col("_own_top"))
     found = at.select("_anchor", "document_id", "_at", "_major", scope.alias("_scope"), row.alias("_row"), "table_id", F.when(~row, F.col("_title_at")).alias("_title_at"), cue.alias("_p1"), lead.alias("_p2"), ahead.alias("_p3"))
     found = written(found)
+    alone, found = found.filter("_at is null"), found.filter("_at is not null")
+    own = F.struct(F.col("_anchor.chunk_id").alias("chunk_id"), "_at")
     cut = F.col("_p1.cut") | F.col("_p2.cut") | F.col("_p3.cut")
-    near = found.select("_anchor", F.explode(F.array_distinct(F.concat(F.array("_anchor.chunk_id"), "_p1.ids", "_p2.ids", "_p3.ids"))).alias("chunk_id"), cut.alias("cut"))
-    rows = known.filter("table_role = 'row' and table_id is not null").groupBy("document_id", "table_id").agg(F.count("*").alias("_n"), F.collect_list("chunk_id").alias("_ids")).filter(F.col("_n").between(2, MOST_ROWS))
-    tables = found.filter("_row").join(rows, ["document_id", "table_id"]).select("_anchor", F.explode("_ids").alias("chunk_id"), F.lit(False).alias("cut"))
-    titled = found.join(known.select("document_id", F.col("_at").alias("_title_at"), "chunk_id", "indexed"), ["document_id", "_title_at"])
-    titled = titled.select("_anchor", F.when(F.col("indexed"), F.col("chunk_id")).otherwise(F.col("_anchor.chunk_id")).alias("chunk_id"), (~F.col("indexed")).alias("cut"))
-    later = found.filter("_scope").select("_anchor", "document_id", F.col("_at").alias("_from"), F.col("_major").alias("_own")).join(known.select("document_id", "_at", "chunk_id", "indexed", "_major"), "document_id").filter(F.col("_at") > F.col("_from"))
+    near = found.select("_anchor", F.explode(F.array_distinct(F.concat(F.array(own), "_p1.ids", "_p2.ids", "_p3.ids"))).alias("_part"), cut.alias("cut"))
+    rows = known.filter("table_role = 'row' and table_id is not null").groupBy("document_id", "table_id").agg(F.count("*").alias("_n"), F.collect_list(F.struct("chunk_id", "_at")).alias("_ids")).filter(F.col("_n").between(2, MOST_ROWS))
+    tables = rows.join(checked_broadcast(found.filter("_row").select("_anchor", "document_id", "table_id"), merge=True), ["document_id", "table_id"]).select("_anchor", F.explode("_ids").alias("_part"), F.lit(False).alias("cut"))
+    titled = found.filter("_title_at is not null").select("_anchor", F.when(F.col("_title_at.indexed"), part(F.col("_title_at"))).otherwise(own).alias("_part"), (~F.col("_title_at.indexed")).alias("cut"))
+    scopes = checked_broadcast(found.filter("_scope").select("_anchor", "document_id", F.col("_at").alias("_from"), F.col("_major").alias("_own")), merge=True)
+    later = known.select("document_id", "_at", "chunk_id", "indexed", "_major").join(scopes, "document_id").filter(F.col("_at") > F.col("_from"))
     ends = later.groupBy("_anchor").agg(F.min(F.when((F.col("_major") != "") & (F.col("_major") != F.col("_own")), F.col("_at"))).alias("_next"), F.min(F.when(~F.col("indexed"), F.col("_at"))).alias("_gap"))
     upto = F.least(F.coalesce("_next", F.lit(2**31 - 1)), F.coalesce("_gap", F.lit(2**31 - 1)))
-    scoped = later.join(ends, "_anchor").filter(F.col("_at") <= upto).filter("_next is null or _at < _next")
-    scoped = scoped.select("_anchor", F.when(F.col("indexed"), F.col("chunk_id")).otherwise(F.col("_anchor.chunk_id")).alias("chunk_id"), (~F.col("indexed")).alias("cut"))
-    alone = asked.join(known.select("chunk_id"), "chunk_id", "left_anti").select("_anchor", "chunk_id", F.lit(False).alias("cut"))
+    scoped = later.join(ends.hint("merge"), "_anchor").filter(F.col("_at") <= upto).filter("_next is null or _at < _next")
+    scoped = scoped.select("_anchor", F.when(F.col("indexed"), F.struct("chunk_id", "_at")).otherwise(F.struct(F.col("_anchor.chunk_id").alias("chunk_id"), F.col("_from").alias("_at"))).alias("_part"), (~F.col("indexed")).alias("cut"))
+    alone = alone.select("_anchor", own.alias("_part"), F.lit(False).alias("cut"))
     parts = near.union(tables).union(titled).union(scoped).union(alone)
-    parts = parts.withColumn("unit_incomplete", F.max("cut").over(W.partitionBy("_anchor"))).dropDuplicates(["_anchor", "chunk_id"])
-    out = parts.join(known.select("chunk_id", "_at"), "chunk_id", "left")
-    return out.select("_anchor.question_id", F.col("_anchor.chunk_id").alias("anchor_id"), "chunk_id", F.coalesce("_at", F.lit(1)).alias("place"), "unit_incomplete")
+    parts = parts.withColumn("unit_incomplete", F.max("cut").over(W.partitionBy("_anchor"))).dropDuplicates(["_anchor", "_part"])
+    return parts.select("_anchor.question_id", F.col("_anchor.chunk_id").alias("anchor_id"), "_part.chunk_id", F.coalesce("_part._at", F.lit(1)).alias("place"), "unit_incomplete")
 
 
 # ---- D48: a budget over units ----

@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_spark.operators import joins, scoring, spreadsheets
+from evidence_spark.operators import context, joins, scoring, spreadsheets
+from evidence_spark.plans import context as context_plans
 from evidence_spark.plans import relational, retrieval, rules
 
 
@@ -104,6 +105,17 @@ def test_lines_are_dealt_once_so_many_to_a_task(spark, monkeypatch, query):
     assert {kind for _, kind in shuffles(query(spark, SF))} == {"REPARTITION_BY_NUM"}
 
 
+def sent(df) -> int:
+    """How many tables a plan sends to every task by way of the driver."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_chunks_of_units_are_not_sent_by_the_driver(spark, monkeypatch):
+    """Written tables look as small as their files; only what was counted before may be sent."""
+    monkeypatch.setattr(context, "checked_broadcast", lambda df, merge: df.hint("merge"), raising=False)
+    assert sent(context_plans.source_units(spark, SF)) == 0
+
+
 def test_names_lose_the_same_marks_whether_ascii_or_not(spark):
     texts = ["A b-c_d.PDF", "《甲.pdf》", "甲、乙·丙；（丁）.docx", "x.md》", "“q”: 'r' (s)\t\n", "é.x l.csv", "", None, "。.txt", "a.pdf.pdf", "—-–"]
     got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(scoring._file_plain(F.col("t")).alias("p")).collect()]
