@@ -227,13 +227,13 @@ def packed_units(units: DataFrame, anchors: DataFrame, costs: DataFrame) -> Data
     first = tags.groupBy("question_id", "tag").agg(F.min(F.struct("rank", "anchor_id")).alias("_f"))
     new = first.select("question_id", F.col("_f.anchor_id").alias("anchor_id"), F.lit(True).alias("primary")).distinct()
     cost = costs.select("chunk_id", F.coalesce(F.nullif(F.col("token_count").cast("long"), F.lit(0)), F.greatest(F.floor(F.char_length("text") / 2), F.lit(1))).cast("long").alias("cost"))
-    items = units.join(cost, "chunk_id", "left").withColumn("cost", F.coalesce("cost", F.lit(1).cast("long")))
+    items = units.join(cost.hint("merge"), "chunk_id", "left").withColumn("cost", F.coalesce("cost", F.lit(1).cast("long")))
     item = F.struct(F.col("chunk_id").alias("id"), "cost")
     lists = items.groupBy("question_id", "anchor_id").agg(
         F.array_sort(F.collect_list(F.struct("place", item.alias("i")))).alias("_l"), F.max("unit_incomplete").alias("cut"), F.max(F.when(F.col("chunk_id") == F.col("anchor_id"), F.col("cost"))).alias("_ac")
     )
     ranked = anchors.select("question_id", F.col("chunk_id").alias("anchor_id"), "rank")
-    one = lists.join(ranked, ["question_id", "anchor_id"]).join(new, ["question_id", "anchor_id"], "left")
+    one = lists.join(ranked.hint("merge"), ["question_id", "anchor_id"]).join(new.hint("merge"), ["question_id", "anchor_id"], "left")
     unit = F.struct("rank", F.struct(F.col("anchor_id").alias("id"), F.coalesce("_ac", F.lit(1).cast("long")).alias("cost")).alias("anchor"), F.col("_l.i").alias("items"), F.coalesce("primary", F.lit(False)).alias("primary"), "cut")
     return one.groupBy("question_id").agg(F.array_sort(F.collect_list(unit)).alias("_units"))
 

@@ -116,6 +116,14 @@ def test_chunks_of_units_are_not_sent_by_the_driver(spark, monkeypatch):
     assert sent(context_plans.source_units(spark, SF)) == 0
 
 
+def test_units_and_costs_of_a_budget_are_not_sent_by_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(context, "checked_broadcast", lambda df, merge: df.hint("merge"), raising=False)
+    c = joins.kept(context_plans.lines(spark, SF))
+    anchors = c.selectExpr("l_orderkey as question_id", "chunk_id", "pos as rank", "array('t') as tags")
+    units = c.selectExpr("l_orderkey as question_id", "chunk_id as anchor_id", "chunk_id", "pos as place", "false as unit_incomplete")
+    assert sent(context.unit_budget(units, anchors, c)) == 0 == sent(context_plans.unit_budget(spark, SF))
+
+
 def test_names_lose_the_same_marks_whether_ascii_or_not(spark):
     texts = ["A b-c_d.PDF", "《甲.pdf》", "甲、乙·丙；（丁）.docx", "x.md》", "“q”: 'r' (s)\t\n", "é.x l.csv", "", None, "。.txt", "a.pdf.pdf", "—-–"]
     got = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(scoring._file_plain(F.col("t")).alias("p")).collect()]
