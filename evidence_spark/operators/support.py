@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import anchor_coverage, bigram_support, critical_terms, let, normalize_support, numeral
-from .joins import checked_broadcast, contained
+from .joins import contained, paired
 from .lineage import kept
 from .structure import resolve_titles
 
@@ -159,8 +159,8 @@ def definition_support(questions: DataFrame, chunks: DataFrame, scope: DataFrame
         return found.withColumn("score", F.lit(1.5)).unionByName(next_.withColumn("score", F.lit(1.4)))
 
     own = scored(inside)
-    shared = scored(known.unionByName(anywhere)).withColumnRenamed(q, "_same").repartition("chunk_id")
-    return own.unionByName(shared.join(checked_broadcast(left.select(q, "_same")), "_same").select(*own.columns))
+    shared = kept(scored(known.unionByName(anywhere)).withColumnRenamed(q, "_same"))
+    return own.unionByName(paired(shared, left.select(q, "_same"), "_same").select(*own.columns))
 
 
 def continue_list(anchors: DataFrame, chunks: DataFrame, phrases: DataFrame, terms: DataFrame, reach: int = 4, q: str = "question_id", leads: str = LIST_LEADS) -> DataFrame:

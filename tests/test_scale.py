@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_spark.operators import context, joins, scoring, spreadsheets
+from evidence_spark.operators import context, joins, scoring, spreadsheets, support
 from evidence_spark.plans import context as context_plans
 from evidence_spark.plans import relational, retrieval, rules
 
@@ -66,6 +66,33 @@ def test_containment_beyond_the_runs_that_are_sent(spark, monkeypatch):
     assert sorted((r["i"], r["j"]) for r in joins.contained(n, "n", t, "t").collect()) == [(i, i) for i in range(0, 40, 2)]
 
 
+@pytest.mark.parametrize("most", [0, 4096])
+@pytest.mark.parametrize("pairs", [5, 4_000_000])
+def test_pairs_of_lists_equal_a_join(spark, monkeypatch, most, pairs):
+    for name, value in (("LISTED", 3), ("INNER", 2), ("GROUPED", 7), ("MOST_LISTS", most), ("DEALS", 4), ("TASK_PAIRS", pairs)):
+        monkeypatch.setattr(joins, name, value)
+    rng = random.Random(5)
+    some = [(rng.choice("aaaabcd"), i, f"c{i}" if i % 5 else None) for i in range(60)]
+    others = [(rng.choice("aaaabcef"), i) for i in range(50)]
+    a, b = spark.createDataFrame(some, "k string, c long, t string"), spark.createDataFrame(others, "k string, q long")
+    key = lambda r: (r[0], r[1], r[3])
+    got = [(r["k"], r["c"], r["t"], r["q"]) for r in joins.paired(a, b, "k").collect()]
+    assert sorted(got, key=key) == sorted(((k, c, t, q) for k, c, t in some for x, q in others if k == x), key=key)
+    assert joins.paired(a, b.limit(0), "k").count() == 0 == joins.paired(a.limit(0), b, "k").count()
+
+
+def test_many_questions_with_many_definitions_take_little_disk(spark, tmp_path):
+    """The rows are questions times chunks by definition; in their order a file holds one in a few bits."""
+    asks = spark.range(20000).selectExpr("id as question_id", "'“甲乙”是什么' as question")
+    chunks = spark.range(200).selectExpr("0L as doc_id", "id as chunk_id", "id as pos", "cast(null as string) as section_title", "'无' as text")
+    known = chunks.selectExpr("'甲乙' as term_norm", "chunk_id")
+    path = tmp_path / "rows"
+    support.definition_support(asks, chunks, asks.selectExpr("question_id", "0L as doc_id").limit(0), known).write.parquet(f"file://{path}")
+    rows = spark.read.parquet(f"file://{path}")
+    assert rows.count() == rows.select("question_id", "chunk_id").distinct().count() == 20000 * 200
+    assert sum(p.stat().st_size for p in path.glob("*.parquet")) < 0.5 * 20000 * 200
+
+
 def test_cells_are_made_once_for_a_lookup(spark):
     """What cells are counted from is read once, not again for titles, labels and each question's cells."""
     made = spark.sparkContext.accumulator(0)
